@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegrid.llm import exact_dedup, secret_scans, source_mix, token_counts
+from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, ngram_jaccard, secret_scans, source_mix, token_counts
 
 
 def queries() -> dict:
@@ -10,7 +10,11 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_secret_scans": secret_scans.op2_secret_scans,
         "op3_source_mix": source_mix.op3_source_mix,
+        "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
+        "op5_best_fit_packing": best_fit_packing.op5_best_fit_packing,
+        "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     }
 
 
