@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts
+from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 

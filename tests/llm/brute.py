@@ -97,3 +97,24 @@ def near_vectors(vectors, cosine):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def later_lines(docs, percent=80):
+    """docs: {id: text} -> {id: (n_lines, [numbers of lines that match an earlier one])}"""
+    sets, order = [], []
+    for i in sorted(docs):
+        for k, line in enumerate(docs[i].split("\n") if docs[i] else []):
+            if s := frozenset(words(line)):
+                order.append((i, k))
+                sets.append(s)
+    where, gone = {}, {i: [] for i in docs}
+    for x, s in enumerate(sets):
+        seen = {}
+        for w in s:
+            for y in where.get(w, ()):
+                seen[y] = seen.get(y, 0) + 1
+        if any(100 * o >= percent * (len(s) + len(sets[y]) - o) for y, o in seen.items()):
+            gone[order[x][0]].append(order[x][1])
+        for w in s:
+            where.setdefault(w, []).append(x)
+    return {i: (len(docs[i].split("\n")) if docs[i] else 0, gone[i]) for i in docs}
