@@ -58,7 +58,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     doctor = letters_name(F.col("o_custkey") % 97, 4)
     date = F.date_format("o_orderdate", "dd/MM/yyyy")
     text = F.concat(
-        date, F.lit(" consultation attended for treatment\nRe: "), patient, F.lit(" DOB: 01/02/1970\n\nDear Dr Smith\nClaim No: "), F.col("o_orderkey").cast("string"),
+        date, F.lit(" consultation attended for treatment\nRe: "), patient, F.lit(" DOB: 01/02/1970\n\nDear Dr Smith\nClaim No: C"), F.col("o_orderkey").cast("string"),
         F.lit("\nClinic: "), F.col("c_mktsegment"), F.lit("\n\nOn examination pain was reported on "), date, F.lit(". Diagnosis: injury of priority "), F.lower("o_orderpriority"), F.lit("\n\nKind regards\n\nDr "), doctor,
     )
     case = F.concat(F.lit("/ws/nation"), F.col("c_nationkey").cast("string"))
