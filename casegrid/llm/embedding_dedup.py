@@ -156,8 +156,7 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
         found = materialize(ordered.mapInArrow(_windows(cosine, window), "a bigint, b bigint").distinct(), "links")
         links = found if links is None else links.union(found)
     united = components(links)
-    members = classes.join(united, classes["id"] == united["node"]).select("id", "unit", "copies", "component")
-    tasks = block_tasks(members, "component", "id", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
+    tasks = block_tasks(united, "component", "node", classes, "id", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
     counted = tasks.select("task", "side", "id", "unit", "copies").mapInArrow(_counts(cosine), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
     # least ids: a class is named by its least id, so a component's least class name is its least id
     named = classes.select("id", "unit", "copies").join(counted.withColumnRenamed("id", "k_id"), F.col("id") == F.col("k_id"), "left")

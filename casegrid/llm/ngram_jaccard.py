@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
-from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, split_points
+from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, short, split_points, unshort
 from casegrid.llm.pair_blocks import block_tasks
 from casegrid.llm.text_tables import partitions_for, read_table
 from casegrid.workspace import materialize
@@ -84,7 +84,7 @@ def _columns(k: int, blocks: int, heads: int):
                     every, owner, at = every[order], owner[order], at[order]
                     for a, b in zip(*split_points(at), strict=True):
                         s, e = split_points(owner[a:b])
-                        out.append((int(at[a]), 1, rising(ids[owner[a:b][s]]), blob((e - s).astype(np.uint32)), blob(every[a:b])))
+                        out.append((int(at[a]), 1, rising(ids[owner[a:b][s]]), blob((e - s).astype(np.uint32)), short(every[a:b])))
                 yield _packed_rows(out)
 
     return run
@@ -114,12 +114,13 @@ def _shared(buckets: int):
                     yield _packed_rows([(int(to[order[a]]), 0, rising(own[order[a:b]]), blob(sizes[order[a:b]]), blob(marks[order[a:b]])) for a, b in zip(*split_points(to[order]), strict=True)])
                 else:
                     ids.append(np.repeat(risen(row["ids"]), np.frombuffer(row["counts"], np.uint32)))
-                    hashes.append(np.frombuffer(row["data"], np.uint64))
+                    hashes.append(unshort(row["data"]))
             if not ids:
                 continue
             ids, hashes = np.concatenate(ids), np.concatenate(hashes)
             order = np.argsort(hashes, kind="stable")
             ids, hashes = ids[order], hashes[order]
+            del order
             starts, ends = split_points(hashes)
             df = np.repeat(ends - starts, ends - starts)
             many = df > 1
@@ -129,7 +130,7 @@ def _shared(buckets: int):
             ids, hashes, df, to = ids[order], hashes[order], df[order], to[order]
             for a, b in zip(*split_points(to), strict=True):
                 s, e = split_points(ids[a:b])
-                yield _packed_rows([(int(to[a]), 1, rising(ids[a:b][s]), blob((e - s).astype(np.uint32)), blob(hashes[a:b]), blob(df[a:b].astype(np.uint32)))])
+                yield _packed_rows([(int(to[a]), 1, rising(ids[a:b][s]), blob((e - s).astype(np.uint32)), short(hashes[a:b]), blob(np.minimum(df[a:b], 65535).astype(np.uint16)))])
 
     return run
 
@@ -145,7 +146,7 @@ def _prefixes(percent: int):
                 if row["kind"] == 0:
                     heads.append((risen(row["ids"]), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["data"], "V16")))
                 else:
-                    entries.append((np.repeat(risen(row["ids"]), np.frombuffer(row["counts"], np.uint32)), np.frombuffer(row["data"], np.uint64), np.frombuffer(row["more"], np.uint32)))
+                    entries.append((np.repeat(risen(row["ids"]), np.frombuffer(row["counts"], np.uint32)), unshort(row["data"]), np.frombuffer(row["more"], np.uint16)))
             own, sizes, marks = (np.concatenate(x) for x in zip(*heads, strict=True))
             if entries:
                 ids, hashes, df = (np.concatenate(x) for x in zip(*entries, strict=True))
@@ -255,17 +256,14 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     classes = sets.where("mark is not null").groupBy("mark").agg(F.min("id").alias("rep"))
     known = sets.select("id", "n", "mark").join(classes.select(F.col("mark").alias("c_mark"), "rep"), F.col("mark") == F.col("c_mark"), "left").drop("c_mark", "mark")
     known = materialize(known, "classes")
-    rows = sets.where("prefix is not null and size(prefix) > 0").dropDuplicates(["mark"])
-    # the row that stands for a class carries the class's name, whichever copy it came from
-    rows = rows.join(classes.select(F.col("mark").alias("c_mark"), "rep"), rows["mark"] == F.col("c_mark")).select(F.col("rep").alias("id"), "n", "prefix", "grams")
-    rows = materialize(rows, "candidates")
-    entries = rows.select("id", F.explode("prefix").alias("gram"))
+    # a class is represented by the row of its least id; equal sets have equal prefixes, so that row is a candidate if any is
+    rows = sets.where("prefix is not null and size(prefix) > 0")
+    named = rows.select("id", "mark", "prefix").join(classes.select(F.col("mark").alias("c_mark"), "rep"), (F.col("mark") == F.col("c_mark")) & (F.col("id") == F.col("rep")))
+    entries = named.select("id", F.explode("prefix").alias("gram"))
     least = entries.groupBy("gram").agg(F.min("id").alias("a"), F.count("*").alias("docs")).where("docs > 1").select(F.col("gram").alias("l_gram"), "a")
-    together = entries.join(least, F.col("gram") == F.col("l_gram")).select("a", F.col("id").alias("b"))
-    clusters = components(together)
-    members = rows.select("id", "n", "grams").join(clusters, rows["id"] == clusters["node"]).select("id", "n", "grams", "component")
-    tasks = block_tasks(members, "component", "id", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
-    links = tasks.select("task", "side", "id", "n", "grams").mapInArrow(_links(percent), "a bigint, b bigint")
+    clusters = components(entries.join(least, F.col("gram") == F.col("l_gram")).select("a", F.col("id").alias("b")))
+    tasks = block_tasks(clusters, "component", "node", rows.select("id", "n", "grams"), "id", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
+    links = tasks.mapInArrow(_links(percent), "a bigint, b bigint")
     united = components(links)
     out = known.join(united, known["rep"] == united["node"], "left")
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("bigint").alias(c) for c in ("n_shingles", "component_id")])

@@ -19,6 +19,17 @@ def risen(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.int64))
 
 
+def short(hashes: np.ndarray) -> bytes:
+    """The lower seven bytes of 64-bit hashes."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def unshort(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).reshape(-1)
+
+
 def split_points(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     if not len(keys):

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def block_tasks(members: DataFrame, group: str, item: str, block_rows: int, partitions: int) -> DataFrame:
-    """``members`` with ``task`` and ``side``, sorted by task within partitions.
+def block_tasks(groups: DataFrame, group: str, item: str, rows: DataFrame, key: str, block_rows: int, partitions: int) -> DataFrame:
+    """``rows`` with ``task`` and ``side``, sorted by task within partitions.
 
-    A group of n rows has b = ceil(n / block_rows) blocks by hash of ``item``
-    and a task for each pair of blocks; a row goes to b tasks. ``side`` is 2 in
-    a block's task with itself, else 0 or 1; pairs of a task are all pairs of
-    side 2, or those between sides 0 and 1.
+    ``groups`` says which ``item`` is in which ``group``; blocks are planned on
+    it alone, then ``rows`` (whose ``key`` names the item) are joined once. A
+    group of n items has b = ceil(n / block_rows) blocks by hash of the item and
+    a task for each pair of blocks; a row goes to b tasks. ``side`` is 2 in a
+    block's task with itself, else 0 or 1; pairs of a task are all pairs of side
+    2, or those between sides 0 and 1.
     """
-    sizes = members.groupBy(group).agg(F.count("*").alias("__n")).select(F.col(group).alias("__g"), F.ceil(F.col("__n") / block_rows).cast("int").alias("__blocks"))
-    rows = members.join(sizes, members[group] == sizes["__g"]).drop("__g")
-    rows = rows.withColumn("__own", F.pmod(F.xxhash64(item), F.col("__blocks")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    sizes = groups.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("__blocks")).withColumnRenamed(group, "__g")
+    plan = groups.join(sizes, groups[group] == sizes["__g"]).select(F.col(item).alias("__item"), F.col(group).alias("__group"), "__blocks")
+    out = rows.join(plan, rows[key] == plan["__item"])
+    out = out.withColumn("__own", F.pmod(F.xxhash64("__item"), F.col("__blocks")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     side = F.when(F.col("__own") == F.col("__other"), 2).when(F.col("__own") < F.col("__other"), 0).otherwise(1)
-    rows = rows.withColumn("task", F.xxhash64(group, F.least("__own", "__other"), F.greatest("__own", "__other"))).withColumn("side", side.cast("int"))
-    return rows.drop("__own", "__other", "__blocks").repartition(partitions, "task").sortWithinPartitions("task")
+    out = out.withColumn("task", F.xxhash64("__group", F.least("__own", "__other"), F.greatest("__own", "__other"))).withColumn("side", side.cast("int"))
+    return out.select("task", "side", *[rows[c] for c in rows.columns]).repartition(partitions, "task").sortWithinPartitions("task")
