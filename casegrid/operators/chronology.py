@@ -78,7 +78,8 @@ def dated_mentions(chunks: DataFrame) -> DataFrame:
     mention = F.substring(text, s + 1, e - s)
     before, after = F.regexp_extract(F.substring(text, F.lit(1), s), r"(?s)^(.*)[.;] ", 0), F.regexp_extract(F.expr("substring(text, e + 1)"), r"(?s)^.*?[.;] ", 0)
     rows = rows.withColumns({"mention": mention, "date": T.documented_date(mention), "left": F.length(before) - 2, "right": F.when(after != "", e + F.length(after) - 2)})
-    rows = rows.withColumn("left", F.when(F.col("left") < 0, F.lit(-1)).otherwise(F.col("left"))).where(F.col("date.value").isNotNull())
+    # the window below needs a chunk's rows together; dealing them out here also keeps the parsed dates from being computed anew in every later column
+    rows = rows.repartition("run_id", "chunk_id").withColumn("left", F.when(F.col("left") < 0, F.lit(-1)).otherwise(F.col("left"))).where(F.col("date.value").isNotNull())
     stop = F.coalesce("right", F.length(text))
     peers = F.filter("dates", lambda x: (F.col("left") < x["start"]) & (x["start"] < stop))
     end = F.least(F.coalesce(F.col("right") + 1, F.length(text)), e + 220)
@@ -92,8 +93,8 @@ def dated_mentions(chunks: DataFrame) -> DataFrame:
     rows = rows.withColumn("r", first).where((F.col("r") == 1) & (F.col("quote") != ""))
     prefix, context = F.substring(text, F.greatest(F.lit(0), s - 35) + 1, s - F.greatest(F.lit(0), s - 35)), F.substring(text, F.greatest(F.lit(0), s - 100) + 1, e + 150 - F.greatest(F.lit(0), s - 100))
     q = F.col("quote")
-    rows = rows.where(~prefix.rlike(T.LOOSE + P.BIRTH_PREFIX) & ~q.rlike(T.LOOSE + P.NON_EVENT) & context.rlike(T.LOOSE + P.EVENT_SIGNAL) & (F.regexp_count(q, F.lit(P.DOCUMENTED_DATE)) < 3))
-    bare_year = context.rlike(T.LOOSE + P.YEAR_SIGNAL) & (F.regexp_count(q, F.lit("[A-Za-z]{3,}")) >= 3) & ~q.rlike(T.LOOSE + P.YEAR_EXCLUDED)
+    rows = rows.where(~prefix.rlike(T.loose(P.BIRTH_PREFIX)) & ~q.rlike(T.loose(P.NON_EVENT)) & context.rlike(T.loose(P.EVENT_SIGNAL)) & (F.regexp_count(q, F.lit(P.DOCUMENTED_DATE)) < 3))
+    bare_year = context.rlike(T.loose(P.YEAR_SIGNAL)) & (F.regexp_count(q, F.lit("[A-Za-z]{3,}")) >= 3) & ~q.rlike(T.loose(P.YEAR_EXCLUDED))
     rows = rows.where((F.col("date.precision") != "year") | bare_year)
     kind = F.lit(P.OTHER_EVENT)
     for name, words in reversed(P.EVENT_TYPES):
