@@ -4,14 +4,17 @@ A line is the set of its words. Words are ordered by rarity; two lines that
 reach the threshold share one of the first n - ceil(t*n) + 1 words of each, so
 only these prefixes are joined. Length filter (sizes within the threshold),
 positional filter (what can still follow the shared word) and a bitmap filter
-(each differing word flips at most one of 64 parity bits) discard most pairs
-before the word sets of the rest are fetched and their Jaccard verified. A line
+(each differing word flips at most one parity bit; long lines have more bits,
+and lines near a border between two widths take part in both joins) discard
+most pairs before the word sets of the rest are fetched and their Jaccard verified. A line
 that matches an earlier one, by document and line number, is removed. Lines
 with equal sets are one line of the join, named by their first occurrence.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -26,8 +29,10 @@ from casegrid.workspace import materialize
 
 #: Exact counts order at most this many frequent words; rarer ones come first, by hash.
 FREQUENT = 1 << 19
-BLOCK_CHARS, BLOCK_ROWS, TILE = 12_000_000, 1024, 1024
+BLOCK_CHARS, BLOCK_ROWS, TILE = 12_000_000, 512, 512
 _TOP = np.uint64(1 << 63)
+#: (kind of row, bitmap words, most distinct words of a line); a pair joins where the longer line belongs.
+WIDTHS = ((1, 1, 60), (4, 2, 125), (5, 8, 1 << 40))
 
 
 def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,26 +63,27 @@ def ordered_sets(line: np.ndarray, hashes: np.ndarray, words: np.ndarray, ranks:
 
 
 def _count_words(batches):
-    """A task's words with the number of lines that hold them, packed by block."""
+    """A task's words with their occurrences, packed by block; any count that all tasks share orders words alike."""
     total: list[tuple[np.ndarray, np.ndarray]] = []
+    held: Counter = Counter()
 
-    def merged():
-        h, n = (np.concatenate(x) for x in zip(*total, strict=True))
-        u, at = np.unique(h, return_inverse=True)
-        return u, np.bincount(at, n).astype(np.int64)
+    def flush():
+        if held:
+            total.append((np.fromiter(map(_words.__getitem__, held), np.uint64, len(held)), np.fromiter(held.values(), np.int64, len(held))))
+            held.clear()
 
     for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            _, _, line, hashes = line_words([(t or "").encode("utf-8", "surrogatepass") for t in batch.slice(low, 1024).column(1).to_pylist()])
-            if len(hashes):
-                order = np.lexsort((hashes, line))
-                line, hashes = line[order], hashes[order]
-                new = np.concatenate(([True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])))
-                total.append(np.unique(hashes[new], return_counts=True))
-        if len(total) > 24:
-            total = [merged()]
+        for low in range(0, batch.num_rows, 256):
+            for t in batch.slice(low, 256).column(1).to_pylist():
+                if t:
+                    held.update(t.encode("utf-8", "surrogatepass").lower().split())
+            if len(held) > 200_000:
+                flush()
+    flush()
     if total:
-        u, n = merged()
+        h, n = (np.concatenate(x) for x in zip(*total, strict=True))
+        u, at = np.unique(h, return_inverse=True)
+        n = np.bincount(at, n).astype(np.int64)
         at = (u >> np.uint64(56)).astype(np.int64)
         yield _rows([(int(at[a]), 0, blob(u[a:b]), blob(n[a:b]), None, None) for a, b in zip(*split_points(at), strict=True)])
 
@@ -123,8 +129,8 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
     def run(batches):
         words, ranks = frequent.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
@@ -137,7 +143,7 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
                     n = last - first
                     one, two = mixed(key), mixed(key ^ np.uint64(0x5851F42D4C957F2D))
                     mark, other = np.add.reduceat(one, first), np.add.reduceat(two, first)
-                    parity = np.bitwise_xor.reduceat(np.uint64(1) << (one & np.uint64(63)), first)
+                    bit = np.uint64(1) << (one & np.uint64(63))
                     # lines by set: the first of equal sets is found in one place
                     at = (mark % np.uint64(blocks)).astype(np.int64)
                     o = np.argsort(at, kind="stable")
@@ -145,21 +151,34 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
                         k = o[a:b]
                         out.append((int(blocks + at[k[0]]), 2, rising(ids[doc[k]]), rising(number[k]), blob(mark[k]), blob(other[k])))
                     # prefix entries: of equal sets in this slice only the first
-                    least = np.lexsort((number, ids[doc], other, mark))
-                    fresh = np.ones(len(least), bool)
-                    fresh[1:] = (mark[least][1:] != mark[least][:-1]) | (other[least][1:] != other[least][:-1])
+                    sets = np.lexsort((number, ids[doc], other, mark))
+                    fresh = np.ones(len(sets), bool)
+                    fresh[1:] = (mark[sets][1:] != mark[sets][:-1]) | (other[sets][1:] != other[sets][:-1])
                     stands = np.zeros(len(n), bool)
-                    stands[least[fresh]] = True
+                    stands[sets[fresh]] = True
                     position = np.arange(len(line)) - first[line]
                     p = prefix_length(n, percent)
-                    e = np.flatnonzero((position < p[line]) & stands[line])
-                    at = (mixed(key[e]) % np.uint64(blocks)).astype(np.int64)
-                    o = np.argsort(at, kind="stable")
-                    e, at = e[o], at[o]
-                    for a, b in zip(*split_points(at), strict=True):
-                        k, of = e[a:b], line[e[a:b]]
-                        more = blob(np.stack([n[of], position[k]]).astype(np.uint32)) + blob(parity[of]) + blob((mark[of] >> np.uint64(32)).astype(np.uint32))
-                        out.append((int(at[a]), 1, rising(ids[doc[of]]), rising(number[of]), blob(key[k]), more))
+                    can = stands & (percent * (n + 1) <= 100 * n)  # smaller sets only match equal ones
+                    least = 0
+                    for tier, (kind, wide, most) in enumerate(WIDTHS):
+                        chosen = can & (n <= most) & (100 * n >= percent * least)
+                        least = most + 1
+                        e = np.flatnonzero((position < p[line]) & chosen[line])
+                        if not len(e):
+                            continue
+                        parity = np.zeros((len(n), wide), np.uint64)
+                        held = np.flatnonzero(chosen[line])  # the words of these lines alone
+                        starts, _ = split_points(line[held])
+                        word = (one[held] >> np.uint64(32)) % np.uint64(wide)
+                        for w in range(wide):
+                            parity[line[held[starts]], w] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), bit[held], np.uint64(0)), starts)
+                        at = (mixed(key[e]) % np.uint64(blocks)).astype(np.int64)
+                        o = np.argsort(at, kind="stable")
+                        e, at = e[o], at[o]
+                        for a, b in zip(*split_points(at), strict=True):
+                            k, of = e[a:b], line[e[a:b]]
+                            more = blob(np.stack([n[of], position[k]]).astype(np.uint32)) + blob((mark[of] >> np.uint64(32)).astype(np.uint32)) + blob(parity[of])
+                            out.append((int(at[a] + ((tier + 1) * blocks + buckets if tier else 0)), kind, rising(ids[doc[of]]), rising(number[of]), blob(key[k]), more))
                 yield _rows(out)
 
     return run
@@ -173,7 +192,9 @@ def _near(n, pos, parity, i: slice, j: slice, percent: int) -> np.ndarray:
     a, b = n[i][:, None], n[j][None, :]
     need = -(-percent * (a + b) // (100 + percent))
     ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(pos[i][:, None], pos[j][None, :]) + np.minimum(a - pos[i][:, None], b - pos[j][None, :]) >= need)
-    return ok & (np.bitwise_count(parity[i][:, None] ^ parity[j][None, :]) <= a + b - 2 * need)
+    x, y = np.nonzero(ok)
+    ok[x, y] = np.bitwise_count(parity[i][x] ^ parity[j][y]).sum(1) <= (a + b - 2 * need)[x, y]
+    return ok
 
 
 def _joined(percent: int):
@@ -203,11 +224,11 @@ def _joined(percent: int):
             sizes = [len(r["data"]) // 8 for r in rows]
             both = [np.frombuffer(r["more"][: 8 * s], np.uint32).reshape(2, s) for r, s in zip(rows, sizes, strict=True)]
             n, pos = np.concatenate(both, axis=1).astype(np.int64)
-            parity = np.concatenate([np.frombuffer(r["more"][8 * s : 16 * s], np.uint64) for r, s in zip(rows, sizes, strict=True)])
-            tag = np.concatenate([np.frombuffer(r["more"][16 * s :], np.uint32) for r, s in zip(rows, sizes, strict=True)])
-            o = np.lexsort((number, ids, tag, parity, n, data))
+            tag = np.concatenate([np.frombuffer(r["more"][8 * s : 12 * s], np.uint32) for r, s in zip(rows, sizes, strict=True)])
+            parity = np.concatenate([np.frombuffer(r["more"][12 * s :], np.uint64).reshape(s, -1) for r, s in zip(rows, sizes, strict=True)])
+            o = np.lexsort((number, ids, tag, parity[:, 0], n, data))
             ids, number, data, n, pos, parity, tag = (x[o] for x in (ids, number, data, n, pos, parity, tag))
-            new = np.concatenate(([True], (data[1:] != data[:-1]) | (n[1:] != n[:-1]) | (parity[1:] != parity[:-1]) | (tag[1:] != tag[:-1])))
+            new = np.concatenate(([True], (data[1:] != data[:-1]) | (n[1:] != n[:-1]) | (parity[1:] != parity[:-1]).any(1) | (tag[1:] != tag[:-1])))
             ids, number, data, n, pos, parity = (x[new] for x in (ids, number, data, n, pos, parity))
             first, last = split_points(data)
             wide = last - first > 1
@@ -220,7 +241,8 @@ def _joined(percent: int):
                     i, j = starts + x, starts + y
                     need = -(-percent * (n[i] + n[j]) // (100 + percent))
                     ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
-                    ok &= np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need
+                    i, j, need = i[ok], j[ok], need[ok]
+                    ok = np.bitwise_count(parity[i] ^ parity[j]).sum(1) <= n[i] + n[j] - 2 * need
                     left.append(i[ok])
                     right.append(j[ok])
             for f, l in zip(first[~small], last[~small], strict=True):  # long ones in tiles, cut down to a forest
@@ -249,7 +271,7 @@ def _joined(percent: int):
 
 def _fetched(batches):
     """Bucket of texts and wanted lines -> the word sets of those lines."""
-    schema = pa.schema([("id", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("grams", pa.binary()), ("c_id", pa.int64()), ("c_line", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
     for _, table in by_key(batches, "part"):
         texts, back = _bucket(table)
         wanted: dict[int, list] = {}
@@ -259,10 +281,10 @@ def _fetched(batches):
         for i, data in texts:
             if i in wanted:
                 lines = data.lower().split(b"\n")
-                for k, c_id, c_line in wanted[i]:
+                for (k,) in wanted[i]:
                     if k < len(lines):
                         s = np.unique(np.array([_words[w] for w in lines[k].split()], np.uint64))
-                        out.append((i, int(k), len(s), blob(s), int(c_id), int(c_line)))
+                        out.append((i, int(k), len(s), blob(s)))
         for low in range(0, len(out), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[low : low + 4096], strict=True), schema, strict=True)], schema=schema)
 
@@ -291,7 +313,7 @@ def _wanted(buckets: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            data = np.stack([batch.column(c).to_numpy() for c in ("line", "c_id", "c_line")], axis=1)
+            data = batch.column("line").to_numpy()[:, None]
             none = pa.array([None] * len(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket_of(ids, buckets)), pa.array(np.ones(len(ids), np.int32)), pa.array([blob(x) for x in ids[:, None]], pa.binary()), none, pa.array([blob(x) for x in data], pa.binary()), none], schema=_ROWS)
 
@@ -318,11 +340,10 @@ def repeated_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id"
     found = materialize(entries.mapInArrow(_joined(percent), "kind int, a_id bigint, a_line bigint, b_id bigint, b_line bigint"), "joined")
     ref = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_line").alias("line"))
     clusters = components(found.where("kind = 1").select(ref("a").alias("a"), ref("b").alias("b")))
-    lines = clusters.select(F.col("node.id").alias("id"), F.col("node.line").alias("line"), F.col("component.id").alias("c_id"), F.col("component.line").alias("c_line"))
+    lines = clusters.select(F.col("node.id").alias("id"), F.col("node.line").alias("line"))
     fetched = rows.mapInArrow(_texts(parts), _DDL).union(lines.mapInArrow(_wanted(parts), _DDL)).repartition(parts, "part").sortWithinPartitions("part")
-    sets = materialize(fetched.mapInArrow(_fetched, "id bigint, line bigint, n bigint, grams binary, c_id bigint, c_line bigint"), "lines")
-    members = sets.withColumn("cluster", F.struct("c_id", "c_line")).withColumn("item", F.struct("id", "line"))
-    tasks = block_tasks(members, "cluster", "item", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
+    sets = materialize(fetched.mapInArrow(_fetched, "id bigint, line bigint, n bigint, grams binary"), "lines")
+    tasks = block_tasks(clusters, "component", "node", sets.withColumn("item", F.struct("id", "line")), "item", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
     later = tasks.select("task", "side", "id", "line", "n", "grams").mapInArrow(_later(percent), "id bigint, line bigint")
     gone = later.union(found.where("kind = 2").select(F.col("b_id").alias("id"), F.col("b_line").alias("line")))
     by_doc = gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed")).withColumnRenamed("id", "g_id")
