@@ -43,7 +43,7 @@ def full_year(year: Column) -> Column:
     return F.when(y < P.PIVOT_YEAR, y + 2000).when(y < 100, y + 1900).otherwise(y)
 
 
-_FIRST_DATE = loose("|".join((P.DATE_NUMERIC, P.DATE_DAY_FIRST, P.DATE_MONTH_FIRST)))
+_FIRST_DATE = loose("(?=[0-9JFMASOND])(?:" + "|".join((P.DATE_NUMERIC, P.DATE_DAY_FIRST, P.DATE_MONTH_FIRST)) + ")")
 
 
 def first_date_raw(text: Column) -> Column:
