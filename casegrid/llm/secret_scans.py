@@ -37,6 +37,14 @@ ALLOW_FORMS = (
 )
 
 
+SLICE = 128
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, kind: str, good) -> Column:
     """array<struct<start,end,kind>> of the non-overlapping matches that ``good(match)`` keeps; code points.
 
@@ -45,14 +53,20 @@ def _spans(text: Column, pattern: str, kind: str, good) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     both = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
 
     def step(state, x):
         begin = state["at"] + x["gap"]
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    placed = F.aggregate(both, start, step, lambda s: s["out"])
+    def part(matches, state, k):
+        """Offsets of one slice of the matches, so that no long list grows by one at a time."""
+        start = F.struct(state["at"].alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
+        done = F.aggregate(F.slice(matches, k * SLICE + 1, F.lit(SLICE)), start, step)
+        return _bound(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,m:string>>>").alias("out"))
+    placed = _bound(both, lambda m: F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / SLICE).cast("int")), empty, lambda s, k: part(m, s, k), lambda s: s["out"])))
     kept = F.transform(F.filter(placed, lambda x: good(x["m"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     return F.when(text.rlike(pattern), kept).otherwise(none)
@@ -61,24 +75,20 @@ def _spans(text: Column, pattern: str, kind: str, good) -> Column:
 def best_entropy(candidate: Column) -> Column:
     """The greatest Shannon entropy, in bits, of any WINDOW characters of ``candidate``."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)) - 1)
-    size = len(ALPHABET)
+    # each character with the one that leaves the window as it enters
+    moves = _bound(codes, lambda c: F.slice(F.zip_with(c, F.concat(F.array_repeat(F.lit(-1), WINDOW), c), lambda x, y: F.struct(x.alias("came"), y.alias("left"))), 1, F.size(c)))
     gain = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    zero = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("at"),
-    )
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("at"))
 
-    def step(state, code):
-        counts, at = state["counts"], state["at"]
-        out_code = F.when(at >= WINDOW, F.get(codes, at - WINDOW)).otherwise(F.lit(-1))
+    def step(state, move):
+        counts, at, code, out_code = state["counts"], state["at"], move["came"], move["left"]
         same = out_code == code
         came, left = F.get(counts, code), F.when(out_code >= 0, F.get(counts, out_code)).otherwise(F.lit(0))
         s = F.when(same, state["s"]).otherwise(state["s"] + gain(came + 1) - gain(came) - F.when(out_code >= 0, gain(left) - gain(left - 1)).otherwise(F.lit(0.0)))
         new = F.when(same, counts).otherwise(F.transform(counts, lambda c, i: c + (i == code).cast("int") - (i == out_code).cast("int")))
-        h = F.lit(math.log2(WINDOW)) - s / F.lit(float(WINDOW))
-        best = F.when((at >= WINDOW - 1) & (h > state["best"]), h).otherwise(state["best"])
-        return F.struct(new.alias("counts"), s.alias("s"), best.alias("best"), (at + 1).alias("at"))
+        return _bound(s, lambda v: F.struct(new.alias("counts"), v.alias("s"), F.when(at >= WINDOW - 1, F.greatest(state["best"], F.lit(math.log2(WINDOW)) - v / F.lit(float(WINDOW)))).otherwise(state["best"]).alias("best"), (at + 1).alias("at")))
 
-    return F.aggregate(codes, zero, step, lambda s: s["best"])
+    return F.aggregate(moves, zero, step, lambda s: s["best"])
 
 
 def char_class(candidate: Column) -> Column:
