@@ -13,79 +13,107 @@ with equal sets are one line of the join, named by their first occurrence.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
-from casegrid.llm.ngram_jaccard import _words, overlaps
+from casegrid.llm.ngram_jaccard import overlaps
 from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, split_points
 from casegrid.llm.pair_blocks import block_tasks
 from casegrid.llm.suffix_dedup import _DDL, _ROWS, _bucket, _rows, _texts
 from casegrid.llm.text_tables import partitions_for, read_table
+from casegrid.llm.words import word_hashes
 from casegrid.workspace import materialize
 
 #: Exact counts order at most this many frequent words; rarer ones come first, by hash.
 FREQUENT = 1 << 19
 BLOCK_CHARS, BLOCK_ROWS, TILE = 12_000_000, 512, 512
+#: Bytes of text whose words are hashed and sorted at once.
+PIECE = 2_000_000
 _TOP = np.uint64(1 << 63)
 #: (kind of row, bitmap words, most distinct words of a line); a pair joins where the longer line belongs.
 WIDTHS = ((1, 1, 60), (4, 2, 125), (5, 8, 1 << 40))
 
 
-def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document and number of each line, and line and hash of each word, repeats included."""
-    doc, number, sizes, hashes = [], [], [], []
-    for i, text in enumerate(texts):
-        for k, line in enumerate(text.lower().split(b"\n")):
-            if words := line.split():
-                doc.append(i)
-                number.append(k)
-                sizes.append(len(words))
-                hashes.extend(map(_words.__getitem__, words))
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    return np.array(doc, np.int64), np.array(number, np.int64), line, np.array(hashes, np.uint64)
+def slices(batches):
+    """(id, number of the first line here, whether the text ends here, lower-cased text), in lists of bounded size.
+
+    Long texts are cut at line feeds, so that one list holds some lines of one text.
+    """
+    held, size = [], 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                text, at, number = (text or b"").lower(), 0, 0
+                while len(text) - at > PIECE and (cut := text.find(b"\n", at + PIECE)) >= 0:
+                    yield [(i, number, False, text[at:cut])]
+                    number += text.count(b"\n", at, cut) + 1
+                    at = cut + 1
+                held.append((i, number, True, text[at:]))
+                size += len(text) - at
+                if size >= PIECE or len(held) >= 2048:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def line_words(texts: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and number of each line that has words, and line and hash of each word, repeats included.
+
+    The texts are lower-cased; ``first`` is the number of each text's first line.
+    """
+    data = b"\n".join(texts)
+    start, hashes = word_hashes(data)
+    ends = np.searchsorted(start, np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data)))
+    sizes = np.diff(ends, prepend=0)
+    lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), lines)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines - first, lines)
+    used = sizes > 0
+    return of[used], number[used], np.repeat(np.arange(int(used.sum())), sizes[used]), hashes
 
 
 def ordered_sets(line: np.ndarray, hashes: np.ndarray, words: np.ndarray, ranks: np.ndarray):
-    """Each line's distinct words from rare to common: (line, order key), line starts and ends."""
-    key = hashes >> np.uint64(1)
+    """Each line's distinct words from rare to common: (line, place among keys), line starts and ends, and the sorted order keys."""
+    own, at = np.unique(hashes, return_inverse=True)
+    key = own >> np.uint64(1)
     if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        key = np.where(words[at] == hashes, _TOP | ranks[at], key)
-    order = np.lexsort((key, line))
-    line, key = line[order], key[order]
-    new = np.concatenate(([True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])))[: len(line)]
-    line, key = line[new], key[new]
-    return line, key, *split_points(line)
+        near = np.minimum(np.searchsorted(words, own), len(words) - 1)
+        key = np.where(words[near] == own, _TOP | ranks[near], key)
+    order = np.argsort(key)
+    place = np.empty(len(own), np.uint64)
+    place[order] = np.arange(len(own), dtype=np.uint64)
+    both = np.sort(line.astype(np.uint64) << np.uint64(32) | place[at])
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))[: len(both)]]
+    line = (both >> np.uint64(32)).astype(np.int64)
+    return line, (both & np.uint64(0xFFFFFFFF)).astype(np.int64), *split_points(line), key[order]
 
 
-def _count_words(batches):
-    """A task's words with their occurrences, packed by block; any count that all tasks share orders words alike."""
-    total: list[tuple[np.ndarray, np.ndarray]] = []
-    held: Counter = Counter()
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(np.concatenate(words), return_inverse=True)
+    return own, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
-    def flush():
-        if held:
-            total.append((np.fromiter(map(_words.__getitem__, held), np.uint64, len(held)), np.fromiter(held.values(), np.int64, len(held))))
-            held.clear()
 
-    for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            for t in batch.slice(low, 256).column(1).to_pylist():
-                if t:
-                    held.update(t.encode("utf-8", "surrogatepass").lower().split())
-            if len(held) > 200_000:
-                flush()
-    flush()
-    if total:
-        h, n = (np.concatenate(x) for x in zip(*total, strict=True))
-        u, at = np.unique(h, return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-        at = (u >> np.uint64(56)).astype(np.int64)
-        yield _rows([(int(at[a]), 0, blob(u[a:b]), blob(n[a:b]), None, None) for a, b in zip(*split_points(at), strict=True)])
+def _count_words(batches):
+    """A task's words with their occurrences, packed by block; any count that all tasks share orders words alike."""
+    words: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    fresh = 0
+    for part in slices(batches):
+        found = np.unique(word_hashes(b"\n".join(t for *_, t in part))[1], return_counts=True)
+        words.append(found[0])
+        counts.append(found[1])
+        fresh += len(found[0])
+        if fresh > max(1_000_000, len(words[0])):
+            (words[:], counts[:]), fresh = ([x] for x in _summed(words, counts)), 0
+    if words:
+        h, n = _summed(words, counts)
+        at = (h >> np.uint64(56)).astype(np.int64)
+        if len(h):
+            yield _rows([(int(at[a]), 0, blob(h[a:b]), blob(n[a:b]), None, None) for a, b in zip(*split_points(at), strict=True)])
 
 
 def _sum_words(batches):
@@ -93,8 +121,7 @@ def _sum_words(batches):
     for _, table in by_key(batches, "part"):
         words = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("ids").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        u, at = np.unique(words, return_inverse=True)
-        n = np.bincount(at, counts).astype(np.int64)
+        u, n = _summed([words], [counts])
         often = n > 3
         for low in range(0, int(often.sum()), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(u[often][low : low + 100_000].view(np.int64)), pa.array(n[often][low : low + 100_000])], schema=schema)
@@ -128,57 +155,57 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
 
     def run(batches):
         words, ranks = frequent.value
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                lines = np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
-                to = bucket_of(ids, buckets)
-                order = np.argsort(to, kind="stable")
-                out = [(int(2 * blocks + to[order[a]]), 3, rising(ids[order[a:b]]), blob(lines[order[a:b]]), None, None) for a, b in zip(*split_points(to[order]), strict=True)]
-                doc, number, line, hashes = line_words(texts)
-                if len(hashes):
-                    line, key, first, last = ordered_sets(line, hashes, words, ranks)
-                    n = last - first
-                    one, two = mixed(key), mixed(key ^ np.uint64(0x5851F42D4C957F2D))
-                    mark, other = np.add.reduceat(one, first), np.add.reduceat(two, first)
-                    bit = np.uint64(1) << (one & np.uint64(63))
-                    # lines by set: the first of equal sets is found in one place
-                    at = (mark % np.uint64(blocks)).astype(np.int64)
+        for part in slices(batches):
+            ids, first, ended = np.array([i for i, *_ in part], np.int64), np.array([k for _, k, *_ in part], np.int64), np.array([e for *_, e, _ in part], bool)
+            texts = [t for *_, t in part]
+            lines = np.array([k + t.count(b"\n") + 1 if t or k else 0 for _, k, _, t in part], np.int64)
+            to = bucket_of(ids, buckets)
+            order = np.argsort(to, kind="stable")
+            order = order[ended[order]]
+            out = [(int(2 * blocks + to[order[a]]), 3, rising(ids[order[a:b]]), blob(lines[order[a:b]]), None, None) for a, b in zip(*split_points(to[order]), strict=True)]
+            doc, number, line, hashes = line_words(texts, first)
+            if len(hashes):
+                line, place, first, last, keys = ordered_sets(line, hashes, words, ranks)
+                n = last - first
+                one, two = mixed(keys)[place], mixed(keys ^ np.uint64(0x5851F42D4C957F2D))[place]
+                mark, other = np.add.reduceat(one, first), np.add.reduceat(two, first)
+                bit = np.uint64(1) << (one & np.uint64(63))
+                # lines by set: the first of equal sets is found in one place
+                at = (mark % np.uint64(blocks)).astype(np.int64)
+                o = np.argsort(at, kind="stable")
+                for a, b in zip(*split_points(at[o]), strict=True):
+                    k = o[a:b]
+                    out.append((int(blocks + at[k[0]]), 2, rising(ids[doc[k]]), rising(number[k]), blob(mark[k]), blob(other[k])))
+                # prefix entries: of equal sets in this slice only the first
+                sets = np.lexsort((number, ids[doc], other, mark))
+                fresh = np.ones(len(sets), bool)
+                fresh[1:] = (mark[sets][1:] != mark[sets][:-1]) | (other[sets][1:] != other[sets][:-1])
+                stands = np.zeros(len(n), bool)
+                stands[sets[fresh]] = True
+                position = np.arange(len(line)) - first[line]
+                p = prefix_length(n, percent)
+                can = stands & (percent * (n + 1) <= 100 * n)  # smaller sets only match equal ones
+                least = 0
+                for tier, (kind, wide, most) in enumerate(WIDTHS):
+                    chosen = can & (n <= most) & (100 * n >= percent * least)
+                    least = most + 1
+                    e = np.flatnonzero((position < p[line]) & chosen[line])
+                    if not len(e):
+                        continue
+                    parity = np.zeros((len(n), wide), np.uint64)
+                    held = np.flatnonzero(chosen[line])  # the words of these lines alone
+                    starts, _ = split_points(line[held])
+                    word = (one[held] >> np.uint64(32)) % np.uint64(wide)
+                    for w in range(wide):
+                        parity[line[held[starts]], w] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), bit[held], np.uint64(0)), starts)
+                    at = (one[e] % np.uint64(blocks)).astype(np.int64)
                     o = np.argsort(at, kind="stable")
-                    for a, b in zip(*split_points(at[o]), strict=True):
-                        k = o[a:b]
-                        out.append((int(blocks + at[k[0]]), 2, rising(ids[doc[k]]), rising(number[k]), blob(mark[k]), blob(other[k])))
-                    # prefix entries: of equal sets in this slice only the first
-                    sets = np.lexsort((number, ids[doc], other, mark))
-                    fresh = np.ones(len(sets), bool)
-                    fresh[1:] = (mark[sets][1:] != mark[sets][:-1]) | (other[sets][1:] != other[sets][:-1])
-                    stands = np.zeros(len(n), bool)
-                    stands[sets[fresh]] = True
-                    position = np.arange(len(line)) - first[line]
-                    p = prefix_length(n, percent)
-                    can = stands & (percent * (n + 1) <= 100 * n)  # smaller sets only match equal ones
-                    least = 0
-                    for tier, (kind, wide, most) in enumerate(WIDTHS):
-                        chosen = can & (n <= most) & (100 * n >= percent * least)
-                        least = most + 1
-                        e = np.flatnonzero((position < p[line]) & chosen[line])
-                        if not len(e):
-                            continue
-                        parity = np.zeros((len(n), wide), np.uint64)
-                        held = np.flatnonzero(chosen[line])  # the words of these lines alone
-                        starts, _ = split_points(line[held])
-                        word = (one[held] >> np.uint64(32)) % np.uint64(wide)
-                        for w in range(wide):
-                            parity[line[held[starts]], w] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), bit[held], np.uint64(0)), starts)
-                        at = (mixed(key[e]) % np.uint64(blocks)).astype(np.int64)
-                        o = np.argsort(at, kind="stable")
-                        e, at = e[o], at[o]
-                        for a, b in zip(*split_points(at), strict=True):
-                            k, of = e[a:b], line[e[a:b]]
-                            more = blob(np.stack([n[of], position[k]]).astype(np.uint32)) + blob((mark[of] >> np.uint64(32)).astype(np.uint32)) + blob(parity[of])
-                            out.append((int(at[a] + ((tier + 1) * blocks + buckets if tier else 0)), kind, rising(ids[doc[of]]), rising(number[of]), blob(key[k]), more))
+                    e, at = e[o], at[o]
+                    for a, b in zip(*split_points(at), strict=True):
+                        k, of = e[a:b], line[e[a:b]]
+                        more = blob(np.stack([n[of], position[k]]).astype(np.uint32)) + blob((mark[of] >> np.uint64(32)).astype(np.uint32)) + blob(parity[of])
+                        out.append((int(at[a] + ((tier + 1) * blocks + buckets if tier else 0)), kind, rising(ids[doc[of]]), rising(number[of]), blob(keys[place[k]]), more))
+            if out:
                 yield _rows(out)
 
     return run
@@ -272,21 +299,34 @@ def _joined(percent: int):
 def _fetched(batches):
     """Bucket of texts and wanted lines -> the word sets of those lines."""
     schema = pa.schema([("id", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
+    none = np.empty(0, np.uint64)
+
+    def sets(named, lines):
+        of, _, line, hashes = line_words(lines, np.zeros(len(lines), np.int64))
+        _, place, first, last, keys = ordered_sets(line, hashes, none, none)
+        out = [(*named[k], b - a, blob(keys[place[a:b]])) for k, a, b in zip(of, first, last, strict=True)]
+        for low in range(0, len(out), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[low : low + 4096], strict=True), schema, strict=True)], schema=schema)
+
     for _, table in by_key(batches, "part"):
         texts, back = _bucket(table)
         wanted: dict[int, list] = {}
         for r in back:
             wanted.setdefault(int.from_bytes(r["ids"], "little", signed=True), []).append(np.frombuffer(r["data"], np.int64))
-        out = []
+        named, lines, size = [], [], 0
         for i, data in texts:
             if i in wanted:
-                lines = data.lower().split(b"\n")
+                own = data.lower().split(b"\n")
                 for (k,) in wanted[i]:
-                    if k < len(lines):
-                        s = np.unique(np.array([_words[w] for w in lines[k].split()], np.uint64))
-                        out.append((i, int(k), len(s), blob(s)))
-        for low in range(0, len(out), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[low : low + 4096], strict=True), schema, strict=True)], schema=schema)
+                    if k < len(own):
+                        named.append((i, int(k)))
+                        lines.append(own[k])
+                        size += len(own[k])
+                if size >= PIECE:
+                    yield from sets(named, lines)
+                    named, lines, size = [], [], 0
+        if named:
+            yield from sets(named, lines)
 
 
 def _later(percent: int):

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts
+from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts, words
 from tests.llm import brute
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -246,9 +246,19 @@ def test_embedding_dedup(spark, monkeypatch):
 # ---- 9
 
 
+def test_word_hashes():
+    text = b" a\x0bbc " + b"x" * 64 + b" " + b"x" * 65 + b"\r\n12345678 123456789 a\x00 a " + b"y" * 63 + b"\xff"
+    start, hashes = words.word_hashes(text)
+    assert [text[a:].split()[0] for a in start] == text.split()
+    seen = dict(zip(hashes.tolist(), text.split(), strict=True))
+    assert len(seen) == len(set(text.split())) and [seen[h] for h in hashes.tolist()] == text.split()
+    assert [len(x) for x in words.word_hashes(b"")] == [len(x) for x in words.word_hashes(b" \n\t")] == [0, 0]
+
+
 def test_line_dedup(docs, corpus, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 5)
     monkeypatch.setattr(line_dedup, "TILE", 4)
+    monkeypatch.setattr(line_dedup, "PIECE", 300)
     got = rows(line_dedup.repeated_lines(docs))
     assert {i: (r["n_lines"], r["removed"]) for i, r in got.items()} == brute.later_lines(corpus)
     left = rows(line_dedup.drop_repeated_lines(docs))
