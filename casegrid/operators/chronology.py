@@ -41,7 +41,7 @@ def segment_units(chunks: DataFrame) -> DataFrame:
     real = F.transform(starts, lambda x, i: x - i)
     rows = chunks.withColumn("starts", real)
     cut = F.when(F.size("starts") >= 2, F.array_distinct(F.concat(F.array(F.lit(0)), "starts"))).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("cuts", cut).select("*", F.posexplode("cuts").alias("unit", "from"))
+    rows = rows.withColumn("cuts", cut).select("*", F.posexplode_outer("cuts").alias("unit", "from"))  # "outer": a plain one has its array computed again in a filter below
     end = F.coalesce(F.get("cuts", F.col("unit") + 1), F.length("text"))
     many = F.size("cuts") > 1
     out = rows.withColumn("to", end).withColumn("piece", F.substring(F.col("text"), F.col("from") + 1, F.col("to") - F.col("from"))).where(F.length(F.trim("piece")) > 0)
@@ -73,7 +73,7 @@ def dated_mentions(chunks: DataFrame) -> DataFrame:
     ``chunks``: run_id, chunk_id, author, text. Sentences end at `. ` or `; `.
     """
     rows = chunks.select("run_id", "chunk_id", "author", T.strip_html(F.col("text")).alias("text")).where(F.col("text").rlike(P.DOCUMENTED_DATE))
-    rows = rows.withColumn("dates", match_spans(F.col("text"), P.DOCUMENTED_DATE)).select("*", F.explode("dates").alias("d")).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
+    rows = rows.withColumn("dates", match_spans(F.col("text"), P.DOCUMENTED_DATE)).select("*", F.explode_outer("dates").alias("d")).where(F.col("d").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
     text, s, e = F.col("text"), F.col("s"), F.col("e")
     mention = F.substring(text, s + 1, e - s)
     before, after = F.regexp_extract(F.substring(text, F.lit(1), s), r"(?s)^(.*)[.;] ", 0), F.regexp_extract(F.expr("substring(text, e + 1)"), r"(?s)^.*?[.;] ", 0)
