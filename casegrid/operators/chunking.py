@@ -41,7 +41,8 @@ def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         return F.when(far, F.array(b)).when(near, F.concat(kept, F.array(b))).when(swap, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(b))).otherwise(kept)
 
     kept = bounds.withColumn("kept", F.aggregate("bounds", F.array().cast("array<int>"), fold))
-    rows = kept.select(key, "text", "kept", F.posexplode("kept").alias("section_no", "b"))
+    # "outer": a plain explode has its array computed again, in full, in a filter below
+    rows = kept.select(key, "text", "kept", F.posexplode_outer("kept").alias("section_no", "b"))
     end = F.coalesce(F.get("kept", F.col("section_no") + 1), F.length("text"))
     raw = rows.withColumn("raw", F.substring(F.col("text"), F.col("b") + 1, end - F.col("b")))
     body = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
