@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts, words
+from casegrid.llm.packed import forest
 from tests.llm import brute
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -243,6 +245,38 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_dedup_finds_pairs_among_many_that_resemble_each_other(spark, monkeypatch):
+    """Two thirds of the vectors have mutual cosine 0.8, so that far more than a window of them share a key's first bits."""
+    monkeypatch.setattr(embedding_dedup, "DENSE_ROWS", 300)
+    monkeypatch.setattr(embedding_dedup, "TILE", 70)
+    rng, d = np.random.default_rng(5), 64
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(np.sqrt(0.8) * unit(rng.standard_normal(d)) + np.sqrt(0.2) * unit(rng.standard_normal((2000, d))))
+    cold, near, away = unit(rng.standard_normal((800, d))), hot[:200], unit(rng.standard_normal((200, d)))
+    away = unit(away - np.sum(away * near, axis=1, keepdims=True) * near)
+    x = np.concatenate((hot, cold, 0.905 * near + np.sqrt(1 - 0.905**2) * away))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    assert (np.sum(x[:200] * x[2800:], axis=1) > 0.9).all()
+    got = rows(embedding_dedup.near_duplicates(table, window=8), "vec_id")
+    assert np.mean([got[i]["component_id"] == got[2800 + i]["component_id"] for i in range(200)]) >= 0.95
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert len(a) >= 200 and np.mean([got[i]["component_id"] == got[j]["component_id"] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.95
+
+
+def test_embedding_dedup_cells(spark):
+    """All pairs of a cell are compared, in the sorted order and in blocks, and none is lost between slices."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 8)) * 0.5 + rng.standard_normal(8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = [v.tobytes() for v in x]
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if x[i] @ x[j] >= 0.8}
+    batch = pa.RecordBatch.from_pydict({"cell": np.zeros(40, np.int64), "key": np.arange(40), "id": np.arange(40), "unit": units})
+    tasks = pa.RecordBatch.from_pydict({"task": np.zeros(40, np.int64), "side": np.full(40, 2, np.int32), "id": np.arange(40), "unit": units})
+    root = lambda pairs: forest(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), 40).tolist()
+    for out in (embedding_dedup._windows(0.8, 2, 40)([batch.slice(0, 25), batch.slice(25)]), embedding_dedup._blocks(0.8)([tasks])):
+        assert root([(a, b) for t in out for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)]) == root(sorted(want))
+
+
 # ---- 9
 
 
