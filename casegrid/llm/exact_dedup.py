@@ -20,14 +20,16 @@ from casegrid.llm.text_tables import SPACES, read_table, text_or_empty
 from casegrid.workspace import materialize
 
 KEY = ["digest", "norm_len", "check"]
+#: A row's own key, where rows that share an id are told apart.
+ROW = "__exact_row"
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row per document: id, full key of the normalised text, length of the original."""
+def digests(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per document: id, full key of the normalised text, length of the original, and the columns ``carry``."""
     text = text_or_empty(text_col)
     norm = F.translate(text, SPACES, "")
-    return docs.select(F.col(id_col).alias("id"), F.length(text).cast("bigint").alias("chars"), norm.alias("norm")).select(
-        "id", "chars", F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").cast("bigint").alias("norm_len"), F.xxhash64("norm").alias("check")
+    return docs.select(F.col(id_col).alias("id"), *carry, F.length(text).cast("bigint").alias("chars"), norm.alias("norm")).select(
+        "id", *carry, "chars", F.unhex(F.sha2("norm", 256)).alias("digest"), F.length("norm").cast("bigint").alias("norm_len"), F.xxhash64("norm").alias("check")
     )
 
 
@@ -36,11 +38,13 @@ def _local_runs(batches):
     import pyarrow.compute as pc
 
     def run(held):
-        table = pa.Table.from_batches(held).sort_by([("digest", "ascending"), ("norm_len", "ascending"), ("check", "ascending"), ("chars", "descending"), ("id", "ascending")])
-        out = table.group_by([*KEY, "run"], use_threads=False).aggregate([("chars", "first"), ("id", "first"), ("n", "sum")])
-        return out.select([*KEY, "run", "chars_first", "id_first", "n_sum"]).rename_columns([*KEY, "run", "chars", "id", "n"])
+        rows = [c for c in held[0].schema.names if c == ROW]
+        table = pa.Table.from_batches(held).sort_by([("digest", "ascending"), ("norm_len", "ascending"), ("check", "ascending"), ("chars", "descending"), ("id", "ascending"), *[(c, "ascending") for c in rows]])
+        firsts = ["chars", "id", *rows]
+        null_counts = pc.ScalarAggregateOptions(skip_nulls=False)  # a null id stands after the others, but isn't passed over
+        out = table.group_by([*KEY, "run"], use_threads=False).aggregate([*[(c, "first", null_counts) for c in firsts], ("n", "sum")])
+        return out.select([*KEY, "run", *[f"{c}_first" for c in firsts], "n_sum"]).rename_columns([*KEY, "run", *firsts, "n"])
 
-    assert pc
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
@@ -54,33 +58,42 @@ def _local_runs(batches):
 
 def merge_runs(rows: DataFrame, fan_in: int, runs: int) -> DataFrame:
     """Merge ``runs`` sorted runs in rounds of ``fan_in`` until one run, cut by digest range, remains."""
-    best = F.max(F.struct(F.col("chars"), (-F.col("id")).alias("id"))).alias("best")
+    own = [c for c in rows.columns if c == ROW]
+    best = F.max(F.struct("chars", *[(-F.col(c)).alias(c) for c in ["id", *own]])).alias("best")
     while True:
         rows = rows.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        rows = rows.groupBy("run", *KEY).agg(best, F.sum("n").alias("n")).select("run", *KEY, F.col("best.chars").alias("chars"), (-F.col("best.id")).alias("id"), "n")
+        rows = rows.groupBy("run", *KEY).agg(best, F.sum("n").alias("n")).select("run", *KEY, F.col("best.chars").alias("chars"), *[(-F.col(f"best.{c}")).alias(c) for c in ["id", *own]], "n")
         runs = -(-runs // fan_in)
         if runs <= 1:
             return rows.drop("run")
 
 
+def _groups(narrow: DataFrame, fan_in: int) -> DataFrame:
+    """The groups of more than one row: w_ columns of the key, keep_id, group_size, and the winner's keep_row if rows have keys."""
+    own = [c for c in narrow.columns if c == ROW]
+    rows = narrow.select(*KEY, F.spark_partition_id().alias("run"), "chars", F.col("id").cast("bigint").alias("id"), *own, F.lit(1).cast("bigint").alias("n"))
+    local = rows.mapInArrow(_local_runs, "digest binary, norm_len bigint, check bigint, run int, chars bigint, id bigint, " + "".join(f"{c} bigint, " for c in own) + "n bigint")
+    winners = merge_runs(local, fan_in, max(1, narrow.rdd.getNumPartitions()))
+    return winners.where("n > 1").select(*[F.col(k).alias(f"w_{k}") for k in KEY], F.col("id").alias("keep_id"), *[F.col(c).alias("keep_row") for c in own], F.col("n").alias("group_size"))
+
+
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting `[\\x20\\x09-\\x0D]`; the row
     with the most code points in the original, then the smallest id, stays.
     Null counts as empty, so all null and blank texts form one group. Rows that
-    repeat an id count separately; only the first in this order is kept by id.
+    repeat an id count separately and are all marked if their id stays; a null
+    id comes after the others. As in the SQL, ``kept`` is null where the id or
+    keep_id is; ``drop_exact_duplicates`` decides row by row instead.
     Extra columns are not read. An empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     narrow = materialize(digests(docs, id_col, text_col), "digests")
-    rows = narrow.select(*KEY, F.spark_partition_id().alias("run"), "chars", F.col("id").cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"))
-    local = rows.mapInArrow(_local_runs, "digest binary, norm_len bigint, check bigint, run int, chars bigint, id bigint, n bigint")
-    winners = merge_runs(local, fan_in, max(1, narrow.rdd.getNumPartitions()))
-    groups = winners.where("n > 1").select(*[F.col(k).alias(f"w_{k}") for k in KEY], F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    groups = _groups(narrow, fan_in)
     same = [narrow[k] == groups[f"w_{k}"] for k in KEY]
     joined = narrow.join(groups, same, "left")
-    keep = F.coalesce(F.col("keep_id"), F.col("id"))
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").cast(id_type).alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         (F.col("id") == keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -88,9 +101,15 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that an equal text replaces; columns unchanged."""
-    kept = exact_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col(id_col).alias("__kept_id"))
-    return docs.join(kept.distinct(), docs[id_col] == kept["__kept_id"], "left_semi")
+    """``docs`` without the rows that an equal text replaces; columns unchanged.
+
+    Exactly one row of a group stays, whether ids are repeated or null.
+    """
+    keyed = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    narrow = materialize(digests(keyed, id_col, text_col, (ROW,)), "digests")
+    groups = _groups(narrow, 16)
+    gone = narrow.join(groups, [narrow[k] == groups[f"w_{k}"] for k in KEY]).where(F.col(ROW) != F.col("keep_row")).select(F.col(ROW).alias("__gone"))
+    return keyed.join(gone, keyed[ROW] == gone["__gone"], "left_anti").drop(ROW)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

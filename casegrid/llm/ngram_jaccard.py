@@ -272,10 +272,18 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 
 
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; columns unchanged."""
-    found = jaccard_components(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with one row of each component, that of the smallest id (null last); columns unchanged.
+
+    Rows are compared one by one, so those that share an id or have none are
+    documents of their own.
+    """
+    keyed = materialize(docs.withColumn("__near_row", F.monotonically_increasing_id()), "keyed")
+    found = jaccard_components(keyed, words=words, percent=percent, id_col="__near_row", text_col=text_col).select(F.col("__near_row").alias("row"), F.col("component_id").alias("component"))
+    shared = found.join(found.where("row <> component").select(F.col("component").alias("s")).distinct(), F.col("component") == F.col("s")).select("row", "component")
+    named = materialize(shared.join(keyed.select(F.col("__near_row").alias("k"), F.col(id_col).alias("id")), F.col("row") == F.col("k")).select("row", "component", "id"), "shared")
+    first = named.groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("component").alias("c"), "first")
+    gone = named.join(first, F.col("component") == F.col("c")).where("row <> first").select(F.col("row").alias("__gone"))
+    return keyed.join(gone, keyed["__near_row"] == gone["__gone"], "left_anti").drop("__near_row")
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -77,18 +77,22 @@ def fill(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
     return taken
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 20) -> DataFrame:
-    """One row per row of ``docs``: id_col, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 20, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id_col, size, source_size, target, taken (and row_col).
 
     Size is the number of words (null: 0). Sources in code point order, null
     last, get ``weights`` in turn; ``taken`` is size times the copies the mix
     takes, between 0 and ``most`` copies. Sizes of 0 take nothing. Equal rows
     are told apart only by their id and text; rows equal in both are taken
-    together. Results depend on the data and the seed alone. Columns other than
+    together, unless ``row_col`` names a column of row keys: then the text, then
+    the key decides among rows of one id, and rows without an id are dealt by
+    their text. Results depend on the data and the seed alone. Columns other than
     the three named are not read. An empty table gives an empty result.
     """
+    own = [] if row_col is None else [F.col(row_col).alias("row"), F.xxhash64(text_col).alias("tie")]
+    dealt = F.xxhash64(F.lit(seed), "id") if row_col is None else F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), "tie")).otherwise(F.xxhash64(F.lit(seed), "id"))
     narrow = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")).withColumn("order", F.xxhash64(F.lit(seed), "id")),
+        docs.select(*own, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")).withColumn("order", dealt),
         "sizes",
     )
     lengths = narrow.groupBy("source", "size").agg(F.count("*").alias("docs"))
@@ -114,10 +118,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     with_goal = lengths.join(goals, lengths["source"].eqNullSafe(goals["source"])).select(lengths["source"], "size", "docs", "source_size", "target")
     quotas = materialize(with_goal.groupBy("source").applyInPandas(filled, f"source {source_type}, size bigint, source_size bigint, target double, docs bigint, copies int, more bigint"), "quotas")
-    return _select(narrow, quotas, id_col)
+    return _select(narrow, quotas, id_col, row_col)
 
 
-def _select(narrow: DataFrame, quotas: DataFrame, id_col: str) -> DataFrame:
+def _select(narrow: DataFrame, quotas: DataFrame, id_col: str, row_col: str | None) -> DataFrame:
     """Give ``more`` documents of each (source, size), first in hash order, one copy more.
 
     A count of many documents is cut into slices of the hash order; slices
@@ -132,11 +136,11 @@ def _select(narrow: DataFrame, quotas: DataFrame, id_col: str) -> DataFrame:
     full = rows.where("more > 0").groupBy("source", "size", "slice", "more").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     quota = full.withColumn("here", F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - before))).select(F.col("source").alias("h_source"), F.col("size").alias("h_size"), F.col("slice").alias("h_slice"), "here")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("order", "id")))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("order", "id", *["tie", "row"] * (row_col is not None))))
     same = ranked["source"].eqNullSafe(quota["h_source"]) & (ranked["size"] == quota["h_size"]) & (ranked["slice"] == quota["h_slice"])
     out = ranked.join(quota, same, "left")
     extra = (F.col("rank") <= F.coalesce("here", F.lit(0))).cast("bigint")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).cast("bigint").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).cast("bigint").alias("taken"), *([] if row_col is None else [F.col("row").alias(row_col)]))
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -32,10 +32,11 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; documents that it leaves out go."""
-    mix = source_mix.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__copies")).dropDuplicates(["__id"])
-    repeated = docs.join(mix, F.col("doc_id") == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every row as often as the mix takes it; rows that it leaves out go."""
+    docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    mix = source_mix.mix_sources(docs, row_col="__row").where("taken > 0").select(F.col("__row").alias("__taken_row"), (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    repeated = docs.join(mix, F.col("__row") == F.col("__taken_row")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__row"])
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
