@@ -33,19 +33,28 @@ def client_names(names: Column) -> Column:
     return F.slice(F.aggregate(bare, F.array().cast("array<string>"), lambda a, n: F.when(F.exists(a, lambda y: y.contains(n)), a).otherwise(F.concat(a, F.array(n)))), 1, 2)
 
 
+def case_names(chunks: DataFrame) -> DataFrame:
+    """(run_id, names): what ``client_names`` makes of all of a case's names, by two aggregates: the first in order, then the first that it doesn't contain."""
+    trimmed = chunks.select("run_id", F.trim("patient_name").alias("n")).where(F.length("n") > 2).distinct()
+    titled = trimmed.select("run_id", T.title_case(F.col("n")).alias("n")).where(~F.lower("n").rlike(P.IGNORED_NAMES))
+    order = F.struct((-F.length("n")).alias("l"), "n")  # before the honorific is off
+    bare = titled.select("run_id", order.alias("o"), F.trim(F.regexp_replace("n", r"(?i)^(mr|mrs|ms|dr|prof)\.?\s+", "")).alias("bare")).where("bare <> ''")
+    first = bare.groupBy("run_id").agg(F.min_by("bare", "o").alias("first"))
+    second = bare.join(first, "run_id").where(~F.contains("first", "bare")).groupBy("run_id").agg(F.min_by("bare", "o").alias("second"))
+    return first.join(second, "run_id", "left").select("run_id", F.array_compact(F.array("first", "second")).alias("names"))
+
+
 def case_metadata(chunks: DataFrame) -> DataFrame:
     """AGG8: per case names, dob and injuries, over distinct values only.
 
-    Ties that a set would leave open go to the smaller text. The distinct names,
-    dates and phrases of a case are gathered before they are folded; the texts
-    themselves never are.
+    Ties that a set would leave open go to the smaller text. Names are cleaned
+    row by row and the two results found by aggregates, so no list of a case's
+    names is gathered; the texts themselves never are.
     """
     raw = F.replace(T.found(F.col("text"), "(?i)" + P.DOB, 1), F.lit("."), F.lit("/"))
     dobs = chunks.select("run_id", raw.alias("raw")).where("raw is not null").distinct().withColumn("iso", T.timeline_date(F.col("raw")))
     by_dob = dobs.groupBy("run_id").agg(F.max_by("raw", F.when(F.col("iso").isNotNull(), F.struct(F.length("raw"), "raw"))).alias("dob"), F.array_sort(F.collect_set(F.when(F.col("iso").isNull(), F.col("raw")))).alias("dob_unparsed"))
-    names = chunks.where("patient_name is not null").select("run_id", "patient_name").distinct()
-    longest = names.withColumn("r", F.row_number().over(W.partitionBy("run_id").orderBy(F.desc(F.length("patient_name")), "patient_name"))).where("r <= 1000")
-    by_name = longest.groupBy("run_id").agg(client_names(F.array_sort(F.collect_set("patient_name"))).alias("names"))
+    by_name = case_names(chunks)
     return chunks.select("run_id").distinct().join(by_name, "run_id", "left").join(by_dob, "run_id", "left").select("run_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("dob", F.lit("Not present in source")).alias("dob"), F.coalesce("dob_unparsed", F.array().cast("array<string>")).alias("dob_unparsed"))
 
 

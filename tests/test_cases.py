@@ -112,3 +112,13 @@ def test_timeline_needs_every_end_page(spark):
     r = casefile.timeline_groups(t).first()
     assert (r["page_range"], r["page_provenance"]) == ("Starts on page 2; end page not present in source metadata", "Incomplete original-PDF page provenance")
     assert datetime.date(2020, 2, 1)
+
+
+def test_case_names_beyond_a_thousand_rejected_ones(spark):
+    junk = [("r", f"{i} Long High Street Of A Distant Town {i}") for i in range(1200)]
+    few = ["mr john smith", "John Smith", "12 High Street", "Al", "jane roe", "Dr Jane Roe", "smith", None]
+    rows = junk + [("r", n) for n in few] + [("s", n) for n in few] + [("t", "12 High Street"), ("t", None)]
+    chunks = spark.createDataFrame([(r, n, "text") for r, n in rows], "run_id string, patient_name string, text string")
+    got = {r["run_id"]: r["names"] for r in casefile.case_metadata(chunks).collect()}
+    whole = chunks.where("patient_name is not null").groupBy("run_id").agg(casefile.client_names(F.array_sort(F.collect_set("patient_name"))).alias("n"))
+    assert got == {r["run_id"]: r["n"] for r in whole.collect()} and got["r"] == ["John Smith", "Jane Roe"] and got["t"] == []
