@@ -332,7 +332,7 @@ def primary_floor(spark, sf_dir):
 def mmr(spark, sf_dir):
     """Every 50th vector's 60 nearest documents, ten chosen."""
     found = retrieval.vector_search(A.queries(spark, sf_dir), A.points(spark, sf_dir).select(F.col("vec_id").alias("item_id"), "vector"), 60)
-    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 800).alias("text"))
+    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     return retrieval.mmr(found.join(texts, "item_id").select("query_id", F.col("rank").cast("bigint").alias("ord"), "score", "text"), 10)
 
 

@@ -245,10 +245,9 @@ def strip_html(spark, sf_dir):
 
 @query("GEN1_split_sections", f"WITH {RECORDS} SELECT record_id, 0 AS section_no, 0 AS section_start, length(text) AS section_end FROM letters")
 def split_sections(spark, sf_dir):
-    """Letters of one section: all later boundaries are nearer than the least section size or the text is short."""
-    s = chunking.sections(A.records(spark, sf_dir).where(F.length("text") < 100000), "record_id")
-    first = s.groupBy("record_id").agg(F.min("start").alias("section_start"), F.max("end").alias("section_end"))
-    return first.select("record_id", F.lit(0).alias("section_no"), "section_start", "section_end")
+    """Every section of every letter."""
+    s = chunking.sections(A.records(spark, sf_dir), "record_id")
+    return s.select("record_id", "section_no", F.col("start").alias("section_start"), F.col("end").alias("section_end"))
 
 
 @query("GEN2_split_chunks")

@@ -122,3 +122,14 @@ def test_case_names_beyond_a_thousand_rejected_ones(spark):
     got = {r["run_id"]: r["names"] for r in casefile.case_metadata(chunks).collect()}
     whole = chunks.where("patient_name is not null").groupBy("run_id").agg(casefile.client_names(F.array_sort(F.collect_set("patient_name"))).alias("n"))
     assert got == {r["run_id"]: r["n"] for r in whole.collect()} and got["r"] == ["John Smith", "Jane Roe"] and got["t"] == []
+
+
+def test_mmr_query_reads_whole_texts(spark, tmp_path):
+    from casegrid.plans import case_queries
+
+    same, tails = "word " * 200, ["alpha " + " ".join(f"x{i}" for i in range(300))] * 2 + [" ".join(f"y{i}" for i in range(300))]
+    vectors = [[1.0, 0.0], [0.9, float(np.sqrt(1 - 0.81))], [0.8, 0.6]]
+    spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, same + t) for i, t in enumerate(tails)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["ord"] for r in case_queries.mmr(spark, str(tmp_path)).where("query_id = 0").orderBy("mmr_rank").collect()]
+    assert got == [1, 3, 2]  # 2 repeats 1; 3 differs only after the first 800 characters

@@ -34,3 +34,31 @@ def test_sections_and_page_edges(spark):
     first = chunking.chunk_documents(docs).orderBy("chunk_index").first()
     assert (first["source_char_start"], first["page_start"]) == (50, 2)
     assert chunking.chunk_documents(docs.limit(0)).count() == 0
+
+
+def test_split_sections_query_returns_every_section_of_long_texts(spark, monkeypatch):
+    import random
+    import re
+
+    from casegrid.functions import patterns as P
+    from casegrid.plans import text_queries
+
+    def brute(text):
+        titles = {m.start() for m in re.finditer(P.REPORT_TITLE, text)}
+        marks = {0} | titles | {m.end() for m in re.finditer(P.SIGNED_LINE, text)} | {m.start() for p in P.SECTION_STARTS for m in re.finditer(p, text)}
+        kept = []
+        for b in sorted(marks):
+            if not kept or b - kept[-1] >= P.LEAST_SECTION:
+                kept.append(b)
+            elif b in titles and kept[-1] not in titles:
+                kept[-1] = b
+        cut = [(n, a, text[a:b]) for n, (a, b) in enumerate(zip(kept, [*kept[1:], len(text)], strict=True))]
+        return [(n, a + len(t) - len(t.lstrip()), a + len(t.rstrip())) for n, a, t in cut if t.strip()]
+
+    rng = random.Random(2)
+    lines = ["Dear Dr A", "CT OF SPINE", "Electronically signed by B", "Re: a claim", "ELECTRONIC TRANSMISSION", "plain words " * 9, "more words " * 25, ""]
+    texts = {i: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 40))) for i in range(30)} | {99: "Dear Dr A\n" + "long " * 21000 + "\nCT OF SPINE\n" + "found " * 60}
+    table = spark.createDataFrame(list(texts.items()), "record_id bigint, text string")
+    monkeypatch.setattr(text_queries.A, "records", lambda spark, sf_dir: table)
+    got = sorted(tuple(r[c] for c in ("record_id", "section_no", "section_start", "section_end")) for r in text_queries.split_sections(spark, "").collect())
+    assert got == sorted((i, *s) for i, t in texts.items() for s in brute(t)) and len([g for g in got if g[0] == 99]) == 2
