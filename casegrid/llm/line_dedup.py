@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
-from casegrid.llm.ngram_jaccard import overlaps
 from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, split_points
-from casegrid.llm.pair_blocks import block_tasks
+from casegrid.llm.pair_blocks import block_tasks, overlaps
 from casegrid.llm.suffix_dedup import _DDL, _ROWS, _bucket, _rows, _texts
 from casegrid.llm.text_tables import partitions_for, read_table
 from casegrid.llm.words import word_hashes

@@ -6,237 +6,392 @@ n-grams occur and sends every document those of its n-grams that another
 document has too. With all its n-grams ordered from rare to common, a document
 can only reach the threshold with another one if they share one of its first
 n - ceil(t*n) + 1 (a size-derived bound); documents whose own n-grams alone
-fill that prefix drop out. The prefixes of the rest split them into clusters
-outside of which no pair can link, and each cluster is a matrix product in
-blocks of rows: overlaps are summed up column by column, pairs below the
-bound for their sizes are discarded, and the links that remain are united.
-Documents with equal n-gram sets are one row of the matrix.
+fill that prefix drop out. Documents with equal n-gram sets are one row.
+
+What links the rest is the product of one row with blocks of the rows that share
+a prefix column with it: overlaps are summed up over the row's columns, and
+pairs are discarded below the bounds for their sizes, for the places of the
+shared column and for a parity bitmap before, and below the threshold after.
+A column of few rows gives its pairs at once. A column of many rows is first
+compared with its least row only, and then only rows that this has not united
+yet are compared with each other, in blocks; so a group of near copies of any
+size costs about as many products as it has rows, and a chain as many as links.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
-from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, short, split_points, unshort
-from casegrid.llm.pair_blocks import block_tasks
+from casegrid.llm.packed import blob, bucket_of, by_key, mixed, risen, rising, short, split_points, unshort
 from casegrid.llm.text_tables import partitions_for, read_table
+from casegrid.llm.words import text_words
 from casegrid.workspace import materialize
 
-BLOCK_ROWS = 1024
 #: Characters of text that one block of columns stands for, on average.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
+#: Bytes of text whose n-grams are held at once, if a single text isn't longer.
+SLICE = 4_000_000
+#: A column of at most FEW rows gives all its pairs; rows of a longer one are compared in blocks of BLOCK_ROWS.
+FEW, BLOCK_ROWS = 24, 2048
+#: N-grams of the rows that one row is multiplied with in one task.
+CHUNK = 1_000_000
+#: 64-bit words of a parity bitmap; it says nothing about sets much larger than its bits.
+PARITY = 8
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and 64-bit hash of every distinct k-word sequence, by text and hash; a shorter text is one sequence."""
+    owner, w = text_words(texts)
+    n = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(n) - n
+    sizes = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    whole = max(0, len(w) - k + 1)
+    h = w[:whole].copy()
+    for j in range(1, k):
+        h = mixed(h * _FOLD + w[j : j + whole])
+    inside = owner[:whole] == owner[len(w) - whole :]
+    full = np.repeat(n >= k, sizes)
+    out = np.empty(int(sizes.sum()), np.uint64)
+    out[full] = mixed(h[inside] + np.uint64(k))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    for m in range(1, k):
+        texts_m = np.flatnonzero(n == m)
+        x = w[first[texts_m]]
+        for j in range(1, m):
+            x = mixed(x * _FOLD + w[first[texts_m] + j])
+        out[np.searchsorted(of, texts_m)] = mixed(x + np.uint64(m))
+    at = np.cumsum(sizes)
+    for a, b in zip((at - sizes).tolist(), at.tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (of[1:] != of[:-1])
+    return of[new], out[new]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = h
-        return h
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """ceil(percent/100 * n): what a set of n shares at least with any set it links to."""
+    return -(-percent * n // 100)
 
 
-_words = _Words()
+_ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("data", pa.binary()), ("more", pa.binary())])
+_DDL = "part int, kind int, ids binary, counts binary, data binary, more binary"
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's k-word sequences; a shorter text is one sequence."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(k, len(w))
-    with np.errstate(over="ignore"):
-        h = w[: len(w) - k + 1].copy()
-        for j in range(1, k):
-            h = mixed(h * _FOLD + w[j : len(w) - k + 1 + j])
-        return np.unique(mixed(h + np.uint64(k)))
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
 
-def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
-    """ceil(percent/100 * n): what a set of n shares at least with any set it links to."""
-    return -(-percent * n // 100)
+def _text_slices(batches):
+    """(row, id, lower-cased text) in lists of about SLICE bytes."""
+    held, size = [], 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            for row, i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
+                held.append((row, i, (text or b"").lower()))
+                size += len(held[-1][2])
+                if size >= SLICE or len(held) >= 4096:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
 
 
 def _columns(k: int, blocks: int, heads: int):
     """Text rows -> packed rows by block of columns, and a head row for each document."""
 
     def run(batches):
-        shift = np.uint64(64 - max(1, (blocks - 1).bit_length()))
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                sets = [shingles(t, k) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                marks = b"".join(xxhash.xxh3_128_digest(blob(s)) for s in sets)
-                out = [(int(blocks + (ids[0] & 0x7FFFFFFF) % heads), 0, rising(ids), blob(sizes), marks)]
-                if sizes.sum():
-                    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                    at = (every >> shift).astype(np.int64) % blocks
-                    order = np.argsort(at, kind="stable")
-                    every, owner, at = every[order], owner[order], at[order]
-                    for a, b in zip(*split_points(at), strict=True):
-                        s, e = split_points(owner[a:b])
-                        out.append((int(at[a]), 1, rising(ids[owner[a:b][s]]), blob((e - s).astype(np.uint32)), short(every[a:b])))
-                yield _packed_rows(out)
+        for part in _text_slices(batches):
+            keys, ids = np.array([r for r, *_ in part], np.int64), np.array([i for _, i, _ in part], np.int64)
+            owner, every = shingle_sets([t for *_, t in part], k)
+            sizes = np.bincount(owner, minlength=len(keys))
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            marks = np.zeros((len(keys), 2), np.uint64)
+            for c, salt in enumerate((_FOLD, _OTHER)):
+                if len(every):
+                    marks[sizes > 0, c] = np.add.reduceat(mixed(every ^ salt), starts)
+            out = [(int(blocks + (keys[0] & 0x7FFFFFFF) % heads), 0, rising(keys), blob(sizes), blob(marks), rising(ids))]
+            at = ((every >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.uint16 if blocks < 1 << 16 else np.int64)
+            order = np.argsort(at, kind="stable")
+            every, owner, at = every[order], owner[order], at[order]
+            for a, b in zip(*split_points(at), strict=True):
+                s, e = split_points(owner[a:b])
+                out.append((int(at[a]), 1, rising(keys[owner[a:b][s]]), blob((e - s).astype(np.uint32)), short(every[a:b]), None))
+            yield _packed_rows(out)
 
     return run
 
 
-_ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("data", pa.binary()), ("more", pa.binary())])
-_DDL = "part int, kind int, ids binary, counts binary, data binary, more binary"
-
-
-def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*(r if len(r) == 6 else (*r, None) for r in rows), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
-
-
 def _shared(buckets: int):
     """Packed rows of a block of columns -> n-grams that several documents have, back to the documents' buckets."""
 
+    def grouped(ids):
+        """An order by bucket and id, with the bucket of each place."""
+        order = np.argsort(ids)
+        to = bucket_of(ids[order], buckets)
+        again = np.argsort(to.astype(np.uint16) if buckets < 1 << 16 else to, kind="stable")
+        return order[again], to[again]
+
     def run(batches):
         for _, table in by_key(batches, "part"):
             ids, hashes = [], []
             for row in table.to_pylist():
                 if row["kind"] == 0:
-                    own = risen(row["ids"])
+                    own, named = risen(row["ids"]), risen(row["more"])
                     sizes, marks = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["data"], "V16")
-                    to = bucket_of(own, buckets)
-                    order = np.argsort(to, kind="stable")
-                    yield _packed_rows([(int(to[order[a]]), 0, rising(own[order[a:b]]), blob(sizes[order[a:b]]), blob(marks[order[a:b]])) for a, b in zip(*split_points(to[order]), strict=True)])
+                    order, to = grouped(own)
+                    yield _packed_rows([(int(to[a]), 0, rising(own[order[a:b]]), blob(sizes[order[a:b]]), blob(marks[order[a:b]]), rising(named[order[a:b]])) for a, b in zip(*split_points(to), strict=True)])
                 else:
                     ids.append(np.repeat(risen(row["ids"]), np.frombuffer(row["counts"], np.uint32)))
                     hashes.append(unshort(row["data"]))
             if not ids:
                 continue
             ids, hashes = np.concatenate(ids), np.concatenate(hashes)
-            order = np.argsort(hashes, kind="stable")
+            order = np.argsort(hashes)
             ids, hashes = ids[order], hashes[order]
             del order
             starts, ends = split_points(hashes)
             df = np.repeat(ends - starts, ends - starts)
             many = df > 1
-            ids, hashes, df = ids[many], hashes[many], df[many]
-            to = bucket_of(ids, buckets)
-            order = np.lexsort((ids, to))
-            ids, hashes, df, to = ids[order], hashes[order], df[order], to[order]
+            ids, hashes, df = ids[many], hashes[many], np.minimum(df[many], 65535).astype(np.uint16)
+            order, to = grouped(ids)
+            ids, hashes, df = ids[order], hashes[order], df[order]
             for a, b in zip(*split_points(to), strict=True):
                 s, e = split_points(ids[a:b])
-                yield _packed_rows([(int(to[a]), 1, rising(ids[a:b][s]), blob((e - s).astype(np.uint32)), short(hashes[a:b]), blob(np.minimum(df[a:b], 65535).astype(np.uint16)))])
+                yield _packed_rows([(int(to[a]), 1, rising(ids[a:b][s]), blob((e - s).astype(np.uint32)), short(hashes[a:b]), blob(df[a:b]))])
 
     return run
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap for each set in which every element flips one bit: elements in which two sets differ flip at most one bit each."""
+    out = np.zeros((len(sets), PARITY * 64), np.uint8)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (mixed(np.concatenate(sets)) % np.uint64(PARITY * 64)).astype(np.int64)
+    flips = np.bincount(owner * (PARITY * 64) + bit, minlength=out.size)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(out.shape), axis=1).view(np.uint64)
+
+
+_SETS = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("alone", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parity", pa.binary()), ("grams", pa.binary())])
+
+
 def _prefixes(percent: int):
     """A bucket's heads and shared n-grams -> a row for each document, with its prefix and shared n-grams if it can link."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("prefix", pa.list_(pa.int64())), ("grams", pa.binary())])
 
     def run(batches):
         for _, table in by_key(batches, "part"):
-            heads, entries = [], []
+            heads, ids, hashes, df = [], [], [], []
             for row in table.to_pylist():
                 if row["kind"] == 0:
-                    heads.append((risen(row["ids"]), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["data"], "V16")))
+                    heads.append((risen(row["ids"]), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["data"], "V16"), risen(row["more"])))
                 else:
-                    entries.append((np.repeat(risen(row["ids"]), np.frombuffer(row["counts"], np.uint32)), unshort(row["data"]), np.frombuffer(row["more"], np.uint16)))
-            own, sizes, marks = (np.concatenate(x) for x in zip(*heads, strict=True))
-            if entries:
-                ids, hashes, df = (np.concatenate(x) for x in zip(*entries, strict=True))
-                order = np.lexsort((hashes, df, ids))
-                ids, hashes = ids[order], hashes[order]
-                new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))  # an id that several rows carry
-                ids, hashes = ids[new], hashes[new]
+                    ids.append(np.repeat(risen(row["ids"]), np.frombuffer(row["counts"], np.uint32)))
+                    hashes.append(unshort(row["data"]))
+                    df.append(np.frombuffer(row["more"], np.uint16))
+            own, sizes, marks, named = (np.concatenate(x) for x in zip(*heads, strict=True))
+            del heads, table
+            if ids:
+                ids, hashes, df = np.concatenate(ids), np.concatenate(hashes), np.concatenate(df)
+                order = np.argsort(ids)
+                ids, hashes, df = ids[order], hashes[order], df[order]
                 first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
             else:
-                hashes, first = np.empty(0, np.uint64), np.zeros(len(own), np.int64)
-                last = first
+                first = last = np.zeros(len(own), np.int64)
             length = sizes - least_overlap(sizes, percent) + 1
             alone = sizes - (last - first)
             can = (sizes > 0) & (alone < length) & (percent * (sizes + 1) <= 100 * sizes)
-            for low in range(0, len(own), 1024):
-                prefix, grams = [], []
-                for i in range(low, min(low + 1024, len(own))):
+            for low in range(0, len(own), 256):
+                part = range(low, min(low + 256, len(own)))
+                held, prefix = {}, {}
+                for i in part:
                     if can[i]:
-                        held = hashes[first[i] : last[i]]
-                        prefix.append(held[: length[i] - alone[i]].view(np.int64))
-                        grams.append(blob(np.sort(held)))
-                    else:
-                        prefix.append(None)
-                        grams.append(None)
-                high = low + len(prefix)
-                marked = [bytes(m) if n else None for m, n in zip(marks[low:high], sizes[low:high], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own[low:high]), pa.array(sizes[low:high]), pa.array(marked, pa.binary()), pa.array(prefix, schema.field("prefix").type), pa.array(grams, pa.binary())], schema=schema)
+                        h = hashes[first[i] : last[i]]
+                        prefix[i] = h[np.lexsort((h, df[first[i] : last[i]]))][: length[i] - alone[i]].view(np.int64)
+                        held[i] = np.sort(h)
+                bits = dict(zip(held, parity(list(held.values())), strict=True)) if held else {}
+                columns = [own[part.start : part.stop], named[part.start : part.stop], sizes[part.start : part.stop], [bytes(marks[i]) if sizes[i] else None for i in part], alone[part.start : part.stop]]
+                columns += [[prefix.get(i) for i in part], [blob(bits[i]) if i in bits else None for i in part], [blob(held[i]) if i in held else None for i in part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SETS, strict=True)], schema=_SETS)
 
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs: the incidence matrix times its transpose, column by column."""
-    n = len(sets)
-    out = np.zeros((n, n), np.float32)
-    every, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    starts, ends = split_points(every)
-    df = ends - starts
-    common = np.flatnonzero(df >= 24)
-    for low in range(0, len(common), 2048):  # dense columns
-        cols = common[low : low + 2048]
-        dense = np.zeros((n, len(cols)), np.float32)
-        rows = np.concatenate([owner[starts[c] : ends[c]] for c in cols])
-        dense[rows, np.repeat(np.arange(len(cols)), df[cols])] = 1
-        out += dense @ dense.T
-    flat = out.reshape(-1)
-    for d in np.unique(df[(df > 1) & (df < 24)]):  # thin columns: their few pairs, all columns of a count at once
-        rows = owner[starts[df == d][:, None] + np.arange(d)]
-        i, j = np.triu_indices(d, 1)
-        for low in range(0, len(rows), max(1, 2_000_000 // len(i))):
-            part = rows[low : low + max(1, 2_000_000 // len(i))]
-            at, k = np.unique(part[:, i].astype(np.int64) * n + part[:, j], return_counts=True)
-            flat[at] += k
-            flat[at % n * n + at // n] += k
-    return out
-
-
-def _links(percent: int):
-    """A task's documents -> links that unite what the threshold unites; at most as many as documents."""
+def pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 2_000_000):
+    """Positions (i, j), i < j < ends[i], of all pairs that ``starts``..``ends`` name; ``ends`` is given for each position. In pieces."""
+    count = ends - starts - 1
+    total = np.cumsum(count)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        c = count[low:high]
+        i = np.repeat(starts[low:high], c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
+        if len(i):
+            yield i, j
+        low = high
+
+
+def reachable(n: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
+    """For rows sorted by (group, n): the end of the rows behind each one whose size can reach the threshold with it."""
+    _, ends = split_points(group)
+    end = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) if len(ends) else np.empty(0, np.int64)
+    wide = np.int64(int(n.max(initial=0)) + 2)
+    rank = np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))) * wide
+    return np.minimum(end, np.searchsorted(rank + n, rank + np.minimum(100 * n // percent, wide - 1), "right"))
+
+
+def may_link(n_a, n_b, pos_a, pos_b, bits_a, bits_b, percent: int) -> np.ndarray:
+    """Positional and bitmap filter on pairs that share the element at these places."""
+    need = -(-percent * (n_a + n_b) // (100 + percent))
+    ok = np.minimum(pos_a, pos_b) + np.minimum(n_a - pos_a, n_b - pos_b) >= need
+    ok[ok] = np.bitwise_count(bits_a(ok) ^ bits_b(ok)).sum(1) <= (n_a + n_b - 2 * need)[ok]
+    return ok
+
+
+_PAIRS = "a bigint, b bigint, n bigint"
+
+
+def _pairs(percent: int):
+    """Rows sorted by (task, n) -> pairs of one task that may link, of different components and on sides to be compared."""
+
+    def found(table):
+        task, node, n, pos, side, comp = (table.column(c).to_numpy() for c in ("task", "node", "n", "pos", "side", "comp"))
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(node), -1)
+        ends = reachable(n, task, percent)
+        left, right = [], []
+        for i, j in pairs_of_runs(np.arange(len(node)), ends):
+            ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            i, j = i[ok], j[ok]
+            ok = may_link(n[i], n[j], pos[i], pos[j], lambda k, i=i: bits[i[k]], lambda k, j=j: bits[j[k]], percent)
+            left.append(i[ok])
+            right.append(j[ok])
+        if not left:
+            return None
+        i, j = np.concatenate(left), np.concatenate(right)
+        swap = node[i] > node[j]
+        a, b = np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j])
+        once = np.unique(np.stack([a, b, np.where(swap, n[i], n[j])], axis=1), axis=0) if len(a) else np.empty((0, 3), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, c]) for c in range(3)], ["a", "b", "n"])
 
     def run(batches):
-        for _, table in by_key(batches, "task"):
-            if table.num_rows < 2:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ids, n, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))
-            sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-            o = overlaps(sets)
-            union = n[:, None] + n[None, :] - o
-            ok = (100 * o >= percent * union) & ((side[:, None] == 2) | (side[:, None] != side[None, :]))
-            a, b = np.nonzero(np.triu(ok, 1))
-            root = forest(a, b, len(ids))
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            if len(moved):
-                yield pa.RecordBatch.from_pydict({"a": ids[root[moved]].astype(np.int64), "b": ids[moved].astype(np.int64)})
+            task = batch.column("task").to_numpy()
+            if held and rows + batch.num_rows > 50_000:  # a task's rows stay together
+                cut = int(np.searchsorted(task != held[-1].column("task")[-1].as_py(), True)) if task[0] == held[-1].column("task")[-1].as_py() else 0
+                held.append(batch.slice(0, cut))
+                if cut < batch.num_rows:
+                    if (out := found(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held, rows = [], 0
+                    batch = batch.slice(cut)
+                else:
+                    rows += batch.num_rows
+                    continue
+            held.append(batch)
+            rows += batch.num_rows
+        if held and (out := found(pa.Table.from_batches(held))) is not None:
+            yield out
 
     return run
 
 
+def products(one: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of a row with a block of rows, summed up over the row's columns. All sets are sorted."""
+    every = np.concatenate(rows)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    hit = np.concatenate(([0], np.cumsum(one[at] == every)))
+    ends = np.cumsum([len(r) for r in rows])
+    return hit[ends] - hit[np.concatenate(([0], ends[:-1]))]
+
+
+def _verified(percent: int):
+    """Rows sorted by (task, side), a task's single row first -> links of that row with the others."""
+
+    def run(batches):
+        now, ones, block, size = None, [], [], 0
+
+        def flush():
+            out = ([], [])
+            if ones and block:
+                n = np.array([x[1] for x in block])
+                for node, m, one in ones:
+                    o = products(one, [x[2] for x in block])
+                    for k in np.flatnonzero(100 * o >= percent * (m + n - o)):
+                        out[0].append(node)
+                        out[1].append(block[k][0])
+            return pa.RecordBatch.from_pydict({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64)})
+
+        for batch in batches:
+            for task, side, node, n, grams in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "n", "grams")), strict=True):
+                if task != now or size > CHUNK:
+                    yield flush()
+                    block, size = [], 0
+                    if task != now:
+                        now, ones = task, []
+                (ones if side == 0 else block).append((node, n, np.frombuffer(grams, np.uint64)))
+                size += len(grams) // 8
+        yield flush()
+
+    return run
+
+
+def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of those ``pairs`` (a, b, n of b) that reach the threshold; a row with many partners goes to several tasks."""
+    spark = pairs.sparkSession
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
+    chunks = pairs.groupBy("a").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks")).where("chunks > 1").select(F.col("a").alias("c_a"), "chunks")
+    dealt = pairs.join(chunks, F.col("a") == F.col("c_a"), "left").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1)))).alias("task"))
+    items = dealt.select("task", F.lit(0).alias("side"), F.col("a").alias("of")).distinct().union(dealt.select("task", F.lit(1), "b"))
+    sent = items.join(rows.select("node", "n", "grams"), F.col("of") == F.col("node")).select("task", "side", "node", "n", "grams")
+    return sent.repartition(partitions_for(spark, 0, 1) * 2, "task").sortWithinPartitions("task", "side").mapInArrow(_verified(percent), "a bigint, b bigint").where("a <> b")
+
+
 def ngram_sets(docs: DataFrame, *, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, mark, prefix, grams) of every document; ``mark`` is a 128-bit digest of the n-gram set, null if empty."""
+    """(row, id, n, mark, alone, prefix, parity, grams) of every document; ``mark`` is a 128-bit digest of the n-gram set, null if empty."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(8, int(chars // BLOCK_CHARS))
     partitions = partitions_for(spark, blocks, 2)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     columns = rows.mapInArrow(_columns(words, blocks, partitions), _DDL).repartition(partitions, "part").sortWithinPartitions("part")
     back = columns.mapInArrow(_shared(blocks), _DDL).repartition(partitions, "part").sortWithinPartitions("part")
-    return materialize(back.mapInArrow(_prefixes(percent), "id bigint, n bigint, mark binary, prefix array<bigint>, grams binary"), "sets")
+    return materialize(back.mapInArrow(_prefixes(percent), "row bigint, id bigint, n bigint, mark binary, alone bigint, prefix array<bigint>, parity binary, grams binary"), "sets")
+
+
+def _united(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, component) for the rows (node, n, alone, prefix, parity, grams) that link to another one."""
+    spark = rows.sparkSession
+    entries = rows.select("node", "n", "alone", "parity", F.posexplode("prefix").alias("place", "gram"))
+    found = entries.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("docs")).where("docs > 1")
+    grams = materialize(found.select(F.col("gram").alias("g"), F.col("first.node").alias("first"), F.col("first.n").alias("first_n"), "docs"), "grams")
+    known = materialize(entries.join(grams, F.col("gram") == F.col("g")).select("gram", "node", "n", (F.col("alone") + F.col("place")).alias("pos"), "parity", "first", "first_n", "docs"), "postings")
+    parts = partitions_for(spark, 0, 1) * 2
+    few = known.where(F.col("docs") <= FEW).select(F.col("gram").alias("task"), "node", "n", "pos", F.lit(2).alias("side"), F.col("node").alias("comp"), "parity")
+    pairs = few.repartition(parts, "task").sortWithinPartitions("task", "n").mapInArrow(_pairs(percent), _PAIRS)
+    fits = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent
+    pairs = pairs.union(known.where((F.col("docs") > FEW) & (F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b"), "n"))
+    links = materialize(_links(pairs, rows, percent), "verified")
+    if not known.where(F.col("docs") > FEW).head(1):
+        return components(links)
+    # columns of many rows: only what their least rows have not united yet
+    comps = components(links).select(F.col("node").alias("c_node"), "component")
+    told = known.where(F.col("docs") > FEW).join(comps, F.col("node") == F.col("c_node"), "left").select("gram", "node", "n", "pos", "parity", F.coalesce("component", "node").alias("comp"))
+    told = materialize(told, "told")
+    sizes = told.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("least < most").select(F.col("gram").alias("g"), "blocks")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = told.join(sizes, F.col("gram") == F.col("g")).withColumn("own", own).withColumn("other", other)
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    tiles = tiles.select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "n", "pos", side.alias("side"), "comp", "parity")
+    more = tiles.repartition(parts, "task").sortWithinPartitions("task", "n").mapInArrow(_pairs(percent), _PAIRS)
+    return components(links.union(materialize(_links(more, rows, percent), "verified")))
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,30 +400,26 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     Words are runs outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased; two documents
     link when 100 * overlap >= percent * union of their sets of distinct
     ``words``-word shingles; shorter texts are one shingle. Null texts and texts
-    without words have the empty set and link with nothing. ``id_col`` holds
-    integers; rows that repeat an id keep a row each and count as one document
-    for links, with the n-grams of all of them; rows without an id come back
-    with nulls. Columns other than the two named are not read. An empty table
-    gives an empty result.
+    without words have the empty set and link with nothing; very long texts are
+    taken whole. ``id_col`` holds integers; rows that repeat an id are documents
+    of their own, each with the smallest id of its component; rows without an id
+    come back with nulls. Columns other than the two named are not read. An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
     sets = ngram_sets(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
-    classes = sets.where("mark is not null").groupBy("mark").agg(F.min("id").alias("rep"))
-    known = sets.select("id", "n", "mark").join(classes.select(F.col("mark").alias("c_mark"), "rep"), F.col("mark") == F.col("c_mark"), "left").drop("c_mark", "mark")
-    known = materialize(known, "classes")
-    # a class is represented by the row of its least id; equal sets have equal prefixes, so that row is a candidate if any is
-    rows = sets.where("prefix is not null and size(prefix) > 0")
-    named = rows.select("id", "mark", "prefix").join(classes.select(F.col("mark").alias("c_mark"), "rep"), (F.col("mark") == F.col("c_mark")) & (F.col("id") == F.col("rep")))
-    entries = named.select("id", F.explode("prefix").alias("gram"))
-    least = entries.groupBy("gram").agg(F.min("id").alias("a"), F.count("*").alias("docs")).where("docs > 1").select(F.col("gram").alias("l_gram"), "a")
-    clusters = components(entries.join(least, F.col("gram") == F.col("l_gram")).select("a", F.col("id").alias("b")))
-    tasks = block_tasks(clusters, "component", "node", rows.select("id", "n", "grams"), "id", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
-    links = tasks.mapInArrow(_links(percent), "a bigint, b bigint")
-    united = components(links)
-    out = known.join(united, known["rep"] == united["node"], "left")
+    # equal sets are one class, named by its least id; its least row stands for it
+    classes = materialize(sets.where("mark is not null").groupBy("mark").agg(F.min("id").alias("name"), F.min("row").alias("stands")).withColumnRenamed("mark", "c_mark"), "classes")
+    can = sets.where("prefix is not null and size(prefix) > 0")
+    rows = can.join(classes, (F.col("mark") == F.col("c_mark")) & (F.col("row") == F.col("stands"))).select(F.col("row").alias("node"), "n", "alone", "prefix", "parity", "grams")
+    united = _united(materialize(rows, "rows"), percent)
+    named = united.join(classes.select("name", "stands"), F.col("node") == F.col("stands"))
+    least = named.groupBy("component").agg(F.min("name").alias("least")).withColumnRenamed("component", "l_component")
+    linked = named.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("l_node"), "least")
+    classes = materialize(classes.join(linked, F.col("stands") == F.col("l_node"), "left").select("c_mark", F.coalesce("least", "name").alias("name")), "named")
+    known = sets.select("id", "n", "mark").join(classes, F.col("mark") == F.col("c_mark"), "left")
+    out = known.select("id", F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("bigint").alias(c) for c in ("n_shingles", "component_id")])
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")).union(nameless)
-    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
+    return out.union(nameless).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from casegrid.llm.packed import split_points
+
 
 def block_tasks(groups: DataFrame, group: str, item: str, rows: DataFrame, key: str, block_rows: int, partitions: int) -> DataFrame:
     """``rows`` with ``task`` and ``side``, sorted by task within partitions.
@@ -22,3 +25,31 @@ def block_tasks(groups: DataFrame, group: str, item: str, rows: DataFrame, key:
     side = F.when(F.col("__own") == F.col("__other"), 2).when(F.col("__own") < F.col("__other"), 0).otherwise(1)
     out = out.withColumn("task", F.xxhash64("__group", F.least("__own", "__other"), F.greatest("__own", "__other"))).withColumn("side", side.cast("int"))
     return out.select("task", "side", *[rows[c] for c in rows.columns]).repartition(partitions, "task").sortWithinPartitions("task")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all pairs: the incidence matrix times its transpose, column by column."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    starts, ends = split_points(every)
+    df = ends - starts
+    common = np.flatnonzero(df >= 24)
+    for low in range(0, len(common), 2048):  # dense columns
+        cols = common[low : low + 2048]
+        dense = np.zeros((n, len(cols)), np.float32)
+        rows = np.concatenate([owner[starts[c] : ends[c]] for c in cols])
+        dense[rows, np.repeat(np.arange(len(cols)), df[cols])] = 1
+        out += dense @ dense.T
+    flat = out.reshape(-1)
+    for d in np.unique(df[(df > 1) & (df < 24)]):  # thin columns: their few pairs, all columns of a count at once
+        rows = owner[starts[df == d][:, None] + np.arange(d)]
+        i, j = np.triu_indices(d, 1)
+        for low in range(0, len(rows), max(1, 2_000_000 // len(i))):
+            part = rows[low : low + max(1, 2_000_000 // len(i))]
+            at, k = np.unique(part[:, i].astype(np.int64) * n + part[:, j], return_counts=True)
+            flat[at] += k
+            flat[at % n * n + at // n] += k
+    return out

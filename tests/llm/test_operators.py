@@ -141,6 +141,7 @@ def test_targets_and_knapsack():
 @pytest.mark.parametrize("words, percent", [(3, 90), (5, 80), (1, 50)])
 def test_jaccard_components(docs, corpus, words, percent, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ngram_jaccard, "FEW", 3)
     got = rows(ngram_jaccard.jaccard_components(docs, words=words, percent=percent))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.jaccard_components(corpus, words, percent)
 
