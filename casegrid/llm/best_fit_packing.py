@@ -73,11 +73,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, eos: int, capacity: int, id_co
     def cut(batches):
         encoder, end = load_encoder(tokenizer), int(eos).to_bytes(4, "little")
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 rows = []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = (encoder.ids(text) if text else b"") + end
+                for i, ids in zip(part.column(0).to_pylist(), encoder.ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += end
                     n, start, k = len(ids) // 4, 0, 0
                     while start < n:
                         size = (n - 1) % capacity + 1 if not k else capacity

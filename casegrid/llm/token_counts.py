@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from casegrid.llm.text_tables import read_table
 
 _SAFE = re.compile(r" (?=\S)")
-_KEEP_CHARS, _KEEP_WORDS = 48, 400_000
+#: Words of up to so many characters are kept, at most so many of them.
+_KEEP_CHARS, _KEEP_WORDS = 48, 150_000
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -32,36 +34,32 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class WordBytes(dict):
-    """Word (with its leading space) -> token ids as little-endian uint32 bytes; bounded memory."""
+class WordCache:
+    """Word (with its leading space) -> a value of its ids. A batch's new words are encoded at once.
 
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self._encode(word))
-        if len(word) <= _KEEP_CHARS:
-            if len(self) >= _KEEP_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class WordCounts(dict):
-    """Word (with its leading space) -> number of tokens; bounded memory."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
+    Memory is bounded: of the words seen before the last _KEEP_WORDS new ones,
+    those that occurred since are kept.
+    """
 
-    def __missing__(self, word: str) -> int:
-        n = len(self._encode(word))
-        if len(word) <= _KEEP_CHARS:
-            if len(self) >= _KEEP_WORDS:
-                self.clear()
-            self[word] = n
-        return n
+    def __init__(self, encode_batch, value):
+        self._encode_batch, self._value = encode_batch, value
+        self._held: dict[str, object] = {}
+        self._before: dict[str, object] = {}
+
+    def of(self, words: list[str]) -> list:
+        fresh = set(words).difference(self._held)
+        again = fresh.intersection(self._before)
+        new = list(fresh.difference(again))
+        if len(self._held) + len(fresh) > _KEEP_WORDS:
+            self._held, self._before = {w: self._held[w] for w in set(words).intersection(self._held)}, self._held | {w: self._before[w] for w in again}
+        held = self._held
+        held.update((w, self._before[w]) for w in again)
+        held.update(zip(new, map(self._value, self._encode_batch(new)), strict=True))
+        out = [held[w] for w in words]
+        for w in new:
+            if len(w) > _KEEP_CHARS:
+                del held[w]
+        return out
 
 
 class ByteLevelEncoder:
@@ -77,27 +75,44 @@ class ByteLevelEncoder:
         import tiktoken
 
         engine = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._ids, self._counts = WordBytes(engine.encode_ordinary), WordCounts(engine.encode_ordinary)
+        encode = lambda words: map(engine.encode_ordinary, words)
+        self._ids, self._counts = WordCache(encode, lambda ids: array("I", ids).tobytes()), WordCache(encode, len)
         self._specials = specials
         self._cut = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
-    def _words(self, text: str) -> list[str]:
-        first, *rest = _SAFE.split(text)
-        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-
-    def count(self, text: str) -> int:
-        if self._cut is None or not self._cut.search(text):
-            return sum(map(self._counts.__getitem__, self._words(text)))
-        return sum(1 if part in self._specials else sum(map(self._counts.__getitem__, self._words(part))) for part in self._cut.split(text))
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian uint32 bytes."""
-        if self._cut is None or not self._cut.search(text):
-            return b"".join(map(self._ids.__getitem__, self._words(text)))
-        return b"".join(self._specials[part].to_bytes(4, "little") if part in self._specials else b"".join(map(self._ids.__getitem__, self._words(part))) for part in self._cut.split(text))
+    def _batch(self, texts: list[str], cache: WordCache, special) -> list[list]:
+        """The values of each text's words, and ``special(string)`` where a special string stands."""
+        words: list[str] = []
+        plan = []  # for each text: how many words follow, or a special string
+        for text in texts:
+            parts = []
+            for part in self._cut.split(text) if self._cut and self._cut.search(text) else [text]:
+                if part in self._specials:
+                    parts.append(part)
+                    continue
+                first, *rest = _SAFE.split(part)
+                words += [first] if first else []
+                words += map(" ".__add__, rest)
+                parts.append(len(rest) + bool(first))
+            plan.append(parts)
+        values, at, out = cache.of(words), 0, []
+        for parts in plan:
+            own = []
+            for p in parts:
+                if isinstance(p, str):
+                    own.append(special(p))
+                else:
+                    own += values[at : at + p]
+                    at += p
+            out.append(own)
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [self.count(t) for t in texts]
+        return [sum(x) for x in self._batch(texts, self._counts, lambda s: 1)]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes."""
+        return [b"".join(x) for x in self._batch(texts, self._ids, lambda s: self._specials[s].to_bytes(4, "little"))]
 
 
 class LibraryEncoder:
@@ -111,8 +126,8 @@ class LibraryEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self._encode_batch(texts)]
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self._encode_batch([text])[0])
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(i.to_bytes(4, "little") for i in ids) for ids in self._encode_batch(texts)]
 
 
 _loaded: dict[str, object] = {}
@@ -194,7 +209,7 @@ def batched(parts, most: int):
         yield held
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, segment_chars: int = 1 << 18, batch_bytes: int = 1 << 22) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, segment_chars: int = 1 << 18, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts count 0 bytes and 0 tokens; rows with equal ids stay

@@ -66,7 +66,7 @@ def test_word_cache_matches_the_library_on_random_text():
     texts = ["".join(rng.choice("ab 'st12.\n\t 　é,  ") for _ in range(rng.randrange(60))) for _ in range(1500)]
     want = library_ids(texts)
     assert encoder.counts(texts) == [len(x) for x in want]
-    assert [np.frombuffer(encoder.ids(t), "<u4").tolist() for t in texts] == want
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.ids_of(texts)] == want
 
 
 # ---- 2
