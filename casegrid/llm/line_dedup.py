@@ -6,8 +6,9 @@ only these prefixes are joined. Length filter (sizes within the threshold),
 positional filter (what can still follow the shared word) and a bitmap filter
 (each differing word flips at most one parity bit; long lines have more bits,
 and lines near a border between two widths take part in both joins) discard
-most pairs before the word sets of the rest are fetched and their Jaccard verified. A line
-that matches an earlier one, by document and line number, is removed. Lines
+most pairs before the word sets of the rest are fetched and their Jaccard
+verified. Words that occur only once in the corpus take up places in a prefix,
+but are not shipped. A line that matches an earlier one, by document and line number, is removed. Lines
 with equal sets are one line of the join, named by their first occurrence.
 """
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
+from casegrid.llm.ngram_jaccard import may_link, pairs_of_runs, reachable
 from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, split_points
 from casegrid.llm.pair_blocks import block_tasks, overlaps
 from casegrid.llm.suffix_dedup import _DDL, _ROWS, _bucket, _rows, _texts
@@ -27,7 +29,9 @@ from casegrid.workspace import materialize
 
 #: Exact counts order at most this many frequent words; rarer ones come first, by hash.
 FREQUENT = 1 << 19
-BLOCK_CHARS, BLOCK_ROWS, TILE = 12_000_000, 512, 512
+#: Bits of the map of words that occur more than once; two words may share a bit, which only keeps one that could go.
+SEEN_BITS = 27
+BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 512
 #: Bytes of text whose words are hashed and sorted at once.
 PIECE = 2_000_000
 _TOP = np.uint64(1 << 63)
@@ -116,19 +120,30 @@ def _count_words(batches):
 
 
 def _sum_words(batches):
-    schema = pa.schema([("word", pa.int64()), ("lines", pa.int64())])
-    for _, table in by_key(batches, "part"):
+    """Words of more than three occurrences with their number, and for each block a map of those of more than one."""
+    schema = pa.schema([("word", pa.int64()), ("lines", pa.int64()), ("part", pa.int32()), ("seen", pa.binary())])
+    size = 1 << SEEN_BITS - 8
+    for part, table in by_key(batches, "part"):
         words = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("ids").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
         u, n = _summed([words], [counts])
+        bits = np.zeros(size, bool)
+        bits[(u[n > 1] >> np.uint64(64 - SEEN_BITS)).astype(np.int64) & (size - 1)] = True
+        yield pa.RecordBatch.from_pylist([{"part": int(part), "seen": blob(np.packbits(bits))}], schema=schema)
         often = n > 3
         for low in range(0, int(often.sum()), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(u[often][low : low + 100_000].view(np.int64)), pa.array(n[often][low : low + 100_000])], schema=schema)
-
-
-def frequent_words(rows: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most FREQUENT words, sorted by hash, with their ranks by number of lines."""
-    counted = materialize(rows.mapInArrow(_count_words, _DDL).repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_sum_words, "word bigint, lines bigint"), "words")
+            columns = [u[often][low : low + 100_000].view(np.int64), n[often][low : low + 100_000]]
+            none = len(columns[0])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
+
+
+def frequent_words(rows: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most FREQUENT words, sorted by hash, with their ranks by number of lines; and the map of words seen more than once."""
+    counted = materialize(rows.mapInArrow(_count_words, _DDL).repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_sum_words, "word bigint, lines bigint, part int, seen binary"), "words")
+    seen = np.zeros(1 << SEEN_BITS - 3, np.uint8)
+    for r in counted.where("seen is not null").select("part", "seen").toLocalIterator():  # 256 rows, 2**SEEN_BITS bits in all
+        seen[r["part"] << SEEN_BITS - 11 : r["part"] + 1 << SEEN_BITS - 11] = np.frombuffer(r["seen"], np.uint8)
+    counted = counted.where("seen is null")
     steps = counted.groupBy(F.floor(F.log2("lines") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("lines").alias("least")).orderBy(F.desc("step")).collect()  # a few hundred rows
     held, least = 0, None
     for s in steps:
@@ -136,13 +151,13 @@ def frequent_words(rows: DataFrame, partitions: int) -> tuple[np.ndarray, np.nda
             break
         held, least = held + s["n"], s["least"]
     if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    found = counted.where(F.col("lines") >= least).toArrow()
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), seen
+    found = counted.where(F.col("lines") >= least).select("word", "lines").toArrow()
     words, lines = found.column("word").to_numpy().view(np.uint64), found.column("lines").to_numpy()
     rank = np.empty(len(words), np.uint64)
     rank[np.lexsort((words, lines))] = np.arange(len(words), dtype=np.uint64)
     order = np.argsort(words)
-    return words[order], rank[order]
+    return words[order], rank[order], seen
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -153,7 +168,7 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
     """Texts -> prefix entries by word block, lines by set block, a head for each document."""
 
     def run(batches):
-        words, ranks = frequent.value
+        words, ranks, seen = frequent.value
         for part in slices(batches):
             ids, first, ended = np.array([i for i, *_ in part], np.int64), np.array([k for _, k, *_ in part], np.int64), np.array([e for *_, e, _ in part], bool)
             texts = [t for *_, t in part]
@@ -184,11 +199,13 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
                 position = np.arange(len(line)) - first[line]
                 p = prefix_length(n, percent)
                 can = stands & (percent * (n + 1) <= 100 * n)  # smaller sets only match equal ones
+                at = (keys >> np.uint64(63 - SEEN_BITS)).astype(np.int64) & (1 << SEEN_BITS) - 1
+                again = ((keys & _TOP > 0) | (seen[at >> 3] >> (7 - (at & 7)) & 1 > 0))[place]  # a word that occurs once joins nothing
                 least = 0
                 for tier, (kind, wide, most) in enumerate(WIDTHS):
                     chosen = can & (n <= most) & (100 * n >= percent * least)
                     least = most + 1
-                    e = np.flatnonzero((position < p[line]) & chosen[line])
+                    e = np.flatnonzero((position < p[line]) & chosen[line] & again)
                     if not len(e):
                         continue
                     parity = np.zeros((len(n), wide), np.uint64)
@@ -213,16 +230,6 @@ def _entries(blocks: int, buckets: int, percent: int, frequent):
 _JOINED = pa.schema([("kind", pa.int32()), ("a_id", pa.int64()), ("a_line", pa.int64()), ("b_id", pa.int64()), ("b_line", pa.int64())])
 
 
-def _near(n, pos, parity, i: slice, j: slice, percent: int) -> np.ndarray:
-    """Length, positional and bitmap filter on all pairs of two tiles."""
-    a, b = n[i][:, None], n[j][None, :]
-    need = -(-percent * (a + b) // (100 + percent))
-    ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(pos[i][:, None], pos[j][None, :]) + np.minimum(a - pos[i][:, None], b - pos[j][None, :]) >= need)
-    x, y = np.nonzero(ok)
-    ok[x, y] = np.bitwise_count(parity[i][x] ^ parity[j][y]).sum(1) <= (a + b - 2 * need)[x, y]
-    return ok
-
-
 def _joined(percent: int):
     """Blocks of entries -> candidate links (kind 1); of lines -> later copies (kind 2, b is removed); heads pass (kind 3)."""
 
@@ -252,45 +259,22 @@ def _joined(percent: int):
             n, pos = np.concatenate(both, axis=1).astype(np.int64)
             tag = np.concatenate([np.frombuffer(r["more"][8 * s : 12 * s], np.uint32) for r, s in zip(rows, sizes, strict=True)])
             parity = np.concatenate([np.frombuffer(r["more"][12 * s :], np.uint64).reshape(s, -1) for r, s in zip(rows, sizes, strict=True)])
-            o = np.lexsort((number, ids, tag, parity[:, 0], n, data))
+            o = np.lexsort((n.astype(np.uint64) << np.uint64(32) | tag, data))
             ids, number, data, n, pos, parity, tag = (x[o] for x in (ids, number, data, n, pos, parity, tag))
             new = np.concatenate(([True], (data[1:] != data[:-1]) | (n[1:] != n[:-1]) | (parity[1:] != parity[:-1]).any(1) | (tag[1:] != tag[:-1])))
-            ids, number, data, n, pos, parity = (x[new] for x in (ids, number, data, n, pos, parity))
-            first, last = split_points(data)
-            wide = last - first > 1
-            first, last = first[wide], last[wide]
-            small = last - first <= 12
-            left, right = [], []
-            for size in np.unique((last - first)[small]):  # short posting lists, all of a length at once
-                starts = first[(last - first == size) & small]
-                for x, y in zip(*np.triu_indices(size, 1), strict=True):
-                    i, j = starts + x, starts + y
-                    need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                    ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
-                    i, j, need = i[ok], j[ok], need[ok]
-                    ok = np.bitwise_count(parity[i] ^ parity[j]).sum(1) <= n[i] + n[j] - 2 * need
-                    left.append(i[ok])
-                    right.append(j[ok])
-            for f, l in zip(first[~small], last[~small], strict=True):  # long ones in tiles, cut down to a forest
-                found = []
-                for x in range(f, l, TILE):
-                    for y in range(x, l, TILE):
-                        i, j = slice(x, min(x + TILE, l)), slice(y, min(y + TILE, l))
-                        if 100 * n[i.stop - 1] < percent * n[j.start] and y > x:  # sorted by length: nothing further fits
-                            break
-                        near = _near(n, pos, parity, i, j, percent)
-                        a, b = np.nonzero(np.triu(near, 1) if x == y else near)
-                        if len(a):
-                            root = forest(a, b + (y - x if x != y else 0), j.stop - x)
-                            moved = np.flatnonzero(root != np.arange(len(root)))
-                            found.append((x + root[moved], x + moved))
-                if found:
-                    left.append(np.concatenate([x for x, _ in found]))
-                    right.append(np.concatenate([y for _, y in found]))
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                if len(i):
-                    yield emit(1, ids[i], number[i], ids[j], number[j])
+            at = np.flatnonzero(new)  # equal sets are one line, named by the first of them
+            least = np.minimum.reduceat(ids, at)
+            number = np.minimum.reduceat(np.where(ids == np.repeat(least, np.diff(np.append(at, len(ids)))), number, np.iinfo(np.int64).max), at)
+            ids, data, n, pos, parity = least, data[at], n[at], pos[at], parity[at]
+            for i, j in pairs_of_runs(np.arange(len(ids)), reachable(n, data, percent), 500_000):
+                ok = may_link(n[i], n[j], pos[i], pos[j], lambda k, i=i: parity[i[k]], lambda k, j=j: parity[j[k]], percent)
+                i, j = i[ok], j[ok]
+                if len(i):  # cut down to a forest
+                    at, both = np.unique(np.concatenate((i, j)), return_inverse=True)
+                    root = forest(both[: len(i)], both[len(i) :], len(at))
+                    moved = np.flatnonzero(root != np.arange(len(at)))
+                    a, b = at[root[moved]], at[moved]
+                    yield emit(1, ids[a], number[a], ids[b], number[b])
 
     return run
 
@@ -336,12 +320,14 @@ def _later(percent: int):
             if table.num_rows < 2:
                 continue
             ids, line, n, side = (table.column(c).to_numpy() for c in ("id", "line", "n", "side"))
-            o = np.lexsort((line, ids))
-            ids, line, n, side = ids[o], line[o], n[o], side[o]
+            place = np.empty(len(ids), np.int64)
+            place[np.lexsort((line, ids))] = np.arange(len(ids))
             grams = table.column("grams").to_pylist()
-            same = overlaps([np.frombuffer(grams[k], np.uint64) for k in o])
-            ok = (100 * same >= percent * (n[:, None] + n[None, :] - same)) & ((side[:, None] == 2) | (side[:, None] != side[None, :]))
-            hit = np.flatnonzero(np.triu(ok, 1).any(0))  # a row above its own matches it
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            same = overlaps(*([np.frombuffer(grams[k], np.uint64) for k in at] for at in (left, right)))
+            i, j = np.nonzero(100 * same >= percent * ((n[left][:, None] + n[right][None, :]).astype(np.float32) - same))
+            i, j = left[i], right[j]
+            hit = np.unique(np.where(place[i] < place[j], j, i)[place[i] != place[j]])  # an earlier line matches it
             if len(hit):
                 yield pa.RecordBatch.from_pydict({"id": ids[hit].astype(np.int64), "line": line[hit].astype(np.int64)})
 

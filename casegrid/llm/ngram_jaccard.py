@@ -8,14 +8,14 @@ can only reach the threshold with another one if they share one of its first
 n - ceil(t*n) + 1 (a size-derived bound); documents whose own n-grams alone
 fill that prefix drop out. Documents with equal n-gram sets are one row.
 
-What links the rest is the product of one row with blocks of the rows that share
-a prefix column with it: overlaps are summed up over the row's columns, and
-pairs are discarded below the bounds for their sizes, for the places of the
-shared column and for a parity bitmap before, and below the threshold after.
-A column of few rows gives its pairs at once. A column of many rows is first
-compared with its least row only, and then only rows that this has not united
-yet are compared with each other, in blocks; so a group of near copies of any
-size costs about as many products as it has rows, and a chain as many as links.
+What links the rest is found in two products. First, each column's least row is
+multiplied with blocks of the rows that share the column; that unites most of
+a group of near copies at a cost in proportion to its rows. Then only rows that
+share a column and are not united yet are multiplied: those of a short column
+pair by pair, those of long ones block by block. Overlaps are summed up over
+the columns, and pairs are discarded below the bounds for their sizes, for the
+places of the shared column and for a parity bitmap before, and below the
+threshold after.
 """
 
 from __future__ import annotations
@@ -25,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
-from casegrid.llm.packed import blob, bucket_of, by_key, mixed, risen, rising, short, split_points, unshort
+from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, short, split_points, unshort
+from casegrid.llm.pair_blocks import block_tasks, overlaps
 from casegrid.llm.text_tables import partitions_for, read_table
 from casegrid.llm.words import text_words
-from casegrid.workspace import materialize
+from casegrid.workspace import discard, materialize
 
 #: Characters of text that one block of columns stands for, on average.
 BLOCK_CHARS = 8_000_000
 #: Bytes of text whose n-grams are held at once, if a single text isn't longer.
 SLICE = 4_000_000
-#: A column of at most FEW rows gives all its pairs; rows of a longer one are compared in blocks of BLOCK_ROWS.
-FEW, BLOCK_ROWS = 24, 2048
+#: What is left of a column of at most FEW rows goes pair by pair; rows of longer ones in blocks of BLOCK_ROWS.
+FEW, BLOCK_ROWS = 16, 2048
 #: N-grams of the rows that one row is multiplied with in one task.
 CHUNK = 1_000_000
 #: 64-bit words of a parity bitmap; it says nothing about sets much larger than its bits.
@@ -257,15 +258,15 @@ _PAIRS = "a bigint, b bigint, n bigint"
 
 
 def _pairs(percent: int):
-    """Rows sorted by (task, n) -> pairs of one task that may link, of different components and on sides to be compared."""
+    """Rows sorted by (task, n) -> pairs of one task that may link, of different components."""
 
     def found(table):
-        task, node, n, pos, side, comp = (table.column(c).to_numpy() for c in ("task", "node", "n", "pos", "side", "comp"))
+        task, node, n, pos, comp = (table.column(c).to_numpy() for c in ("task", "node", "n", "pos", "comp"))
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(node), -1)
         ends = reachable(n, task, percent)
         left, right = [], []
         for i, j in pairs_of_runs(np.arange(len(node)), ends):
-            ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            ok = comp[i] != comp[j]
             i, j = i[ok], j[ok]
             ok = may_link(n[i], n[j], pos[i], pos[j], lambda k, i=i: bits[i[k]], lambda k, j=j: bits[j[k]], percent)
             left.append(i[ok])
@@ -366,6 +367,26 @@ def ngram_sets(docs: DataFrame, *, words: int, percent: int, id_col: str, text_c
     return materialize(back.mapInArrow(_prefixes(percent), "row bigint, id bigint, n bigint, mark binary, alone bigint, prefix array<bigint>, parity binary, grams binary"), "sets")
 
 
+def _tiles(percent: int):
+    """A task's rows -> a forest of the links between those of different components, from the product of its two blocks."""
+
+    def run(batches):
+        for _, table in by_key(batches, "task"):
+            node, n, side, comp = (table.column(c).to_numpy() for c in ("node", "n", "side", "comp"))
+            grams = table.column("grams").to_pylist()
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            if not len(left) or not len(right):
+                continue
+            o = overlaps(*([np.frombuffer(grams[k], np.uint64) for k in at] for at in (left, right)))
+            union = (n[left][:, None] + n[right][None, :]).astype(np.float32) - o
+            i, j = np.nonzero((100 * o >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+            root = forest(left[i], right[j], len(node))
+            moved = np.flatnonzero(root != np.arange(len(node)))
+            yield pa.RecordBatch.from_pydict({"a": node[root[moved]].astype(np.int64), "b": node[moved].astype(np.int64)})
+
+    return run
+
+
 def _united(rows: DataFrame, percent: int) -> DataFrame:
     """(node, component) for the rows (node, n, alone, prefix, parity, grams) that link to another one."""
     spark = rows.sparkSession
@@ -373,25 +394,28 @@ def _united(rows: DataFrame, percent: int) -> DataFrame:
     found = entries.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("docs")).where("docs > 1")
     grams = materialize(found.select(F.col("gram").alias("g"), F.col("first.node").alias("first"), F.col("first.n").alias("first_n"), "docs"), "grams")
     known = materialize(entries.join(grams, F.col("gram") == F.col("g")).select("gram", "node", "n", (F.col("alone") + F.col("place")).alias("pos"), "parity", "first", "first_n", "docs"), "postings")
+    fits = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent
+    stars = known.where((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b"), "n")
+    links = materialize(_links(stars, rows, percent), "verified")
+    comps = materialize(components(links).select(F.col("node").alias("c_node"), "component"), "united")
+    # what the columns' least rows have not united yet
+    told = known.join(comps, F.col("node") == F.col("c_node"), "left").select("gram", "node", "n", "pos", "parity", F.coalesce("component", "node").alias("comp"), "docs")
+    split = told.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select(F.col("gram").alias("g"))
+    open_ = materialize(told.join(split, F.col("gram") == F.col("g"), "left_semi"), "open")
+    discard(grams, known)
+    few = open_.where(F.col("docs") <= FEW).select(F.col("gram").alias("task"), "node", "n", "pos", "comp", "parity")
     parts = partitions_for(spark, 0, 1) * 2
-    few = known.where(F.col("docs") <= FEW).select(F.col("gram").alias("task"), "node", "n", "pos", F.lit(2).alias("side"), F.col("node").alias("comp"), "parity")
     pairs = few.repartition(parts, "task").sortWithinPartitions("task", "n").mapInArrow(_pairs(percent), _PAIRS)
-    fits = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent
-    pairs = pairs.union(known.where((F.col("docs") > FEW) & (F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b"), "n"))
-    links = materialize(_links(pairs, rows, percent), "verified")
-    if not known.where(F.col("docs") > FEW).head(1):
-        return components(links)
-    # columns of many rows: only what their least rows have not united yet
-    comps = components(links).select(F.col("node").alias("c_node"), "component")
-    told = known.where(F.col("docs") > FEW).join(comps, F.col("node") == F.col("c_node"), "left").select("gram", "node", "n", "pos", "parity", F.coalesce("component", "node").alias("comp"))
-    told = materialize(told, "told")
-    sizes = told.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("least < most").select(F.col("gram").alias("g"), "blocks")
-    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = told.join(sizes, F.col("gram") == F.col("g")).withColumn("own", own).withColumn("other", other)
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    tiles = tiles.select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "n", "pos", side.alias("side"), "comp", "parity")
-    more = tiles.repartition(parts, "task").sortWithinPartitions("task", "n").mapInArrow(_pairs(percent), _PAIRS)
-    return components(links.union(materialize(_links(more, rows, percent), "verified")))
+    links = links.union(_links(pairs, rows, percent))
+    many = open_.where(F.col("docs") > FEW)
+    if many.head(1):
+        least = many.groupBy("gram").agg(F.min("node").alias("a")).withColumnRenamed("gram", "g")
+        clusters = components(many.join(least, F.col("gram") == F.col("g")).select("a", F.col("node").alias("b")))
+        kept = many.select("node", "comp").distinct()
+        sent = rows.select("node", "n", "grams").join(kept.withColumnRenamed("node", "k_node"), F.col("node") == F.col("k_node")).select("node", "n", "grams", "comp")
+        tasks = block_tasks(clusters.withColumnRenamed("node", "item"), "component", "item", sent, "node", BLOCK_ROWS, parts)
+        links = links.union(tasks.mapInArrow(_tiles(percent), "a bigint, b bigint"))
+    return components(links)
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,13 +435,15 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     classes = materialize(sets.where("mark is not null").groupBy("mark").agg(F.min("id").alias("name"), F.min("row").alias("stands")).withColumnRenamed("mark", "c_mark"), "classes")
     can = sets.where("prefix is not null and size(prefix) > 0")
     rows = can.join(classes, (F.col("mark") == F.col("c_mark")) & (F.col("row") == F.col("stands"))).select(F.col("row").alias("node"), "n", "alone", "prefix", "parity", "grams")
-    united = _united(materialize(rows, "rows"), percent)
+    rows = materialize(rows, "rows")
+    united = _united(rows, percent)
     named = united.join(classes.select("name", "stands"), F.col("node") == F.col("stands"))
     least = named.groupBy("component").agg(F.min("name").alias("least")).withColumnRenamed("component", "l_component")
     linked = named.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("l_node"), "least")
-    classes = materialize(classes.join(linked, F.col("stands") == F.col("l_node"), "left").select("c_mark", F.coalesce("least", "name").alias("name")), "named")
-    known = sets.select("id", "n", "mark").join(classes, F.col("mark") == F.col("c_mark"), "left")
-    out = known.select("id", F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
+    named = classes.join(linked, F.col("stands") == F.col("l_node"), "left").select("c_mark", F.coalesce("least", "name").alias("name"))
+    known = sets.select("id", "n", "mark").join(named, F.col("mark") == F.col("c_mark"), "left")
+    out = materialize(known.select("id", F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id")), "components")
+    discard(sets, classes, rows)
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("bigint").alias(c) for c in ("n_shingles", "component_id")])
     return out.union(nameless).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 

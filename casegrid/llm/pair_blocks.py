@@ -27,29 +27,30 @@ def block_tasks(groups: DataFrame, group: str, item: str, rows: DataFrame, key:
     return out.select("task", "side", *[rows[c] for c in rows.columns]).repartition(partitions, "task").sortWithinPartitions("task")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs: the incidence matrix times its transpose, column by column."""
-    n = len(sets)
-    out = np.zeros((n, n), np.float32)
-    every, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all pairs of two blocks of sets: one incidence matrix times the other's transpose, column by column."""
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), np.float32)
+    every, owner = np.concatenate([*left, *right]), np.repeat(np.arange(n + m), [len(s) for s in (*left, *right)])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     starts, ends = split_points(every)
     df = ends - starts
     common = np.flatnonzero(df >= 24)
-    for low in range(0, len(common), 2048):  # dense columns
-        cols = common[low : low + 2048]
-        dense = np.zeros((n, len(cols)), np.float32)
+    for low in range(0, len(common), 1024):  # dense columns
+        cols = common[low : low + 1024]
+        dense = np.zeros((n + m, len(cols)), np.float32)
         rows = np.concatenate([owner[starts[c] : ends[c]] for c in cols])
         dense[rows, np.repeat(np.arange(len(cols)), df[cols])] = 1
-        out += dense @ dense.T
+        out += dense[:n] @ dense[n:].T
     flat = out.reshape(-1)
     for d in np.unique(df[(df > 1) & (df < 24)]):  # thin columns: their few pairs, all columns of a count at once
         rows = owner[starts[df == d][:, None] + np.arange(d)]
         i, j = np.triu_indices(d, 1)
-        for low in range(0, len(rows), max(1, 2_000_000 // len(i))):
-            part = rows[low : low + max(1, 2_000_000 // len(i))]
-            at, k = np.unique(part[:, i].astype(np.int64) * n + part[:, j], return_counts=True)
+        for low in range(0, len(rows), max(1, 1_000_000 // len(i))):
+            part = rows[low : low + max(1, 1_000_000 // len(i))]
+            a, b = part[:, i].astype(np.int64).ravel(), part[:, j].astype(np.int64).ravel()
+            across = (a < n) & (b >= n)
+            at, k = np.unique(a[across] * m + b[across] - n, return_counts=True)
             flat[at] += k
-            flat[at % n * n + at // n] += k
     return out

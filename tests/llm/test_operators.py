@@ -292,7 +292,6 @@ def test_word_hashes():
 
 def test_line_dedup(docs, corpus, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 5)
-    monkeypatch.setattr(line_dedup, "TILE", 4)
     monkeypatch.setattr(line_dedup, "PIECE", 300)
     got = rows(line_dedup.repeated_lines(docs))
     assert {i: (r["n_lines"], r["removed"]) for i, r in got.items()} == brute.later_lines(corpus)
