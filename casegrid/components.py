@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from casegrid.workspace import materialize
+from casegrid.workspace import discard, materialize
 
 
 def _stars(links: DataFrame, larger: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        links = materialize(_stars(_stars(links, True), False), "links")
+        before, links = links, materialize(_stars(_stars(links, True), False), "links")
+        discard(before)
         now = sign(links)
         if now == seen:
             break
