@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
 from casegrid.llm.ngram_jaccard import may_link, pairs_of_runs, reachable
-from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, split_points
-from casegrid.llm.pair_blocks import block_tasks, overlaps
+from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, split_points, whole_groups
+from casegrid.llm.pair_blocks import block_tasks, overlaps, sparse_overlaps
 from casegrid.llm.suffix_dedup import _DDL, _ROWS, _bucket, _rows, _texts
 from casegrid.llm.text_tables import partitions_for, read_table
 from casegrid.llm.words import word_hashes
@@ -32,6 +32,8 @@ FREQUENT = 1 << 19
 #: Bits of the map of words that occur more than once; two words may share a bit, which only keeps one that could go.
 SEEN_BITS = 27
 BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 512
+#: Tasks of at most so many lines are verified together.
+SMALL = 24
 #: Bytes of text whose words are hashed and sorted at once.
 PIECE = 2_000_000
 _TOP = np.uint64(1 << 63)
@@ -313,21 +315,33 @@ def _fetched(batches):
 
 
 def _later(percent: int):
-    """A task's lines -> those that match an earlier one."""
+    """A task's lines -> those that match an earlier one. Small tasks are looked at many at once."""
 
     def run(batches):
-        for _, table in by_key(batches, "task"):
-            if table.num_rows < 2:
-                continue
-            ids, line, n, side = (table.column(c).to_numpy() for c in ("id", "line", "n", "side"))
+        for table in whole_groups(batches, "task", 2000):
+            task, ids, line, n, side = (table.column(c).to_numpy() for c in ("task", "id", "line", "n", "side"))
             place = np.empty(len(ids), np.int64)
             place[np.lexsort((line, ids))] = np.arange(len(ids))
-            grams = table.column("grams").to_pylist()
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            same = overlaps(*([np.frombuffer(grams[k], np.uint64) for k in at] for at in (left, right)))
-            i, j = np.nonzero(100 * same >= percent * ((n[left][:, None] + n[right][None, :]).astype(np.float32) - same))
-            i, j = left[i], right[j]
-            hit = np.unique(np.where(place[i] < place[j], j, i)[place[i] != place[j]])  # an earlier line matches it
+            sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+            first, last = split_points(task)
+            small = np.repeat((last - first <= SMALL) & (side[first] == 2), last - first)
+            found = []
+            if small.any():
+                at = np.flatnonzero(small)
+                salt = mixed(task.astype(np.int64).view(np.uint64))
+                i, j, same = sparse_overlaps([mixed(sets[k] ^ salt[k]) for k in at])
+                found.append((at[i], at[j], same))
+            for a, b in zip(first[~small[first]], last[~small[first]], strict=True):
+                left, right = a + np.flatnonzero(side[a:b] != 1), a + np.flatnonzero(side[a:b] != 0)
+                if len(left) and len(right):
+                    same = overlaps([sets[k] for k in left], [sets[k] for k in right])
+                    i, j = np.nonzero(same)
+                    found.append((left[i], right[j], same[i, j].astype(np.int64)))
+            hit = np.empty(0, np.int64)
+            for i, j, same in found:
+                ok = (100 * same >= percent * (n[i] + n[j] - same)) & (place[i] != place[j])
+                hit = np.concatenate((hit, np.where(place[i] < place[j], j, i)[ok]))
+            hit = np.unique(hit)  # an earlier line matches it
             if len(hit):
                 yield pa.RecordBatch.from_pydict({"id": ids[hit].astype(np.int64), "line": line[hit].astype(np.int64)})
 
@@ -345,6 +359,15 @@ def _wanted(buckets: int):
     return run
 
 
+def _names(found: DataFrame):
+    """How (id, line number) becomes a node and back: one long if both fit into it, else a struct of the two."""
+    low, high, lines = found.where("kind = 3").agg(F.min("a_id"), F.max("a_id"), F.max("a_line")).first()
+    bits = (lines or 0).bit_length()
+    if low is not None and low >= 0 and high.bit_length() + bits < 63:
+        return lambda i, k: F.shiftleft(i, bits).bitwiseOR(F.col(k)), lambda x: F.shiftright(x, bits), lambda x: F.col(x).bitwiseAND(F.lit((1 << bits) - 1))
+    return lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("line")), lambda x: F.col(f"{x}.id"), lambda x: F.col(f"{x}.line")
+
+
 def repeated_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_lines, removed (ascending numbers of the lines that repeat an earlier one).
 
@@ -363,12 +386,12 @@ def repeated_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id"
     frequent = spark.sparkContext.broadcast(frequent_words(rows, parts))
     entries = rows.mapInArrow(_entries(blocks, parts, percent, frequent), _DDL).repartition(parts, "part").sortWithinPartitions("part")
     found = materialize(entries.mapInArrow(_joined(percent), "kind int, a_id bigint, a_line bigint, b_id bigint, b_line bigint"), "joined")
-    ref = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_line").alias("line"))
-    clusters = components(found.where("kind = 1").select(ref("a").alias("a"), ref("b").alias("b")))
-    lines = clusters.select(F.col("node.id").alias("id"), F.col("node.line").alias("line"))
+    ref, id_of, line_of = _names(found)
+    clusters = components(found.where("kind = 1").select(ref("a_id", "a_line").alias("a"), ref("b_id", "b_line").alias("b")))
+    lines = clusters.select(id_of("node").alias("id"), line_of("node").alias("line"))
     fetched = rows.mapInArrow(_texts(parts), _DDL).union(lines.mapInArrow(_wanted(parts), _DDL)).repartition(parts, "part").sortWithinPartitions("part")
     sets = materialize(fetched.mapInArrow(_fetched, "id bigint, line bigint, n bigint, grams binary"), "lines")
-    tasks = block_tasks(clusters, "component", "node", sets.withColumn("item", F.struct("id", "line")), "item", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
+    tasks = block_tasks(clusters, "component", "node", sets.withColumn("item", ref("id", "line")), "item", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
     later = tasks.select("task", "side", "id", "line", "n", "grams").mapInArrow(_later(percent), "id bigint, line bigint")
     gone = later.union(found.where("kind = 2").select(F.col("b_id").alias("id"), F.col("b_line").alias("line")))
     by_doc = gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed")).withColumnRenamed("id", "g_id")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
-from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, short, split_points, unshort
+from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, short, split_points, unshort, whole_groups
 from casegrid.llm.pair_blocks import block_tasks, overlaps
 from casegrid.llm.text_tables import partitions_for, read_table
 from casegrid.llm.words import text_words
@@ -280,26 +280,9 @@ def _pairs(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(once[:, c]) for c in range(3)], ["a", "b", "n"])
 
     def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            task = batch.column("task").to_numpy()
-            if held and rows + batch.num_rows > 50_000:  # a task's rows stay together
-                cut = int(np.searchsorted(task != held[-1].column("task")[-1].as_py(), True)) if task[0] == held[-1].column("task")[-1].as_py() else 0
-                held.append(batch.slice(0, cut))
-                if cut < batch.num_rows:
-                    if (out := found(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held, rows = [], 0
-                    batch = batch.slice(cut)
-                else:
-                    rows += batch.num_rows
-                    continue
-            held.append(batch)
-            rows += batch.num_rows
-        if held and (out := found(pa.Table.from_batches(held))) is not None:
-            yield out
+        for table in whole_groups(batches, "task", 50_000):
+            if (out := found(table)) is not None:
+                yield out
 
     return run
 

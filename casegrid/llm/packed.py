@@ -55,6 +55,27 @@ def by_key(batches, key: str):
         yield now, pa.Table.from_batches(held)
 
 
+def whole_groups(batches, key: str, rows: int):
+    """Tables of at least ``rows`` rows (but the last) from batches sorted by ``key``; a key's rows stay together."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:  # up to where the last held key ends
+            keys = batch.column(key).to_numpy()
+            cut = int((keys != held[-1].column(key)[-1].as_py()).argmax()) if keys[-1] != held[-1].column(key)[-1].as_py() else batch.num_rows
+            held.append(batch.slice(0, cut))
+            size += cut
+            if cut == batch.num_rows:
+                continue
+            yield pa.Table.from_batches(held)
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     h = h ^ (h >> np.uint64(33))

@@ -54,3 +54,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             at, k = np.unique(a[across] * m + b[across] - n, return_counts=True)
             flat[at] += k
     return out
+
+
+def sparse_overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, overlap) of all pairs i < j that share an element, where few sets share any one element."""
+    n = len(sets)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    starts, ends = split_points(every)
+    df, codes = ends - starts, [np.empty(0, np.int64)]
+    for d in np.unique(df[df > 1]):
+        rows = owner[starts[df == d][:, None] + np.arange(d)]
+        i, j = np.triu_indices(d, 1)
+        codes.append((rows[:, i] * n + rows[:, j]).ravel())
+    at, k = np.unique(np.concatenate(codes), return_counts=True)
+    return at // n, at % n, k

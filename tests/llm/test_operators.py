@@ -293,6 +293,7 @@ def test_word_hashes():
 def test_line_dedup(docs, corpus, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 5)
     monkeypatch.setattr(line_dedup, "PIECE", 300)
+    monkeypatch.setattr(line_dedup, "SMALL", 3)
     got = rows(line_dedup.repeated_lines(docs))
     assert {i: (r["n_lines"], r["removed"]) for i, r in got.items()} == brute.later_lines(corpus)
     left = rows(line_dedup.drop_repeated_lines(docs))
@@ -302,6 +303,12 @@ def test_line_dedup(docs, corpus, monkeypatch):
     assert line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_with_negative_ids(spark, corpus):
+    texts = {i - 70: t for i, t in corpus.items()}
+    got = rows(line_dedup.repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)))
+    assert {i: (r["n_lines"], r["removed"]) for i, r in got.items()} == brute.later_lines(texts)
+
+
 # ---- 10
 
 
