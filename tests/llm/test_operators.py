@@ -212,8 +212,9 @@ def test_language_id(spark, sf_dir):
 # ---- 7
 
 
-@pytest.mark.parametrize("fan_in", [2, 16])
-def test_exact_dedup(docs, corpus, fan_in):
+@pytest.mark.parametrize("fan_in", [2, 4])
+def test_exact_dedup(docs, corpus, fan_in, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PIECE_ROWS", 20)
     got = rows(exact_dedup.exact_duplicates(docs, fan_in=fan_in))
     groups = {}
     for i, t in corpus.items():
@@ -334,3 +335,22 @@ def test_repeated_ids_do_not_crash(spark):
     table = spark.createDataFrame([(1, "word " * 40), (1, "word " * 40), (1, "other thing " * 20), (None, "word " * 40)], "doc_id bigint, text string")
     for run in (suffix_dedup.remove_repeats, exact_dedup.exact_duplicates, ngram_jaccard.jaccard_components, line_dedup.repeated_lines):
         assert run(table).count() == 4
+
+
+def test_merge_of_runs():
+    """Equal leading words, ties and null ids; a merge of merges is the merge of all."""
+    rng = np.random.default_rng(3)
+    digest = np.stack([rng.integers(0, 3, 60), rng.integers(0, 2, 60), np.zeros(60), np.zeros(60)], axis=1).astype(np.uint64)
+    numbers = np.stack([rng.integers(0, 2, 60), np.zeros(60), rng.integers(0, 3, 60), rng.integers(0, 9, 60), np.arange(60), np.ones(60)]).astype(np.int64)
+    none = (rng.random(60) < 0.3).astype(np.uint8)
+    part = lambda a, b: (digest[a:b], numbers[:, a:b], none[a:b])
+    want = {}
+    for k in range(60):
+        key = (*digest[k].tolist(), *numbers[:2, k].tolist())
+        order = (-numbers[2, k], none[k], numbers[3, k], k)
+        held = want.get(key, (order, 0))
+        want[key] = (min(held[0], order), held[1] + 1)
+    for pieces in ([part(0, 60)], [exact_dedup.merge_runs([part(a, a + 20)]) for a in (0, 20, 40)]):
+        d, n, z = exact_dedup.merge_runs(pieces)
+        got = {(*d[k].tolist(), *n[:2, k].tolist()): ((-n[2, k], z[k], n[3, k], n[4, k]), n[5, k]) for k in range(len(d))}
+        assert got == want
