@@ -48,23 +48,28 @@ def cell_bits(rows: int, window: int = WINDOW) -> int:
     return min(BITS, max(1, math.floor(math.log2(max(2, rows / window)))))
 
 
-def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, unit) of the vectors that can link: none of their components null or not finite, not all zero; doubles as bytes."""
+def can_link(id_col: str, vector_col: str):
+    """Whether a vector can link: it has an id, none of its components is null or not finite, not all are zero."""
     good = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-    rows = table.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return F.coalesce(F.col(id_col).isNotNull() & good, F.lit(False))
+
+
+def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(row, id, unit) of the vectors that can link: a key of the row, the id, the unit vector's doubles as bytes."""
+    rows = table.where(can_link(id_col, vector_col)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
                 out = []
-                for v in part.column(1).to_pylist():
+                for v in part.column(2).to_pylist():
                     x = np.array(v, np.float64)
                     x = x / np.abs(x).max()
                     out.append(blob(x / math.sqrt(float(x @ x))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "unit"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["row", "id", "unit"])
 
-    return rows.mapInArrow(run, "id bigint, unit binary")
+    return rows.mapInArrow(run, "row bigint, id bigint, unit binary")
 
 
 def _keys(passes: range, seed: int, bits: int, with_unit: bool):
@@ -194,12 +199,13 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty, zero or hold null or non-finite components,
     and rows without an id, link with nothing. Equal vectors are one class that
     is compared once; copies link to each other. Vectors of different lengths
-    never link. Rows that repeat an id count as copies of their own. Labels and
-    other columns are not read. An empty table gives an empty result.
+    never link. ``id_col`` holds integers; rows that repeat an id are vectors of
+    their own, each with the smallest id of its component. Labels and other
+    columns are not read. An empty table gives an empty result.
     """
     spark = table.sparkSession
     units = materialize(unit_vectors(table, id_col, vector_col), "units")
-    classes = materialize(units.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
+    classes = materialize(units.groupBy("unit").agg(F.min("row").alias("id"), F.min("id").alias("name"), F.count("*").alias("copies")), "classes")
     rows = classes.count()
     todo, links = range(passes or passes_for(rows, cosine, window)), None
     bits, spread = cell_bits(rows, window), SPREAD * window
@@ -222,15 +228,15 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
     united = components(links)
     tasks = block_tasks(united, "component", "node", classes, "id", BLOCK_ROWS, partitions_for(spark, 0, 1) * 2)
     counted = tasks.select("task", "side", "id", "unit", "copies").mapInArrow(_counts(cosine), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
-    # least ids: a class is named by its least id, so a component's least class name is its least id
-    named = classes.select("id", "unit", "copies").join(counted.withColumnRenamed("id", "k_id"), F.col("id") == F.col("k_id"), "left")
-    named = named.join(united, named["id"] == united["node"], "left").select("unit", F.coalesce("component", "id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    named = named.withColumnRenamed("unit", "n_unit")
-    linked = units.join(named, units["unit"] == named["n_unit"]).select(F.col("id").alias("l_id"), "n_links", "component_id").distinct()
-    ids = table.select(F.col(id_col).alias("id"))
-    out = ids.join(linked, F.col("id") == F.col("l_id"), "left")
-    component = F.coalesce(F.col("component_id").cast(table.schema[id_col].dataType), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.cast("bigint").alias("component_id"), (F.col("id") == component).alias("kept"))
+    # a class goes by its least row; a component is named by the least id in it
+    named = classes.select("id", "name", "unit", "copies").join(counted.withColumnRenamed("id", "k_id"), F.col("id") == F.col("k_id"), "left").join(united, F.col("id") == F.col("node"), "left")
+    named = materialize(named.select("name", "component", F.col("unit").alias("n_unit"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    least = named.where("component is not null").groupBy("component").agg(F.min("name").alias("least")).withColumnRenamed("component", "l_component")
+    named = named.join(least, F.col("component") == F.col("l_component"), "left").select("n_unit", "n_links", F.coalesce("least", "name").alias("component_id"))
+    linked = units.join(named, F.col("unit") == F.col("n_unit")).select("id", "n_links", "component_id")
+    apart = table.where(~can_link(id_col, vector_col)).select(F.col(id_col).cast("bigint").alias("id"), F.lit(0).alias("n_links"), F.col(id_col).cast("bigint").alias("component_id"))
+    out = linked.union(apart)
+    return out.select(F.col("id").cast(table.schema[id_col].dataType).alias(id_col), F.col("n_links").cast("bigint").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text_col: str =
     The score is 1 minus the mean out-of-place distance over the greatest
     possible. Null texts and texts without letters give ``und`` and 0; ties go
     to the language that sorts first; without any profile all rows are ``und``.
+    Very long texts are counted whole; rows stay one by one, repeated or without
+    an id; other columns may have any names; an empty table gives an empty
+    result.
     """
     langs = sorted(profiles)
     known = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.empty(0, np.int64)
@@ -126,7 +129,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text_col: str =
     kept = [c for c in docs.columns if c not in into]
     names = [*kept, *into]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{into[0]}` string, `{into[1]}` double"
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    own = "text"
+    while own in docs.columns:
+        own += "_"
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(own)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -206,6 +206,40 @@ def test_language_id(spark, sf_dir):
     unseen = [r for r in got.values() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert np.mean([r["lang"] == r["lang_pred"] for r in unseen]) > 0.95
     assert language_id.learn(docs.limit(0)) == {}
+    clash = docs.limit(3).withColumn("text_", F.lit(1)).withColumn("__text", F.lit(2))
+    assert language_id.predict(clash, profiles).columns == [*clash.columns, "lang_pred", "score"]
+
+
+def test_language_id_by_plain_distance(spark, sf_dir):
+    """The same predictions as from a plain out-of-place distance over dictionaries."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    profiles = language_id.learn(docs.where(~language_id.held_out()))
+    sample = [r for r in docs.collect() if r["doc_id"] % 7 == 0]
+    got = rows(language_id.predict(docs, profiles))
+
+    def ranked(counts):
+        def code(g):
+            out = 0
+            for c in g:
+                out = out << 21 | ord(c)
+            return out
+
+        return [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))[: language_id.PROFILE]]
+
+    for r in sample:
+        counts = {}
+        for word in "".join(c.lower()[0] if c.isalpha() else " " for c in r["text"]).split():
+            for n in (1, 2, 3):
+                padded = f" {word} " if n > 1 else word
+                for k in range(len(padded) - n + 1):
+                    counts[padded[k : k + n]] = counts.get(padded[k : k + n], 0) + 1
+        own = ranked(counts)
+        apart = {}
+        for lang, codes in profiles.items():
+            place = {c: k for k, c in enumerate(codes.tolist())}
+            apart[lang] = sum(abs(place[c] - k) if c in place else language_id.PROFILE for k, c in enumerate(own))
+        best = min(sorted(apart), key=apart.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - (1 - apart[best] / (language_id.PROFILE * len(own)))) < 1e-9
     assert {r["lang_pred"] for r in language_id.predict(docs, {}).collect()} == {"und"}
 
 
@@ -265,6 +299,26 @@ def test_embedding_dedup_finds_pairs_among_many_that_resemble_each_other(spark,
     assert len(a) >= 200 and np.mean([got[i]["component_id"] == got[j]["component_id"] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.95
 
 
+def test_embedding_dedup_with_repeated_and_null_ids(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (None, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True)] * 3 + [(2, 1, 1, False), (3, 0, 3, True), (None, 0, None, None)], key=str)
+
+
+def test_embedding_dedup_recall(spark, sf_dir):
+    vectors = {r["vec_id"]: list(map(float, r["embedding"])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r["embedding"]}
+    rng = np.random.default_rng(8)
+    for k, i in enumerate(sorted(vectors)[:300]):  # copies at a cosine of about 0.87 to 0.97
+        v = np.array(vectors[i])
+        vectors[10_000 + k] = (v + rng.uniform(0.25, 0.55) * np.linalg.norm(v) / np.sqrt(len(v)) * rng.standard_normal(len(v))).tolist()
+    table = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>").repartition(4)
+    got = rows(embedding_dedup.near_duplicates(table), "vec_id")
+    want = brute.near_vectors(vectors, 0.9)
+    linked = [i for i, (n, _) in want.items() if n]
+    assert len(linked) > 100 and np.mean([got[i]["n_links"] == want[i][0] and got[i]["component_id"] == want[i][1] for i in linked]) >= 0.9
+    assert all(got[i]["n_links"] <= n for i, (n, _) in want.items())
+
+
 def test_embedding_dedup_cells(spark):
     """All pairs of a cell are compared, in the sorted order and in blocks, and none is lost between slices."""
     rng = np.random.default_rng(6)
