@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.packed import blob, by_key, split_points
-from casegrid.llm.text_tables import SPACES, partitions_for, read_table, text_or_empty
+from casegrid.llm.text_tables import SPACES, partitions_for, read_table, sent_if_small, text_or_empty
 from casegrid.workspace import discard, materialize
 
 KEY = ["digest", "norm_len", "check"]
@@ -184,7 +184,7 @@ def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     groups = _groups(narrow, 4)
     gone = materialize(narrow.join(groups, [narrow[k] == groups[f"w_{k}"] for k in KEY]).where(F.col(ROW) != F.col("keep_row")).select(F.col(ROW).alias("__gone")), "gone")
     discard(narrow)
-    return keyed.join(gone, keyed[ROW] == gone["__gone"], "left_anti").drop(ROW)
+    return keyed.join(sent_if_small(gone), F.col(ROW) == F.col("__gone"), "left_anti").drop(ROW)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

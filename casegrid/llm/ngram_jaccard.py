@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from casegrid.components import components
 from casegrid.llm.packed import blob, bucket_of, by_key, forest, mixed, risen, rising, short, split_points, unshort, whole_groups
 from casegrid.llm.pair_blocks import block_tasks, overlaps
-from casegrid.llm.text_tables import partitions_for, read_table
+from casegrid.llm.text_tables import partitions_for, read_table, sent_if_small
 from casegrid.llm.words import text_words
 from casegrid.workspace import discard, materialize
 
@@ -419,14 +419,16 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     can = sets.where("prefix is not null and size(prefix) > 0")
     rows = can.join(classes, (F.col("mark") == F.col("c_mark")) & (F.col("row") == F.col("stands"))).select(F.col("row").alias("node"), "n", "alone", "prefix", "parity", "grams")
     rows = materialize(rows, "rows")
+    marks = materialize(sets.select("id", "n", "mark"), "marks")
+    discard(sets)
     united = _united(rows, percent)
     named = united.join(classes.select("name", "stands"), F.col("node") == F.col("stands"))
     least = named.groupBy("component").agg(F.min("name").alias("least")).withColumnRenamed("component", "l_component")
     linked = named.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("l_node"), "least")
     named = classes.join(linked, F.col("stands") == F.col("l_node"), "left").select("c_mark", F.coalesce("least", "name").alias("name"))
-    known = sets.select("id", "n", "mark").join(named, F.col("mark") == F.col("c_mark"), "left")
+    known = marks.join(named, F.col("mark") == F.col("c_mark"), "left")
     out = materialize(known.select("id", F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id")), "components")
-    discard(sets, classes, rows)
+    discard(marks, classes, rows)
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("bigint").alias(c) for c in ("n_shingles", "component_id")])
     return out.union(nameless).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
@@ -443,7 +445,9 @@ def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, id_c
     named = materialize(shared.join(keyed.select(F.col("__near_row").alias("k"), F.col(id_col).alias("id")), F.col("row") == F.col("k")).select("row", "component", "id"), "shared")
     first = named.groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select(F.col("component").alias("c"), "first")
     gone = named.join(first, F.col("component") == F.col("c")).where("row <> first").select(F.col("row").alias("__gone"))
-    return keyed.join(gone, keyed["__near_row"] == gone["__gone"], "left_anti").drop("__near_row")
+    gone = materialize(gone, "gone")
+    discard(named)
+    return keyed.join(sent_if_small(gone), F.col("__near_row") == F.col("__gone"), "left_anti").drop("__near_row")
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

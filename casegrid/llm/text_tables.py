@@ -19,3 +19,12 @@ def text_or_empty(column: str = "text"):
 def partitions_for(spark, rows: int, rows_each: int) -> int:
     """Partitions of about ``rows_each`` rows; never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each), 1)
+
+
+#: Rows of one number of a table that may be sent to all executors.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """``table``, which is written and narrow, as a broadcast side of a join if it has at most SENT_ROWS rows; else both sides are shuffled."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
