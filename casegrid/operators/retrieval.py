@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from casegrid.functions import patterns as P, textcols as T
 
-#: Queries that one task scores at once.
+#: At most so many queries are sent to all tasks.
+SENT_QUERIES = 2048
+#: Queries that one task scores at once, where there are more.
 QUERY_BLOCK = 256
 
 
@@ -43,13 +45,54 @@ def _block_scores(k: int, threshold: float | None):
     return run
 
 
+def _best_of_batches(query_ids: np.ndarray, q: np.ndarray, k: int, threshold: float | None):
+    """A task's points, batch by batch -> its k best for each query."""
+
+    def run(batches):
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                x = np.array(part.column("vector").to_pylist(), np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                ids, scores = part.column("item_id").to_numpy(), np.round(q @ x.T, 6)
+                for i, (held, own) in enumerate(best):
+                    new = np.flatnonzero(scores[i] >= (own[-1] if len(own) == k else -np.inf))
+                    if len(new):
+                        every, score = np.concatenate((held, ids[new])), np.concatenate((own, scores[i][new]))
+                        top = np.lexsort((every, -score))[:k]
+                        best[i] = every[top], score[top]
+        if threshold is not None:
+            best = [(held[own >= threshold], own[own >= threshold]) for held, own in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(h) for h, _ in best])), *(pa.array(np.concatenate([b[c] for b in best])) for c in (0, 1))], ["query_id", "item_id", "score"])
+
+    return run
+
+
 def vector_search(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None, shares: int | None = None) -> DataFrame:
     """RET3/SRT4: (query_id, item_id, score, rank), exact; ties by the smaller id.
 
     ``queries``: query_id, query_vector. ``points``: item_id, vector; filters go
-    on ``points`` before. Points are dealt over shares by hash; every block of
-    queries meets every share once, and a share sends back at most k a query.
+    on ``points`` before. Up to SENT_QUERIES queries are sent to the points,
+    which stay where they are; a task sends back at most k a query. More
+    queries meet the points in blocks, in shares of the points by hash.
     """
+    first = queries.select("query_id", "query_vector").limit(SENT_QUERIES + 1).toArrow()
+    if first.num_rows <= SENT_QUERIES and shares is None:
+        if not first.num_rows:
+            return points.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), F.col("item_id").cast("bigint"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        q = np.array(first.column("query_vector").to_pylist(), np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        search = _best_of_batches(first.column("query_id").to_numpy().astype(np.int64), q, k, threshold)
+        found = points.select(F.col("item_id").cast("bigint").alias("item_id"), "vector").mapInArrow(search, "query_id bigint, item_id bigint, score double")
+    else:
+        found = _by_blocks(queries, points, k, threshold, shares)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _by_blocks(queries: DataFrame, points: DataFrame, k: int, threshold: float | None, shares: int | None) -> DataFrame:
+    """Every block of queries meets every share of the points once; a share's best k a query."""
     n = shares or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
     blocks = q.select("block").distinct()
@@ -58,9 +101,7 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int, threshold: floa
     right = points.withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks.count() - 1)))))
     ids = blocks.withColumn("number", F.row_number().over(W.orderBy("block")) - 1)
     left = left.join(F.broadcast(ids), "block").drop("block").withColumnRenamed("number", "block")
-    found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(_block_scores(k, threshold), "query_id bigint, item_id bigint, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(_block_scores(k, threshold), "query_id bigint, item_id bigint, score double")
 
 
 def lexical_search(chunks: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
