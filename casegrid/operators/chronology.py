@@ -73,13 +73,14 @@ def dated_mentions(chunks: DataFrame) -> DataFrame:
     ``chunks``: run_id, chunk_id, author, text. Sentences end at `. ` or `; `.
     """
     rows = chunks.select("run_id", "chunk_id", "author", T.strip_html(F.col("text")).alias("text")).where(F.col("text").rlike(P.DOCUMENTED_DATE))
-    rows = rows.withColumn("dates", match_spans(F.col("text"), P.DOCUMENTED_DATE)).select("*", F.explode_outer("dates").alias("d")).where(F.col("d").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
+    rows = rows.withColumns({"dates": match_spans(F.col("text"), P.DOCUMENTED_DATE), "stops": match_spans(F.col("text"), r"[.;] ")}).select("*", F.explode_outer("dates").alias("d")).where(F.col("d").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
     text, s, e = F.col("text"), F.col("s"), F.col("e")
     mention = F.substring(text, s + 1, e - s)
-    before, after = F.regexp_extract(F.substring(text, F.lit(1), s), r"(?s)^(.*)[.;] ", 0), F.regexp_extract(F.expr("substring(text, e + 1)"), r"(?s)^.*?[.;] ", 0)
-    rows = rows.withColumns({"mention": mention, "date": T.documented_date(mention), "left": F.length(before) - 2, "right": F.when(after != "", e + F.length(after) - 2)})
+    left = F.array_max(F.transform(F.filter("stops", lambda x: x["end"] <= s), lambda x: x["start"]))
+    right = F.array_min(F.transform(F.filter("stops", lambda x: x["start"] >= e), lambda x: x["start"]))
+    rows = rows.withColumns({"mention": mention, "date": T.documented_date(mention), "left": F.coalesce(left, F.lit(-1)), "right": right}).drop("stops")
     # the window below needs a chunk's rows together; dealing them out here also keeps the parsed dates from being computed anew in every later column
-    rows = rows.repartition("run_id", "chunk_id").withColumn("left", F.when(F.col("left") < 0, F.lit(-1)).otherwise(F.col("left"))).where(F.col("date.value").isNotNull())
+    rows = rows.repartition("run_id", "chunk_id").where(F.col("date.value").isNotNull())
     stop = F.coalesce("right", F.length(text))
     peers = F.filter("dates", lambda x: (F.col("left") < x["start"]) & (x["start"] < stop))
     end = F.least(F.coalesce(F.col("right") + 1, F.length(text)), e + 220)
