@@ -96,6 +96,10 @@ YEAR_EXCLUDED = r"(?:\+61|@|\b(?:act|section|division|course|certificate)\b)"
 HISTORICAL = r"\b(?:history|historical|prior|previous|ago|in around|in about)\b"
 INFERENCE = r"\b(likely|presumably|apparently|probably|routine|suggests that)\b"
 EXCLUDED_ROLES = ("date_of_birth", "duration", "review_interval", "administrative_metadata")
+DATE_ROLES = ("event_date", "encounter_date", "report_authored_date", "result_date", "order_date", "historical_event_date", "document_header_date", "date_of_birth", "relative_date", "duration", "review_interval", "administrative_metadata", "ambiguous")
+PLACEHOLDERS = ("missing-value phrase", "missing value phrase")
+NOT_GIVEN = ("Not documented in the available text", "Not applicable—administrative event")
+GROUNDING_STOP_WORDS = ("with", "from", "that", "this", "were", "been", "into", "after", "before", "available", "documented", "text", "patient", "event")
 VISIT_HEADER = r"(?im)^(?=(?:surgery|telehealth|telephone|non visit|consultation|home visit)?\s*(?:consultation\s*)?recorded by:\s*[^\n]+\s+visit date:\s*[0-3]?\d[./-][01]?\d[./-](?:19|20)\d{2})"
 EVENT_TYPES = (
     ("Investigation/imaging", "mri|x-ray|xray|ct |ultrasound|scan|imaging"),

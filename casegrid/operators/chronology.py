@@ -162,27 +162,67 @@ def render(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.concat(F.lit("| Date | Event | Provider | Record | Sources |\n|---|---|---|---|---|\n"), held).alias("chronology"))
 
 
-RESPONSE_EVENT = Y.StructType([Y.StructField(n, Y.StringType()) for n in ("event_date", "date_precision", "date_original", "date_role", "event_type", "provider", "facility", "presenting_symptoms", "diagnosis", "source_quote")] + [Y.StructField("source_ids", Y.ArrayType(Y.IntegerType()))])
-RESPONSE = Y.StructType([Y.StructField("events", Y.ArrayType(RESPONSE_EVENT)), Y.StructField("complete", Y.BooleanType())])
+#: Short keys that a response may use for an event's fields, and the fields that describe what happened.
+SHORT_KEYS = {
+    "event_date": "d", "date_precision": "p", "date_original": "od", "date_role": "dr", "date_quote": "dq", "provider_role": "prr", "event_type": "t", "provider": "pr", "facility": "f", "presenting_symptoms": "s",
+    "diagnosis": "dx", "investigations_findings": "ix", "intervention_plan": "ip", "administrative_context": "a", "source_ids": "src", "source_quote": "q",
+}
+DESCRIPTIVE = ("presenting_symptoms", "diagnosis", "investigations_findings", "intervention_plan", "administrative_context")
+_FIELDS = tuple(n for n in SHORT_KEYS if n != "source_ids")
+RESPONSE_EVENT = Y.StructType([Y.StructField(n, Y.StringType()) for n in (*SHORT_KEYS, *SHORT_KEYS.values())])
+RESPONSE = Y.StructType([Y.StructField("events", Y.StringType()), Y.StructField("complete", Y.BooleanType())])
+_JSON = r"(?s)(\{.*\})"
+
+
+def _with_parsed(responses: DataFrame) -> DataFrame:
+    """Adds ``complete`` (null unless a boolean) and ``listed``: the events' JSON texts, null unless they are a list."""
+    bare = F.coalesce(T.found(F.col("response"), r"(?is)```(?:json)?\s*(\{.*\})\s*```", 1), T.found(F.col("response"), _JSON, 1))
+    rows = responses.withColumn("parsed", F.from_json(bare, RESPONSE))
+    listed = F.when(F.startswith(F.col("parsed.events"), F.lit("[")), F.from_json("parsed.events", "array<string>"))
+    return rows.withColumns({"complete": F.col("parsed.complete"), "listed": listed}).drop("parsed")
+
+
+def _clean_event(e: Column) -> list[Column]:
+    """Trimmed fields ('' where nothing is documented), known precisions and roles, dates that fit their precision, whole source numbers."""
+    raw = {n: F.coalesce(F.trim(F.coalesce(e[n], e[short])), F.lit("")) for n, short in SHORT_KEYS.items()}
+    precision, role = F.lower(raw["date_precision"]), F.lower(raw["date_role"])
+    day = F.when(precision == "day", raw["event_date"]).when(precision == "month", F.concat(raw["event_date"], F.lit("-01"))).when(precision == "year", F.concat(raw["event_date"], F.lit("-01-01")))
+    fits = F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    listed = F.from_json(F.concat(F.lit("["), F.regexp_replace(raw["source_ids"], r"^\[|\]$", ""), F.lit("]")), "array<string>")
+    made = {
+        "event_date": F.when(fits, raw["event_date"]).otherwise(""), "date_precision": F.when(fits, precision).otherwise("unknown"),
+        "date_role": F.when(role == "", "event_date").when(role.isin(*P.DATE_ROLES), role).otherwise("ambiguous"), "event_type": F.coalesce(F.nullif(raw["event_type"], F.lit("")), F.lit("clinical event")),
+        "provider_role": F.coalesce(F.nullif(F.lower(raw["provider_role"]), F.lit("")), F.lit("unknown")),
+    }
+    ids = F.array_distinct(F.array_compact(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: x.try_cast("int"))))
+    return [made.get(n, raw[n]).alias(n) for n in _FIELDS] + [ids.alias("source_ids"), F.exists(F.array(*raw.values()), lambda v: F.lower(v).isin(*P.PLACEHOLDERS)).alias("placeholder")]
 
 
 def response_events(responses: DataFrame) -> DataFrame:
-    """GEN9: recorded responses (batch_id, page, response), fenced or bare JSON, as event rows."""
-    bare = F.coalesce(T.found(F.col("response"), r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1), T.found(F.col("response"), r"(?s)(\{.*\})", 1))
-    parsed = responses.withColumn("parsed", F.from_json(bare, RESPONSE))
-    return parsed.select("batch_id", "page", F.col("parsed.complete").alias("complete"), F.size("parsed.events").alias("in_batch"), F.posexplode("parsed.events").alias("event_no", "event")).select("batch_id", "page", "complete", "in_batch", "event_no", "event.*")
+    """GEN9: recorded responses (batch_id, page, response), fenced or bare JSON, as event rows.
+
+    Fields may come by their short keys; a source number may stand alone or in
+    a list; a date that doesn't fit its precision becomes an unknown one.
+    """
+    rows = _with_parsed(responses).select("batch_id", "page", "complete", F.size("listed").alias("in_batch"), F.posexplode("listed").alias("event_no", "text"))
+    rows = rows.withColumn("event", F.from_json("text", RESPONSE_EVENT))
+    return rows.select("batch_id", "page", "complete", "in_batch", "event_no", *_clean_event(F.col("event")))
 
 
-#: Fixed value: a batch with more events than this is rejected as a whole.
-MOST_EVENTS = 100
+#: A batch with more events than this is rejected as a whole; events and pages that a page and a batch may have.
+MOST_EVENTS, MOST_ON_PAGE, MOST_ON_THOROUGH_PAGE, MOST_PAGES = 100, 12, 24, 50
 
 
 def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     """CHR5-CHR8: events with the first reason to reject them (null if none), and fields that their source doesn't bear out blanked.
 
-    ``sources``: batch_id, source_no, text, author.
+    ``sources``: batch_id, source_no, text, author. ``quote_at`` is the place of
+    the quotation in its source (from 0, white space normalised). Each blanked
+    field leaves a warning.
     """
-    rows = events.withColumn("source_no", F.when(F.size("source_ids") == 1, F.get("source_ids", F.lit(0))))
+    last = sources.groupBy("batch_id").agg(F.max("source_no").alias("n_sources"))
+    rows = events.join(last, "batch_id", "left").withColumn("source_ids", F.filter("source_ids", lambda i: (i >= 1) & (i <= F.col("n_sources")))).drop("n_sources")
+    rows = rows.withColumn("source_no", F.when(F.size("source_ids") == 1, F.get("source_ids", F.lit(0))))
     s = sources.select("batch_id", "source_no", F.col("text").alias("s_text"), F.col("author").alias("s_author"))
     rows = rows.join(s, ["batch_id", "source_no"], "left")
     quote, text, date = F.coalesce("source_quote", F.lit("")), F.col("s_text"), T.documented_date(F.col("date_original"))
@@ -190,32 +230,57 @@ def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     undated = (F.col("date_precision") == "unknown") | (F.coalesce("event_date", F.lit("")) == "")
     exact = undated | date["value"].eqNullSafe(F.col("event_date")) & (date["precision"] == F.col("date_precision"))
     reason = (
-        F.when(F.col("in_batch") > MOST_EVENTS, "too many events in the batch").when(text.isNull(), "no single valid source").when(quote.rlike(r"\.\.\.|…"), "ellipsis in the quotation").when((quote == "") | ~F.contains(flat(text), flat(quote)), "quotation not in the source")
+        F.when(F.col("in_batch") > MOST_EVENTS, "too many events in the batch").when(F.col("placeholder"), "placeholder text").when(text.isNull(), "no single valid source").when(quote.rlike(r"\.\.\.|…"), "ellipsis in the quotation").when((quote == "") | ~F.contains(flat(text), flat(quote)), "quotation not in the source")
         .when(F.col("date_role").isin(*P.EXCLUDED_ROLES) | F.col("date_original").rlike("^(?:" + P.DURATION + ")$"), "date role is no event date").when(~undated & ~F.contains(flat(text), flat(F.col("date_original"))), "date not in the source").when(~exact, "date reads differently in the source")
     )
-    held = lambda c: F.contains(T.evidence_text(text), T.evidence_text(F.col(c)))
-    blank = lambda c, ok: F.when((F.coalesce(F.col(c), F.lit("")) == "") | ok, F.col(c)).otherwise(F.lit(""))
+    given = lambda c: ~F.coalesce(F.col(c), F.lit("")).isin("", *P.NOT_GIVEN)
+    held = lambda c: F.coalesce(F.contains(T.evidence_text(text), T.evidence_text(F.col(c))), F.lit(False))
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    borne = lambda c: F.size(F.array_intersect(tokens(F.col(c)), tokens(text))) * 2 >= F.size(tokens(F.col(c)))
+    telling = lambda c: F.array_except(tokens(F.col(c)), F.array(*[F.lit(w) for w in P.GROUNDING_STOP_WORDS]))
+    borne = lambda c: F.coalesce(F.size(F.array_intersect(telling(c), tokens(text))) * 2 >= F.size(telling(c)), F.lit(False))
     guarded = lambda c: F.coalesce(F.contains(F.lower(quote), F.lower(T.found(F.col(c), "(?i)" + P.INFERENCE))), F.lit(True))
-    lost = F.array_compact(F.array(*[F.when((F.coalesce(F.col(c), F.lit("")) != "") & ~held(c), F.lit(f"{c} not in the source")) for c in ("provider", "facility")]))
-    by_author = F.lower("provider") == F.lower("s_author")
-    return rows.withColumns({
-        "reject_reason": reason, "warnings": lost, "provider": blank("provider", held("provider") | F.coalesce(by_author, F.lit(False))), "facility": blank("facility", held("facility")),
-        "presenting_symptoms": blank("presenting_symptoms", borne("presenting_symptoms") & guarded("presenting_symptoms")), "diagnosis": blank("diagnosis", borne("diagnosis") & guarded("diagnosis")),
-    }).drop("s_text", "s_author")
+    by_author = F.coalesce(T.evidence_text(F.col("provider")) == T.evidence_text(F.col("s_author")), F.lit(False))
+    in_source = {"provider": held("provider") | by_author, "facility": held("facility")} | {c: borne(c) for c in DESCRIPTIVE}
+    inferred = [F.when(given(c) & ~guarded(c), F.lit(f"{c} only infers")) for c in in_source]
+    lost = [F.when(given(c) & guarded(c) & ~ok, F.lit(f"{c} not in the source")) for c, ok in in_source.items()]
+    role = F.when(given("provider") & guarded("provider"), F.when(~in_source["provider"], "unknown").when(~held("provider"), "documenting_provider").otherwise(F.col("provider_role"))).otherwise(F.col("provider_role"))
+    kept = {c: F.when(given(c) & guarded(c) & ok, F.col(c)).otherwise(F.lit("")) for c, ok in in_source.items()}
+    return rows.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*inferred, *lost)), "provider_role": role, "quote_at": F.instr(flat(text), flat(quote)) - 1} | kept).drop("s_text", "s_author", "placeholder")
+
+
+def validate_pages(responses: DataFrame, sources: DataFrame, most: int = MOST_ON_PAGE) -> DataFrame:
+    """CHR9: recorded pages (batch_id, page, response) with valid, complete and accepted.
+
+    A page is valid if it isn't cut off, its events are a list of at most
+    ``most`` without a rejected one, and it says whether it is complete. Its
+    cursors are the places of its quotations: (source, position), in the order
+    of the events. See ``page_chain`` for what is accepted.
+    """
+    made = _with_parsed(responses).select(
+        "batch_id", "page", F.coalesce("complete", F.lit(False)).alias("complete"),
+        F.coalesce(~F.contains(F.col("response"), F.lit("Incomplete response")) & F.col("listed").isNotNull() & F.col("complete").isNotNull() & (F.size("listed") <= most), F.lit(False)).alias("well_formed"),
+    )
+    cursor = F.struct("source_no", "quote_at")
+    grounded = ground_events(response_events(responses), sources).where(F.col("in_batch") <= most)
+    by_page = grounded.groupBy("batch_id", "page").agg(F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"), F.transform(F.array_sort(F.collect_list(F.struct("event_no", cursor.alias("at")))), lambda x: x["at"]).alias("cursors"))
+    rows = made.join(by_page, ["batch_id", "page"], "left")
+    none = F.array().cast("array<struct<source_no:int,quote_at:int>>")
+    pages = rows.withColumns({"valid": F.col("well_formed") & (F.coalesce("rejected", F.lit(0)) == 0) & (F.col("page") <= MOST_PAGES), "cursors": F.coalesce("cursors", none)})
+    return page_chain(pages).select("batch_id", "page", "valid", "complete", "accepted")
 
 
 def page_chain(pages: DataFrame) -> DataFrame:
-    """WIN5/CHR9: pages (batch_id, page, cursors, valid, complete) that are accepted: the valid prefix up to the first complete one.
+    """WIN5/CHR9: pages (batch_id, page, cursors, valid, complete) that are accepted: the valid prefix up to the first complete or empty one.
 
-    A page is valid only if its cursors rise and its first one lies after the last of the page before.
+    Pages count from 1 without a gap. A page is valid only if its cursors rise
+    and its first one lies after the last of the page before.
     """
     w = W.partitionBy("batch_id").orderBy("page")
     rises = F.array_sort("cursors").eqNullSafe(F.col("cursors"))
     after = F.coalesce(F.get("cursors", F.lit(0)) > F.lag(F.try_element_at("cursors", F.lit(-1))).over(w), F.lit(True))
-    rows = pages.withColumn("good", F.coalesce(F.col("valid") & rises & after, F.lit(False)))
-    so_far, done = F.min("good").over(w.rowsBetween(W.unboundedPreceding, 0)), F.coalesce(F.max("complete").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    rows = pages.withColumn("good", F.coalesce(F.col("valid") & rises & after & (F.row_number().over(w) == F.col("page")), F.lit(False)))
+    ends = F.col("complete") | (F.size("cursors") == 0)
+    so_far, done = F.min("good").over(w.rowsBetween(W.unboundedPreceding, 0)), F.coalesce(F.max(ends).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
     return rows.withColumn("accepted", so_far & ~done)
 
 

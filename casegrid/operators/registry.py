@@ -48,6 +48,11 @@ def delete_run(tables: dict[str, DataFrame], run: Column) -> dict[str, DataFrame
     return {name: t.where(~F.coalesce(run, F.lit(False))) for name, t in tables.items()}
 
 
+def delete_all(tables: dict[str, DataFrame], root: str) -> str:
+    """MUT13: publish every table, and the points, without rows and with the same columns."""
+    return publish({name: t.where(F.lit(False)) for name, t in tables.items()}, root)
+
+
 def point_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """MUT8/SET1/SET2: every point id of either side with what happens to it."""
     both = old.select("point_id", F.lit(True).alias("was")).distinct().join(new.select("point_id", F.lit(True).alias("comes")).distinct(), "point_id", "full")

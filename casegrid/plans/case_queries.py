@@ -550,6 +550,26 @@ def ground_fields(spark, sf_dir):
     return chronology.ground_events(chronology.response_events(responses), sources).select("batch_id", "presenting_symptoms", "diagnosis")
 
 
+@query("CHR8_warnings", f"WITH {RECORDS} SELECT record_id AS batch_id, 'diagnosis only infers' || CASE WHEN record_id % 2 = 1 THEN ',provider not in the source' ELSE '' END || CASE WHEN record_id % 6 = 1 THEN ',presenting_symptoms not in the source' ELSE '' END AS warnings FROM r")
+def inference_guard(spark, sf_dir):
+    responses, sources = _responses(spark, sf_dir)
+    return chronology.ground_events(chronology.response_events(responses), sources).select("batch_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("CHR9_validate_pages", f"WITH {RECORDS}, k AS (SELECT record_id AS batch_id, record_id % 6 AS kind, unnest([1, 2]) AS page FROM r) SELECT batch_id, page, (page = 1 AND kind IN (0, 2)) OR (page = 2 AND kind = 0) AS accepted FROM k")
+def validate_pages(spark, sf_dir):
+    """Two pages a letter: good; cut off; second page no later; completeness no boolean; events no list; 13 events."""
+    r, sources = A.records(spark, sf_dir), _responses(spark, sf_dir)[1]
+    kind = F.col("record_id") % 6
+    event = lambda quote: F.concat(F.lit('{"q": "'), F.lit(quote), F.lit('", "src": 1, "t": "note"}'))
+    one, two = event("pain was reported"), F.when(kind == 2, event("pain was reported")).otherwise(event("Diagnosis: injury"))
+    held = F.when(kind == 4, one).when(kind == 5, F.concat(F.lit("["), F.array_join(F.array_repeat(one, 13), ","), F.lit("]"))).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    said = F.concat(F.when(kind == 1, "Incomplete response ").otherwise(""), F.lit('{"events": '), held, F.lit(', "complete": '), F.when(kind == 3, '"no"').otherwise("false"), F.lit("}"))
+    pages = F.array(F.struct(F.lit(1).alias("page"), said.alias("response")), F.struct(F.lit(2).alias("page"), F.concat(F.lit('{"events": ['), two, F.lit('], "complete": true}')).alias("response")))
+    rows = r.select(F.col("record_id").alias("batch_id"), F.inline(pages))
+    return chronology.validate_pages(rows, sources).select("batch_id", "page", "accepted")
+
+
 @query("WIN5_page_chain", "WITH t AS (SELECT o_custkey AS batch_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey % 9 > 0 AS valid FROM orders), u AS (SELECT *, min(valid::int) OVER (PARTITION BY batch_id ORDER BY page) = 1 AS ok FROM t) SELECT batch_id, cast(page AS integer) AS page, ok AND page <= 4 AS accepted FROM u")
 def page_chain(spark, sf_dir):
     n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))

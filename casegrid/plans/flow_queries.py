@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from casegrid.functions import textcols as T
 from casegrid.operators import answers, chronology, registry, retrieval
@@ -12,7 +13,7 @@ from casegrid.plans import adapters as A
 from casegrid.plans.case_queries import _REGISTRY, _responses
 from casegrid.plans.catalog import query
 from casegrid.plans.text_queries import RECORDS
-from casegrid.sources import io
+from casegrid.sources import io, tables
 from casegrid.streaming import streams
 from casegrid.workspace import shared_dir
 
@@ -188,6 +189,52 @@ def delete_run(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query("MUT13_delete_all", f"WITH {_REGISTRY} SELECT 'documents' AS t, count(*) AS n_before, 0::bigint AS n_after FROM docs UNION ALL SELECT 'chunks', count(*), 0 FROM chunks UNION ALL SELECT 'points', count(*), 0 FROM points")
+def delete_all(spark, sf_dir):
+    root = _folder(spark, "emptied")
+    before = A.registry(spark, sf_dir) | {"points": A.points(spark, sf_dir)}
+    registry.delete_all(before, root)
+    after = {name: registry.published(spark, root, name) for name in before}
+    rows = [t.select(F.lit(name).alias("t"), F.lit(was).alias("was")) for held, was in ((before, 1), (after, 0)) for name, t in held.items()]
+    return functools.reduce(DataFrame.unionByName, rows).groupBy("t").agg(F.count_if(F.col("was") == 1).alias("n_before"), F.count_if(F.col("was") == 0).alias("n_after"))
+
+
+@query("SNK1_write_tables", "SELECT 'doc-' || doc_id AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE 'indexed' END AS status, true AS no_pages FROM documents")
+def write_tables(spark, sf_dir):
+    """Documents published without a status gain it, and the layout's other columns."""
+    root = _folder(spark, "layout")
+    d = A.registry(spark, sf_dir)["chunks"].select("doc_id", "run_id", F.when(F.col("number") % 3 > 0, F.lit("2020-01-01").cast("timestamp")).alias("indexed_at"))
+    registry.publish({"documents": d}, root)
+    tables.write_tables(spark, root)
+    return registry.published(spark, root, "documents").select("doc_id", "status", F.col("pdf_total_pages").isNull().alias("no_pages"))
+
+
+@query("SRC3_chunks_for_runs", "SELECT 'run-' || doc_id % 20 AS run_id, doc_id AS number, 'doc-' || doc_id || '.md' AS original_filename FROM documents WHERE doc_id % 20 IN (SELECT doc_id % 20 FROM documents WHERE doc_id % 19 < 18)")
+def chunks_for_runs(spark, sf_dir):
+    r = A.registry(spark, sf_dir)
+    named = r["documents"].withColumn("original_filename", F.concat("doc_id", F.lit(".md")))
+    got = tables.chunks_for_runs(r["chunks"].withColumn("chunk_index", F.lit(0)), named, named.where("status = 'indexed'"))
+    return got.select("run_id", "number", "original_filename")
+
+
+@query("SRC9_documents_for_runs", "SELECT o_custkey AS run_id, o_orderkey || '.md' AS original_filename FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def documents_for_runs(spark, sf_dir):
+    d = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".md")).alias("original_filename"))
+    return tables.documents_for_runs(d, A.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("run_id")))
+
+
+@query("SRC10_chunks_for_documents", "SELECT l_orderkey AS doc_id, l_linenumber AS chunk_index FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def chunks_for_documents(spark, sf_dir):
+    c = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"))
+    return tables.chunks_for_documents(c, A.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id")))
+
+
+@query("SRC11_point_ids_for_runs", f"WITH {_REGISTRY} SELECT run_id, count(*) AS n FROM points WHERE run_id IN (SELECT run_id FROM docs) GROUP BY 1")
+def point_ids_for_runs(spark, sf_dir):
+    got = tables.point_ids_for_runs(A.points(spark, sf_dir), A.registry(spark, sf_dir)["documents"])
+    return got.groupBy("run_id").agg(F.count("*").alias("n"))
+
+
 @query("MUT9_all_or_nothing", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def all_or_nothing(spark, sf_dir):
     """A second, failing publication leaves the first version in place."""

@@ -1,12 +1,13 @@
 """Retrieval, chronology, answers, registry and streams on small tables."""
 
 import datetime
+import json
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from casegrid.operators import answers, casefile, chronology, reconcile, registry, retrieval
-from casegrid.sources import io
+from casegrid.sources import io, tables
 from casegrid.streaming import streams
 
 
@@ -133,3 +134,41 @@ def test_mmr_query_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, same + t) for i, t in enumerate(tails)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r["ord"] for r in case_queries.mmr(spark, str(tmp_path)).where("query_id = 0").orderBy("mmr_rank").collect()]
     assert got == [1, 3, 2]  # 2 repeats 1; 3 differs only after the first 800 characters
+
+
+def test_responses_short_keys_and_all_fields(spark):
+    long = {"event_date": "2021-13-01", "date_precision": "day", "date_role": "made up", "event_type": "visit", "provider": "Dr Ann Low", "facility": "Nowhere Clinic", "source_ids": [1, 9], "source_quote": "seen for knee pain"}
+    long |= {"investigations_findings": "scan showed tumour growth", "intervention_plan": "knee brace", "administrative_context": "probably billed", "diagnosis": "patient with knee pain"}
+    short = {"d": "2021-02-03", "p": "day", "od": "03/02/2021", "pr": "Pat Reed", "src": 1, "q": "Seen for  knee pain"}
+    held = {"q": "seen for knee pain", "src": 1, "t": "Missing-value phrase"}
+    text = "```json\n" + json.dumps({"events": [long, short, held, {"src": 2, "q": "seen"}, "none"], "complete": False}) + "\n```"
+    sources = spark.createDataFrame([("b", 1, "03/02/2021 Dr Ann Low: seen for knee pain, given a knee brace", "pat reed")], "batch_id string, source_no int, text string, author string")
+    responses = spark.createDataFrame([("b", 1, text)], "batch_id string, page int, response string")
+    got = {r["event_no"]: r for r in chronology.ground_events(chronology.response_events(responses), sources).collect()}
+    assert [got[i]["reject_reason"] for i in range(5)] == [None, None, "placeholder text", "no single valid source", "no single valid source"]
+    a = got[0]
+    assert (a["event_date"], a["date_precision"], a["date_role"], a["provider"], a["facility"], a["quote_at"]) == ("", "unknown", "ambiguous", "Dr Ann Low", "", 23)
+    assert (a["investigations_findings"], a["intervention_plan"], a["administrative_context"], a["diagnosis"]) == ("", "knee brace", "", "patient with knee pain")
+    assert a["warnings"] == ["administrative_context only infers", "facility not in the source", "investigations_findings not in the source"]
+    assert (got[1]["event_type"], got[1]["date_role"], got[1]["provider"], got[1]["provider_role"], got[1]["event_date"]) == ("clinical event", "event_date", "Pat Reed", "documenting_provider", "2021-02-03")
+
+
+def test_pages_end_at_an_empty_or_missing_one(spark):
+    page = lambda quotes, complete=False: json.dumps({"events": [{"q": q, "src": 1} for q in quotes], "complete": complete})
+    rows = [("a", 1, page(["one"])), ("a", 2, page([])), ("a", 3, page(["two"])), ("b", 1, page(["one", "two"])), ("b", 3, page(["three"])), ("c", 1, page(["two", "one"])), ("d", 1, None), ("e", 1, page(["one"], True)), ("e", 2, page(["two"]))]
+    sources = spark.createDataFrame([(b, 1, "one two three", None) for b in "abcde"], "batch_id string, source_no int, text string, author string")
+    got = chronology.validate_pages(spark.createDataFrame(rows, "batch_id string, page int, response string"), sources)
+    assert {(r["batch_id"], r["page"]) for r in got.where("accepted").collect()} == {("a", 1), ("a", 2), ("b", 1), ("e", 1)}
+
+
+def test_tables_are_created_evolved_and_emptied(spark, tmp_path):
+    root = str(tmp_path / "t")
+    tables.write_tables(spark, root)
+    assert {n: registry.published(spark, root, n).count() for n in tables.SCHEMAS} == {"runs": 0, "documents": 0, "chunks": 0}
+    d = spark.createDataFrame([("d1", "r", "pending", 1), ("d2", "r", None, 2)], "doc_id string, run_id string, status string, more int").withColumn("indexed_at", F.when(F.col("doc_id") == "d1", F.current_timestamp()))
+    registry.publish({"documents": d}, root)
+    tables.write_tables(spark, root)
+    held = registry.published(spark, root, "documents")
+    assert {(r["doc_id"], r["status"], r["more"]) for r in held.collect()} == {("d1", "indexed", 1), ("d2", "pending", 2)} and "markdown_path" in held.columns
+    registry.delete_all({"documents": held}, root)
+    assert registry.published(spark, root, "documents").count() == 0 and registry.published(spark, root, "documents").columns == held.columns
