@@ -118,6 +118,24 @@ def transcript(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n\n").alias("text"))
 
 
+def plain_text(content: Column) -> Column:
+    """SNK3: without heading marks, emphasis marks and link targets."""
+    bare = F.regexp_replace(content, r"(?md)^#{1,6}\s+", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\*{1,3}([^*]+)\*{1,3}", "$1"), r"\[([^\]]+)\]\([^)]+\)", "$1")
+
+
+def text_transcript(messages: DataFrame) -> DataFrame:
+    """SNK3: one plain text a session (session_id, text): a title, then each message under its role's heading; answers lose their marks."""
+    thin, thick = F.lit("-" * 40), F.lit("=" * 60)
+    role = F.col("role")
+    heading = F.when(role == "user", "USER QUERY:").when(role == "reasoning", "ADMINISTRATIVE LLM REASONING AUDIT:").otherwise("ANALYSIS RESPONSE:")
+    body = F.when(role.isin("user", "reasoning"), F.col("content")).otherwise(F.concat(plain_text(F.col("content")), F.lit("\n\n"), thick))
+    block = F.concat_ws("\n", heading, thin, body, F.lit(""))
+    held = messages.groupBy("session_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role", block.alias("block")))).alias("held"))
+    title = F.concat_ws("\n", F.lit("RAG ANALYSIS EXPORT"), thick, F.concat(F.lit("Messages:  "), F.col("n").cast("string")), thick, F.lit(""))
+    return held.select("session_id", F.concat_ws("\n", title, F.array_join(F.transform("held", lambda x: x["block"]), "\n")).alias("text"))
+
+
 def table_rows(messages: DataFrame) -> DataFrame:
     """GEN7: (session_id, turn, row_no, cells) of Markdown table rows; separator rows go, escaped bars stay in a cell."""
     lines = messages.select("session_id", "turn", F.posexplode(F.split("content", "\n")).alias("row_no", "line")).where(F.trim("line").rlike(r"^\|.*\|$"))

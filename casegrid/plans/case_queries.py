@@ -672,6 +672,18 @@ def transcripts(spark, sf_dir):
     return answers.transcript(A.messages(spark, sf_dir))
 
 
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(c, '(?m)^#{1,6}\s+', '', 'g'), '\*{1,3}([^*]+)\*{1,3}', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
+
+
+@query("SNK3_text_transcripts", f"""WITH m AS (SELECT conv_id AS session_id, turn, role, CASE WHEN turn % 2 = 0 THEN '## Heading' || chr(10) ELSE '' END || '**bold** [link](http://x) ' || coalesce(text, '') AS c FROM conversations WHERE role IN ('user', 'assistant')),
+b AS (SELECT *, CASE role WHEN 'user' THEN 'USER QUERY:' ELSE 'ANALYSIS RESPONSE:' END || chr(10) || repeat('-', 40) || chr(10) || CASE role WHEN 'user' THEN c ELSE {_PLAIN} || chr(10) || chr(10) || repeat('=', 60) END || chr(10) AS block FROM m)
+SELECT session_id, concat_ws(chr(10), 'RAG ANALYSIS EXPORT', repeat('=', 60), 'Messages:  ' || count(*), repeat('=', 60), '', string_agg(block, chr(10) ORDER BY turn, role)) AS text FROM b GROUP BY 1""")
+def text_transcripts(spark, sf_dir):
+    marked = F.concat(F.when(F.col("turn") % 2 == 0, "## Heading\n").otherwise(""), F.lit("**bold** [link](http://x) "), F.coalesce("text", F.lit("")))
+    c = A.table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    return answers.text_transcript(c.select(F.col("conv_id").alias("session_id"), "turn", "role", marked.alias("content")))
+
+
 @query("GEN7_markdown_table_rows", "SELECT o_orderkey AS session_id, r AS row_no, CASE r WHEN 0 THEN 'Date' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS first, CASE r WHEN 0 THEN 'Event' ELSE 'a | b ' || o_orderstatus END AS second FROM orders, (SELECT unnest([0, 2]) AS r)")
 def markdown_table_rows(spark, sf_dir):
     text = F.concat(F.lit("| Date | Event |\n|---|:-:|\n| "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" | a \\| b "), F.col("o_orderstatus"), F.lit(" |\nend"))
