@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as Y, Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from casegrid.functions import patterns as P, textcols as T
 from casegrid.operators.chunking import match_spans
@@ -73,14 +75,14 @@ def dated_mentions(chunks: DataFrame) -> DataFrame:
     ``chunks``: run_id, chunk_id, author, text. Sentences end at `. ` or `; `.
     """
     rows = chunks.select("run_id", "chunk_id", "author", T.strip_html(F.col("text")).alias("text")).where(F.col("text").rlike(P.DOCUMENTED_DATE))
-    rows = rows.withColumns({"dates": match_spans(F.col("text"), P.DOCUMENTED_DATE), "stops": match_spans(F.col("text"), r"[.;] ")}).select("*", F.explode_outer("dates").alias("d")).where(F.col("d").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
+    # the window below needs a chunk's mentions together: dealing the chunks out before they are exploded ships each text once
+    rows = rows.repartition("run_id", "chunk_id").withColumns({"dates": match_spans(F.col("text"), P.DOCUMENTED_DATE), "stops": match_spans(F.col("text"), r"[.;] ")}).select("*", F.explode_outer("dates").alias("d")).where(F.col("d").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
     text, s, e = F.col("text"), F.col("s"), F.col("e")
     mention = F.substring(text, s + 1, e - s)
     left = F.array_max(F.transform(F.filter("stops", lambda x: x["end"] <= s), lambda x: x["start"]))
     right = F.array_min(F.transform(F.filter("stops", lambda x: x["start"] >= e), lambda x: x["start"]))
     rows = rows.withColumns({"mention": mention, "date": T.documented_date(mention), "left": F.coalesce(left, F.lit(-1)), "right": right}).drop("stops")
-    # the window below needs a chunk's rows together; dealing them out here also keeps the parsed dates from being computed anew in every later column
-    rows = rows.repartition("run_id", "chunk_id").where(F.col("date.value").isNotNull())
+    rows = rows.where(F.col("date.value").isNotNull())
     stop = F.coalesce("right", F.length(text))
     peers = F.filter("dates", lambda x: (F.col("left") < x["start"]) & (x["start"] < stop))
     end = F.least(F.coalesce(F.col("right") + 1, F.length(text)), e + 220)
@@ -116,32 +118,50 @@ def merge_events(events: DataFrame) -> DataFrame:
     return out.drop("f_provider", "f_type", "f_quote")
 
 
-def near_duplicate_events(events: DataFrame, least: float = P.NEAR_EVENT) -> DataFrame:
-    """CHR3: of events of a case with one date and type, each that resembles an earlier kept one is merged into it."""
-    fields = "run_id string, event_date string, date_precision string, chunk_id string, ord int, date_original string, date_role string, event_type string, provider string, source_quote string, sources array<string>"
-    names = [f.split()[0] for f in fields.split(", ")]
-    word = re.compile("[a-z0-9]{3,}")
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[set, dict]] = []
-        for row in f.sort_values(["chunk_id", "ord", "source_quote"]).to_dict("records"):
-            tokens = set(word.findall(row["source_quote"].lower()))
-            same = next((r for t, r in kept if tokens and len(tokens & t) / max(len(tokens | t), 1) >= least), None)
+_WORD = re.compile("[a-z0-9]{3,}")
+
+
+def _merge_near(batches, least: float):
+    """Events sorted by group and order; holds what one group keeps. Two token sets that are similar enough share one of
+    the first tokens of each in sorted order, so an event is compared with the kept ones under these alone."""
+    place, kept, under = None, [], {}
+    done = lambda: [row | {"sources": list(sources)} for _, row, sources in kept]
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            here = (row["run_id"], row["event_date"], row.pop("kind"))
+            if here != place:
+                out += done()
+                place, kept, under = here, [], {}
+            tokens = sorted(set(_WORD.findall(row["source_quote"].lower())))
+            held, lead = set(tokens), tokens[: len(tokens) - math.ceil(least * len(tokens) - 1e-9) + 1]
+            near = sorted({k for t in lead for k in under.get(t, ())})
+            same = next((k for k in near if len(held & kept[k][0]) / len(held | kept[k][0]) >= least), None)
             if same is None:
-                kept.append((tokens, row | {"sources": list(row["sources"])}))
+                for t in lead:
+                    under.setdefault(t, []).append(len(kept))
+                kept.append((held, row, dict.fromkeys(row["sources"])))
             else:
-                same["sources"] += [s for s in row["sources"] if s not in same["sources"]]
-        return pd.DataFrame([r for _, r in kept])[names]
+                kept[same][2].update(dict.fromkeys(row["sources"]))
+        if out:
+            yield out
+    if kept:
+        yield done()
+
+
+def near_duplicate_events(events: DataFrame, least: float = P.NEAR_EVENT) -> DataFrame:
+    """CHR3: of events of a case with one date and type, each that resembles an earlier kept one is merged into it."""
+    names = ["run_id", "event_date", "date_precision", "chunk_id", "ord", "date_original", "date_role", "event_type", "provider", "source_quote", "sources"]
+    schema = events.select(*names).schema
+    arrow = to_arrow_schema(schema)
 
-    def several(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(g) for _, g in f.groupby(["event_date", "kind"])], ignore_index=True)
+    def run(batches):
+        for rows in _merge_near(batches, least):
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     kind = F.when(F.col("date_role") == "historical_event_date", "historical").otherwise(F.col("event_type"))
-    rows = events.withColumn("kind", kind).withColumn("peers", F.count("*").over(W.partitionBy("run_id", "event_date", "kind")))
-    alone = rows.where("peers = 1").select(*names)
-    # dates that share a case and a month go through Python together
-    merged = rows.where("peers > 1").groupBy("run_id", F.substring("event_date", 1, 7)).applyInPandas(several, fields)
-    return alone.unionByName(merged)
+    rows = events.select(*names, kind.alias("kind")).repartition("run_id", "event_date", "kind")
+    return rows.sortWithinPartitions("run_id", "event_date", "kind", "chunk_id", "ord", "source_quote").mapInArrow(run, schema)
 
 
 def rule_chronology(chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as Y
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from casegrid.functions import patterns as P, textcols as T
 
@@ -23,15 +24,34 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """GEN1: (key, section_no, start, end) of every section; boundaries closer than the least size to the last kept one
-    are dropped, but a report title replaces a nearby generic one; blanks at both ends are trimmed."""
+def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            at, out = [], ([], [], [], [])
+            for i, (text, kept) in enumerate(zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True)):
+                for no, (a, b) in enumerate(zip(kept, [*kept[1:], len(text)], strict=True)):
+                    body = text[a:b].lstrip()
+                    start, body = b - len(body), body.rstrip()
+                    if body:
+                        at.append(i)
+                        for column, value in zip(out, (no, start, start + len(body), body), strict=True):
+                            column.append(value)
+            held = batch.select([key, *carried]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*held.columns, *map(pa.array, out)], schema, strict=True)], schema=schema)
+
+    return run
+
+
+def sections(docs: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """GEN1: (key, carried columns, section_no, start, end, section_text) of every section; boundaries closer than the
+    least size to the last kept one are dropped, but a report title replaces a nearby generic one; blanks at both ends
+    are trimmed. A document's sections come out in order, in the task that held its row; nothing is shuffled."""
     text = F.col("text")
     titles = F.transform(match_spans(text, P.REPORT_TITLE), lambda s: s["start"])
     others = [F.transform(match_spans(text, p), lambda s: s["start"]) for p in P.SECTION_STARTS]
     ends = F.transform(match_spans(text, P.SIGNED_LINE), lambda s: s["end"])
     zero = F.array(F.lit(0))
-    bounds = docs.where(F.length(F.trim(text)) > 0).select(key, "text", titles.alias("titles"), F.array_sort(F.array_distinct(F.concat(zero, titles, ends, *others))).alias("bounds"))
+    bounds = docs.where(F.length(F.trim(text)) > 0).select(key, *carried, "text", titles.alias("titles"), F.array_sort(F.array_distinct(F.concat(zero, titles, ends, *others))).alias("bounds"))
     last = lambda a: F.element_at(a, -1)
 
     def fold(kept, b):
@@ -40,14 +60,9 @@ def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         swap = F.array_contains(F.col("titles"), b) & ~F.array_contains(F.col("titles"), last(kept))
         return F.when(far, F.array(b)).when(near, F.concat(kept, F.array(b))).when(swap, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(b))).otherwise(kept)
 
-    kept = bounds.withColumn("kept", F.aggregate("bounds", F.array().cast("array<int>"), fold))
-    # "outer": a plain explode has its array computed again, in full, in a filter below
-    rows = kept.select(key, "text", "kept", F.posexplode_outer("kept").alias("section_no", "b"))
-    end = F.coalesce(F.get("kept", F.col("section_no") + 1), F.length("text"))
-    raw = rows.withColumn("raw", F.substring(F.col("text"), F.col("b") + 1, end - F.col("b")))
-    body = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
-    return raw.withColumn("body", body).where(F.length("body") > 0).select(key, "section_no", (F.col("b") + lead).cast("int").alias("start"), (F.col("b") + lead + F.length("body")).cast("int").alias("end"), F.col("body").alias("section_text"))
+    rows = bounds.select(key, *carried, "text", F.aggregate("bounds", F.array().cast("array<int>"), fold).alias("kept"))
+    schema = Y.StructType([*[rows.schema[c] for c in (key, *carried)], *[Y.StructField(c, Y.IntegerType()) for c in ("section_no", "start", "end")], Y.StructField("section_text", Y.StringType())])
+    return rows.mapInArrow(_cut(key, carried, to_arrow_schema(schema)), schema)
 
 
 _PARAGRAPH = re.compile(r"\n[ \t]*\n+")
@@ -82,17 +97,30 @@ def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
         at = max(at + 1, end - overlap if overlap else cut)
 
 
-def _split(size: int, overlap: int):
-    schema = pa.schema([("doc_id", pa.string()), ("section_no", pa.int32()), ("source_char_start", pa.int32()), ("source_char_end", pa.int32()), ("chunk_text", pa.string())])
+def _page(position: int, ranges: list[dict]) -> int | None:
+    return next((r["page"] for r in ranges if r["start"] <= position < r["end"]), None)
+
+
+def _split(size: int, overlap: int, kept: tuple[str, ...], schema: pa.Schema):
+    """Chunks of sections that come in order, numbered within their document."""
 
     def run(batches):
+        doc, no, index = None, -1, 0
         for batch in batches:
-            rows = []
-            for doc, no, start, kind, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "section_no", "start", "section_kind", "section_text")), strict=True):
-                most = max(size, P.RADIOLOGY_SIZE) if kind == "radiology_report" else size
-                rows += [(doc, no, start + a, start + b, text[a:b]) for a, b in chunk_spans(text, most, overlap)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            at, out = [], ([], [], [], [], [], [])
+            for i, row in enumerate(batch.select(["doc_id", "section_no", "start", "section_kind", "section_text", "page_ranges"]).to_pylist()):
+                if row["doc_id"] != doc or row["section_no"] <= no:
+                    index = 0
+                doc, no, first, text = row["doc_id"], row["section_no"], row["start"], row["section_text"]
+                pages = [r for r in row["page_ranges"] or () if r and r["start"] is not None and r["end"] is not None and r["start"] < first + len(text) and r["end"] > first]
+                for a, b in chunk_spans(text, max(size, P.RADIOLOGY_SIZE) if row["section_kind"] == "radiology_report" else size, overlap):
+                    at.append(i)
+                    for column, value in zip(out, (index, first + a, first + b, _page(first + a, pages), _page(first + b - 1, pages), text[a:b]), strict=True):
+                        column.append(value)
+                    index += 1
+            held = batch.select(list(kept)).take(pa.array(at, pa.int64()))
+            columns = [*held.columns, *[pa.array(c, f.type) for c, f in zip(out, list(schema)[len(kept) :], strict=True)]]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -105,29 +133,29 @@ def page_of(position: Column, ranges: Column) -> Column:
 def chunk_documents(docs: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
     """GEN3: chunks with provenance and annotations; a chunk's own finding wins over its section's, then its document's.
 
-    ``docs``: doc_id, run_id, original_filename, text, page_ranges, provenance_type.
+    ``docs``: doc_id, run_id, original_filename, text, page_ranges, provenance_type; each row is a document of its own.
     """
     if size <= 0:
         raise ValueError("chunk size must be greater than zero")
-    section = sections(docs)
-    section = section.withColumn("own_kind", T.document_type(F.col("section_text")))
-    head = docs.select("doc_id", "run_id", "original_filename", "page_ranges", "provenance_type", T.document_type(F.col("text")).alias("doc_kind"), T.patient_name(F.col("text")).alias("doc_patient"))
-    section = section.join(head.select(F.col("doc_id").alias("h_doc"), "doc_kind"), F.col("doc_id") == F.col("h_doc")).withColumn("section_kind", F.when(F.col("own_kind") != "unknown", F.col("own_kind")).otherwise(F.col("doc_kind")))
-    pieces = section.select("doc_id", "section_no", "start", "section_kind", "section_text").mapInArrow(_split(size, overlap), "doc_id string, section_no int, source_char_start int, source_char_end int, chunk_text string")
+    # one exchange evens out files of few row groups and very long texts; every later step is narrow
+    docs = docs.select("doc_id", "run_id", "original_filename", "text", "page_ranges", "provenance_type").repartition("doc_id")
+    docs = docs.withColumns({"doc_kind": T.document_type(F.col("text")), "doc_patient": T.patient_name(F.col("text"))})
     s = F.col("section_text")
-    notes = section.select(F.col("doc_id").alias("s_doc"), F.col("section_no").alias("s_no"), "section_kind", T.author(s).alias("s_author"), T.first_date_iso(s).alias("s_iso"), T.first_date_raw(s).alias("s_raw"), T.patient_name(s).alias("s_patient"))
-    rows = pieces.join(notes, (F.col("doc_id") == F.col("s_doc")) & (F.col("section_no") == F.col("s_no"))).drop("s_doc", "s_no")
-    rows = rows.join(head.withColumnRenamed("doc_id", "h_doc").drop("doc_kind"), F.col("doc_id") == F.col("h_doc")).drop("h_doc").withColumnRenamed("chunk_text", "text")
+    section = sections(docs, "doc_id", ("run_id", "original_filename", "page_ranges", "provenance_type", "doc_kind", "doc_patient"))
+    section = section.withColumns({"own_kind": T.document_type(s), "s_author": T.author(s), "s_raw": T.first_date_raw(s), "s_patient": T.patient_name(s)})
+    section = section.withColumns({"section_kind": F.when(F.col("own_kind") != "unknown", F.col("own_kind")).otherwise(F.col("doc_kind")), "s_iso": T.first_date_iso(F.col("s_raw")), "patient_name": F.coalesce("s_patient", "doc_patient")})
+    kept = ("doc_id", "run_id", "original_filename", "provenance_type", "section_kind", "s_author", "s_raw", "s_iso", "patient_name")
+    section = section.select(*kept, "section_no", "start", "section_text", "page_ranges")
+    found = Y.StructType([*[section.schema[c] for c in kept], *[Y.StructField(c, Y.IntegerType()) for c in ("chunk_index", "source_char_start", "source_char_end", "page_start", "page_end")], Y.StructField("text", Y.StringType())])
+    rows = section.mapInArrow(_split(size, overlap, kept, to_arrow_schema(found)), found)
     t, radiology = F.col("text"), F.col("section_kind") == "radiology_report"
-    index = (F.row_number().over(W.partitionBy("doc_id").orderBy("source_char_start", "source_char_end")) - 1).cast("int")
-    rows = rows.withColumn("chunk_index", index).withColumn("radiology_date", F.when(radiology, T.radiology_date(t)))
-    first, final = page_of(F.col("source_char_start"), F.col("page_ranges")), page_of(F.col("source_char_end") - 1, F.col("page_ranges"))
+    rows = rows.withColumns({"radiology_date": F.when(radiology, T.radiology_date(t)), "own_raw": T.first_date_raw(t)})
     return rows.select(
         T.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "run_id", "chunk_index", "text", F.col("source_char_start").alias("char_start"), F.col("source_char_end").alias("char_end"),
-        "source_char_start", "source_char_end", first.alias("page_number"), first.alias("page_start"), final.alias("page_end"), "original_filename", "provenance_type", F.col("section_kind").alias("document_type"),
+        "source_char_start", "source_char_end", F.col("page_start").alias("page_number"), "page_start", "page_end", "original_filename", "provenance_type", F.col("section_kind").alias("document_type"),
         F.coalesce(F.when(radiology, T.radiology_author(t)), T.author(t), "s_author").alias("author"),
-        F.coalesce("radiology_date.iso", T.first_date_iso(t), "s_iso").cast("date").alias("date_extracted"), F.coalesce("radiology_date.raw", T.first_date_raw(t), "s_raw").alias("date_raw"),
-        T.section_type(t).alias("section_type"), F.coalesce("s_patient", "doc_patient").alias("patient_name"), T.token_estimate(t).alias("token_count"),
+        F.coalesce("radiology_date.iso", T.first_date_iso(F.col("own_raw")), "s_iso").cast("date").alias("date_extracted"), F.coalesce("radiology_date.raw", "own_raw", "s_raw").alias("date_raw"),
+        T.section_type(t).alias("section_type"), "patient_name", T.token_estimate(t).alias("token_count"),
     )
 
 
