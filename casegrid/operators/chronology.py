@@ -76,13 +76,15 @@ def dated_mentions(chunks: DataFrame) -> DataFrame:
     """
     rows = chunks.select("run_id", "chunk_id", "author", T.strip_html(F.col("text")).alias("text")).where(F.col("text").rlike(P.DOCUMENTED_DATE))
     # the window below needs a chunk's mentions together: dealing the chunks out before they are exploded ships each text once
-    rows = rows.repartition("run_id", "chunk_id").withColumns({"dates": match_spans(F.col("text"), P.DOCUMENTED_DATE), "stops": match_spans(F.col("text"), r"[.;] ")}).select("*", F.explode_outer("dates").alias("d")).where(F.col("d").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"))
+    rows = rows.repartition("run_id", "chunk_id")
+    # mentions are parsed inside the array: a filter on a parsed column would have it parsed again
+    seen = F.zip_with(match_spans(F.col("text"), P.DOCUMENTED_DATE), F.regexp_extract_all("text", F.lit(P.DOCUMENTED_DATE), F.lit(0)), lambda x, m: F.struct(x["start"].alias("start"), x["end"].alias("end"), m.alias("mention")))
+    dates = F.transform(seen, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["mention"].alias("mention"), T.documented_date(x["mention"]).alias("date")))
+    rows = rows.withColumns({"dates": dates, "stops": match_spans(F.col("text"), r"[.;] ")}).select("*", F.explode_outer("dates").alias("d")).where(F.col("d.date.value").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"), "d.mention", "d.date")
     text, s, e = F.col("text"), F.col("s"), F.col("e")
-    mention = F.substring(text, s + 1, e - s)
     left = F.array_max(F.transform(F.filter("stops", lambda x: x["end"] <= s), lambda x: x["start"]))
     right = F.array_min(F.transform(F.filter("stops", lambda x: x["start"] >= e), lambda x: x["start"]))
-    rows = rows.withColumns({"mention": mention, "date": T.documented_date(mention), "left": F.coalesce(left, F.lit(-1)), "right": right}).drop("stops")
-    rows = rows.where(F.col("date.value").isNotNull())
+    rows = rows.withColumns({"left": F.coalesce(left, F.lit(-1)), "right": right}).drop("stops")
     stop = F.coalesce("right", F.length(text))
     peers = F.filter("dates", lambda x: (F.col("left") < x["start"]) & (x["start"] < stop))
     end = F.least(F.coalesce(F.col("right") + 1, F.length(text)), e + 220)
