@@ -241,3 +241,16 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB SQL for the rows of op8.
+OP8_SQL = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS unit FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
+),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.unit, b.unit) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, e.b FROM reach AS r JOIN e ON r.other = e.a)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) AS c LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a) AS n USING (vec_id)
+"""

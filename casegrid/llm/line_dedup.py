@@ -414,3 +414,28 @@ def drop_repeated_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "do
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeated_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
+#: DuckDB SQL for the rows of op9: prefixes of each distinct line's rarest words give the candidates.
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) END AS lines FROM documents),
+u AS MATERIALIZED (
+  SELECT doc_id, no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS no FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+s AS MATERIALIZED (SELECT words, len(words) AS n, min({'doc': doc_id, 'no': no}) AS first, row_number() OVER () AS sid FROM u GROUP BY words),
+w AS MATERIALIZED (SELECT sid, n, first, unnest(words) AS word FROM s),
+f AS (SELECT word, count(*) AS held FROM w GROUP BY word),
+p AS MATERIALIZED (
+  SELECT * FROM (SELECT sid, n, first, word, row_number() OVER (PARTITION BY sid ORDER BY held, word) AS place FROM w JOIN f USING (word))
+  WHERE place <= n - (4 * n + 4) // 5 + 1
+),
+c AS MATERIALIZED (SELECT DISTINCT a.sid AS a, b.sid AS b FROM p AS a JOIN p AS b ON a.word = b.word WHERE a.first < b.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+l AS (
+  SELECT DISTINCT b FROM (SELECT b, len(list_intersect(x.words, y.words)) AS o, x.n + y.n AS sizes FROM c JOIN s AS x ON x.sid = a JOIN s AS y ON y.sid = b)
+  WHERE 100 * o >= 80 * (sizes - o)
+),
+g AS (SELECT u.doc_id, u.no FROM u JOIN s USING (words) WHERE u.doc_id <> s.first.doc OR u.no <> s.first.no OR s.sid IN (SELECT b FROM l)),
+r AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed_lines FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM t LEFT JOIN r USING (doc_id)
+"""

@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {
+        "op4_ngram_jaccard": ngram_jaccard.OP4_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op8_embedding_dedup": embedding_dedup.OP8_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
+        "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    }

@@ -407,3 +407,20 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for the rows of op10.
+OP10_SQL = r"""
+WITH b AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, substr(h, 400 * k + 1, 498) AS piece FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 199) // 200)) AS k FROM b)),
+s AS MATERIALIZED (SELECT doc_id, 200 * k + i AS pos, substr(piece, 2 * i + 1, 100) AS part FROM (SELECT doc_id, k, piece, unnest(range(0, least(200, len(piece) // 2 - 49))) AS i FROM c)),
+f AS (SELECT part, min(doc_id) AS first_doc FROM s GROUP BY part),
+m AS (SELECT s.doc_id, s.pos, lag(s.pos) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS before FROM s JOIN f USING (part) WHERE s.doc_id > f.first_doc),
+r AS (SELECT doc_id, pos, sum(CASE WHEN pos <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m),
+g AS (SELECT doc_id, min(pos) AS first, max(pos) + 50 AS last FROM r GROUP BY doc_id, run),
+k AS (SELECT g.doc_id, first, last, substr(h, 2 * lag(last, 1, 0) OVER w + 1, 2 * (first - lag(last, 1, 0) OVER w)) AS held FROM g JOIN b USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY first)),
+t AS (SELECT doc_id, sum(last - first) AS n_removed, count(*) AS n_spans, max(last) AS last, string_agg(held, '' ORDER BY first) AS held FROM k GROUP BY doc_id)
+SELECT b.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(held, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN t USING (doc_id)
+"""

@@ -4,13 +4,14 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts, words
+from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, language_id, line_dedup, ngram_jaccard, queries, secret_scans, source_mix, suffix_dedup, token_counts, words
 from casegrid.llm.packed import forest
 from tests.llm import brute
 
@@ -408,3 +409,22 @@ def test_merge_of_runs():
         d, n, z = exact_dedup.merge_runs(pieces)
         got = {(*d[k].tolist(), *n[:2, k].tolist()): ((-n[2, k], z[k], n[3, k], n[4, k]), n[5, k]) for k in range(len(d))}
         assert got == want
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard", "op7_exact_dedup", "op8_embedding_dedup", "op9_line_dedup", "op10_suffix_dedup"])
+def test_sql(spark, docs, name, monkeypatch):
+    module = {"op4": ngram_jaccard, "op7": exact_dedup, "op8": embedding_dedup, "op9": line_dedup, "op10": suffix_dedup}[name.split("_")[0]]
+    rng = np.random.default_rng(5)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(40, 8))]
+    vectors += [[x + 0.05 for x in v] for v in vectors[:15]] + [vectors[3], None, [], [0.0] * 8, [None, *vectors[0][1:]], [float("nan"), *vectors[0][1:]]]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>") if name.startswith("op8") else docs
+    monkeypatch.setattr(module, "read_table", lambda *_: table)
+    con = duckdb.connect()
+    con.register("embeddings" if name.startswith("op8") else "documents", table.toArrow())
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, "")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
