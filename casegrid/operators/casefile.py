@@ -44,8 +44,8 @@ def case_names(chunks: DataFrame) -> DataFrame:
     return first.join(second, "run_id", "left").select("run_id", F.array_compact(F.array("first", "second")).alias("names"))
 
 
-def case_metadata(chunks: DataFrame) -> DataFrame:
-    """AGG8: per case names, dob and injuries, over distinct values only.
+def case_metadata(chunks: DataFrame, order: str | None = None) -> DataFrame:
+    """AGG8: per case names, dob and, if ``order`` names the column of the source order, injuries; over distinct values only.
 
     Ties that a set would leave open go to the smaller text. Names are cleaned
     row by row and the two results found by aggregates, so no list of a case's
@@ -54,8 +54,11 @@ def case_metadata(chunks: DataFrame) -> DataFrame:
     raw = F.replace(T.found(F.col("text"), "(?i)" + P.DOB, 1), F.lit("."), F.lit("/"))
     dobs = chunks.select("run_id", raw.alias("raw")).where("raw is not null").distinct().withColumn("iso", T.timeline_date(F.col("raw")))
     by_dob = dobs.groupBy("run_id").agg(F.max_by("raw", F.when(F.col("iso").isNotNull(), F.struct(F.length("raw"), "raw"))).alias("dob"), F.array_sort(F.collect_set(F.when(F.col("iso").isNull(), F.col("raw")))).alias("dob_unparsed"))
-    cases = chunks.select("run_id").distinct().join(case_names(chunks), "run_id", "left").join(by_dob, "run_id", "left").join(case_injuries(chunks), "run_id", "left")
-    return cases.select("run_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("dob", F.lit("Not present in source")).alias("dob"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("dob_unparsed", "injuries")])
+    cases = chunks.select("run_id").distinct().join(case_names(chunks), "run_id", "left").join(by_dob, "run_id", "left")
+    lists = ["dob_unparsed"]
+    if order:
+        cases, lists = cases.join(case_injuries(chunks, order), "run_id", "left"), [*lists, "injuries"]
+    return cases.select("run_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.coalesce("dob", F.lit("Not present in source")).alias("dob"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists])
 
 
 def case_injuries(chunks: DataFrame, order: str = "chunk_id") -> DataFrame:

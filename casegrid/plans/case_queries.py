@@ -434,7 +434,7 @@ injuries AS (SELECT run_id, string_agg(phrase, ';' ORDER BY n) AS injuries FROM
 @query("AGG8_case_metadata", f"""WITH {RECORDS}, {_NAMES}, {_INJURIES}
 SELECT run_id, coalesce(names, '') AS names, '01/02/1970' AS dob, '' AS dob_unparsed, injuries FROM (SELECT DISTINCT run_id FROM r) LEFT JOIN names USING (run_id) LEFT JOIN injuries USING (run_id)""")
 def case_metadata(spark, sf_dir):
-    found = casefile.case_metadata(_letters(spark, sf_dir))
+    found = casefile.case_metadata(_letters(spark, sf_dir), "chunk_id")
     return found.select("run_id", "dob", *[F.array_join(c, ";").alias(c) for c in ("names", "dob_unparsed", "injuries")])
 
 
