@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, harmonic_packing, language_id, lexical_search, line_dedup, ngram_jaccard, secret_scans, source_mix, suffix_dedup, token_counts
+from casegrid.llm import best_fit_packing, embedding_dedup, exact_dedup, harmonic_packing, language_id, lexical_search, line_dedup, ngram_jaccard, prefix_trie, secret_scans, source_mix, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_lexical_search": lexical_search.op12_lexical_search,
         "op13_harmonic_packing": harmonic_packing.op13_harmonic_packing,
     }
