@@ -318,3 +318,21 @@ def prefix_trie(conversations: DataFrame, *, shard_turns: int = SHARD_TURNS) ->
 
 def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(digest ORDER BY turn NULLS FIRST, digest) AS path, list(words ORDER BY turn NULLS FIRST, digest) AS words FROM t GROUP BY c),
+crc AS (SELECT own.*, c - ((c % 20) + 20) % 20 AS base,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 4 AS h FROM own),
+r AS (SELECT crc.c, coalesce(b.path[1:h], []) || crc.path[h + 1:] AS path, coalesce(b.words[1:h], []) || crc.words[h + 1:] AS words FROM crc LEFT JOIN own b ON b.c = crc.base),
+p AS (SELECT c, len(path) AS n, unnest(range(0, len(path) + 1)) AS d, path, words FROM r),
+k AS (SELECT c, n, d, array_to_string(path[1:d], '') AS key, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w FROM p),
+node AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, min(w) AS w, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM k GROUP BY d, key),
+child AS (SELECT d - 1 AS d, left(key, 32 * (d - 1)) AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+up AS (SELECT node.key AS low, unnest(range(0, node.d + 1)) AS d, (n_convs - 1) * w AS own, coalesce(n_children, 0) = 0 AS leaf FROM node LEFT JOIN child ON child.key = node.key),
+below AS (SELECT left(low, 32 * d) AS key, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM up GROUP BY 1)
+SELECT node.conv_id, node.d::BIGINT AS depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN below ON below.key = node.key LEFT JOIN child ON child.key = node.key LEFT JOIN node above ON node.d > 0 AND above.key = left(node.key, 32 * (node.d - 1))
+"""

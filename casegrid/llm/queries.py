@@ -30,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_embedding_dedup": embedding_dedup.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op12_lexical_search": lexical_search.OP12_SQL,
     }

@@ -5,9 +5,10 @@ import random
 import re
 import zlib
 
+import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-import numpy as np
 
 from casegrid.llm import prefix_trie
 from casegrid.llm.prefix_trie import Paths, prefix_trie as trie
@@ -76,6 +77,15 @@ def test_against_brute_force(spark, seed, n, deep, shard_turns):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(brute(rows), key=str)
 
 
+def test_sql_gives_the_same_rows():
+    rows = conversations(random.Random(6), 150)
+    c = duckdb.connect()
+    c.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = c.sql(prefix_trie.OP11_SQL)
+    assert got.columns == COLUMNS and sorted(got.fetchall(), key=str) == sorted(brute(rows), key=str)
+
+
 def test_one_conversation_copied_over_many_shards(spark):
     """Copies are split over shards; their ids still come in order, and no leaf or child is counted twice."""
     rows = [(c, t, "user", f"turn {t}") for c in range(0, 4000, 5) for t in range(3)] + [(7001, t, "user", f"turn {t}") for t in range(5)]
