@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
+from casegrid.sources import versions
+
 
 def corpus_stats(runs: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """AGG1: one row of totals; every table is reduced on its own."""
@@ -48,7 +48,7 @@ def delete_run(tables: dict[str, DataFrame], run: Column) -> dict[str, DataFrame
     return {name: t.where(~F.coalesce(run, F.lit(False))) for name, t in tables.items()}
 
 
-def delete_all(tables: dict[str, DataFrame], root: str) -> str:
+def delete_all(tables: dict[str, DataFrame], root: str) -> int:
     """MUT13: publish every table, and the points, without rows and with the same columns."""
     return publish({name: t.where(F.lit(False)) for name, t in tables.items()}, root)
 
@@ -70,16 +70,10 @@ def live_entries(cache: DataFrame, now: Column) -> DataFrame:
     return cache.withColumn("r", latest).where((F.col("r") == 1) & (F.col("expires_at") > now)).drop("r")
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """MUT9: write all tables as a new version, then switch the pointer; a failed step leaves the old version in place."""
-    version = uuid.uuid4().hex[:12]
-    for name, t in tables.items():
-        t.write.parquet(f"{root}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
-    return version
+def publish(tables: dict[str, DataFrame], root: str) -> int:
+    """MUT9: the tables as one new version, committed under the next number; a failed step leaves the last version in place."""
+    return versions.publish(next(iter(tables.values())).sparkSession, root, tables)
 
 
-def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/current").first()["version"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+def published(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    return versions.read(spark, root, name, at=version)

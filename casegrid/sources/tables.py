@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casegrid.operators import registry
+from casegrid.sources import versions
 
 #: The columns of every table.
 SCHEMAS = {
@@ -16,29 +15,21 @@ SCHEMAS = {
 }
 
 
-def _held(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    try:
-        return registry.published(spark, root, name)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def write_tables(spark: SparkSession, root: str) -> str:
+def write_tables(spark: SparkSession, root: str) -> int:
     """SNK1: publish every table with its columns; tables that are there keep their rows and gain missing columns as nulls.
 
     A document without a status, or pending although indexed, is set to what
     its ``indexed_at`` says. Columns that the layout doesn't know stay.
     """
-    made = {}
-    for name, schema in SCHEMAS.items():
-        empty = spark.createDataFrame([], schema)
-        held = _held(spark, root, name)
-        made[name] = empty if held is None else empty.unionByName(held, allowMissingColumns=True)
     indexed = F.col("indexed_at").isNotNull()
     status = F.when(F.col("status").isNull() | (indexed & (F.col("status") == "pending")), F.when(indexed, "indexed").otherwise("pending")).otherwise(F.col("status"))
-    return registry.publish(made | {"documents": made["documents"].withColumn("status", status)}, root)
+
+    def evolved(held: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        empty = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+        made = {name: e.unionByName(held[name], allowMissingColumns=True) if name in held else e for name, e in empty.items()}
+        return made | {"documents": made["documents"].withColumn("status", status)}
+
+    return versions.rewrite(spark, root, evolved)
 
 
 def chunks_for_runs(chunks: DataFrame, documents: DataFrame, runs: DataFrame) -> DataFrame:

@@ -88,12 +88,12 @@ def test_incremental_ingest_replaces_one_document(spark, tmp_path):
     inbox.mkdir()
     (inbox / "a.md").write_text("first text of a")
     (inbox / "b.md").write_text("text of b")
-    streams.incremental_ingest(spark, str(inbox), root, "/ws/x", state).awaitTermination()
+    streams.incremental_ingest(streams.markdown_stream(spark, str(inbox)), root, "/ws/x", state, buckets=4).awaitTermination()
     assert sorted(r["text"] for r in registry.published(spark, root, "chunks").collect()) == ["first text of a", "text of b"]
     sub = inbox / "later"
     sub.mkdir()
     (sub / "a.md").write_text("second text of a")
-    streams.incremental_ingest(spark, str(inbox), root, "/ws/x", state).awaitTermination()
+    streams.incremental_ingest(streams.markdown_stream(spark, str(inbox)), root, "/ws/x", state, buckets=4).awaitTermination()
     assert sorted(r["text"] for r in registry.published(spark, root, "chunks").collect()) == ["second text of a", "text of b"]
 
 
