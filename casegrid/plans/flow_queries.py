@@ -13,7 +13,7 @@ from casegrid.plans import adapters as A
 from casegrid.plans.case_queries import _REGISTRY, _responses
 from casegrid.plans.catalog import query
 from casegrid.plans.text_queries import RECORDS
-from casegrid.sources import io, tables
+from casegrid.sources import io, tables, versions
 from casegrid.streaming import streams
 from casegrid.workspace import shared_dir
 
@@ -85,6 +85,36 @@ def list_runs(spark, sf_dir):
 # ---- streams
 
 
+@query("STR1_incremental_ingest", f"""WITH {RECORDS}, t AS (SELECT record_id || '.md' AS original_filename, text || CASE WHEN cust % 3 = 0 THEN ' (second)' WHEN nation % 2 = 0 THEN ' (amended)' ELSE '' END AS text FROM letters)
+SELECT original_filename, 1::bigint AS chunks, text, count(*) OVER () AS total_documents, count(*) OVER () AS total_chunks, 3::bigint AS versions FROM t""")
+def incremental_ingest(spark, sf_dir):
+    """A folder stream in three batches: all letters; those of some nations again, each name twice; then those of some customers."""
+    base = _folder(spark, "ingest")
+    letters = A.records(spark, sf_dir).withColumn("original_filename", F.concat(F.col("record_id").cast("string"), F.lit(".md")))
+    files = lambda rows, path, more: rows.select("original_filename", F.concat(F.lit(path), "original_filename").alias("path"), F.concat("text", F.lit(more)).alias("text"))
+    some = letters.where("nation % 2 = 0")
+    for part in (files(letters, "/1/", ""), files(some, "/2/", " (amended)").unionByName(files(some, "/3/", " (left out)")), files(letters.where("cust % 3 = 0"), "/4/", " (second)")):
+        part.write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema("original_filename string, path string, text string").parquet(f"{base}/in")
+        streams.incremental_ingest(arriving, f"{base}/out", "/ws/letters", f"{base}/checkpoint").awaitTermination()
+    at = versions.snapshot(spark, f"{base}/out")
+    held = versions.read(spark, f"{base}/out", "chunks", at=at).groupBy("original_filename").agg(F.count("*").alias("chunks"), F.min_by("text", "chunk_index").alias("text"))
+    total = versions.read(spark, f"{base}/out", "runs", at=at).select("total_documents", "total_chunks")
+    return held.join(F.broadcast(total.limit(1))).withColumn("versions", F.lit(at.number).cast("bigint"))
+
+
+@query("MUT9_commit_log", "SELECT o_orderstatus AS status, sum(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END)::bigint AS first, count(*) AS second, sum(CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END)::bigint AS third FROM orders GROUP BY 1")
+def commit_log(spark, sf_dir):
+    """Three commits of one bucketed table: half of the orders, the others, then the orders of some customers replaced; each version stays readable."""
+    root = _folder(spark, "log")
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.lit(1).alias("n"))
+    for part in (o.where("o_orderkey % 2 <> 0"), o.where("o_orderkey % 2 = 0"), o.where("o_custkey % 5 = 0").withColumn("n", F.lit(2))):
+        versions.commit(spark, root, lambda held, part=part: versions.replace_keys(spark, root, held, "orders", part, part, key="o_orderkey", buckets=16))
+    read = lambda number, name: versions.read(spark, root, "orders", at=number).select("status", F.lit(name).alias("at"), "n")
+    every = read(1, "first").unionByName(read(2, "second")).unionByName(read(3, "third"))
+    return every.groupBy("status").agg(*[F.coalesce(F.sum(F.when(F.col("at") == c, F.col("n"))), F.lit(0)).cast("bigint").alias(c) for c in ("first", "second", "third")])
+
+
 @query("STR3_audit_stream", "SELECT date_trunc('day', ts) AS window_start, event_type AS action, count(*) AS n, round(avg(value), 6) AS latency FROM events GROUP BY 1, 2")
 def audit_stream(spark, sf_dir):
     base = _folder(spark, "audit-stream")
