@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, functions as F
 
 from casegrid.functions import patterns as P
@@ -22,6 +24,11 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def holds(text: Column, words) -> Column:
+    """Whether a text holds one of the words: a plain byte search, far cheaper than a pattern that can't match without them."""
+    return functools.reduce(Column.__or__, [text.contains(w) for w in words])
+
+
 def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
@@ -48,18 +55,23 @@ _FIRST_DATE = loose("(?=[0-9JFMASOND])(?:" + "|".join((P.DATE_NUMERIC, P.DATE_DA
 
 def first_date_raw(text: Column) -> Column:
     """FN1: the leftmost date as written."""
-    return found(text, _FIRST_DATE)
+    return F.when(text.rlike("[0-9]"), found(text, _FIRST_DATE))
 
 
 def first_date_iso(text: Column) -> Column:
     """FN2: the leftmost date, day first, two-digit years by pivot; null if impossible."""
-    g = lambda k: found(text, _FIRST_DATE, k)
-    return F.when(g(1).isNotNull(), iso_date(full_year(g(3)), g(2), g(1))).when(g(4).isNotNull(), iso_date(g(6), month_number(g(5)), g(4))).when(g(7).isNotNull(), iso_date(g(9), month_number(g(7)), g(8)))
+    part = lambda k: F.get(F.regexp_extract_all(first_date_raw(text), F.lit("[0-9]+|[A-Za-z]+"), F.lit(0)), F.lit(k))
+    a, b, year = part(0), part(1), part(2)
+    # 3/12/2020, 3 December 2020 or December 3, 2020
+    return F.when(a.rlike("[A-Za-z]"), iso_date(year, month_number(a), b)).when(b.rlike("[A-Za-z]"), iso_date(year, month_number(b), a)).otherwise(iso_date(full_year(year), b, a))
 
 
 def author(text: Column) -> Column:
     """FN3: signature block, else sender line, else a titled name that is no addressee."""
-    return F.trim(F.coalesce(found(text, loose(P.AUTHOR_SIGNATURE), 1), found(text, loose(P.AUTHOR_SENDER), 1), found(text, EXACT + P.AUTHOR_TITLE, 1)))
+    low = F.lower(text)
+    signed = F.when(holds(low, P.AUTHOR_SIGNATURE_WORDS), found(text, loose(P.AUTHOR_SIGNATURE), 1))
+    sender = F.when(holds(low, P.AUTHOR_SENDER_WORDS), found(text, loose(P.AUTHOR_SENDER), 1))
+    return F.trim(F.coalesce(signed, sender, F.when(holds(text, P.AUTHOR_TITLES), found(text, EXACT + P.AUTHOR_TITLE, 1))))
 
 
 def radiology_author(text: Column) -> Column:
@@ -77,23 +89,25 @@ def radiology_date(text: Column) -> Column:
 
 def document_type(text: Column) -> Column:
     """FN6: radiology by title and part, else the type with most matches, ties by order."""
-    counts = [F.struct(F.regexp_count(text, F.lit(loose(p))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, p) in enumerate(P.DOCUMENT_TYPES.items())]
+    low = F.lower(text)
+    counts = [F.struct(F.when(holds(low, P.DOCUMENT_TYPE_WORDS[name]), F.regexp_count(text, F.lit(loose(p)))).otherwise(0).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, p) in enumerate(P.DOCUMENT_TYPES.items())]
     best = F.array_max(F.array(*counts))
-    radiology = text.rlike(loose(P.RADIOLOGY_TITLE)) & text.rlike(loose(P.RADIOLOGY_PART))
+    radiology = holds(low, P.RADIOLOGY_PART_WORDS) & text.rlike(loose(P.RADIOLOGY_TITLE)) & text.rlike(loose(P.RADIOLOGY_PART))
     return F.when(radiology, F.lit("radiology_report")).when(best["n"] > 0, best["name"]).otherwise(F.lit("unknown"))
 
 
 def section_type(text: Column) -> Column:
     """FN7: the first pattern that matches, else general."""
-    out = F.lit("general")
+    out, low = F.lit("general"), F.lower(text)
     for name, p in reversed(P.SECTION_TYPES.items()):
-        out = F.when(text.rlike(loose(p)), F.lit(name)).otherwise(out)
+        out = F.when(holds(low, P.SECTION_TYPE_WORDS[name]) & text.rlike(loose(p)), F.lit(name)).otherwise(out)
     return out
 
 
 def patient_name(text: Column) -> Column:
     """FN8."""
-    return F.trim(F.coalesce(*[found(text, loose(p), 1) for p in P.PATIENT]))
+    low = F.lower(text)
+    return F.trim(F.coalesce(*[F.when(holds(low, words), found(text, loose(p), 1)) for words, p in zip(P.PATIENT_WORDS, P.PATIENT, strict=True)]))
 
 
 def run_id(run_dir: Column) -> Column:

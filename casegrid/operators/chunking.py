@@ -24,11 +24,37 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+_TITLE = re.compile(P.REPORT_TITLE)
+_STARTS = [(words, re.compile(p)) for words, p in zip(P.SECTION_START_WORDS, P.SECTION_STARTS, strict=True)]
+_SIGNED = re.compile(P.SIGNED_LINE)
+
+
+def section_starts(text: str) -> list[int]:
+    """GEN1: where sections begin. Boundaries closer than the least size to the last kept one are dropped, but a report
+    title replaces a nearby generic one. A pattern is looked for only in a text that has one of its words."""
+    low = text.casefold()
+    titles = {m.start() for m in _TITLE.finditer(text)} if any(w in low for w in P.REPORT_TITLE_WORDS) else set()
+    bounds = {0, *titles}
+    for words, pattern in _STARTS:
+        if any(w in low for w in words):
+            bounds.update(m.start() for m in pattern.finditer(text))
+    if any(w in low for w in P.SIGNED_LINE_WORDS):
+        bounds.update(m.end() for m in _SIGNED.finditer(text))
+    kept: list[int] = []
+    for b in sorted(bounds):
+        if not kept or b - kept[-1] >= P.LEAST_SECTION:
+            kept.append(b)
+        elif b in titles and kept[-1] not in titles:
+            kept[-1] = b
+    return kept
+
+
 def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
     def run(batches):
         for batch in batches:
             at, out = [], ([], [], [], [])
-            for i, (text, kept) in enumerate(zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True)):
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                kept = section_starts(text)
                 for no, (a, b) in enumerate(zip(kept, [*kept[1:], len(text)], strict=True)):
                     body = text[a:b].lstrip()
                     start, body = b - len(body), body.rstrip()
@@ -43,24 +69,9 @@ def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
 
 
 def sections(docs: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
-    """GEN1: (key, carried columns, section_no, start, end, section_text) of every section; boundaries closer than the
-    least size to the last kept one are dropped, but a report title replaces a nearby generic one; blanks at both ends
-    are trimmed. A document's sections come out in order, in the task that held its row; nothing is shuffled."""
-    text = F.col("text")
-    titles = F.transform(match_spans(text, P.REPORT_TITLE), lambda s: s["start"])
-    others = [F.transform(match_spans(text, p), lambda s: s["start"]) for p in P.SECTION_STARTS]
-    ends = F.transform(match_spans(text, P.SIGNED_LINE), lambda s: s["end"])
-    zero = F.array(F.lit(0))
-    bounds = docs.where(F.length(F.trim(text)) > 0).select(key, *carried, "text", titles.alias("titles"), F.array_sort(F.array_distinct(F.concat(zero, titles, ends, *others))).alias("bounds"))
-    last = lambda a: F.element_at(a, -1)
-
-    def fold(kept, b):
-        far = F.size(kept) == 0
-        near = b - last(kept) >= P.LEAST_SECTION
-        swap = F.array_contains(F.col("titles"), b) & ~F.array_contains(F.col("titles"), last(kept))
-        return F.when(far, F.array(b)).when(near, F.concat(kept, F.array(b))).when(swap, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(b))).otherwise(kept)
-
-    rows = bounds.select(key, *carried, "text", F.aggregate("bounds", F.array().cast("array<int>"), fold).alias("kept"))
+    """GEN1: (key, carried columns, section_no, start, end, section_text) of every section; blanks at both ends are
+    trimmed. A document's sections come out in order, in the task that held its row; nothing is shuffled."""
+    rows = docs.where(F.length(F.trim("text")) > 0).select(key, *carried, "text")
     schema = Y.StructType([*[rows.schema[c] for c in (key, *carried)], *[Y.StructField(c, Y.IntegerType()) for c in ("section_no", "start", "end")], Y.StructField("section_text", Y.StringType())])
     return rows.mapInArrow(_cut(key, carried, to_arrow_schema(schema)), schema)
 
@@ -137,8 +148,10 @@ def chunk_documents(docs: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.
     """
     if size <= 0:
         raise ValueError("chunk size must be greater than zero")
-    # one exchange evens out files of few row groups and very long texts; every later step is narrow
-    docs = docs.select("doc_id", "run_id", "original_filename", "text", "page_ranges", "provenance_type").repartition("doc_id")
+    # one exchange evens out files of few row groups and very long texts; every later step is narrow. The work is in the
+    # texts' patterns, not in their bytes, so the session's partitions are kept as they are instead of being joined by size
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "run_id", "original_filename", "text", "page_ranges", "provenance_type").repartition(partitions, "doc_id")
     docs = docs.withColumns({"doc_kind": T.document_type(F.col("text")), "doc_patient": T.patient_name(F.col("text"))})
     s = F.col("section_text")
     section = sections(docs, "doc_id", ("run_id", "original_filename", "page_ranges", "provenance_type", "doc_kind", "doc_patient"))

@@ -1,6 +1,10 @@
-from hypothesis import given, settings, strategies as st
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from casegrid.functions import patterns as P, textcols as T
 from casegrid.operators import chunking
 from casegrid.plans import adapters
 
@@ -62,3 +66,28 @@ def test_split_sections_query_returns_every_section_of_long_texts(spark, monkeyp
     monkeypatch.setattr(text_queries.A, "records", lambda spark, sf_dir: table)
     got = sorted(tuple(r[c] for c in ("record_id", "section_no", "section_start", "section_end")) for r in text_queries.split_sections(spark, "").collect())
     assert got == sorted((i, *s) for i, t in texts.items() for s in brute(t)) and len([g for g in got if g[0] == 99]) == 2
+
+
+WORDED = [
+    (P.REPORT_TITLE, P.REPORT_TITLE_WORDS), (P.SIGNED_LINE, P.SIGNED_LINE_WORDS), *zip(P.SECTION_STARTS, P.SECTION_START_WORDS), (T.loose(P.AUTHOR_SIGNATURE), P.AUTHOR_SIGNATURE_WORDS), (T.loose(P.AUTHOR_SENDER), P.AUTHOR_SENDER_WORDS),
+    *[(T.loose(p), P.DOCUMENT_TYPE_WORDS[n]) for n, p in P.DOCUMENT_TYPES.items()], (T.loose(P.RADIOLOGY_PART), P.RADIOLOGY_PART_WORDS), *[(T.loose(p), P.SECTION_TYPE_WORDS[n]) for n, p in P.SECTION_TYPES.items()], *[(T.loose(p), w) for p, w in zip(P.PATIENT, P.PATIENT_WORDS)],
+]
+
+
+@pytest.mark.parametrize("pattern,words", WORDED)
+def test_whatever_a_pattern_matches_holds_one_of_its_words(pattern, words):
+    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(pattern)))
+    def holds(text):
+        if all(ord(c) < 128 for c in text) or not pattern.startswith("(?i)"):  # the column form folds ASCII letters only
+            assert any(w in text.casefold() for w in words)
+
+    holds()
+
+
+def test_section_starts_in_one_pass():
+    body = "word " * 60
+    text = f"Dear Dr Roe\n{body}\nRe: close to it\n{body}\nRe: a\nCT OF THE KNEE\n{body}\nElectronically signed by X\n{body}"
+    title, re_, end = text.index("CT OF"), text.index("Re: close"), text.index("signed by X") + 11
+    assert chunking.section_starts(text) == [0, re_, title, end]  # the title takes the place of the line before it
+    assert chunking.section_starts("") == [0] and chunking.section_starts("Re: x\nRe: y") == [0]
