@@ -169,3 +169,22 @@ FACETS = {
         "explicit opinions, contrary evidence, and material limitations",
     ),
 }
+
+# Log lines of the workers and of indexing.
+WORKER_HEAD = "Worker ID"
+WORKER_COLUMNS = {3: ["Worker ID", "finished", "started"], 4: ["Worker ID", "errored", "finished", "started"]}
+PAGE_TOTALS = {
+    "completed": (r"Completed pages:\s*([\d,]+)", r"completed_pages\s+([\d.]+)"),
+    "failed": (r"Failed pages:\s*([\d,]+)", r"failed_pages\s+([\d.]+)"),
+}
+STAGE_MARKS = (
+    ("prepare", ("Initiated", "Creating new case", "Adding to existing case", "Copied", "Registering case metadata")),
+    ("upload", ("Uploaded", "Uploading to object storage")),
+    ("chunk", ("Created", "Chunking documents")),
+    ("embed", ("Embedding and indexing", "Embedding chunks", "[PROGRESS:embedding:")),
+    ("index", ("[PROGRESS:indexing:",)),
+    ("done", ("Successfully indexed", "Successfully uploaded", "✅ Done.")),
+)
+CHUNKS_CREATED = r"Created \*\*?(\d+)\*\*? chunk"
+CHUNKS_TO_INDEX = r"indexing \*\*?(\d+)\*\*? chunks"
+STAGE_COUNTER = r"\[PROGRESS:{}:(\d+)/(\d+)\]"
