@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from casegrid.functions import textcols as T
 from casegrid.operators import answers, chronology, registry, retrieval
@@ -14,7 +14,7 @@ from casegrid.plans.case_queries import _REGISTRY, _responses
 from casegrid.plans.catalog import query
 from casegrid.plans.text_queries import RECORDS
 from casegrid.sources import io, tables, versions
-from casegrid.streaming import streams
+from casegrid.streaming import progress, streams
 from casegrid.workspace import shared_dir
 
 
@@ -142,6 +142,59 @@ def index_progress(spark, sf_dir):
     return streams.index_progress(A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), k.alias("line_no"), line.alias("line")))
 
 
+def _arriving(lines: DataFrame, parts: int, base: str, make) -> DataFrame:
+    """Feed numbered lines to a progress stream in some parts, each out of order, and return what its table holds then."""
+    spark = lines.sparkSession
+    for k in range(parts):
+        lines.where(F.pmod(F.xxhash64("run_id", "line_no"), F.lit(parts)) == k).write.mode("append").parquet(f"{base}/in")
+        progress.run_to_versions(make(spark.readStream.schema(lines.schema).parquet(f"{base}/in")), f"{base}/out", "progress", f"{base}/checkpoint")
+    return versions.read(spark, f"{base}/out", "progress")
+
+
+@query("STR2_ocr_stream", """WITH l AS (SELECT user_id % 16 AS run_id, event_id AS e, event_id % 10 AS k, event_id % 5 AS worker, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT run_id, n, worker, (e * 7) % 60 - lag((e * 7) % 60, 1, 0) OVER (PARTITION BY run_id, worker ORDER BY n) AS f, e % 7 - lag(e % 7, 1, 0) OVER (PARTITION BY run_id, worker ORDER BY n) AS b FROM l WHERE k > 1),
+s AS (SELECT run_id, worker, sum(f) OVER (PARTITION BY run_id ORDER BY n) AS f, sum(b) OVER (PARTITION BY run_id ORDER BY n) AS b FROM w),
+t AS (SELECT run_id, max(f) AS f, max(b) AS b, count(DISTINCT worker) AS workers FROM s GROUP BY 1),
+c AS (SELECT run_id, count(*) AS lines, coalesce(max(CASE WHEN k = 0 THEN e % 300 END), 0) AS f, coalesce(max(CASE WHEN k = 1 THEN e % 40 END), 0) AS b FROM l GROUP BY 1)
+SELECT run_id, coalesce(workers, 0) AS workers, cast(least(100 + run_id * 20, greatest(coalesce(t.f, 0), c.f)) AS bigint) AS completed_pages, cast(greatest(coalesce(t.b, 0), c.b) AS bigint) AS failed_pages, 100 + run_id * 20 AS total_pages, lines, 0::bigint AS waiting, 0::bigint AS late, 0::bigint AS skipped FROM c LEFT JOIN t USING (run_id)""")
+def ocr_stream(spark, sf_dir):
+    """Every event as a log line of one of 16 runs, in three parts that each lack lines between."""
+    e, run = F.col("event_id"), F.col("user_id") % 16
+    row = F.concat_ws(" | ", (e % 5).cast("string"), (e % 7).cast("string"), ((e * 7) % 60).cast("string"), F.lit("0"))
+    line = F.when(e % 10 == 0, F.concat(F.lit("Completed pages: "), (e % 300).cast("string"))).when(e % 10 == 1, F.concat(F.lit("failed_pages "), (e % 40).cast("string"), F.lit(".0"))).otherwise(row)
+    lines = A.table(spark, sf_dir, "events").select(run.alias("run_id"), F.row_number().over(W.partitionBy(run).orderBy("ts", "event_id")).cast("bigint").alias("line_no"), line.alias("line"), (run * 20 + 100).alias("total"))
+    return _arriving(lines, 3, _folder(spark, "ocr-lines"), progress.ocr_progress)
+
+
+@query("STR2_file_status", "SELECT d.source AS run_id, d.doc_id AS file_no, d.doc_id || '.pdf' AS filename, d.n_chars // 1000 + 1 AS pages, CASE WHEN l.toxic = 1 THEN 'failed' WHEN e.vec_id IS NOT NULL THEN 'completed' ELSE 'pending' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id WHERE d.source IS NOT NULL")
+def file_status(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    files = d.select(F.col("source").alias("run_id"), F.col("doc_id").alias("file_no"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.expr("n_chars div 1000 + 1").alias("pages"))
+    outputs = A.table(spark, sf_dir, "embeddings").join(d, F.col("vec_id") == F.col("doc_id")).select(F.col("source").alias("run_id"), F.concat(F.col("vec_id").cast("string"), F.lit("_scan.md")).alias("output"))
+    failed = A.table(spark, sf_dir, "labels").where("toxic = 1").join(d, "doc_id").select(F.col("source").alias("run_id"), F.col("doc_id").alias("file_no"))
+    return progress.file_status(files, outputs, failed)
+
+
+@query("STR4_index_stream", """WITH l AS (SELECT o_custkey AS run_id, o_orderkey AS o, o_orderkey % 7 AS k, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+m AS (SELECT *, CASE WHEN k = 0 THEN 2 WHEN k = 1 THEN 3 WHEN k IN (2, 3) THEN 4 WHEN k = 4 THEN 5 WHEN k = 5 THEN 1 WHEN p = '1-URGENT' THEN 6 END AS s FROM l),
+r AS (SELECT run_id, count(*) AS lines, coalesce(arg_max(s, n) FILTER (s IS NOT NULL), 1) AS s, coalesce(sum(CASE WHEN k = 1 THEN o % 50 END), 0) AS chunks, coalesce(arg_max(o % 90, n) FILTER (k = 3), 0) AS ed, coalesce(arg_max(CASE WHEN k = 2 THEN o % 80 ELSE 90 END, n) FILTER (k IN (2, 3)), 0) AS et,
+  coalesce(arg_max(o % 60, n) FILTER (k = 4), 0) AS id, coalesce(arg_max(CASE WHEN k = 2 THEN o % 80 ELSE 60 END, n) FILTER (k IN (2, 4)), 0) AS it FROM m GROUP BY 1),
+g AS (SELECT r.*, x.i AS stage_no FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS i) x)
+SELECT run_id, stage_no::integer AS stage_no, ['prepare', 'upload', 'chunk', 'embed', 'index'][stage_no] AS stage, CASE WHEN stage_no < s THEN 'success' WHEN stage_no = s THEN 'running' ELSE 'pending' END AS status,
+  CASE WHEN stage_no = 4 AND et > 0 THEN ed || '/' || et || ' chunks' WHEN stage_no = 5 AND it > 0 THEN id || '/' || it || ' chunks' ELSE '' END AS details,
+  cast(CASE WHEN stage_no = 4 AND s = 4 AND et > 0 THEN ed * 100 // et WHEN stage_no = 5 AND s = 5 AND it > 0 THEN id * 100 // it END AS integer) AS percent, chunks::bigint AS chunks, lines, 0::bigint AS waiting, 0::bigint AS late, 0::bigint AS skipped FROM g""")
+def index_stream(spark, sf_dir):
+    """Every order as a log line of its customer's indexing, in two parts that each lack lines between."""
+    o = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    line = (
+        F.when(o % 7 == 0, F.lit("Uploaded a file")).when(o % 7 == 1, text("Created **", o % 50, "** chunk(s)")).when(o % 7 == 2, text("Embedding and indexing **", o % 80, "** chunks")).when(o % 7 == 3, text("[PROGRESS:embedding:", o % 90, "/90]"))
+        .when(o % 7 == 4, text("[PROGRESS:indexing:", o % 60, "/60]")).when(o % 7 == 5, F.lit("Copied a file")).when(F.col("o_orderpriority") == "1-URGENT", F.lit("✅ Done.")).otherwise(F.lit("nothing of note"))
+    )
+    lines = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint").alias("line_no"), line.alias("line"))
+    return _arriving(lines, 2, _folder(spark, "index-lines"), progress.index_progress)
+
+
 # ---- joins, sets, sorts, mutations
 
 

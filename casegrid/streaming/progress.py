@@ -32,6 +32,7 @@ def fold_in_order(lines: DataFrame, key: str, begin: dict, step: Callable[[dict,
     counted. ``waiting`` counts the lines that still miss one before them.
     """
     names = [c.split()[0] for c in f"{schema}, {_COUNTS}".split(", ")]
+    whole = {c.split()[0]: "Int64" for c in f"{schema}, {_COUNTS}".split(", ") if c.split()[1] in ("int", "bigint")}
     wait = int(lines.sparkSession.sql(f"SELECT timestampdiff(MILLISECOND, timestamp '2000-01-01', timestamp '2000-01-01' + interval {patience})").first()[0])
     has_total = "total" in lines.columns
 
@@ -66,7 +67,7 @@ def fold_in_order(lines: DataFrame, key: str, begin: dict, step: Callable[[dict,
         if early:
             state.setTimeoutDuration(wait)
         counts = {"lines": held.get("lines", 0), "waiting": len(early), "late": late, "skipped": skipped}
-        yield pd.DataFrame([{key: name[0]} | r | counts for r in rows(held)], columns=names)
+        yield pd.DataFrame([{key: name[0]} | r | counts for r in rows(held)], columns=names).astype(whole)
 
     columns = [F.col(key), "line_no", "line", *(["total"] if has_total else [])]
     return lines.select(*columns).groupBy(key).applyInPandasWithState(run, f"{schema}, {_COUNTS}", _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
