@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as Y, Window as
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from casegrid.functions import patterns as P, textcols as T
+from casegrid.operators import batching
 from casegrid.operators.chunking import match_spans
 
 _ORDER = ("original_filename", "doc_id", "chunk_index", "chunk_id")
@@ -54,19 +55,8 @@ def segment_units(chunks: DataFrame) -> DataFrame:
 
 
 def greedy_batches(chunks: DataFrame, most_chars: int = P.BATCH_CHARS, most_chunks: int | None = None) -> DataFrame:
-    """WIN4: (run_id, chunk_id, batch_no): consecutive chunks of a case, an oversized one alone.
-
-    The fold needs a case's chunks in order; only ids and sizes are gathered.
-    """
-    sized = chunks.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*_ORDER, (F.length("text") + P.BATCH_OVERHEAD).alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("chars"), F.lit(0).alias("n"), F.array().cast("array<struct<chunk_id:string,batch_no:int>>").alias("out"))
-
-    def step(s, x):
-        full = (s["n"] > 0) & ((s["chars"] + x["size"] > most_chars) | (F.lit(most_chunks is not None) & (s["n"] >= (most_chunks or 0))))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, x["size"]).otherwise(s["chars"] + x["size"]).alias("chars"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), batch.alias("batch_no")))).alias("out"))
-
-    return sized.select("run_id", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("b")).select("run_id", "b.chunk_id", "b.batch_no")
+    """WIN4: (run_id, chunk_id, batch_no): consecutive chunks of a case, an oversized one alone."""
+    return batching.greedy_batches(chunks, _ORDER, most_chars, most_chunks)
 
 
 def dated_mentions(chunks: DataFrame) -> DataFrame:
