@@ -19,11 +19,11 @@ def facet_queries(queries: DataFrame, kind: str) -> DataFrame:
     """GEN10: a query as itself (facet 0) and once for each facet of its kind."""
     facets = F.array(F.lit(None).cast("string"), *[F.lit(f) for f in P.FACETS[kind]])
     rows = queries.select("*", F.posexplode(facets).alias("facet_no", "facet"))
-    return rows.withColumn("subquery", F.concat_ws(" ", "text", "facet"))
+    return rows.withColumn("subquery", F.concat_ws(P.FACET_LEAD, "text", "facet"))
 
 
-def _block_scores(k: int, threshold: float | None):
-    """Query block x its share of points -> the share's best k of every query, by matrix product."""
+def _block_scores():
+    """Query block x its share of points -> the share's best of every query, by matrix product."""
     schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -35,7 +35,8 @@ def _block_scores(k: int, threshold: float | None):
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         ids, scores = right.column("item_id").to_numpy(), np.round(q @ x.T, 6)
         out = []
-        for i, query in enumerate(left.column("query_id").to_numpy()):
+        limits = zip(left.column("query_id").to_numpy(), left.column("k").to_pylist(), left.column("threshold").to_pylist(), strict=True)
+        for i, (query, k, threshold) in enumerate(limits):
             best = np.lexsort((ids, -scores[i]))[:k]
             if threshold is not None:
                 best = best[scores[i][best] >= threshold]
@@ -45,8 +46,8 @@ def _block_scores(k: int, threshold: float | None):
     return run
 
 
-def _best_of_batches(query_ids: np.ndarray, q: np.ndarray, k: int, threshold: float | None):
-    """A task's points, batch by batch -> its k best for each query."""
+def _best_of_batches(query_ids: np.ndarray, q: np.ndarray, limits: list[tuple[int, float | None]]):
+    """A task's points, batch by batch -> its best for each query, by the query's own (k, threshold)."""
 
     def run(batches):
         best = [(np.empty(0, np.int64), np.empty(0))] * len(q)
@@ -56,42 +57,49 @@ def _best_of_batches(query_ids: np.ndarray, q: np.ndarray, k: int, threshold: fl
                 x = np.array(part.column("vector").to_pylist(), np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 ids, scores = part.column("item_id").to_numpy(), np.round(q @ x.T, 6)
-                for i, (held, own) in enumerate(best):
+                for i, ((held, own), (k, _)) in enumerate(zip(best, limits, strict=True)):
                     new = np.flatnonzero(scores[i] >= (own[-1] if len(own) == k else -np.inf))
                     if len(new):
                         every, score = np.concatenate((held, ids[new])), np.concatenate((own, scores[i][new]))
                         top = np.lexsort((every, -score))[:k]
                         best[i] = every[top], score[top]
-        if threshold is not None:
-            best = [(held[own >= threshold], own[own >= threshold]) for held, own in best]
+        best = [(held, own) if least is None else (held[own >= least], own[own >= least]) for (held, own), (_, least) in zip(best, limits, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(h) for h, _ in best])), *(pa.array(np.concatenate([b[c] for b in best])) for c in (0, 1))], ["query_id", "item_id", "score"])
 
     return run
 
 
-def vector_search(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None, shares: int | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, points: DataFrame, k: int | None = None, threshold: float | None = None, shares: int | None = None) -> DataFrame:
     """RET3/SRT4: (query_id, item_id, score, rank), exact; ties by the smaller id.
 
-    ``queries``: query_id, query_vector. ``points``: item_id, vector; filters go
-    on ``points`` before. Up to SENT_QUERIES queries are sent to the points,
-    which stay where they are; a task sends back at most k a query. More
-    queries meet the points in blocks, in shares of the points by hash.
+    ``queries``: query_id, query_vector and, where they differ by query, k and
+    threshold (null: none). ``points``: item_id, vector; filters go on ``points``
+    before. Up to SENT_QUERIES queries are sent to the points, which stay where
+    they are; a task sends back at most k a query. More queries meet the points
+    in blocks, in shares of the points by hash.
     """
-    first = queries.select("query_id", "query_vector").limit(SENT_QUERIES + 1).toArrow()
+    most = F.col("k").cast("int") if k is None else F.lit(k)
+    least = F.col("threshold").cast("double") if "threshold" in queries.columns else F.lit(threshold).cast("double")
+    queries = queries.select("query_id", "query_vector", most.alias("k"), least.alias("threshold"))
+    first = queries.limit(SENT_QUERIES + 1).toArrow()
     if first.num_rows <= SENT_QUERIES and shares is None:
         if not first.num_rows:
             return points.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), F.col("item_id").cast("bigint"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         q = np.array(first.column("query_vector").to_pylist(), np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        search = _best_of_batches(first.column("query_id").to_numpy().astype(np.int64), q, k, threshold)
+        limits = list(zip(first.column("k").to_pylist(), first.column("threshold").to_pylist(), strict=True))
+        search = _best_of_batches(first.column("query_id").to_numpy().astype(np.int64), q, limits)
         found = points.select(F.col("item_id").cast("bigint").alias("item_id"), "vector").mapInArrow(search, "query_id bigint, item_id bigint, score double")
     else:
-        found = _by_blocks(queries, points, k, threshold, shares)
+        found = _by_blocks(queries, points, shares)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", rank)
+    if k is not None:
+        return ranked.where(F.col("rank") <= k)
+    return ranked.join(queries.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
-def _by_blocks(queries: DataFrame, points: DataFrame, k: int, threshold: float | None, shares: int | None) -> DataFrame:
+def _by_blocks(queries: DataFrame, points: DataFrame, shares: int | None) -> DataFrame:
     """Every block of queries meets every share of the points once; a share's best k a query."""
     n = shares or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
@@ -101,7 +109,7 @@ def _by_blocks(queries: DataFrame, points: DataFrame, k: int, threshold: float |
     right = points.withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks.count() - 1)))))
     ids = blocks.withColumn("number", F.row_number().over(W.orderBy("block")) - 1)
     left = left.join(F.broadcast(ids), "block").drop("block").withColumnRenamed("number", "block")
-    return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(_block_scores(k, threshold), "query_id bigint, item_id bigint, score double")
+    return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(_block_scores(), "query_id bigint, item_id bigint, score double")
 
 
 def lexical_search(chunks: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
@@ -142,8 +150,8 @@ def drop_duplicates(hits: DataFrame) -> DataFrame:
     return hits.withColumn("fingerprint", F.coalesce(F.sha2(print_, 256), F.concat(F.lit("-"), F.col("chunk_id")))).withColumn("dup", rank).where("dup = 1").drop("dup", "fingerprint")
 
 
-def diversify(hits: DataFrame, k: int) -> DataFrame:
-    """RET9: first every document's best hit, then the rest by score; k in all."""
+def diversify(hits: DataFrame, k: int | Column) -> DataFrame:
+    """RET9: first every document's best hit, then the rest by score; k in all (a number, or a column of each query's)."""
     own = F.when(F.coalesce("doc_id", F.lit("")) != "", F.row_number().over(W.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "chunk_id")))
     rows = hits.withColumn("lead", F.coalesce(own == 1, F.lit(False)))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("lead"), F.desc("score"), "chunk_id"))
@@ -177,15 +185,19 @@ def mmr_order(scores: np.ndarray, texts: list[str], k: int, weight: float = P.MM
     return chosen
 
 
-def mmr(hits: DataFrame, k: int) -> DataFrame:
-    """RET12: (query_id, ord, score, mmr_rank) of the chosen hits; a query's candidates are a top-k, so a group is bounded."""
+def mmr(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """RET12: (query_id, ord, score, mmr_rank) of the chosen hits; a query's candidates are a top-k, so a group is bounded.
+
+    Without ``k`` each query's own is in the column k; up to k candidates stay in their order then.
+    """
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("ord")
-        order = mmr_order(f["score"].to_numpy(float), list(f["text"]), k)
-        return f.iloc[order][["query_id", "ord", "score"]].assign(mmr_rank=range(1, len(order) + 1))
+        most = int(f["k"].iloc[0])
+        order = range(len(f)) if k is None and len(f) <= most else mmr_order(f["score"].to_numpy(float), list(f["text"]), most)
+        return f.iloc[list(order)][["query_id", "ord", "score"]].assign(mmr_rank=range(1, len(order) + 1))
 
-    return hits.select("query_id", "ord", "score", "text").groupBy("query_id").applyInPandas(one, "query_id bigint, ord bigint, score double, mmr_rank int")
+    return hits.select("query_id", "ord", "score", "text", F.col("k") if k is None else F.lit(k).alias("k")).groupBy("query_id").applyInPandas(one, "query_id bigint, ord bigint, score double, mmr_rank int")
 
 
 def context_budget(hits: DataFrame, budget: int) -> DataFrame:

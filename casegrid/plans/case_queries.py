@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from casegrid.functions import patterns as P, textcols as T
-from casegrid.operators import answers, casefile, chronology, chunking, reconcile, registry, retrieval
+from casegrid.operators import answerset, answers, casefile, chronology, chunking, reconcile, registry, retrieval
 from casegrid.plans import adapters as A
 from casegrid.plans.catalog import query
 from casegrid.plans.text_queries import RECORDS
@@ -336,6 +336,67 @@ def mmr(spark, sf_dir):
     return retrieval.mmr(found.join(texts, "item_id").select("query_id", F.col("rank").cast("bigint").alias("ord"), "score", "text"), 10)
 
 
+#: Every 50th vector asks a question in one of seven modes; the vectors after it stand for its facets.
+_ASKED = ["free_qa", "timeline", "expert_analysis", "general_knowledge", "judge_analysis", "prognosis", "made up"]
+
+
+def _answer_set(spark, sf_dir, mmr):
+    e = A.table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.get(F.array(*[F.lit(m) for m in _ASKED]), (F.col("vec_id") / 50 % len(_ASKED)).cast("int")).alias("mode"), F.when(F.col("vec_id") % 100 == 0, "What does imaging show?").otherwise("What was found?").alias("text"), F.lit(12).alias("top_k"))
+    vectors = e.where("vec_id % 50 < 9").select((F.col("vec_id") - F.col("vec_id") % 50).alias("query_id"), (F.col("vec_id") % 50).cast("int").alias("facet_no"), F.col("embedding").alias("query_vector"))
+    d, n = A.table(spark, sf_dir, "documents"), F.col("doc_id")
+    chunks = d.select(
+        n.alias("item_id"), F.concat(F.lit("c"), n.cast("string")).alias("chunk_id"), F.lit(0).alias("chunk_index"), F.when(n % 10 > 0, F.concat(F.lit("s"), (n % 97).cast("string"))).alias("doc_id"),
+        F.when(n % 4 == 0, "radiology_report").otherwise("specialist_letter").alias("document_type"), F.concat(F.lit("a"), (n % 31).cast("string")).alias("author"), F.lit(None).cast("date").alias("date_extracted"), F.concat("text", F.when(n % 89 == 0, " Conclusion: none").otherwise("")).alias("text"),
+    )
+    points = e.join(d.select(n.alias("vec_id")), "vec_id").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    logits = q.select("query_id").join(chunks.where("item_id % 2 = 0").select("chunk_id", F.expr("(item_id % 41) / 10 - 2").cast("double").alias("logit")).where("logit > 0"))
+    found = answerset.answer_set(q, vectors, points, chunks, logits, mmr=mmr)
+    return found.select("query_id", "mode", "rank", "chunk_id", F.round("score", 6).alias("score"), "primary_evidence", F.array_join(F.col("facets").cast("array<string>"), ",").alias("facets"))
+
+
+_ANSWER_SQL = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM e),
+m AS (SELECT * FROM (VALUES ('free_qa', 3, 16, 0.15, false), ('expert_analysis', 9, 50, 0.05, true), ('judge_analysis', 9, 50, 0.05, true), ('prognosis', 8, 50, 0.05, true), ('timeline', 1, 50, 0.05, false)) t(mode, searches, hits, least, rerank)),
+q AS (SELECT vec_id AS query_id, {_ASKED}[vec_id // 50 % {len(_ASKED)} + 1] AS said, vec_id % 100 = 0 AS imaging FROM e WHERE vec_id % 50 = 0),
+o AS (SELECT q.query_id, q.imaging, m.* FROM q JOIN m ON m.mode = CASE WHEN said = 'made up' THEN 'free_qa' ELSE said END),
+c AS (SELECT doc_id AS item_id, 'c' || doc_id AS chunk_id, CASE WHEN doc_id % 10 > 0 THEN 's' || doc_id % 97 END AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 'radiology_report' ELSE 'specialist_letter' END AS document_type, 'a' || doc_id % 31 AS author, text || CASE WHEN doc_id % 89 = 0 THEN ' Conclusion: none' ELSE '' END AS text FROM documents),
+s AS (SELECT o.query_id, f.vec_id % 50 AS facet_no, p.vec_id AS item_id, CASE WHEN searches = 1 THEN hits ELSE greatest(8, least(20, hits // 3)) END AS k, least, searches, round(list_dot_product(f.v, p.v) / f.l / p.l, 6) AS score
+  FROM o JOIN n f ON f.vec_id - f.vec_id % 50 = o.query_id AND f.vec_id % 50 < searches, n p WHERE p.vec_id IN (SELECT doc_id FROM documents)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, facet_no ORDER BY score DESC, item_id) AS rank FROM s),
+h AS (SELECT query_id, searches, facet_no, item_id, score, rank FROM t WHERE rank <= k AND score >= least),
+g AS (SELECT query_id, item_id, max(score) AS score, string_agg(facet_no, ',' ORDER BY facet_no) AS facets FROM h WHERE searches > 1 GROUP BY 1, 2),
+lex AS (SELECT item_id, document_type, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM (SELECT *, ({" + ".join(f"(CASE WHEN text ILIKE '%{t}%' THEN 1 ELSE 0 END)" for t in P.IMAGING_TERMS)}) / 4.0 AS score FROM c) WHERE score > 0),
+x AS (SELECT query_id, item_id, greatest(score, CASE WHEN document_type = 'radiology_report' THEN 0.95 ELSE 0.84 END) AS score, document_type = 'radiology_report' AS prim FROM o JOIN lex ON place <= greatest(12, least(24, hits)) WHERE imaging AND searches > 1),
+b AS (SELECT coalesce(g.query_id, x.query_id) AS query_id, coalesce(g.item_id, x.item_id) AS item_id, greatest(g.score, x.score) AS score, g.item_id IS NULL AND x.prim AS prim, coalesce(facets, '') AS facets FROM g FULL JOIN x ON g.query_id = x.query_id AND g.item_id = x.item_id),
+w AS (SELECT b.*, c.chunk_id, c.doc_id, CASE WHEN document_type = 'radiology_report' THEN 'r:' || author WHEN doc_id IS NOT NULL AND trim(text) <> '' THEN doc_id || ':' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ELSE '-' || chunk_id END AS fp FROM b JOIN c USING (item_id)),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, fp ORDER BY score DESC, chunk_id) AS dup FROM w) WHERE dup = 1),
+a AS (SELECT *, doc_id IS NOT NULL AND row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) = 1 AS lead FROM d),
+r AS (SELECT a.*, o.rerank, row_number() OVER (PARTITION BY a.query_id ORDER BY lead DESC, score DESC, chunk_id) AS rank FROM a JOIN o ON o.query_id = a.query_id QUALIFY rank <= o.hits),
+z AS (SELECT *, CASE WHEN NOT rerank THEN score ELSE greatest(CASE WHEN item_id % 2 = 0 AND item_id % 41 > 20 THEN 1 / (1 + exp(-((item_id % 41) / 10 - 2))) ELSE score END, CASE WHEN prim THEN 0.99 ELSE 0 END) END AS final FROM r),
+y AS (SELECT query_id, CASE WHEN rerank THEN row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) ELSE rank END AS rank, chunk_id, round(final, 6) AS score, prim AS primary_evidence, facets FROM z
+  UNION ALL SELECT query_id, rank, 'c' || item_id, score, false, '0' FROM h WHERE searches = 1)
+SELECT y.query_id, o.mode, y.rank::integer AS rank, y.chunk_id, y.score, y.primary_evidence, y.facets FROM y JOIN o ON o.query_id = y.query_id"""
+
+
+@query("RET13_answer_set_by_score", _ANSWER_SQL)
+def answer_set_by_score(spark, sf_dir):
+    """All modes in one plan, without the choice of different hits."""
+    return _answer_set(spark, sf_dir, mmr=False)
+
+
+@query("RET13_full_answer_set")
+def full_answer_set(spark, sf_dir):
+    return _answer_set(spark, sf_dir, mmr=True)
+
+
+@query("GEN10_subqueries", "WITH m AS (SELECT * FROM (VALUES ('judge_analysis', 9, 16), ('expert_analysis', 9, 16), ('causation', 8, 16), ('free_qa', 3, 8), ('timeline', 1, 50)) t(mode, searches, k)) SELECT item_id AS query_id, m.mode, f::integer AS facet_no, k::integer AS k, f > 0 AS focused FROM (SELECT item_id, ['judge_analysis', 'expert_analysis', 'causation', 'free_qa', 'timeline', 'general_knowledge', NULL][item_id % 7 + 1] AS said FROM benchmark) b JOIN m ON m.mode = coalesce(said, 'free_qa'), range(0, 9) t(f) WHERE f < searches")
+def mode_subqueries(spark, sf_dir):
+    """Every benchmark item as a question: its searches by mode."""
+    said = F.get(F.array(*[F.lit(m) for m in ("judge_analysis", "expert_analysis", "causation", "free_qa", "timeline", "general_knowledge", None)]), (F.col("item_id") % 7).cast("int"))
+    asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), said.alias("mode"), "text", F.lit(10).alias("top_k"))
+    return answerset.subqueries(asked).select("query_id", "mode", "facet_no", "k", F.col("subquery").contains(P.FACET_LEAD).alias("focused"))
+
+
 @query("WIN8_context_budget", "WITH t AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, cast(o_orderkey % 50 AS integer) AS tokens FROM orders), u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM t) SELECT query_id, rank, used FROM u WHERE used <= 60 OR rank = 1")
 def context_budget(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
