@@ -552,6 +552,16 @@ def greedy_batches(spark, sf_dir):
     return chronology.greedy_batches(_letters(spark, sf_dir), P.FAST_BATCH_CHARS, P.FAST_BATCH_CHUNKS)
 
 
+@query("WIN4_batches_by_characters", f"""WITH RECURSIVE {RECORDS}, o AS (SELECT run_id, chunk_id, length(text) + {P.BATCH_OVERHEAD} AS size, row_number() OVER (PARTITION BY run_id ORDER BY original_filename, doc_id, record_id, chunk_id) AS n FROM letters),
+w AS (SELECT run_id, n, size AS held, 1 AS rows, 0 AS batch_no FROM o WHERE n = 1 UNION ALL
+  SELECT w.run_id, o.n, CASE WHEN held + size > {P.FAST_BATCH_CHARS} OR rows >= 13 THEN size ELSE held + size END, CASE WHEN held + size > {P.FAST_BATCH_CHARS} OR rows >= 13 THEN 1 ELSE rows + 1 END, batch_no + CASE WHEN held + size > {P.FAST_BATCH_CHARS} OR rows >= 13 THEN 1 ELSE 0 END FROM w JOIN o ON o.run_id = w.run_id AND o.n = w.n + 1)
+SELECT run_id, chunk_id, batch_no FROM w JOIN o USING (run_id, n)""")
+def batches_by_characters(spark, sf_dir):
+    """A batch ends by its characters, or with 13 letters, whichever comes first."""
+    letters = _letters(spark, sf_dir)
+    return chronology.greedy_batches(letters, P.FAST_BATCH_CHARS, 13)
+
+
 @query("GEN4_segment_encounters", f"WITH {RECORDS} SELECT chunk_id || ':unit:' || u AS chunk_id, CASE u WHEN 0 THEN 0 ELSE 60 END AS source_char_start FROM r, (SELECT unnest([0, 1]) AS u)")
 def segment_encounters(spark, sf_dir):
     """Two visit headers in every letter: two units."""

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from casegrid.functions import textcols as T
-from casegrid.operators import answers, chronology, registry, retrieval
+from casegrid.operators import answers, chronology, registry, retrieval, similarity
 from casegrid.plans import adapters as A
 from casegrid.plans.case_queries import _REGISTRY, _responses
 from casegrid.plans.catalog import query
@@ -241,6 +241,22 @@ def token_jaccard(spark, sf_dir):
     return both.select("a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
 
 
+@query("JN11_jaccard_all_items", "WITH t AS (SELECT item_id, list_distinct(list_transform(string_split(lower(text), ' '), lambda x: substr(x, 1, 3))) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) AS double), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) AS double) >= 0.2")
+def jaccard_all_items(spark, sf_dir):
+    """All benchmark items as the candidates of one query, by the first letters of their words."""
+    tokens = F.transform(F.split(F.lower("text"), " "), lambda x: F.substring(x, 1, 3))
+    t = A.table(spark, sf_dir, "benchmark").select(F.lit(1).alias("query_id"), "item_id", tokens.alias("tokens"))
+    return similarity.jaccard_pairs(t, 0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("JN11_jaccard_in_groups", "WITH t AS (SELECT o_custkey, o_orderkey, list(DISTINCT (l_suppkey % 9) || l_returnflag) AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), p AS (SELECT a.o_custkey AS query_id, a.o_orderkey AS a, b.o_orderkey AS b, len(list_intersect(a.w, b.w)) AS o, len(list_distinct(list_concat(a.w, b.w))) AS u FROM t a JOIN t b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey) SELECT query_id, a, b, round(o / cast(u AS double), 6) AS jaccard FROM p WHERE o / cast(u AS double) >= 0.5")
+def jaccard_in_groups(spark, sf_dir):
+    """A customer is a query, the orders are its candidates, suppliers and flags their tokens."""
+    l = A.table(spark, sf_dir, "lineitem").join(A.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sets = l.groupBy(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id")).agg(F.collect_set(F.concat((F.col("l_suppkey") % 9).cast("string"), "l_returnflag")).alias("tokens"))
+    return similarity.jaccard_pairs(sets, 0.5).select("query_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("SET4_ungrounded_dates", f"WITH {RECORDS} SELECT record_id, CASE WHEN record_id % 4 = 0 THEN '1950-05-05' ELSE '' END AS ungrounded FROM r")
 def ungrounded_dates(spark, sf_dir):
     says = F.concat_ws(" ", F.date_format("order_date", "yyyy/MM/dd"), F.when(F.col("record_id") % 4 == 0, "05.05.1950"))
