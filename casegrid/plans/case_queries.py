@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from casegrid.functions import patterns as P, textcols as T
-from casegrid.operators import answerset, answers, casefile, chronology, chunking, reconcile, registry, retrieval
+from casegrid.operators import answerset, answers, casefile, chronology, chunking, reconcile, registry, rendering, retrieval
 from casegrid.plans import adapters as A
 from casegrid.plans.catalog import query
 from casegrid.plans.text_queries import RECORDS
@@ -593,6 +593,52 @@ def render(spark, sf_dir):
     return chronology.render(chronology.merge_events(chronology.dated_mentions(_letters(spark, sf_dir))))
 
 
+_CHRONOLOGY_SQL = f"""WITH {RECORDS},
+e AS (SELECT run_id, chunk_id, record_id AS k, nation, CASE WHEN record_id % 7 < 5 THEN iso WHEN record_id % 7 = 5 THEN substr(iso, 1, 7) ELSE '' END AS value, CASE WHEN record_id % 5 = 0 THEN '{P.MISSING}' ELSE doctor END AS provider, CASE record_id % 3 WHEN 0 THEN 'North|South' ELSE '' END AS facility,
+  ['fast', 'ultra_fast', 'detailed'][nation % 3 + 1] AS profile, 'letter, author: ' || doctor || ', ' || original_filename || CASE record_id % 3 WHEN 0 THEN ', chars 0–90' WHEN 1 THEN ', p. 1' ELSE ', pp. 1–2' END || '; verification: “' || CASE WHEN record_id % 4 = 3 THEN raw || repeat(' seen', 25) || ' s…' ELSE raw || ' seen' END || '”' AS source FROM r),
+s AS (SELECT *, CASE WHEN k % 7 < 5 THEN substr(value, 9, 2) || '/' || substr(value, 6, 2) || '/' || substr(value, 1, 4) WHEN k % 7 = 5 THEN substr(value, 6, 2) || '/' || substr(value, 1, 4) || ' [Date Incomplete]' ELSE 'around then [Date Incomplete]' END AS shown,
+  CASE WHEN provider = '{P.MISSING}' THEN provider WHEN profile <> 'detailed' AND k % 2 = 0 THEN 'Recorded by: ' || provider ELSE provider END AS named FROM e),
+l AS (SELECT *, '| ' || shown || ' | ' || CASE WHEN facility = '' THEN named WHEN provider = '{P.MISSING}' THEN 'North\\|South' ELSE named || '; North\\|South' END || ' | ' || CASE WHEN profile <> 'detailed' THEN 'Consultation' || CASE k % 4 WHEN 0 THEN '; pain' WHEN 1 THEN '; sprain' ELSE '' END
+  ELSE CASE k % 4 WHEN 0 THEN 'pain' ELSE '{P.MISSING}' END || ' | ' || CASE k % 4 WHEN 1 THEN 'sprain' ELSE '{P.MISSING}' END || ' | {P.MISSING}' END || ' | ' || CASE WHEN k % 8 = 0 THEN 'rest<br>ice' ELSE '{P.MISSING}' END || ' | ' || source || ' |' AS line FROM s),
+n AS (SELECT run_id, 1 AS part, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN value = '' THEN 9999 ELSE cast(substr(value, 1, 4) AS int) END, CASE WHEN value = '' THEN 12 ELSE cast(substr(value, 6, 2) AS int) END, CASE WHEN value = '' THEN 31 WHEN length(value) < 8 THEN 1 ELSE cast(substr(value, 9, 2) AS int) END, CASE WHEN k % 7 < 5 THEN 0 WHEN k % 7 = 5 THEN 1 ELSE 3 END, lower(provider), chunk_id) AS line_no, line FROM l),
+a AS (SELECT run_id, any_value(profile) AS profile, any_value(nation) AS nation, count(*) AS c, count(*) FILTER (k % 6 = 0) AS w FROM e GROUP BY 1),
+h AS (SELECT run_id, 0 AS part, list_filter(['{P.CHRONOLOGY_TITLE}' || CASE profile WHEN 'fast' THEN ' — Fast Profile' WHEN 'ultra_fast' THEN ' — Ultra-Fast Profile' ELSE '' END, CASE WHEN nation % 4 = 0 OR nation % 5 = 0 THEN '{P.INCOMPLETE_HEAD}' END, '', CASE WHEN profile = 'ultra_fast' THEN '{P.ULTRA_FAST_NOTE}' END, CASE WHEN profile = 'ultra_fast' THEN '' END,
+  CASE WHEN profile = 'detailed' THEN '{P.LONG_COLUMNS}' ELSE '{P.SHORT_COLUMNS}' END, CASE WHEN profile = 'detailed' THEN '|---|---|---|---|---|---|---|' ELSE '|---|---|---|---|---|' END], lambda x: x IS NOT NULL) AS lines FROM a),
+t AS (SELECT run_id, 2 AS part, list_filter(['', '### Completeness and data-quality audit', '', '- Chronology profile: **' || CASE profile WHEN 'fast' THEN 'Fast' WHEN 'ultra_fast' THEN 'Ultra_Fast' ELSE 'Detailed' END || '**', '- Documents audited: **' || (10 - CASE WHEN nation % 5 = 0 THEN 1 ELSE 0 END) || '/10**', '- Source chunks successfully processed: **' || c || '/' || c || '**',
+  '- Extraction batches processed: **3/4**', '- Valid extraction pages checkpointed: **5**', '- Source chunks completed: **' || c || '/' || c || '**', '- Events extracted before deduplication: **' || (c + 2) || '**', '- Chronology events rendered: **' || c || '**', '- Events rejected for missing/invalid provenance or source quotation: **2**',
+  '- Failed extraction batches: **' || CASE WHEN nation % 4 = 0 THEN 1 ELSE 0 END || '**', '- Entries carrying validation warnings: **' || w || '**', CASE WHEN nation % 5 = 0 THEN '' END, CASE WHEN nation % 5 = 0 THEN '{P.MISSED_DOCUMENTS}' END, CASE WHEN nation % 4 = 0 THEN '' END, CASE WHEN nation % 4 = 0 THEN '{P.FAILED_BATCHES}' END, CASE WHEN w > 0 THEN '' END, CASE WHEN w > 0 THEN '{P.WARNED_ENTRIES}' END], lambda x: x IS NOT NULL) AS lines FROM a),
+x AS (SELECT run_id, part, unnest(range(1, len(lines) + 1)) AS line_no, unnest(lines) AS line FROM (SELECT * FROM h UNION ALL SELECT * FROM t))"""
+
+
+def _chronology(spark, sf_dir):
+    """Every letter as an event with all its fields, and each nation's case with its audit."""
+    r, k, n = A.records(spark, sf_dir), F.col("record_id"), F.col("nation")
+    iso, raw, none = F.col("order_date").cast("string"), F.date_format("order_date", "dd/MM/yyyy"), F.lit(P.MISSING)
+    pages = lambda c: F.when(k % 3 > 0, c).cast("int")
+    source = F.struct(F.lit("letter").alias("document_type"), F.col("doctor").alias("author"), "original_filename", pages(F.lit(1)).alias("page_start"), pages(k % 3).alias("page_end"), F.lit(0).alias("source_char_start"), F.lit(90).alias("source_char_end"))
+    events = r.select(
+        "run_id", "chunk_id", F.when(k % 7 < 5, iso).when(k % 7 == 5, F.substring(iso, 1, 7)).otherwise("").alias("event_date"), F.when(k % 7 < 5, "day").when(k % 7 == 5, "month").otherwise("unknown").alias("date_precision"), F.lit("around then").alias("date_original"),
+        F.lit("Consultation").alias("event_type"), F.when(k % 5 == 0, none).otherwise(F.col("doctor")).alias("provider"), F.when(k % 2 == 0, "documenting_provider").otherwise("treating").alias("provider_role"),
+        F.when(k % 3 == 0, "North|South").when(k % 3 == 1, P.NOT_GIVEN[1]).otherwise("").alias("facility"), F.when(k % 4 == 0, "pain").otherwise(none).alias("presenting_symptoms"), F.when(k % 4 == 1, "sprain").otherwise(none).alias("diagnosis"), F.lit(None).cast("string").alias("investigations_findings"),
+        F.when(k % 8 == 0, "rest\nice").otherwise(none).alias("intervention_plan"), F.concat(raw, F.when(k % 4 == 3, F.repeat(F.lit(" \n seen"), 40)).otherwise("  seen ")).alias("source_quote"), F.array(source).alias("sources"), F.when(k % 6 == 0, F.array(F.lit("w"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+    audits = r.groupBy("run_id", "nation").agg(F.count("*").alias("c")).select(
+        "run_id", F.get(F.array(F.lit("fast"), F.lit("ultra_fast"), F.lit("detailed")), (n % 3).cast("int")).alias("profile"), F.lit(10).alias("documents_total"), F.when(n % 5 == 0, 9).otherwise(10).alias("documents_audited"), F.col("c").alias("chunks_total"), F.col("c").alias("chunks_completed"), F.lit(4).alias("batches_total"),
+        F.lit(3).alias("batches_processed"), F.when(n % 4 == 0, 1).otherwise(0).alias("batches_failed"), F.lit(5).alias("pages_completed"), (F.col("c") + 2).alias("events_extracted"), F.col("c").alias("events_rendered"), F.lit(2).alias("rejected_without_source"),
+    )
+    return events, audits
+
+
+@query("CHR11_chronology_lines", f"{_CHRONOLOGY_SQL} SELECT * FROM n UNION ALL SELECT * FROM x")
+def chronology_lines(spark, sf_dir):
+    return rendering.chronology_lines(*_chronology(spark, sf_dir))
+
+
+@query("CHR11_chronology_text", f"{_CHRONOLOGY_SQL} SELECT run_id, string_agg(line, chr(10) ORDER BY part, line_no) AS chronology FROM (SELECT * FROM n UNION ALL SELECT * FROM x) GROUP BY 1")
+def chronology_text(spark, sf_dir):
+    return rendering.render_chronology(*_chronology(spark, sf_dir))
+
+
 #: Recorded responses rendered from the letters; the order of the kinds decides what is wrong with an event.
 _KINDS = ("good", "no_source", "not_quoted", "birth", "absent_date", "misread")
 
