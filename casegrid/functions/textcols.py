@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
+from html import unescape as html_unescape
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -310,16 +313,44 @@ def l2_normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(v.cast("array<double>"))
 
 
-#: Named entities that are resolved.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Entities that need no semicolon, longest first, and the others by name; numbers below 160 have values of their own. All from the standard library's table.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(_BARE) + "))"
+_VALUES = json.dumps({n: v for n, v in html5.items()} | {f"#{n}": html_unescape(f"&#{n};") for n in range(160)})
+
+
+def _entity(e: Column) -> Column:
+    """What one entity stands for; one without a meaning stays."""
+    table = F.from_json(F.lit(_VALUES), "map<string,string>")
+    hexadecimal, decimal = F.regexp_extract(e, "^&#[xX]0*([0-9a-fA-F]+)", 1), F.regexp_extract(e, "^&#0*([0-9]+)", 1)
+    digits = F.when(hexadecimal != "", hexadecimal).when(decimal.rlike("^[0-9]{1,9}$"), F.conv(decimal, 10, 16)).otherwise("FFFFFFFF")
+    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).otherwise(F.conv(digits, 16, 10).cast("bigint"))
+    low = F.try_element_at(table, F.concat(F.lit("#"), number.cast("string")))
+    none = ((number >= 0xFDD0) & (number <= 0xFDEF)) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    sign = F.when(number < 160, low).when((number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF)), "\ufffd").when(none, "").otherwise(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+    bare = F.regexp_extract(e, "^&(" + "|".join(_BARE) + ")", 1)
+    named = F.coalesce(F.try_element_at(table, F.substring(e, 2, 64)), F.when(bare != "", F.concat(F.try_element_at(table, bare), e.substr(F.length(bare) + 2, F.length(e)))))
+    return F.coalesce(F.when(e.startswith("&#"), sign).otherwise(named), e)
+
+
+def unescape(text: Column) -> Column:
+    """Every HTML entity, named or by number, as what it stands for; in one pass, so `&amp;lt;` becomes `&lt;`."""
+    found_ = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    parts = F.zip_with(F.split(text, _ENTITY, -1), F.transform(found_, _entity), lambda t, e: F.concat(t, F.coalesce(e, F.lit(""))))
+    return F.when(text.contains("&") & text.rlike(_ENTITY), F.array_join(parts, "")).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
     """FN33: tags as spaces, entities resolved, runs of blanks as one."""
     out = F.regexp_replace(html, "<[^>]+>", " ")
-    for name, sign in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(unescape(out), r"(?U)\s+", " "))
+
+
+def case_label(run_dir: Column, documents: Column, chunks: Column) -> Column:
+    """FN26: the selector's label of a case, with its counts."""
+    base = F.nullif(F.element_at(F.split(F.regexp_replace(F.coalesce(run_dir, F.lit("")), "/+$", ""), "/"), -1), F.lit(""))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    return F.concat(F.lit("📁 "), F.coalesce(base, F.lit("unknown")), F.lit(" ("), count(documents), F.lit(" docs, "), count(chunks), F.lit(" chunks)"))
 
 
 def cache_key(text: Column) -> Column:

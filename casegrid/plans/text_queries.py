@@ -197,6 +197,20 @@ def case_label(spark, sf_dir):
     return A.table(spark, sf_dir, "part").select("p_partkey", T.case_name(F.concat(F.lit("/ws/a/"), F.translate("p_name", "/", " "), F.lit("/"))).alias("case_name"))
 
 
+@query("FN26_selector_label", f"WITH {RECORDS} SELECT run_id, '📁 nation' || any_value(nation) || ' (' || count(DISTINCT doc_id) || ' docs, ' || count(*) || ' chunks)' AS label FROM r GROUP BY 1")
+def selector_label(spark, sf_dir):
+    cases = A.records(spark, sf_dir).groupBy("run_id", "run_dir").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
+    return cases.select("run_id", T.case_label(F.col("run_dir"), F.col("documents"), F.col("chunks")).alias("label"))
+
+
+@query("FN33_entities", "SELECT l_orderkey, l_linenumber, chr(cast(160 + l_suppkey % 90 AS integer)) || ' ' || chr(cast(945 + l_linenumber AS integer)) || ' & é &lt; x' AS text FROM lineitem")
+def entities(spark, sf_dir):
+    """Entities by decimal and hexadecimal number, by name, and one that is escaped twice."""
+    l = A.table(spark, sf_dir, "lineitem")
+    text = F.concat(F.lit("&#"), (160 + F.col("l_suppkey") % 90).cast("string"), F.lit("; &#x"), F.hex(945 + F.col("l_linenumber")), F.lit("; &amp; &eacute; &amp;lt; x"))
+    return l.select("l_orderkey", "l_linenumber", T.unescape(text).alias("text"))
+
+
 @query("FN27_collection_name", "SELECT p_partkey, 'records_' || trim(lower(right(regexp_replace(p_type || '/' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), 40)), '_') AS collection FROM part")
 def collection_name(spark, sf_dir):
     return A.table(spark, sf_dir, "part").select("p_partkey", T.collection_name(F.concat_ws("/", "p_type", "p_brand")).alias("collection"))
@@ -231,7 +245,7 @@ def l2_normalise(spark, sf_dir):
 
 
 _UNTAG = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-for _a, _b in T.ENTITIES:
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):  # those that the pages hold; &amp; last
     _UNTAG = f"replace({_UNTAG}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 

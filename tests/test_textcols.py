@@ -1,15 +1,17 @@
 """Golden values of the scalar functions."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
 from casegrid.functions import textcols as T
 
 GOLDENS = [
-    (T.first_date_iso, "Consulted on 12/02/2018", "2018-02-12"), (T.first_date_iso, "Dated 20.11.2018", "2018-11-20"), (T.first_date_iso, "Dictated 12 February 2018", "2018-02-12"), (T.first_date_iso, "Seen on August 27, 2020", "2020-08-27"),
-    (T.first_date_iso, "Dated 29/02/2024", "2024-02-29"), (T.first_date_iso, "Dated 31/02/2024", None), (T.first_date_iso, "No date here", None), (T.first_date_iso, "1/2/49", "2049-02-01"), (T.first_date_iso, "1/2/50", "1950-02-01"), (T.first_date_iso, None, None),
-    (T.author, "Dr Eugene Ek, Orthopaedic Surgeon", "Eugene Ek"), (T.author, "Kind regards\n\nDr Paul Borbas, MD", "Paul Borbas"), (T.author, "Yours sincerely\n\n(Dictated but not sighted)\n\nA/Prof. Eugene T. Ek", "Eugene T. Ek"), (T.author, "nobody", None),
-    (T.document_type, "Dear Dr Sybille, thanks for referring Francis...", "specialist_letter"), (T.document_type, "plain", "unknown"), (T.document_type, "CT OF SPINE\nDear Dr A\nFindings: none", "radiology_report"),
+    (T.first_date_iso, "An X-ray was taken on 7/11/2016.", "2016-11-07"), (T.first_date_iso, "printed 03.09.2017 at the desk", "2017-09-03"), (T.first_date_iso, "the scan of 5 March 2015 was clear", "2015-03-05"), (T.first_date_iso, "Back at work since October 9, 2021", "2021-10-09"),
+    (T.first_date_iso, "leap day 29-2-2016", "2016-02-29"), (T.first_date_iso, "due 30/02/2016", None), (T.first_date_iso, "undated", None), (T.first_date_iso, "1/2/49", "2049-02-01"), (T.first_date_iso, "1/2/50", "1950-02-01"), (T.first_date_iso, None, None),
+    (T.author, "Seen by Dr Quilla Marrow, Ward Physician", "Quilla Marrow"), (T.author, "Kind regards\n\nDr Odo Fennick, MB", "Odo Fennick"), (T.author, "Yours faithfully\n\n(Typed in absence)\n\nA/Prof. Wren B. Tarn", "Wren B. Tarn"), (T.author, "nobody", None),
+    (T.document_type, "Dear Doctor, the knee has healed.", "specialist_letter"), (T.document_type, "plain", "unknown"), (T.document_type, "CT OF SPINE\nDear Dr A\nFindings: none", "radiology_report"),
     (T.patient_name, "Re: Imaginary VON EXAMPLE DOB: 03.02.1990", "Imaginary VON EXAMPLE"), (T.patient_name, "Re: Mr. Imaginary Von Example", "Imaginary Von Example"),
     (T.iso_bound, "2020-3", "2020-03-01"), (T.iso_bound, "2020", "2020-01-01"), (T.iso_bound, "86400", "1970-01-02"), (T.iso_bound, "soon", None), (T.iso_bound, "2020-02-31", None),
     (T.evidence_text, "A-b,  Çé!", "a b çé"), (T.title_case, "o'brien smith-JONES", "O'Brien Smith-Jones"), (T.strip_html, "<b>a&amp;b</b> &lt;c&gt;", "a&b <c>"),
@@ -29,3 +31,16 @@ def test_documented_date_and_canonical_dates(spark):
     assert [(r["t"], r["d"]["value"], r["d"]["precision"]) for r in rows] == cases
     got = spark.createDataFrame([("on 1/2/2020, 2020.02.01 and 31/2/2020",)], "t string").select(T.canonical_dates(F.col("t")).alias("d")).first()
     assert got["d"] == ["2020-02-01"]
+
+
+ENTITIES = ["&eacute;&Alpha;", "&#233;&#xE9;&#Xe9", "&#128;&#0;&#x110000;&#xD800;&#1;&#65534;&#x1F600;", "&amp;lt;", "&notit; &notanentity; &", "&lt&gt", "AT&T &copy 2020", "&#99999999999999;", "&#x0000041;", "no entity", "&NotEqualTilde;", "&;&#;&#x;", "a&nbsp;b"]
+
+
+def test_entities_as_the_standard_library_resolves_them(spark):
+    rows = spark.createDataFrame([(e,) for e in ENTITIES], "t string").select("t", T.unescape(F.col("t")).alias("u")).collect()
+    assert [(r["t"], r["u"]) for r in rows] == [(e, html.unescape(e)) for e in ENTITIES]
+
+
+def test_selector_label(spark):
+    rows = spark.createDataFrame([("/ws/run_a/", 2, 5), (None, None, 0), ("x", 1, 1)], "d string, n int, c int").select(T.case_label(F.col("d"), F.col("n"), F.col("c")).alias("l")).collect()
+    assert [r["l"] for r in rows] == ["📁 run_a (2 docs, 5 chunks)", "📁 unknown (0 docs, 0 chunks)", "📁 x (1 docs, 1 chunks)"]
