@@ -237,3 +237,14 @@ ULTRA_FAST_NOTE = "> ⚡ Whole-case dated-text index with bounded semantic filte
 MISSED_DOCUMENTS = "> ⚠️ **Incomplete chronology:** One or more indexed documents contained no auditable source chunks."
 FAILED_BATCHES = "> ⚠️ **Incomplete chronology:** One or more source batches could not be extracted. Do not rely on this output as a complete record audit."
 WARNED_ENTRIES = "> ⚠️ Entries with incomplete or invalid dates, or potentially inferential language, require source review."
+
+# A client's name in a text, in the order in which the forms are tried.
+_WORDS = r"[A-Z][a-zA-Z\-'`]+(?:\s+[A-Z][a-zA-Z\-'`]+)"
+NAMES_IN_TEXT = (
+    rf"Re:\s*(?:Mr|Mrs|Ms|Dr|Prof)?\.?\s*({_WORDS}{{1,3}})",
+    rf"Client\s+({_WORDS}{{1,3}})",
+    rf"Patient\s*:?\s*({_WORDS}{{1,3}})",
+    rf"({_WORDS}{{1,2}})\s+(?:DOB|Date of Birth)",
+)
+NAME_IN_TEXT_WORDS = ("Re:", "Client", "Patient", "DOB", "Date of Birth")
+UNKNOWN_CLIENT, NO_DOB = "Unknown Client", "—"

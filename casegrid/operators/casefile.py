@@ -33,7 +33,25 @@ def client_names(names: Column) -> Column:
     return F.slice(F.aggregate(bare, F.array().cast("array<string>"), lambda a, n: F.when(F.exists(a, lambda y: y.contains(n)), a).otherwise(F.concat(a, F.array(n)))), 1, 2)
 
 
-def case_names(chunks: DataFrame) -> DataFrame:
+def name_in_text(text: Column) -> Column:
+    """CASE1: a name as the first of four forms gives it that isn't a stop word; null without one."""
+    forms = [F.trim(T.found(text, p, 1)) for p in P.NAMES_IN_TEXT]
+    good = [F.when((F.length(n) > 3) & ~F.lower(n).rlike(P.IGNORED_NAMES), n) for n in forms]
+    return F.when(T.holds(text, P.NAME_IN_TEXT_WORDS), T.title_case(F.coalesce(*good)))
+
+
+def case_names(chunks: DataFrame, order: str | None = None) -> DataFrame:
+    """CASE1: names by column and, where ``order`` names the column of the source order, for cases without any the first name that a text gives."""
+    held = _column_names(chunks)
+    if not order:
+        return held
+    bare = F.trim(F.regexp_replace(F.col("n"), r"(?i)^(mr|mrs|ms|dr|prof)\.?\s+", ""))
+    told = chunks.join(held.select("run_id"), "run_id", "left_anti").select("run_id", F.col(order).alias("at"), name_in_text(F.col("text")).alias("n")).where("n IS NOT NULL")
+    first = told.groupBy("run_id").agg(F.min_by("n", F.struct("at", "n")).alias("n")).select("run_id", F.array(bare).alias("names"))
+    return held.unionByName(first)
+
+
+def _column_names(chunks: DataFrame) -> DataFrame:
     """(run_id, names): what ``client_names`` makes of all of a case's names, by two aggregates: the first in order, then the first that it doesn't contain."""
     trimmed = chunks.select("run_id", F.trim("patient_name").alias("n")).where(F.length("n") > 2).distinct()
     titled = trimmed.select("run_id", T.title_case(F.col("n")).alias("n")).where(~F.lower("n").rlike(P.IGNORED_NAMES))
@@ -54,7 +72,7 @@ def case_metadata(chunks: DataFrame, order: str | None = None) -> DataFrame:
     raw = F.replace(T.found(F.col("text"), "(?i)" + P.DOB, 1), F.lit("."), F.lit("/"))
     dobs = chunks.select("run_id", raw.alias("raw")).where("raw is not null").distinct().withColumn("iso", T.timeline_date(F.col("raw")))
     by_dob = dobs.groupBy("run_id").agg(F.max_by("raw", F.when(F.col("iso").isNotNull(), F.struct(F.length("raw"), "raw"))).alias("dob"), F.array_sort(F.collect_set(F.when(F.col("iso").isNull(), F.col("raw")))).alias("dob_unparsed"))
-    cases = chunks.select("run_id").distinct().join(case_names(chunks), "run_id", "left").join(by_dob, "run_id", "left")
+    cases = chunks.select("run_id").distinct().join(case_names(chunks, order), "run_id", "left").join(by_dob, "run_id", "left")
     lists = ["dob_unparsed"]
     if order:
         cases, lists = cases.join(case_injuries(chunks, order), "run_id", "left"), [*lists, "injuries"]
@@ -70,6 +88,22 @@ def case_injuries(chunks: DataFrame, order: str = "chunk_id") -> DataFrame:
     return ranked.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", shown.alias("x")))), lambda s: s["x"]).alias("injuries"))
 
 
+def case_dashboard(runs: DataFrame, metadata: DataFrame) -> DataFrame:
+    """AGG16: a row for each case with its name, client, birth date, injuries, counts and dates.
+
+    ``runs``: run_id, run_dir, total_documents, total_chunks, unique_authors,
+    earliest_date, latest_date. ``metadata``: run_id, names, dob, injuries; a
+    case that it lacks has an unknown client.
+    """
+    base = F.nullif(F.element_at(F.split(F.regexp_replace(F.coalesce("run_dir", F.lit("")), "/+$", ""), "/"), -1), F.lit(""))
+    meta = metadata.select("run_id", "names", "dob", "injuries", F.lit(True).alias("known"))
+    count = lambda c, name: F.coalesce(c, F.lit(0)).cast("bigint").alias(name)
+    return runs.join(meta, "run_id", "left").select(
+        "run_id", F.coalesce(base, "run_id", F.lit("unknown")).alias("run_name"), F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise(P.UNKNOWN_CLIENT).alias("client_name"), F.when(F.col("known"), F.col("dob")).otherwise(P.NO_DOB).alias("dob"),
+        F.coalesce("injuries", F.array().cast("array<string>")).alias("injuries"), count("total_documents", "documents_count"), count("total_chunks", "chunks_count"), count("unique_authors", "authors_count"), "earliest_date", "latest_date",
+    )
+
+
 def timeline_groups(rows: DataFrame) -> DataFrame:
     """AGG7/CASE4: one event for each (document, date, physician, type, reference).
 

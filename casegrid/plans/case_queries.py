@@ -504,6 +504,24 @@ def client_names(spark, sf_dir):
     return casefile.case_metadata(_letters(spark, sf_dir)).select("run_id", F.array_join("names", ";").alias("names"))
 
 
+@query("CASE1_names_from_text", f"WITH {RECORDS}, {_NAMES}, t AS (SELECT run_id, arg_min(patient, (chunk_id)) AS first FROM r WHERE nation % 2 = 1 AND NOT regexp_matches(lower(patient), '{P.IGNORED_NAMES}') GROUP BY 1) SELECT a.run_id, CASE WHEN a.nation % 2 = 0 THEN coalesce(names, '') ELSE coalesce(first || ' Dob', '') END AS names FROM (SELECT DISTINCT run_id, nation FROM r) a LEFT JOIN names USING (run_id) LEFT JOIN t ON t.run_id = a.run_id")
+def names_from_text(spark, sf_dir):
+    """Half of the cases have no name column: the first letter that names its patient decides. The form takes up to four words that begin with a capital, so the mark of the birth date comes along."""
+    chunks = _letters(spark, sf_dir).join(A.records(spark, sf_dir).select("chunk_id", "nation"), "chunk_id")
+    chunks = chunks.withColumn("patient_name", F.when(F.col("nation") % 2 == 0, F.col("patient_name")))
+    return chunks.select("run_id").distinct().join(casefile.case_names(chunks, "chunk_id"), "run_id", "left").select("run_id", F.coalesce(F.array_join("names", ";"), F.lit("")).alias("names"))
+
+
+@query("AGG16_dashboard_rows", f"WITH {RECORDS}, {_NAMES}, {_INJURIES}, s AS (SELECT run_id, any_value(nation) AS nation, count(DISTINCT doc_id) AS documents_count, count(*) AS chunks_count, count(DISTINCT doctor) AS authors_count, min(order_date) AS earliest_date, max(order_date) AS latest_date FROM r GROUP BY 1) SELECT s.run_id, 'nation' || nation AS run_name, CASE WHEN nation % 4 = 3 THEN '{P.UNKNOWN_CLIENT}' ELSE coalesce(replace(names, ';', ', '), '{P.UNKNOWN_CLIENT}') END AS client_name, CASE WHEN nation % 4 = 3 THEN '{P.NO_DOB}' ELSE '01/02/1970' END AS dob, CASE WHEN nation % 4 = 3 THEN '' ELSE injuries END AS injuries, documents_count, chunks_count, authors_count, strftime(earliest_date, '%Y-%m-%d') AS earliest_date, strftime(latest_date, '%Y-%m-%d') AS latest_date FROM s LEFT JOIN names USING (run_id) LEFT JOIN injuries USING (run_id)")
+def dashboard_rows(spark, sf_dir):
+    """All cases; those of some nations have no metadata yet."""
+    letters = _letters(spark, sf_dir)
+    runs = letters.groupBy("run_id", "run_dir").agg(F.countDistinct("doc_id").alias("total_documents"), F.count("*").alias("total_chunks"), F.countDistinct("author").alias("unique_authors"), F.min("date_extracted").alias("earliest_date"), F.max("date_extracted").alias("latest_date"))
+    known = letters.where(F.regexp_extract("run_dir", "([0-9]+)$", 1).cast("int") % 4 != 3)
+    rows = casefile.case_dashboard(runs, casefile.case_metadata(known, "chunk_id"))
+    return rows.select("run_id", "run_name", "client_name", "dob", F.array_join("injuries", ";").alias("injuries"), "documents_count", "chunks_count", "authors_count", F.col("earliest_date").cast("string").alias("earliest_date"), F.col("latest_date").cast("string").alias("latest_date"))
+
+
 @query("CASE2_dob", f"WITH {RECORDS} SELECT DISTINCT run_id, '01/02/1970' AS dob FROM r")
 def dob(spark, sf_dir):
     return casefile.case_metadata(_letters(spark, sf_dir)).select("run_id", "dob")

@@ -77,6 +77,35 @@ def scan_points(spark, sf_dir):
     return A.points(spark, sf_dir).select("vec_id", F.coalesce(F.when(F.col("run_id") != "run-lost", F.col("run_id")), F.lit("<missing-run-id>")).alias("run_id"))
 
 
+@query("SRC4_point_pages", f"WITH {_REGISTRY} SELECT CASE WHEN run_id = 'run-lost' THEN '<missing-run-id>' ELSE run_id END AS run, count(*) AS n, min(point_id) AS first, (count(*) + 99) // 100 AS pages FROM points GROUP BY 1")
+def point_pages(spark, sf_dir):
+    """All points written in pages of a hundred and scanned again; a page is a file."""
+    path = _folder(spark, "points")
+    io.write_points(A.points(spark, sf_dir).withColumn("run_id", F.when(F.col("run_id") != "run-lost", F.col("run_id"))).select("point_id", "run_id", "chunk_id"), path, 100)
+    held = io.scan_points(spark, path, "point_id string, run_id string, chunk_id string").withColumn("file", F.input_file_name())
+    return held.groupBy("run").agg(F.count("*").alias("n"), F.min("point_id").alias("first"), F.countDistinct("file").alias("pages"))
+
+
+def _case_files(spark, sf_dir, tag):
+    """The documents' texts as files of at most a hundred documents, in a folder a source."""
+    path = _folder(spark, tag)
+    A.table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source", "text").repartition("source").sortWithinPartitions("source").write.partitionBy("source").option("maxRecordsPerFile", 100).text(path)
+    return path
+
+
+@query("SRC6_object_inventory", "WITH d AS (SELECT source, count(*) AS n, sum(strlen(coalesce(text, '')) + 1) AS bytes FROM documents WHERE source IS NOT NULL GROUP BY 1) SELECT 'source=' || source AS bucket, (n + 99) // 100 AS objects, bytes::bigint AS bytes FROM d UNION ALL SELECT 'source=missing', 0, 0")
+def object_inventory(spark, sf_dir):
+    path = _case_files(spark, sf_dir, "objects")
+    names = [r["source"] for r in A.table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct().collect()]  # the buckets that one asks for
+    return io.object_inventory(spark, path, [f"source={n}" for n in [*names, "missing"]])
+
+
+@query("SRC7_folders_of_files", "SELECT 'source=' || source AS folder, sum(strlen(coalesce(text, '')) + 1)::bigint AS bytes, CASE WHEN sum(strlen(coalesce(text, '')) + 1) < 1024 THEN sum(strlen(coalesce(text, '')) + 1) || ' B' WHEN sum(strlen(coalesce(text, '')) + 1) < 1048576 THEN printf('%.2f KB', sum(strlen(coalesce(text, '')) + 1) / 1024.0) ELSE printf('%.2f MB', sum(strlen(coalesce(text, '')) + 1) / 1048576.0) END AS size FROM documents WHERE source IS NOT NULL GROUP BY source")
+def folders_of_files(spark, sf_dir):
+    sizes = io.folder_sizes(spark, _case_files(spark, sf_dir, "folders"))
+    return sizes.select(F.element_at(F.split("folder", "/"), -1).alias("folder"), "bytes", "size")
+
+
 @query("SRC5_list_runs", "SELECT source AS case_name, count(*) AS files, min(doc_id) % 5 <> 4 AS indexed FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def list_runs(spark, sf_dir):
     return A.runs(spark, sf_dir).orderBy(F.desc("run_dir")).select(T.case_name(F.col("run_dir")).alias("case_name"), F.col("total_documents").alias("files"), (F.col("status") == "indexed").alias("indexed"))

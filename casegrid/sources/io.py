@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Upload limits and the extension that is taken.
 MOST_FILE_BYTES, MOST_FILES, EXTENSION = 20 * 1024 * 1024, 200, ".md"
+MISSING_RUN = "<missing-run-id>"
 OCR_SCHEMA = "metadata struct<`Source-File`:string>, attributes struct<pdf_page_numbers:array<array<int>>>"
 
 
@@ -34,6 +35,24 @@ def object_inventory(spark: SparkSession, path: str, buckets: list[str]) -> Data
     return spark.createDataFrame([(b,) for b in buckets], "bucket string").join(counted, "bucket", "left").fillna(0, ["objects", "bytes"])
 
 
+def write_points(points: DataFrame, path: str, page_rows: int = 10_000) -> None:
+    """SRC4: points in folders by case, in files of at most ``page_rows`` rows sorted by id: the pages that a scroll reads. A point without a case is kept under MISSING_RUN."""
+    held = points.withColumn("run", F.coalesce(F.nullif(F.trim("run_id"), F.lit("")), F.lit(MISSING_RUN)))
+    held.hint("rebalance", F.col("run")).sortWithinPartitions("run", "point_id").write.partitionBy("run").option("maxRecordsPerFile", page_rows).parquet(path)
+
+
+def scan_points(spark: SparkSession, path: str, schema: str, runs: list[str] | None = None) -> DataFrame:
+    """SRC4: every point, with its case in ``run``; of the given cases only, whose folders alone are read. Columns and filters that follow reach the files."""
+    held = spark.read.schema(f"{schema}, run string").option("basePath", path).parquet(path)
+    return held if runs is None else held.where(F.col("run").isin(*runs))
+
+
+def scroll_points(points: DataFrame, page: int, after: str | None = None) -> DataFrame:
+    """SRC4: the next ``page`` points by id after the one named; the last id of a page asks for the next."""
+    rest = points if after is None else points.where(F.col("point_id") > after)
+    return rest.orderBy("point_id").limit(page)
+
+
 def human_size(size: Column) -> Column:
     """SRC7: bytes with a unit."""
     unit = lambda n: F.concat(F.format_number(size / 1024**n, 2), F.lit(f" {'KMGT'[n - 1]}B"))

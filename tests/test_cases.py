@@ -172,3 +172,16 @@ def test_tables_are_created_evolved_and_emptied(spark, tmp_path):
     assert {(r["doc_id"], r["status"], r["more"]) for r in held.collect()} == {("d1", "indexed", 1), ("d2", "pending", 2)} and "markdown_path" in held.columns
     registry.delete_all({"documents": held}, root)
     assert registry.published(spark, root, "documents").count() == 0 and registry.published(spark, root, "documents").columns == held.columns
+
+
+def test_names_from_text(spark):
+    texts = [("a", 1, None, "Patient: Road Street\nRe: Mrs. Orla Pim\nx"), ("a", 0, " ", "no name"), ("b", 0, "Tam Lin", "Client Not Used"), ("c", 0, None, "Re: The Referral Letter, Client Ina Bell called"), ("d", 0, None, "nothing"), ("e", 2, "12 High Street", "Uma Vell DOB 1/1/1970"), ("e", 1, None, "Patient Zed O`Neil")]
+    got = casefile.case_names(spark.createDataFrame(texts, "run_id string, at int, patient_name string, text string"), "at")
+    assert {r["run_id"]: r["names"] for r in got.collect()} == {"a": ["Orla Pim"], "b": ["Tam Lin"], "c": ["Ina Bell"], "e": ["Zed O`Neil"]}
+
+
+def test_dashboard_of_cases_without_metadata(spark):
+    runs = spark.createDataFrame([("r1", "/ws/run_x/", 2, 3, 1), ("r2", None, None, None, None)], "run_id string, run_dir string, total_documents int, total_chunks int, unique_authors int").withColumns({"earliest_date": F.lit(None).cast("date"), "latest_date": F.lit(None).cast("date")})
+    meta = spark.createDataFrame([("r1", ["A B", "C D"], "01/01/1990", ["Sprain"])], "run_id string, names array<string>, dob string, injuries array<string>")
+    got = {r["run_id"]: tuple(r)[1:8] for r in casefile.case_dashboard(runs, meta).collect()}
+    assert got == {"r1": ("run_x", "A B, C D", "01/01/1990", ["Sprain"], 2, 3, 1), "r2": ("r2", "Unknown Client", "—", [], 0, 0, 0)}
