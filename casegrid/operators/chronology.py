@@ -186,12 +186,19 @@ RESPONSE = Y.StructType([Y.StructField("events", Y.StringType()), Y.StructField(
 _JSON = r"(?s)(\{.*\})"
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once a row, however often it is named later: no step moves an expression through a generator."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _with_parsed(responses: DataFrame) -> DataFrame:
     """Adds ``complete`` (null unless a boolean) and ``listed``: the events' JSON texts, null unless they are a list."""
-    bare = F.coalesce(T.found(F.col("response"), r"(?is)```(?:json)?\s*(\{.*\})\s*```", 1), T.found(F.col("response"), _JSON, 1))
-    rows = responses.withColumn("parsed", F.from_json(bare, RESPONSE))
-    listed = F.when(F.startswith(F.col("parsed.events"), F.lit("[")), F.from_json("parsed.events", "array<string>"))
-    return rows.withColumns({"complete": F.col("parsed.complete"), "listed": listed}).drop("parsed")
+    fenced = F.when(F.col("response").contains("```"), T.found(F.col("response"), r"(?is)```(?:json)?\s*(\{.*\})\s*```", 1))
+    # dealt out by batch, as parsing is the work; the step that looks up a batch's sources finds its rows in place
+    dealt = responses.repartition(int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
+    rows = _once(dealt, "parsed", F.from_json(F.coalesce(fenced, T.found(F.col("response"), _JSON, 1)), RESPONSE))
+    rows = _once(rows, "listed", F.when(F.startswith(F.col("parsed.events"), F.lit("[")), F.from_json("parsed.events", "array<string>")))
+    return rows.withColumn("complete", F.col("parsed.complete")).drop("parsed")
 
 
 def _clean_event(e: Column) -> list[Column]:
@@ -217,7 +224,7 @@ def response_events(responses: DataFrame) -> DataFrame:
     a list; a date that doesn't fit its precision becomes an unknown one.
     """
     rows = _with_parsed(responses).select("batch_id", "page", "complete", F.size("listed").alias("in_batch"), F.posexplode("listed").alias("event_no", "text"))
-    rows = rows.withColumn("event", F.from_json("text", RESPONSE_EVENT))
+    rows = _once(rows, "event", F.from_json("text", RESPONSE_EVENT))
     return rows.select("batch_id", "page", "complete", "in_batch", "event_no", *_clean_event(F.col("event")))
 
 
@@ -235,21 +242,26 @@ def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     last = sources.groupBy("batch_id").agg(F.max("source_no").alias("n_sources"))
     rows = events.join(last, "batch_id", "left").withColumn("source_ids", F.filter("source_ids", lambda i: (i >= 1) & (i <= F.col("n_sources")))).drop("n_sources")
     rows = rows.withColumn("source_no", F.when(F.size("source_ids") == 1, F.get("source_ids", F.lit(0))))
-    s = sources.select("batch_id", "source_no", F.col("text").alias("s_text"), F.col("author").alias("s_author"))
-    rows = rows.join(s, ["batch_id", "source_no"], "left")
-    quote, text, date = F.coalesce("source_quote", F.lit("")), F.col("s_text"), T.documented_date(F.col("date_original"))
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    # the three forms in which a source is searched are made once a source, and a date is read once an event. The work is in
+    # the patterns, not in the bytes, so the session's partitions are kept instead of being joined by size
+    parts, at = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["batch_id", "source_no"]
+    s = sources.select(*at, F.col("text").alias("s_text"), F.col("author").alias("s_author")).repartition(parts, *at)
+    s = s.withColumns({"s_flat": flat("s_text"), "s_words": T.evidence_text(F.col("s_text")), "s_tokens": tokens("s_text")})
+    rows = _once(rows.repartition(parts, *at), "read", T.documented_date(F.col("date_original")))
+    rows = rows.join(s, at, "left")
+    quote, text, date = F.coalesce("source_quote", F.lit("")), F.col("s_text"), F.col("read")
     undated = (F.col("date_precision") == "unknown") | (F.coalesce("event_date", F.lit("")) == "")
     exact = undated | date["value"].eqNullSafe(F.col("event_date")) & (date["precision"] == F.col("date_precision"))
     reason = (
-        F.when(F.col("in_batch") > MOST_EVENTS, "too many events in the batch").when(F.col("placeholder"), "placeholder text").when(text.isNull(), "no single valid source").when(quote.rlike(r"\.\.\.|…"), "ellipsis in the quotation").when((quote == "") | ~F.contains(flat(text), flat(quote)), "quotation not in the source")
-        .when(F.col("date_role").isin(*P.EXCLUDED_ROLES) | F.col("date_original").rlike("^(?:" + P.DURATION + ")$"), "date role is no event date").when(~undated & ~F.contains(flat(text), flat(F.col("date_original"))), "date not in the source").when(~exact, "date reads differently in the source")
+        F.when(F.col("in_batch") > MOST_EVENTS, "too many events in the batch").when(F.col("placeholder"), "placeholder text").when(text.isNull(), "no single valid source").when(quote.rlike(r"\.\.\.|…"), "ellipsis in the quotation").when((quote == "") | ~F.contains(F.col("s_flat"), flat(quote)), "quotation not in the source")
+        .when(F.col("date_role").isin(*P.EXCLUDED_ROLES) | F.col("date_original").rlike("^(?:" + P.DURATION + ")$"), "date role is no event date").when(~undated & ~F.contains(F.col("s_flat"), flat(F.col("date_original"))), "date not in the source").when(~exact, "date reads differently in the source")
     )
     given = lambda c: ~F.coalesce(F.col(c), F.lit("")).isin("", *P.NOT_GIVEN)
-    held = lambda c: F.coalesce(F.contains(T.evidence_text(text), T.evidence_text(F.col(c))), F.lit(False))
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    held = lambda c: F.coalesce(F.contains(F.col("s_words"), T.evidence_text(F.col(c))), F.lit(False))
     telling = lambda c: F.array_except(tokens(F.col(c)), F.array(*[F.lit(w) for w in P.GROUNDING_STOP_WORDS]))
-    borne = lambda c: F.coalesce(F.size(F.array_intersect(telling(c), tokens(text))) * 2 >= F.size(telling(c)), F.lit(False))
+    borne = lambda c: F.coalesce(F.size(F.array_intersect(telling(c), "s_tokens")) * 2 >= F.size(telling(c)), F.lit(False))
     guarded = lambda c: F.coalesce(F.contains(F.lower(quote), F.lower(T.found(F.col(c), "(?i)" + P.INFERENCE))), F.lit(True))
     by_author = F.coalesce(T.evidence_text(F.col("provider")) == T.evidence_text(F.col("s_author")), F.lit(False))
     in_source = {"provider": held("provider") | by_author, "facility": held("facility")} | {c: borne(c) for c in DESCRIPTIVE}
@@ -257,7 +269,7 @@ def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     lost = [F.when(given(c) & guarded(c) & ~ok, F.lit(f"{c} not in the source")) for c, ok in in_source.items()]
     role = F.when(given("provider") & guarded("provider"), F.when(~in_source["provider"], "unknown").when(~held("provider"), "documenting_provider").otherwise(F.col("provider_role"))).otherwise(F.col("provider_role"))
     kept = {c: F.when(given(c) & guarded(c) & ok, F.col(c)).otherwise(F.lit("")) for c, ok in in_source.items()}
-    return rows.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*inferred, *lost)), "provider_role": role, "quote_at": F.instr(flat(text), flat(quote)) - 1} | kept).drop("s_text", "s_author", "placeholder")
+    return rows.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*inferred, *lost)), "provider_role": role, "quote_at": F.instr(F.col("s_flat"), flat(quote)) - 1} | kept).drop("s_text", "s_author", "s_flat", "s_words", "s_tokens", "read", "placeholder")
 
 
 def validate_pages(responses: DataFrame, sources: DataFrame, most: int = MOST_ON_PAGE) -> DataFrame:
