@@ -336,6 +336,14 @@ def mmr(spark, sf_dir):
     return retrieval.mmr(found.join(texts, "item_id").select("query_id", F.col("rank").cast("bigint").alias("ord"), "score", "text"), 10)
 
 
+@query("RET12_mmr_of_600")
+def mmr_of_600(spark, sf_dir):
+    """Every 50th vector's 600 nearest documents, a hundred chosen."""
+    found = retrieval.vector_search(A.queries(spark, sf_dir), A.points(spark, sf_dir).select(F.col("vec_id").alias("item_id"), "vector"), 600)
+    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return retrieval.mmr(found.join(texts, "item_id").select("query_id", F.col("rank").cast("bigint").alias("ord"), "score", "text"), 100)
+
+
 #: Every 50th vector asks a question in one of seven modes; the vectors after it stand for its facets.
 _ASKED = ["free_qa", "timeline", "expert_analysis", "general_knowledge", "judge_analysis", "prognosis", "made up"]
 
