@@ -172,16 +172,21 @@ def primary_floor(hits: DataFrame) -> DataFrame:
 
 def mmr_order(scores: np.ndarray, texts: list[str], k: int, weight: float = P.MMR_LAMBDA) -> list[int]:
     """Greedy choice by weight * score - (1 - weight) * greatest Jaccard to the chosen; ties to the earlier one."""
-    sets = [frozenset((t or "").lower().split()) for t in texts]
-    worst, open_, chosen = np.zeros(len(sets)), np.isfinite(scores), []
+    number: dict[str, int] = {}
+    own = [np.array([number.setdefault(w, len(number)) for w in set((t or "").lower().split())], np.int64) for t in texts]
+    size = np.array([len(x) for x in own], np.int64)
+    tokens = np.concatenate(own) if own else np.empty(0, np.int64)
+    by = np.argsort(tokens, kind="stable")
+    holders, begin = np.repeat(np.arange(len(own)), size)[by], np.searchsorted(tokens[by], np.arange(len(number) + 1))
+    worst, open_, chosen = np.zeros(len(own)), np.isfinite(scores), []
     while open_.any() and len(chosen) < k:
         value = np.where(open_, weight * scores - (1 - weight) * worst, -np.inf)
         i = int(value.argmax())
         chosen.append(i)
         open_[i] = False
-        for j in np.flatnonzero(open_):
-            union = len(sets[i] | sets[j])
-            worst[j] = max(worst[j], len(sets[i] & sets[j]) / union if union else 0.0)
+        # who shares how many of its tokens, from the tokens' holders
+        shared = np.bincount(np.concatenate([holders[begin[t] : begin[t + 1]] for t in own[i]]), minlength=len(own)) if size[i] else np.zeros(len(own), np.int64)
+        worst = np.maximum(worst, shared / np.maximum(size + size[i] - shared, 1))
     return chosen
 
 
