@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.llm.text_tables import read_table
-from casegrid.llm.token_counts import load_encoder
+from casegrid.llm.token_counts import batched, load_encoder
 
 #: A lot ends once it holds so many ids or documents.
 LOT_IDS, LOT_DOCS = 4_000_000, 16_384
+#: Texts of about so many characters are encoded at once: words that they share are looked up once.
+ENCODE_CHARS = 6_000_000
 
 
 def harmonic_bins(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +109,10 @@ def pack_harmonic(docs: DataFrame, tokenizer: str, *, eos: int = 0, capacity: in
 
         keys, held, total = [], [], 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                keys.append(part.column(0))
-                for ids in encoder.ids_of([t or "" for t in part.column(1).to_pylist()]):
+            texts = ((i, t.as_py() or "") for i, t in enumerate(batch.column(1)))
+            for group in batched(((i, t, len(t)) for i, t in texts), ENCODE_CHARS):
+                keys.append(batch.column(0).slice(group[0][0], len(group)))
+                for ids in encoder.ids_of([t for _, t, _ in group]):
                     held.append(ids + end)
                     total += len(ids) // 4 + 1
                 if total >= LOT_IDS or len(held) >= LOT_DOCS:
