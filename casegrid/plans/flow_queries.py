@@ -15,7 +15,7 @@ from casegrid.plans.catalog import query
 from casegrid.plans.text_queries import RECORDS
 from casegrid.sources import io, tables, versions
 from casegrid.streaming import progress, streams
-from casegrid.workspace import shared_dir
+from casegrid.workspace import materialize, shared_dir
 
 
 def _folder(spark, tag: str) -> str:
@@ -173,7 +173,7 @@ def index_progress(spark, sf_dir):
 
 def _arriving(lines: DataFrame, parts: int, base: str, make) -> DataFrame:
     """Feed numbered lines to a progress stream in some parts, each out of order, and return what its table holds then."""
-    spark = lines.sparkSession
+    spark, lines = lines.sparkSession, materialize(lines, "lines")  # numbered once, not once a part
     for k in range(parts):
         lines.where(F.pmod(F.xxhash64("run_id", "line_no"), F.lit(parts)) == k).write.mode("append").parquet(f"{base}/in")
         progress.run_to_versions(make(spark.readStream.schema(lines.schema).parquet(f"{base}/in")), f"{base}/out", "progress", f"{base}/checkpoint")

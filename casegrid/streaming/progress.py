@@ -7,70 +7,107 @@ than a time-out is skipped and counted, so a lost line never stops a key.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from casegrid.functions import patterns as P
 from casegrid.sources import versions
 
-_STATE = "next bigint, early_no array<bigint>, early_line array<string>, late bigint, skipped bigint, body string"
+#: Hash groups of keys that are folded in one call; the lines that are made Python strings at a time.
+GROUPS, _SLICE = 1024, 4096
+_LINES = pa.schema([("__key", pa.large_string()), ("line_no", pa.int64()), ("line", pa.large_string())])
 #: Columns that every progress table has besides its own.
 _COUNTS = "lines bigint, waiting bigint, late bigint, skipped bigint"
 
 
+def _packed(lines: pa.Table) -> bytes:
+    """Lines that wait, as a compressed Arrow stream: a few bytes each, where Python objects would take hundreds."""
+    if not lines.num_rows:
+        return b""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _LINES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(lines)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(early: bytes) -> pa.Table:
+    return pa.ipc.open_stream(early).read_all()
+
+
 def fold_in_order(lines: DataFrame, key: str, begin: dict, step: Callable[[dict, str], None], rows: Callable[[dict], list[dict]], schema: str, *, patience: str = "10 minutes", first: int = 1) -> DataFrame:
     """A stream (key, line_no, line and, if it has one, total) -> the rows that ``rows`` makes of a key's state, whenever it changes.
 
     ``step`` changes the state by one line. Lines of a key are numbered from
     ``first``; a number that was applied or skipped before is late and only
     counted. ``waiting`` counts the lines that still miss one before them.
+    Keys are folded in GROUPS hash groups, as a call costs milliseconds whatever it holds.
     """
-    names = [c.split()[0] for c in f"{schema}, {_COUNTS}".split(", ")]
-    whole = {c.split()[0]: "Int64" for c in f"{schema}, {_COUNTS}".split(", ") if c.split()[1] in ("int", "bigint")}
     wait = int(lines.sparkSession.sql(f"SELECT timestampdiff(MILLISECOND, timestamp '2000-01-01', timestamp '2000-01-01' + interval {patience})").first()[0])
     has_total = "total" in lines.columns
 
-    def run(name, frames, state):
-        at, numbers, texts, late, skipped, body = state.get if state.exists else (first, [], [], 0, 0, json.dumps(begin))
-        held, early = json.loads(body), list(zip(numbers, texts, strict=True))
-        heapq.heapify(early)
-
-        def apply(any_number: bool) -> None:
-            nonlocal at, late, skipped
-            while early and (any_number or early[0][0] <= at):
-                number, line = heapq.heappop(early)
-                if number < at:
-                    late += 1
-                    continue
-                skipped += number - at
-                at = number + 1
-                held["lines"] = held.get("lines", 0) + 1
-                step(held, line)
-
-        if state.hasTimedOut:
-            apply(True)
-        else:
-            for frame in frames:
-                if has_total and len(frame):
-                    held["total"] = int(frame["total"].max()) if frame["total"].notna().any() else held.get("total", 0)
-                for number, line in zip(frame["line_no"].tolist(), frame["line"].tolist(), strict=True):
-                    heapq.heappush(early, (int(number), line or ""))
-                apply(False)
-        numbers, texts = ([x[k] for x in sorted(early)] for k in (0, 1))
-        state.update((at, numbers, texts, late, skipped, json.dumps(held)))
-        if early:
-            state.setTimeoutDuration(wait)
-        counts = {"lines": held.get("lines", 0), "waiting": len(early), "late": late, "skipped": skipped}
-        yield pd.DataFrame([{key: name[0]} | r | counts for r in rows(held)], columns=names).astype(whole)
-
-    columns = [F.col(key), "line_no", "line", *(["total"] if has_total else [])]
-    return lines.select(*columns).groupBy(key).applyInPandasWithState(run, f"{schema}, {_COUNTS}", _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    def run(_, frames, state):
+        now = state.getCurrentProcessingTimeMs()
+        # of each key: the next number, late and skipped lines, the fold, and when what waits is given up (null: nothing waits)
+        told, early = state.get if state.exists else ("{}", b"")
+        heads, parts, fresh, totals = json.loads(told), [_unpacked(early)] if early else [], set(), {}
+        for frame in [] if state.hasTimedOut else frames:
+            parts.append(pa.table([pa.array(frame["__key"], pa.large_string()), pa.array(frame["line_no"], pa.int64()), pa.array(frame["line"].fillna(""), pa.large_string())], schema=_LINES))
+            fresh.update(frame["__key"].unique())
+            if has_total:
+                for k, n in frame.groupby("__key")["total"].max().dropna().items():
+                    totals[k] = max(int(n), totals.get(k, int(n)))
+        given_up = {k for k, h in heads.items() if k not in fresh and h[4] is not None and h[4] <= now}
+        table = pa.concat_tables(parts).sort_by([(c, "ascending") for c in _LINES.names]).combine_chunks() if parts else _LINES.empty_table()
+        del parts
+        codes, numbers = table["__key"].combine_chunks().dictionary_encode(), table["line_no"].to_numpy()
+        names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        bounds = [*np.flatnonzero(np.diff(codes, prepend=-1)).tolist(), len(codes)]
+        stays, changed = np.ones(len(codes), bool), []
+        for a, b in zip(bounds, bounds[1:]):
+            name = names[codes[a]]
+            if name not in fresh and name not in given_up:
+                continue
+            at, late, skipped, held, _ = heads.get(name) or [first, 0, 0, json.loads(json.dumps(begin)), None]
+            if has_total and name in fresh:
+                held["total"] = totals.get(name, held.get("total", 0))
+            i = a
+            for start in range(a, b, _SLICE):
+                for number, line in zip(numbers[start : min(b, start + _SLICE)].tolist(), table["line"].slice(start, min(b - start, _SLICE)).to_pylist(), strict=True):
+                    if number > at and name in fresh:
+                        break
+                    i += 1
+                    if number < at:
+                        late += 1
+                        continue
+                    skipped += number - at
+                    at = number + 1
+                    held["lines"] = held.get("lines", 0) + 1
+                    step(held, line)
+                if i < min(b, start + _SLICE):
+                    break
+            stays[a:i] = False
+            heads[name] = [at, late, skipped, held, now + wait if i < b else None]
+            counts = {"lines": held.get("lines", 0), "waiting": b - i, "late": late, "skipped": skipped}
+            changed.append((name, json.dumps([r | counts for r in rows(held)])))
+        state.update((json.dumps(heads), _packed(table.filter(pa.array(stays)))))
+        if waits := [h[4] for h in heads.values() if h[4] is not None]:
+            state.setTimeoutDuration(max(1, min(waits) - now))
+        yield pd.DataFrame(changed, columns=["__key", "made"])
+
+    text = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))  # a null key is a key, too
+    dealt = lines.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("__group"), text.alias("__key"), F.col("line_no").cast("bigint").alias("line_no"), "line", *(["total"] if has_total else []))
+    made = dealt.groupBy("__group").applyInPandasWithState(run, "__key string, made string", "told string, early binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    own, rest = schema.split(", ", 1)
+    fields = ", ".join(c.replace(" ", ":", 1) for c in f"{rest}, {_COUNTS}".split(", "))
+    name = F.when(F.col("__key") != "", F.substring("__key", 2, 1 << 30)).cast(own.split(" ", 1)[1]).alias(key)
+    return made.select(name, F.inline(F.from_json("made", f"array<struct<{fields}>>")))
 
 
 # ---- STR2

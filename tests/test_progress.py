@@ -74,3 +74,16 @@ def test_file_status(spark):
     outputs = spark.createDataFrame([("r", "1_x.md"), ("r", "1_x.md"), ("r", "2_y.md"), ("r", "3_z.pdf"), ("s", "0_a.md"), ("r", None)], "run_id string, output string")
     failed = spark.createDataFrame([("r", 2)], "run_id string, file_no int")
     assert sorted((r["file_no"], r["pages"], r["status"]) for r in progress.file_status(files, outputs, failed).collect()) == [(0, 0, "pending"), (1, 2, "completed"), (2, 2, "failed"), (3, 2, "pending")]
+
+
+def test_many_keys_share_a_call_and_keep_their_own_time_outs(spark, tmp_path, monkeypatch):
+    """All keys in one group: numbers, late lines and time-outs are still each key's own."""
+    monkeypatch.setattr(progress, "GROUPS", 1)
+    schema = "run_id bigint, line_no bigint, line string"
+    rows = [(r, n, f"0 | {n} | 9") for r in range(40) for n in (1, 3)]
+    got = feed(spark, str(tmp_path), [rows], progress.ocr_progress, schema, patience="1 second")
+    assert {(r["completed_pages"], r["lines"], r["waiting"]) for r in got.values()} == {(1, 1, 1)} and set(got) == {*range(40)}
+    time.sleep(2)
+    got = feed(spark, str(tmp_path), [[(7, 2, "0 | 2 | 9"), (7, 5, "0 | 5 | 9"), (7, 1, "0 | 8 | 9")]], progress.ocr_progress, schema, patience="1 second")
+    assert [got[7][c] for c in ("completed_pages", "lines", "waiting", "late", "skipped")] == [3, 3, 1, 1, 0]
+    assert {tuple(got[k][c] for c in ("completed_pages", "lines", "waiting", "late", "skipped")) for k in got if k != 7} == {(3, 2, 0, 0, 1)}
