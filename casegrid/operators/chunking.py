@@ -52,7 +52,7 @@ def section_starts(text: str) -> list[int]:
 def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
     def run(batches):
         for batch in batches:
-            at, out = [], ([], [], [], [])
+            at, out = [], ([], [], [], [], [])
             for i, text in enumerate(batch.column("text").to_pylist()):
                 kept = section_starts(text)
                 for no, (a, b) in enumerate(zip(kept, [*kept[1:], len(text)], strict=True)):
@@ -60,7 +60,7 @@ def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
                     start, body = b - len(body), body.rstrip()
                     if body:
                         at.append(i)
-                        for column, value in zip(out, (no, start, start + len(body), body), strict=True):
+                        for column, value in zip(out, (no, start, start + len(body), body, len(body) == len(text)), strict=True):
                             column.append(value)
             held = batch.select([key, *carried]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*held.columns, *map(pa.array, out)], schema, strict=True)], schema=schema)
@@ -69,10 +69,10 @@ def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
 
 
 def sections(docs: DataFrame, key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
-    """GEN1: (key, carried columns, section_no, start, end, section_text) of every section; blanks at both ends are
-    trimmed. A document's sections come out in order, in the task that held its row; nothing is shuffled."""
+    """GEN1: (key, carried columns, section_no, start, end, section_text, whole) of every section; blanks at both ends are
+    trimmed; ``whole``: the section is all of its text. A document's sections come out in order, in the task that held its row; nothing is shuffled."""
     rows = docs.where(F.length(F.trim("text")) > 0).select(key, *carried, "text")
-    schema = Y.StructType([*[rows.schema[c] for c in (key, *carried)], *[Y.StructField(c, Y.IntegerType()) for c in ("section_no", "start", "end")], Y.StructField("section_text", Y.StringType())])
+    schema = Y.StructType([*[rows.schema[c] for c in (key, *carried)], *[Y.StructField(c, Y.IntegerType()) for c in ("section_no", "start", "end")], Y.StructField("section_text", Y.StringType()), Y.StructField("whole", Y.BooleanType())])
     return rows.mapInArrow(_cut(key, carried, to_arrow_schema(schema)), schema)
 
 
@@ -118,7 +118,7 @@ def _split(size: int, overlap: int, kept: tuple[str, ...], schema: pa.Schema):
     def run(batches):
         doc, no, index = None, -1, 0
         for batch in batches:
-            at, out = [], ([], [], [], [], [], [])
+            at, out = [], ([], [], [], [], [], [], [])
             for i, row in enumerate(batch.select(["doc_id", "section_no", "start", "section_kind", "section_text", "page_ranges"]).to_pylist()):
                 if row["doc_id"] != doc or row["section_no"] <= no:
                     index = 0
@@ -126,7 +126,7 @@ def _split(size: int, overlap: int, kept: tuple[str, ...], schema: pa.Schema):
                 pages = [r for r in row["page_ranges"] or () if r and r["start"] is not None and r["end"] is not None and r["start"] < first + len(text) and r["end"] > first]
                 for a, b in chunk_spans(text, max(size, P.RADIOLOGY_SIZE) if row["section_kind"] == "radiology_report" else size, overlap):
                     at.append(i)
-                    for column, value in zip(out, (index, first + a, first + b, _page(first + a, pages), _page(first + b - 1, pages), text[a:b]), strict=True):
+                    for column, value in zip(out, (index, first + a, first + b, _page(first + a, pages), _page(first + b - 1, pages), text[a:b], b - a == len(text)), strict=True):
                         column.append(value)
                     index += 1
             held = batch.select(list(kept)).take(pa.array(at, pa.int64()))
@@ -155,19 +155,21 @@ def chunk_documents(docs: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.
     docs = docs.withColumns({"doc_kind": T.document_type(F.col("text")), "doc_patient": T.patient_name(F.col("text"))})
     s = F.col("section_text")
     section = sections(docs, "doc_id", ("run_id", "original_filename", "page_ranges", "provenance_type", "doc_kind", "doc_patient"))
-    section = section.withColumns({"own_kind": T.document_type(s), "s_author": T.author(s), "s_raw": T.first_date_raw(s), "s_patient": T.patient_name(s)})
+    # what was found in a text is not looked for again in its only section, nor a section's in its only chunk
+    again = lambda same, known, found: F.when(F.col(same), F.col(known)).otherwise(found)
+    section = section.withColumns({"own_kind": again("whole", "doc_kind", T.document_type(s)), "s_author": T.author(s), "s_raw": T.first_date_raw(s), "s_patient": again("whole", "doc_patient", T.patient_name(s))})
     section = section.withColumns({"section_kind": F.when(F.col("own_kind") != "unknown", F.col("own_kind")).otherwise(F.col("doc_kind")), "s_iso": T.first_date_iso(F.col("s_raw")), "patient_name": F.coalesce("s_patient", "doc_patient")})
     kept = ("doc_id", "run_id", "original_filename", "provenance_type", "section_kind", "s_author", "s_raw", "s_iso", "patient_name")
     section = section.select(*kept, "section_no", "start", "section_text", "page_ranges")
-    found = Y.StructType([*[section.schema[c] for c in kept], *[Y.StructField(c, Y.IntegerType()) for c in ("chunk_index", "source_char_start", "source_char_end", "page_start", "page_end")], Y.StructField("text", Y.StringType())])
+    found = Y.StructType([*[section.schema[c] for c in kept], *[Y.StructField(c, Y.IntegerType()) for c in ("chunk_index", "source_char_start", "source_char_end", "page_start", "page_end")], Y.StructField("text", Y.StringType()), Y.StructField("whole", Y.BooleanType())])
     rows = section.mapInArrow(_split(size, overlap, kept, to_arrow_schema(found)), found)
     t, radiology = F.col("text"), F.col("section_kind") == "radiology_report"
-    rows = rows.withColumns({"radiology_date": F.when(radiology, T.radiology_date(t)), "own_raw": T.first_date_raw(t)})
+    rows = rows.withColumns({"radiology_date": F.when(radiology, T.radiology_date(t)), "own_raw": again("whole", "s_raw", T.first_date_raw(t))})
     return rows.select(
         T.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "run_id", "chunk_index", "text", F.col("source_char_start").alias("char_start"), F.col("source_char_end").alias("char_end"),
         "source_char_start", "source_char_end", F.col("page_start").alias("page_number"), "page_start", "page_end", "original_filename", "provenance_type", F.col("section_kind").alias("document_type"),
-        F.coalesce(F.when(radiology, T.radiology_author(t)), T.author(t), "s_author").alias("author"),
-        F.coalesce("radiology_date.iso", T.first_date_iso(F.col("own_raw")), "s_iso").cast("date").alias("date_extracted"), F.coalesce("radiology_date.raw", "own_raw", "s_raw").alias("date_raw"),
+        F.coalesce(F.when(radiology, T.radiology_author(t)), again("whole", "s_author", T.author(t)), "s_author").alias("author"),
+        F.coalesce("radiology_date.iso", again("whole", "s_iso", T.first_date_iso(F.col("own_raw"))), "s_iso").cast("date").alias("date_extracted"), F.coalesce("radiology_date.raw", "own_raw", "s_raw").alias("date_raw"),
         T.section_type(t).alias("section_type"), "patient_name", T.token_estimate(t).alias("token_count"),
     )
 

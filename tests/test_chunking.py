@@ -91,3 +91,13 @@ def test_section_starts_in_one_pass():
     title, re_, end = text.index("CT OF"), text.index("Re: close"), text.index("signed by X") + 11
     assert chunking.section_starts(text) == [0, re_, title, end]  # the title takes the place of the line before it
     assert chunking.section_starts("") == [0] and chunking.section_starts("Re: x\nRe: y") == [0]
+
+
+def test_a_section_says_whether_it_is_its_whole_text(spark):
+    """What was found in a text is not looked for again in its only section; padded or split texts are."""
+    texts = ["Dear Dr A, seen on 3 May 2011.\n\nKind regards\n\nDr Odo Fennick", " padded ", "first " * 60 + "\nDear Dr B\n" + "second " * 60]
+    docs = spark.createDataFrame([(str(i), "r", f"{i}.md", t, [], "p") for i, t in enumerate(texts)], "doc_id string, run_id string, original_filename string, text string, page_ranges array<struct<start:int,end:int,page:int>>, provenance_type string")
+    got = chunking.sections(docs).orderBy("doc_id", "section_no").select("doc_id", "whole").collect()
+    assert [tuple(r) for r in got] == [("0", True), ("1", False), ("2", False), ("2", False)]
+    one = chunking.chunk_documents(docs).where("doc_id = '0'").first()
+    assert (one["document_type"], one["author"], str(one["date_extracted"]), one["date_raw"]) == ("specialist_letter", "Odo Fennick", "2011-05-03", "3 May 2011")
