@@ -111,8 +111,8 @@ DOCUMENTED = {
     "month": rf"(?:{SHORT_MONTHS})\.?\s+(?:19|20)\d{{2}}",
     "year": r"(?:19|20)\d{2}",
 }
-# every kind begins with a digit or the first letter of a month
-DOCUMENTED_DATE = r"(?i)\b(?=[0-9JFMASOND])(?:" + "|".join(DOCUMENTED.values()) + r")\b"
+# every kind begins with a digit or the first letters of a month; that is looked for first, being the cheapest
+DOCUMENTED_DATE = r"(?i)(?=[0-9]|ja|fe|ma|ap|ju|au|se|oc|no|de)\b(?:" + "|".join(DOCUMENTED.values()) + r")\b"
 DURATION = r"(?<!\d)(?:\d{1,3}(?:\s*[–—-]\s*\d{1,3})?)\s*/\s*(?:52|12|7|24)(?!\d)"
 EVENT_SIGNAL = r"\b(?:accident|admitted|admission|assessment|attended|capacity|certificate|claim|complain(?:ed|s)?|consult(?:ation|ed)?|diagnos(?:is|ed)|discharg(?:e|ed)|doctor|examin(?:ation|ed)|fracture|headache|hospital|imaging|impairment|injur(?:y|ed)|injection|investigation|medication|mri|operation|pain|physio(?:therapy)?|procedure|reported|review(?:ed)?|scan|specialist|surgery|symptom|treatment|unfit|work(?:cover)?|x-?ray|ultrasound|prescri(?:be|bed|ption)|referr(?:al|ed))\b"
 NON_EVENT = r"\b(?:date of birth|birthdate|d\.?o\.?b\.?|items? (?:exported|from)|subpoena generated|printed on|expiry date|civil procedure act|phone|fax|tel:|training/courses?|qualification/course|employer name|job title|driver'?s licence|medical records? from|request for (?:a )?copy|following up on (?:our|the) (?:previous )?request|consultation notes? [–—-]|workplace injury rehabilitation (?:and compensation )?act|entitled to compensation|proceedings for damages)\b"
@@ -127,6 +127,7 @@ PLACEHOLDERS = ("missing-value phrase", "missing value phrase")
 NOT_GIVEN = ("Not documented in the available text", "Not applicable—administrative event")
 GROUNDING_STOP_WORDS = ("with", "from", "that", "this", "were", "been", "into", "after", "before", "available", "documented", "text", "patient", "event")
 VISIT_HEADER = r"(?im)^(?=(?:surgery|telehealth|telephone|non visit|consultation|home visit)?\s*(?:consultation\s*)?recorded by:\s*[^\n]+\s+visit date:\s*[0-3]?\d[./-][01]?\d[./-](?:19|20)\d{2})"
+VISIT_HEADER_WORDS = ("recorded by:",)  # in lower case
 EVENT_TYPES = (
     ("Investigation/imaging", "mri|x-ray|xray|ct |ultrasound|scan|imaging"),
     ("Procedure/treatment", "surgery|operation|procedure|injection"),

@@ -32,6 +32,11 @@ def holds(text: Column, words) -> Column:
     return functools.reduce(Column.__or__, [text.contains(w) for w in words])
 
 
+def one_blank(text: Column) -> Column:
+    """Runs of white space as one blank; a single blank is no match, so most of a text is left in place."""
+    return F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " ")
+
+
 def padded(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
@@ -182,20 +187,30 @@ def summary(text: Column) -> Column:
     return F.when(F.length(first) > 200, F.concat(F.substring(first, 1, 197), F.lit("..."))).otherwise(first)
 
 
+def documented_value(mention: Column) -> Column:
+    """`yyyy-MM-dd`, `yyyy-MM` or `yyyy` of a typed date mention, null for an impossible day or another text. No part of
+    it is named twice: an expression inlined over and over becomes a method too long for the JVM to compile."""
+    kind = lambda *names: mention.rlike("(?i)^(?:" + "|".join(P.DOCUMENTED[n] for n in names) + ")$")
+    part = lambda pattern: F.regexp_extract(mention, pattern, 1)
+    day, year = part(r"(?i)(?<![0-9])([0-3]?\d)(?:st|nd|rd|th)?(?![0-9])"), part(r"((?:19|20)\d{2})")
+    at = F.call_function("locate", F.lower(F.substring(part(rf"(?i)({P.SHORT_MONTHS})"), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
+    month = F.lpad(F.floor((at + 2) / 3).cast("string"), 2, "0")
+    checked = lambda text: text.try_cast("date").cast("string")
+    return (
+        F.when(kind("iso", "numeric"), checked(F.regexp_replace(mention, r"^(\d\d?)[./-](\d\d?)[./-](\d{4})$", "$3-$2-$1")))
+        .when(kind("year"), mention).when(kind("month"), F.concat(year, F.lit("-"), month)).when(kind("dmy", "mdy"), checked(F.concat(year, F.lit("-"), month, F.lit("-"), day)))
+    )
+
+
+def value_precision(value: Column) -> Column:
+    """The precision of a documented value, by its length."""
+    return F.when(F.length(value) >= 10, "day").when(F.length(value) == 7, "month").when(F.length(value) < 7, "year").otherwise("unknown")
+
+
 def documented_date(mention: Column) -> Column:
     """FN16: struct(value, precision) of a typed date mention."""
-    kind = lambda name: mention.rlike("(?i)^(?:" + P.DOCUMENTED[name] + ")$")
-    day, year = found(mention, r"(?i)(?<![0-9])([0-3]?\d)(?:st|nd|rd|th)?(?![0-9])", 1), found(mention, r"((?:19|20)\d{2})", 1)
-    word = month_number(found(mention, rf"(?i)({P.SHORT_MONTHS})", 1))
-    parts = F.split(mention, "[./-]")
-    date = (
-        F.when(kind("iso"), F.date_format(F.try_to_date(mention, "yyyy-MM-dd"), "yyyy-MM-dd"))
-        .when(kind("numeric"), iso_date(F.get(parts, F.lit(2)), F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
-        .when(kind("dmy") | kind("mdy"), iso_date(year, word, day))
-    )
-    value = F.when(kind("year"), mention).when(kind("month"), F.concat(year, F.lit("-"), padded(word, 2))).otherwise(date)
-    precision = F.when(kind("year"), "year").when(kind("month"), "month").when(date.isNotNull(), "day").otherwise("unknown")
-    return F.struct(value.alias("value"), precision.alias("precision"))
+    value = documented_value(mention)
+    return F.struct(value.alias("value"), value_precision(value).alias("precision"))
 
 
 def event_date_norm(value: Column, precision: Column) -> Column:
@@ -342,8 +357,8 @@ def unescape(text: Column) -> Column:
 
 def strip_html(html: Column) -> Column:
     """FN33: tags as spaces, entities resolved, runs of blanks as one."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(unescape(out), r"(?U)\s+", " "))
+    out = F.when(html.contains("<"), F.regexp_replace(html, "<[^>]+>", " ")).otherwise(html)
+    return F.trim(one_blank(unescape(out)))
 
 
 def case_label(run_dir: Column, documents: Column, chunks: Column) -> Column:

@@ -40,8 +40,8 @@ def prepare_case(chunks: DataFrame) -> DataFrame:
 def segment_units(chunks: DataFrame) -> DataFrame:
     """GEN4: a chunk with two or more visit headers becomes one unit for each, with its own id and span."""
     starts = F.filter(F.transform(match_spans(F.regexp_replace("text", P.VISIT_HEADER, "\u0001"), "\u0001"), lambda s: s["start"]), lambda x: x >= 0)
-    # every sign in front shifts later offsets by one
-    real = F.transform(starts, lambda x, i: x - i)
+    # every sign in front shifts later offsets by one; a text without a header's words isn't searched
+    real = F.when(T.holds(F.lower("text"), P.VISIT_HEADER_WORDS), F.transform(starts, lambda x, i: x - i)).otherwise(F.array().cast("array<int>"))
     rows = chunks.withColumn("starts", real)
     cut = F.when(F.size("starts") >= 2, F.array_distinct(F.concat(F.array(F.lit(0)), "starts"))).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("cuts", cut).select("*", F.posexplode_outer("cuts").alias("unit", "from"))  # "outer": a plain one has its array computed again in a filter below
@@ -59,45 +59,52 @@ def greedy_batches(chunks: DataFrame, most_chars: int = P.BATCH_CHARS, most_chun
     return batching.greedy_batches(chunks, _ORDER, most_chars, most_chunks)
 
 
+def _apart(value: Column) -> Column:
+    """The same value; a step that names it is kept out of its stage's single method, which the JVM never compiles once it is too long."""
+    return F.get(F.transform(F.array(value), lambda x: x), F.lit(0))
+
+
 def dated_mentions(chunks: DataFrame) -> DataFrame:
     """GEN5/FLT6/WIN9: one row for each documented date with its clause, typed; mentions that are no events go.
 
     ``chunks``: run_id, chunk_id, author, text. Sentences end at `. ` or `; `.
     """
-    rows = chunks.select("run_id", "chunk_id", "author", T.strip_html(F.col("text")).alias("text")).where(F.col("text").rlike(P.DOCUMENTED_DATE))
+    # every kind of date holds one of these centuries, unless entities hide its digits
+    rows = chunks.where(T.holds(F.col("text"), ("19", "20", "&"))).select("run_id", "chunk_id", "author", F.col("text").alias("html"))
     # the window below needs a chunk's mentions together: dealing the chunks out before they are exploded ships each text once
-    rows = rows.repartition("run_id", "chunk_id")
-    # mentions are parsed inside the array: a filter on a parsed column would have it parsed again
-    seen = F.zip_with(match_spans(F.col("text"), P.DOCUMENTED_DATE), F.regexp_extract_all("text", F.lit(P.DOCUMENTED_DATE), F.lit(0)), lambda x, m: F.struct(x["start"].alias("start"), x["end"].alias("end"), m.alias("mention")))
-    dates = F.transform(seen, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["mention"].alias("mention"), T.documented_date(x["mention"]).alias("date")))
-    rows = rows.withColumns({"dates": dates, "stops": match_spans(F.col("text"), r"[.;] ")}).select("*", F.explode_outer("dates").alias("d")).where(F.col("d.date.value").isNotNull()).select("*", F.col("d.start").alias("s"), F.col("d.end").alias("e"), "d.mention", "d.date")
-    text, s, e = F.col("text"), F.col("s"), F.col("e")
-    left = F.array_max(F.transform(F.filter("stops", lambda x: x["end"] <= s), lambda x: x["start"]))
-    right = F.array_min(F.transform(F.filter("stops", lambda x: x["start"] >= e), lambda x: x["start"]))
-    rows = rows.withColumns({"left": F.coalesce(left, F.lit(-1)), "right": right}).drop("stops")
-    stop = F.coalesce("right", F.length(text))
-    peers = F.filter("dates", lambda x: (F.col("left") < x["start"]) & (x["start"] < stop))
+    rows = _once(rows.repartition("run_id", "chunk_id"), "text", T.strip_html(F.col("html"))).drop("html")
+    # the pattern runs once over a text: a line feed goes before each mention and a tab behind it; a stripped text has neither
+    rows = rows.withColumns({"marked": F.regexp_replace("text", P.DOCUMENTED_DATE, "\n$0\t"), "plain": _apart(F.replace(F.col("text"), F.lit("; "), F.lit(". ")))})
+    rows = rows.select("*", F.posexplode_outer(F.slice(F.split("marked", "\n", -1), 2, 1 << 30)).alias("i", "part")).where(F.col("part").isNotNull())
+    rows = rows.withColumn("mention", F.substring_index("part", "\t", 1)).withColumn("value", _apart(T.documented_value(F.col("mention"))))
+    text, s, e, i = F.col("text"), F.col("s"), F.col("e"), F.col("i")
+    start = lambda k: F.length(F.call_function("substring_index", F.col("marked"), F.lit("\n"), k + 1)) - k * 2
+    rows = rows.withColumns({"s": start(i), "before": F.when(i > 0, start(i - 1)), "after": F.when((i + 1) * 2 < F.length("marked") - F.length(text), start(i + 1))}).withColumn("e", s + F.length("mention"))
+    # the last stop that ends before the mention, and the first one behind it
+    back, ahead = F.instr(F.reverse(F.substring(F.col("plain"), F.lit(1), s)), " ."), F.call_function("locate", F.lit(". "), F.col("plain"), e + 1)
+    rows = rows.withColumns({"back": back, "ahead": ahead}).withColumns({"left": F.when(F.col("back") > 0, s - F.col("back") - 1).otherwise(-1), "right": F.when(F.col("ahead") > 0, F.col("ahead") - 1)})
+    following = F.when(F.col("after") < F.coalesce("right", F.length(text)), F.col("after"))
     end = F.least(F.coalesce(F.col("right") + 1, F.length(text)), e + 220)
-    following = F.get(F.filter(peers, lambda x: x["start"] > s), F.lit(0))["start"]
-    many = F.size(peers) > 1
+    many = F.coalesce(F.col("before") > F.col("left"), F.lit(False)) | following.isNotNull()
     rows = rows.withColumns({"from": F.when(many, s).otherwise(F.greatest(F.col("left") + 2, s - 140)), "to": F.when(many, F.coalesce(following, end)).otherwise(end)})
     quote = F.trim(F.substring(text, F.col("from") + 1, F.col("to") - F.col("from")))
     clip = F.greatest(F.lit(0), s - F.col("from") - 90)
     rows = rows.withColumn("quote", quote).withColumn("quote", F.when(F.length("quote") > 260, F.regexp_replace(F.substring(F.col("quote"), clip + 1, F.lit(260)), "^[ ,;:-]+|[ ,;:-]+$", "")).otherwise(F.col("quote")))
-    first = F.row_number().over(W.partitionBy("run_id", "chunk_id", "date.value", F.lower("quote")).orderBy("s"))
-    rows = rows.withColumn("r", first).where((F.col("r") == 1) & (F.col("quote") != ""))
     prefix, context = F.substring(text, F.greatest(F.lit(0), s - 35) + 1, s - F.greatest(F.lit(0), s - 35)), F.substring(text, F.greatest(F.lit(0), s - 100) + 1, e + 150 - F.greatest(F.lit(0), s - 100))
     q = F.col("quote")
-    rows = rows.where(~prefix.rlike(T.loose(P.BIRTH_PREFIX)) & ~q.rlike(T.loose(P.NON_EVENT)) & context.rlike(T.loose(P.EVENT_SIGNAL)) & (F.regexp_count(q, F.lit(P.DOCUMENTED_DATE)) < 3))
+    event = F.col("value").isNotNull() & (q != "") & ~prefix.rlike(T.loose(P.BIRTH_PREFIX)) & context.rlike(T.loose(P.EVENT_SIGNAL)) & ~q.rlike(T.loose(P.NON_EVENT)) & (F.regexp_count(q, F.lit(P.DOCUMENTED_DATE)) < 3)
     bare_year = context.rlike(T.loose(P.YEAR_SIGNAL)) & (F.regexp_count(q, F.lit("[A-Za-z]{3,}")) >= 3) & ~q.rlike(T.loose(P.YEAR_EXCLUDED))
-    rows = rows.where((F.col("date.precision") != "year") | bare_year)
+    # of equal clauses the first decides, so none may go before the window; but what reads the text is settled there, and the text isn't sorted
+    rows = rows.select("run_id", "chunk_id", _apart(F.col("author")).alias("author"), "s", "mention", "value", "quote", F.lower("quote").alias("low"), (event & ((T.value_precision(F.col("value")) != "year") | bare_year)).alias("event"))
+    first = F.row_number().over(W.partitionBy("run_id", "chunk_id", "value", "low").orderBy("s"))
+    rows = rows.withColumn("r", first).where((F.col("r") == 1) & F.col("event"))
     kind = F.lit(P.OTHER_EVENT)
     for name, words in reversed(P.EVENT_TYPES):
-        kind = F.when(F.lower(q).rlike(words), F.lit(name)).otherwise(kind)
+        kind = F.when(F.col("low").rlike(words), F.lit(name)).otherwise(kind)
     who = F.trim(F.coalesce("author", F.lit(P.MISSING)))
     provider = F.when(who.rlike(r"(?i)^(?:electronically approved by|unknown)|\bvisit$"), P.MISSING).otherwise(who)
-    role = F.when(F.lower(q).rlike("(?U)" + P.HISTORICAL), "historical_event_date").otherwise("event_date")
-    return rows.select("run_id", "chunk_id", F.col("s").alias("ord"), F.col("date.value").alias("event_date"), F.col("date.precision").alias("date_precision"), F.col("mention").alias("date_original"), role.alias("date_role"), kind.alias("event_type"), provider.alias("provider"), q.alias("source_quote"))
+    role = F.when(F.col("low").rlike("(?U)" + P.HISTORICAL), "historical_event_date").otherwise("event_date")
+    return rows.select("run_id", "chunk_id", F.col("s").alias("ord"), F.col("value").alias("event_date"), T.value_precision(F.col("value")).alias("date_precision"), F.col("mention").alias("date_original"), role.alias("date_role"), kind.alias("event_type"), provider.alias("provider"), q.alias("source_quote"))
 
 
 def merge_events(events: DataFrame) -> DataFrame:
@@ -249,11 +256,11 @@ def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     parts, at = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["batch_id", "source_no"]
     s = sources.select(*at, F.col("text").alias("s_text"), F.col("author").alias("s_author")).repartition(parts, *at)
     s = s.withColumns({"s_flat": flat("s_text"), "s_words": T.evidence_text(F.col("s_text")), "s_tokens": tokens("s_text")})
-    rows = _once(rows.repartition(parts, *at), "read", T.documented_date(F.col("date_original")))
+    rows = _once(rows.repartition(parts, *at), "read", T.documented_value(F.col("date_original")))
     rows = rows.join(s, at, "left")
     quote, text, date = F.coalesce("source_quote", F.lit("")), F.col("s_text"), F.col("read")
     undated = (F.col("date_precision") == "unknown") | (F.coalesce("event_date", F.lit("")) == "")
-    exact = undated | date["value"].eqNullSafe(F.col("event_date")) & (date["precision"] == F.col("date_precision"))
+    exact = undated | date.eqNullSafe(F.col("event_date")) & (T.value_precision(date) == F.col("date_precision"))
     reason = (
         F.when(F.col("in_batch") > MOST_EVENTS, "too many events in the batch").when(F.col("placeholder"), "placeholder text").when(text.isNull(), "no single valid source").when(quote.rlike(r"\.\.\.|…"), "ellipsis in the quotation").when((quote == "") | ~F.contains(F.col("s_flat"), flat(quote)), "quotation not in the source")
         .when(F.col("date_role").isin(*P.EXCLUDED_ROLES) | F.col("date_original").rlike("^(?:" + P.DURATION + ")$"), "date role is no event date").when(~undated & ~F.contains(F.col("s_flat"), flat(F.col("date_original"))), "date not in the source").when(~exact, "date reads differently in the source")

@@ -185,3 +185,13 @@ def test_dashboard_of_cases_without_metadata(spark):
     meta = spark.createDataFrame([("r1", ["A B", "C D"], "01/01/1990", ["Sprain"])], "run_id string, names array<string>, dob string, injuries array<string>")
     got = {r["run_id"]: tuple(r)[1:8] for r in casefile.case_dashboard(runs, meta).collect()}
     assert got == {"r1": ("run_x", "A B, C D", "01/01/1990", ["Sprain"], 2, 3, 1), "r2": ("r2", "Unknown Client", "—", [], 0, 0, 0)}
+
+
+def test_a_text_is_searched_for_dates_once(spark):
+    """Mentions by their places, with clauses cut at stops, and a plan that runs the dates' pattern over a text once (over a clause once more)."""
+    text = "Seen. Pain on 3 Feb 2020; <b>surgery</b>\n on 2020-02-30. Scan 1/2/2019, review\t12.3.2019; x"
+    c = spark.createDataFrame([("r", "c", None, text)], "run_id string, chunk_id string, author string, text string")
+    found = chronology.dated_mentions(c)
+    assert [(r["ord"], r["event_date"], r["date_original"], r["source_quote"]) for r in found.orderBy("ord").collect()] == [(14, "2020-02-03", "3 Feb 2020", "Pain on 3 Feb 2020;"), (54, "2019-02-01", "1/2/2019", "1/2/2019, review"), (71, "2019-03-12", "12.3.2019", "12.3.2019;")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)(?=[0-9]|ja") == 2
