@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import zlib
 from html import unescape as html_unescape
 from html.entities import html5
 
@@ -328,31 +329,48 @@ def l2_normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(v.cast("array<double>"))
 
 
+def _dealt(names, n: int) -> list[list[str]]:
+    out: list[list[str]] = [[] for _ in range(n)]
+    for name in names:
+        out[zlib.crc32(name.encode()) % n].append(name)
+    return out
+
+
 #: Entities that need no semicolon, longest first, and the others by name; numbers below 160 have values of their own. All from the standard library's table.
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(_BARE) + "))"
-_VALUES = json.dumps({n: v for n, v in html5.items()} | {f"#{n}": html_unescape(f"&#{n};") for n in range(160)})
+_DEALT = 512
+_NAMES = json.dumps([{n: html5[n] for n in names} for names in _dealt(html5, _DEALT)])
+_SHORT, _LOW = json.dumps({n: html5[n] for n in _BARE}), json.dumps({f"#{n}": html_unescape(f"&#{n};") for n in range(160)})
+
+
+def _number(digits: Column, low: Column) -> Column:
+    """The sign of a hexadecimal number; ``low``: what one below 160 stands for."""
+    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).otherwise(F.conv(digits, 16, 10).cast("bigint"))
+    none = lambda n: ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    sign = lambda n: F.when(n < 160, F.try_element_at(low, F.concat(F.lit("#"), n.cast("string")))).when((n > 0x10FFFF) | ((n >= 0xD800) & (n <= 0xDFFF)), "\ufffd").when(none(n), "").otherwise(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+    return F.get(F.transform(F.array(number), sign), F.lit(0))
 
 
 def _entity(e: Column) -> Column:
-    """What one entity stands for; one without a meaning stays."""
-    table = F.from_json(F.lit(_VALUES), "map<string,string>")
+    """What one entity stands for; one without a meaning stays. A map is searched from its start, so names are dealt over many small ones."""
+    low = F.from_json(F.lit(_LOW), "map<string,string>")
+    table = F.get(F.from_json(F.lit(_NAMES), "array<map<string,string>>"), F.pmod(F.crc32(F.encode(F.substring(e, 2, 64), "UTF-8")), F.lit(_DEALT)).cast("int"))
     hexadecimal, decimal = F.regexp_extract(e, "^&#[xX]0*([0-9a-fA-F]+)", 1), F.regexp_extract(e, "^&#0*([0-9]+)", 1)
-    digits = F.when(hexadecimal != "", hexadecimal).when(decimal.rlike("^[0-9]{1,9}$"), F.conv(decimal, 10, 16)).otherwise("FFFFFFFF")
-    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).otherwise(F.conv(digits, 16, 10).cast("bigint"))
-    low = F.try_element_at(table, F.concat(F.lit("#"), number.cast("string")))
-    none = ((number >= 0xFDD0) & (number <= 0xFDEF)) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    sign = F.when(number < 160, low).when((number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF)), "\ufffd").when(none, "").otherwise(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+    digits = F.when(F.lower(F.substring(e, 3, 1)) == "x", hexadecimal).when(F.length(decimal) < 10, F.conv(decimal, 10, 16)).otherwise("FFFFFFFF")
+    sign = F.get(F.transform(F.array(digits), lambda d: _number(d, low)), F.lit(0))
     bare = F.regexp_extract(e, "^&(" + "|".join(_BARE) + ")", 1)
-    named = F.coalesce(F.try_element_at(table, F.substring(e, 2, 64)), F.when(bare != "", F.concat(F.try_element_at(table, bare), e.substr(F.length(bare) + 2, F.length(e)))))
+    named = F.coalesce(F.try_element_at(table, F.substring(e, 2, 64)), F.get(F.transform(F.array(bare), lambda b: F.when(b != "", F.concat(F.try_element_at(F.from_json(F.lit(_SHORT), "map<string,string>"), b), e.substr(F.length(b) + 2, F.length(e))))), F.lit(0)))
     return F.coalesce(F.when(e.startswith("&#"), sign).otherwise(named), e)
 
 
 def unescape(text: Column) -> Column:
     """Every HTML entity, named or by number, as what it stands for; in one pass, so `&amp;lt;` becomes `&lt;`."""
-    found_ = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    parts = F.zip_with(F.split(text, _ENTITY, -1), F.transform(found_, _entity), lambda t, e: F.concat(t, F.coalesce(e, F.lit(""))))
-    return F.when(text.contains("&") & text.rlike(_ENTITY), F.array_join(parts, "")).otherwise(text)
+    # cut at the ampersands, where every entity begins: a longer pattern would be compiled again for each text by a split
+    parts = F.split(text, "&", -1)
+    seen = F.transform(F.slice(parts, 2, 1 << 30), lambda p: F.struct(p.alias("p"), F.regexp_extract(F.concat(F.lit("&"), p), "^" + _ENTITY, 0).alias("e")))
+    resolved = F.transform(seen, lambda x: F.when(x["e"] == "", F.concat(F.lit("&"), x["p"])).otherwise(F.concat(_entity(x["e"]), x["p"].substr(F.length(x["e"]), F.length(x["p"])))))
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(resolved, ""))).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:

@@ -44,3 +44,16 @@ def test_entities_as_the_standard_library_resolves_them(spark):
 def test_selector_label(spark):
     rows = spark.createDataFrame([("/ws/run_a/", 2, 5), (None, None, 0), ("x", 1, 1)], "d string, n int, c int").select(T.case_label(F.col("d"), F.col("n"), F.col("c")).alias("l")).collect()
     assert [r["l"] for r in rows] == ["📁 run_a (2 docs, 5 chunks)", "📁 unknown (0 docs, 0 chunks)", "📁 x (1 docs, 1 chunks)"]
+
+
+def test_entities_compile_no_pattern_for_each_text(spark):
+    """Random texts as the standard library resolves them; the only split is at a single character, as a longer pattern is compiled for every row."""
+    import random
+
+    deal, names = random.Random(3), sorted(html.entities.html5)
+    bits = [*ENTITIES, "&", ";", "&&amp;", "x", "&#", "&#x", "&#0;", "&#x00;", "&#xFDD0;", "&#1114111;", "&#2147483648;", "&#x80", "&#159;", "&#160;", "&#xZ;", "é&", "\n"]
+    texts = ["".join(deal.choice(bits) if deal.random() < 0.5 else "&" + deal.choice(names) for _ in range(12)) for _ in range(400)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unescape(F.col("t")).alias("u"))
+    assert [(r["t"], r["u"]) for r in rows.collect()] == [(t, t if t is None else html.unescape(t)) for t in texts]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count(", &, -1)") > 0
