@@ -98,6 +98,8 @@ INJURIES = (
     r"diagnosis\s*:\s*([^.\n]{5,100})",
     r"injury\s*:\s*([^.\n]{5,100})",
 )
+# words in lower case: whatever a pattern matches holds one of its words
+INJURY_WORDS = (("diagnosis", "injury", "injuries"), ("diagnosed", "sustained"), ("re:",), ("diagnosis",), ("injury",))
 NAMED_INJURIES = "glenohumeral dislocation|bankart lesion|slap repair|slap tear|supraspinatus tear|biceps tendonitis|disc herniation|whiplash|sciatica|abdominal strain|rotator cuff tear"
 GENERIC_INJURIES = "injury/condition|our client|condition|the client"
 

@@ -15,10 +15,16 @@ def _clean(phrase: Column) -> Column:
 
 def injury_phrases(text: Column) -> Column:
     """GEN11: phrases of the five patterns and named injuries, cleaned, distinct without case, in order of pattern."""
-    by_pattern = F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in P.INJURIES])
+    # the lower-case text is an argument, as it would be made again for each word otherwise
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: _phrases(text, low)), F.lit(0))
+
+
+def _phrases(text: Column, low: Column) -> Column:
+    none = F.array().cast("array<string>")
+    by_pattern = F.concat(*[F.when(T.holds(low, words), F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1))).otherwise(none) for words, p in zip(P.INJURY_WORDS, P.INJURIES, strict=True)])
     good = F.filter(by_pattern, lambda x: ~F.lower(x).rlike(P.IGNORED_NAMES))
     cleaned = F.filter(F.transform(good, _clean), lambda x: (F.length(x) > 5) & (F.length(x) < 90))
-    named = F.transform(F.regexp_extract_all(text, F.lit(f"(?i)(?:{P.NAMED_INJURIES})"), F.lit(0)), T.title_case)
+    named = F.when(T.holds(low, P.NAMED_INJURIES.split("|")), F.transform(F.regexp_extract_all(text, F.lit(f"(?i)(?:{P.NAMED_INJURIES})"), F.lit(0)), T.title_case)).otherwise(none)
     fold = lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.concat(a, F.array(x)))
     wide = lambda a, x: F.when(F.exists(a, lambda y: F.lower(y).contains(F.lower(x)) | F.lower(x).contains(F.lower(y))), a).otherwise(F.concat(a, F.array(x)))
     return F.aggregate(named, F.aggregate(cleaned, F.array().cast("array<string>"), fold), wide)
@@ -81,7 +87,8 @@ def case_metadata(chunks: DataFrame, order: str | None = None) -> DataFrame:
 
 def case_injuries(chunks: DataFrame, order: str = "chunk_id") -> DataFrame:
     """CASE3: a case's first four injuries in source order, generic ones dropped."""
-    rows = chunks.select("run_id", F.col(order).alias("at"), F.posexplode(injury_phrases(F.col("text"))).alias("no", "phrase")).where(~F.lower("phrase").rlike(P.GENERIC_INJURIES))
+    # "outer": a plain one has its array computed again in a filter below
+    rows = chunks.select("run_id", F.col(order).alias("at"), F.posexplode_outer(injury_phrases(F.col("text"))).alias("no", "phrase")).where(F.col("phrase").isNotNull() & ~F.lower("phrase").rlike(P.GENERIC_INJURIES))
     firsts = rows.groupBy("run_id", F.lower("phrase").alias("low")).agg(F.min(F.struct("at", "no", "phrase")).alias("m"))
     ranked = firsts.withColumn("r", F.row_number().over(W.partitionBy("run_id").orderBy("m"))).where("r <= 4")
     shown = F.concat(F.upper(F.substring("m.phrase", 1, 1)), F.substring("m.phrase", 2, 1000))

@@ -301,7 +301,7 @@ def facet_queries(spark, sf_dir):
 def injury_phrases(spark, sf_dir):
     from casegrid.operators.casefile import injury_phrases as phrases
 
-    return A.records(spark, sf_dir).select("record_id", F.explode(phrases(F.col("text"))).alias("phrase"))
+    return A.records(spark, sf_dir).select("record_id", F.explode_outer(phrases(F.col("text"))).alias("phrase")).where(F.col("phrase").isNotNull())
 
 
 @query("SRC1_documents_scan", "SELECT doc_id, source, length(text) AS n_chars FROM documents WHERE lang = 'en'")

@@ -195,3 +195,15 @@ def test_a_text_is_searched_for_dates_once(spark):
     assert [(r["ord"], r["event_date"], r["date_original"], r["source_quote"]) for r in found.orderBy("ord").collect()] == [(14, "2020-02-03", "3 Feb 2020", "Pain on 3 Feb 2020;"), (54, "2019-02-01", "1/2/2019", "1/2/2019, review"), (71, "2019-03-12", "12.3.2019", "12.3.2019;")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?i)(?=[0-9]|ja") == 2
+
+
+def test_injury_phrases_are_looked_for_once_and_by_their_words(spark):
+    """Plain patterns and the words that go before them find the same; the plan names each pattern once."""
+    texts = ["DIAGNOSIS OF torn left labrum. x", "was Diagnosed with a bad knee. Sustained a fall at work", "RE: Mr A Date of Birth: 1/2/1970\nsore right elbow joint", "Injury: broken toe bone", "Injuries were many and varied", "old SLAP tear, Whiplash", "nothing", None]
+    c = spark.createDataFrame([("r", f"c{i}", t) for i, t in enumerate(texts)], "run_id string, chunk_id string, text string")
+    plain = F.concat(*[F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(1)) for p in (*casefile.P.INJURIES, f"({casefile.P.NAMED_INJURIES})")])
+    rows = c.where("text IS NOT NULL").select(plain.alias("p"), casefile.injury_phrases(F.col("text")).alias("i")).collect()
+    assert [bool(r["p"]) for r in rows] == [bool(r["i"]) for r in rows] == [True] * 6 + [False]
+    found = casefile.case_injuries(c)
+    assert found.first()["injuries"] == ["Torn left labrum", "A bad knee", "Fall at work", "Sore right elbow joint"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i)injury\\s*:") == 1
