@@ -249,13 +249,13 @@ def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     last = sources.groupBy("batch_id").agg(F.max("source_no").alias("n_sources"))
     rows = events.join(last, "batch_id", "left").withColumn("source_ids", F.filter("source_ids", lambda i: (i >= 1) & (i <= F.col("n_sources")))).drop("n_sources")
     rows = rows.withColumn("source_no", F.when(F.size("source_ids") == 1, F.get("source_ids", F.lit(0))))
-    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    flat = lambda c: F.trim(T.one_blank(F.lower(c)))
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
     # the three forms in which a source is searched are made once a source, and a date is read once an event. The work is in
     # the patterns, not in the bytes, so the session's partitions are kept instead of being joined by size
     parts, at = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["batch_id", "source_no"]
     s = sources.select(*at, F.col("text").alias("s_text"), F.col("author").alias("s_author")).repartition(parts, *at)
-    s = s.withColumns({"s_flat": flat("s_text"), "s_words": T.evidence_text(F.col("s_text")), "s_tokens": tokens("s_text")})
+    s = s.withColumns({"s_author": _apart(F.col("s_author")), "s_flat": flat("s_text"), "s_words": T.evidence_text(F.col("s_text")), "s_tokens": tokens("s_text")})
     rows = _once(rows.repartition(parts, *at), "read", T.documented_value(F.col("date_original")))
     rows = rows.join(s, at, "left")
     quote, text, date = F.coalesce("source_quote", F.lit("")), F.col("s_text"), F.col("read")
@@ -276,7 +276,7 @@ def ground_events(events: DataFrame, sources: DataFrame) -> DataFrame:
     lost = [F.when(given(c) & guarded(c) & ~ok, F.lit(f"{c} not in the source")) for c, ok in in_source.items()]
     role = F.when(given("provider") & guarded("provider"), F.when(~in_source["provider"], "unknown").when(~held("provider"), "documenting_provider").otherwise(F.col("provider_role"))).otherwise(F.col("provider_role"))
     kept = {c: F.when(given(c) & guarded(c) & ok, F.col(c)).otherwise(F.lit("")) for c, ok in in_source.items()}
-    return rows.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*inferred, *lost)), "provider_role": role, "quote_at": F.instr(F.col("s_flat"), flat(quote)) - 1} | kept).drop("s_text", "s_author", "s_flat", "s_words", "s_tokens", "read", "placeholder")
+    return rows.withColumns({"reject_reason": reason, "warnings": F.array_compact(F.array(*inferred, *lost)), "provider_role": role, "quote_at": F.instr(F.col("s_flat"), flat(quote)) - 1, "source_no": _apart(F.col("source_no"))} | kept).drop("s_text", "s_author", "s_flat", "s_words", "s_tokens", "read", "placeholder")
 
 
 def validate_pages(responses: DataFrame, sources: DataFrame, most: int = MOST_ON_PAGE) -> DataFrame:

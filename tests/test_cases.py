@@ -207,3 +207,12 @@ def test_injury_phrases_are_looked_for_once_and_by_their_words(spark):
     found = casefile.case_injuries(c)
     assert found.first()["injuries"] == ["Torn left labrum", "A bad knee", "Fall at work", "Sore right elbow joint"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i)injury\\s*:") == 1
+
+
+def test_grounding_flattens_without_touching_single_blanks(spark):
+    """Quotations are found over any white space; single blanks are no match of the pattern that makes runs one."""
+    e = spark.createDataFrame([(1, 1, '{"events": [{"q": "Pain  was\\u2003felt", "src": 1, "t": "note"}], "complete": true}')], "batch_id bigint, page int, response string")
+    sources = spark.createDataFrame([(1, 1, "So:\n\n pain \t was felt today", "A")], "batch_id bigint, source_no int, text string, author string")
+    found = chronology.ground_events(chronology.response_events(e), sources)
+    assert [(r["source_no"], r["quote_at"], r["reject_reason"]) for r in found.collect()] == [(1, 4, None)]
+    assert "(?U)\\s+" not in found._jdf.queryExecution().optimizedPlan().toString()
