@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import groupby, pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from casegrid.functions import patterns as P, textcols as T
 
 #: At most so many queries are sent to all tasks.
 SENT_QUERIES = 2048
-#: Queries that one task scores at once, where there are more.
-QUERY_BLOCK = 256
+#: Where there are more, one task scores so many queries, which ask for so many hits together, at once.
+QUERY_BLOCK, BLOCK_HITS = 4096, 1 << 20
+#: Tasks for each core at least, if there are few blocks of queries.
+TASKS = 3
 
 
 def facet_queries(queries: DataFrame, kind: str) -> DataFrame:
@@ -22,53 +27,98 @@ def facet_queries(queries: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("subquery", F.concat_ws(P.FACET_LEAD, "text", "facet"))
 
 
-def _block_scores():
-    """Query block x its share of points -> the share's best of every query, by matrix product."""
-    schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        q = np.array(left.column("query_vector").to_pylist(), np.float64)
-        x = np.array(right.column("vector").to_pylist(), np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        ids, scores = right.column("item_id").to_numpy(), np.round(q @ x.T, 6)
-        out = []
-        limits = zip(left.column("query_id").to_numpy(), left.column("k").to_pylist(), left.column("threshold").to_pylist(), strict=True)
-        for i, (query, k, threshold) in enumerate(limits):
-            best = np.lexsort((ids, -scores[i]))[:k]
-            if threshold is not None:
-                best = best[scores[i][best] >= threshold]
-            out.append((np.full(len(best), query), ids[best], scores[i][best]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length one; a zero vector stays zero."""
+    if not len(column):
+        return np.empty((0, 0))
+    width = pc.list_value_length(column)
+    if column.null_count or pc.count_distinct(width).as_py() > 1:
+        raise ValueError("vectors need one length")
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+_FOUND = "query_id bigint, item_id bigint, score double"
+
+
+class _Best:
+    """The best points so far of each query of a block, by its own (k, threshold)."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: np.ndarray, least: np.ndarray):
+        self.ids, self.q, self.k = ids, q, k
+        self.bound = np.where(k > 0, least, np.inf)
+        self.row, self.item, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.new, self.size = [], 0
+        self.most, self.step = max(1 << 18, int(k.sum())), max(64, min(4096, (1 << 20) // max(1, len(q))))
+
+    def add(self, items: np.ndarray, x: np.ndarray) -> None:
+        for low in range(0, len(items), self.step):
+            scores = self.q @ x[low : low + self.step].T
+            row, at = np.nonzero(scores >= (self.bound - 1e-6)[:, None])
+            score = np.round(scores[row, at], 6)
+            held = score >= self.bound[row]
+            self.new.append((row[held], items[low + at[held]], score[held]))
+            self.size += int(held.sum())
+            if self.size > self.most:
+                self._trim()
+
+    def _trim(self) -> None:
+        row, item, score = (np.concatenate(c) for c in zip((self.row, self.item, self.score), *self.new, strict=True))
+        order = np.lexsort((item, -score, row))
+        row, item, score = row[order], item[order], score[order]
+        first = np.searchsorted(row, np.arange(len(self.k) + 1))
+        top = np.arange(len(row)) - first[row] < self.k[row]
+        full = np.flatnonzero((np.diff(first) >= self.k) & (self.k > 0))
+        self.bound[full] = np.maximum(self.bound[full], score[first[full] + self.k[full] - 1])
+        self.row, self.item, self.score, self.new, self.size = row[top], item[top], score[top], [], 0
+
+    def batch(self) -> pa.RecordBatch:
+        self._trim()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.item), pa.array(self.score)], ["query_id", "item_id", "score"])
 
-    return run
 
+def _best(queries: pa.Table | pa.RecordBatch) -> _Best:
+    k, least = queries.column("k").fill_null(0).to_numpy(), queries.column("threshold").fill_null(-np.inf).to_numpy()
+    vectors = queries.column("query_vector")
+    return _Best(queries.column("query_id").to_numpy().astype(np.int64), _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors), k.astype(np.int64), least.astype(np.float64))
 
-def _best_of_batches(query_ids: np.ndarray, q: np.ndarray, limits: list[tuple[int, float | None]]):
-    """A task's points, batch by batch -> its best for each query, by the query's own (k, threshold)."""
+
+def _best_of_batches(queries: pa.Table):
+    """A task's points, batch by batch -> its best for each query."""
 
     def run(batches):
-        best = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+        best = _best(queries)
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                x = np.array(part.column("vector").to_pylist(), np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                ids, scores = part.column("item_id").to_numpy(), np.round(q @ x.T, 6)
-                for i, ((held, own), (k, _)) in enumerate(zip(best, limits, strict=True)):
-                    new = np.flatnonzero(scores[i] >= (own[-1] if len(own) == k else -np.inf))
-                    if len(new):
-                        every, score = np.concatenate((held, ids[new])), np.concatenate((own, scores[i][new]))
-                        top = np.lexsort((every, -score))[:k]
-                        best[i] = every[top], score[top]
-        best = [(held, own) if least is None else (held[own >= least], own[own >= least]) for (held, own), (_, least) in zip(best, limits, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(h) for h, _ in best])), *(pa.array(np.concatenate([b[c] for b in best])) for c in (0, 1))], ["query_id", "item_id", "score"])
+            best.add(batch.column("item_id").to_numpy(), _matrix(batch.column("vector")))
+        yield best.batch()
 
     return run
 
 
+def _best_of_blocks(batches):
+    """Rows by task, a task's queries first, then its points -> the best of each of its queries."""
+    for _, parts in groupby(_pieces(batches), lambda p: p[0]):
+        asked, best = [], None
+        for _, side, part in parts:
+            if side == 0:
+                asked.append(part)
+            elif asked:
+                best = best or _best(pa.Table.from_batches(asked).rename_columns(["task", "side", "query_id", "query_vector", "k", "threshold"]))
+                best.add(part.column("id").to_numpy(), _matrix(part.column("vector")))
+        if best is not None:
+            yield best.batch()
+
+
+def _pieces(batches):
+    """(task, side, rows) of each run of rows of one task and side."""
+    for batch in batches:
+        task, side = (batch.column(c).to_numpy() for c in ("task", "side"))
+        cuts = [0, *(np.flatnonzero((np.diff(task) != 0) | (np.diff(side) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            if b > a:
+                yield task[a], side[a], batch.slice(a, b - a)
+
+
 def vector_search(queries: DataFrame, points: DataFrame, k: int | None = None, threshold: float | None = None, shares: int | None = None) -> DataFrame:
     """RET3/SRT4: (query_id, item_id, score, rank), exact; ties by the smaller id.
 
@@ -76,7 +126,7 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int | None = None, t
     threshold (null: none). ``points``: item_id, vector; filters go on ``points``
     before. Up to SENT_QUERIES queries are sent to the points, which stay where
     they are; a task sends back at most k a query. More queries meet the points
-    in blocks, in shares of the points by hash.
+    in blocks, in shares of the points by hash. Vectors hold numbers and have one length.
     """
     most = F.col("k").cast("int") if k is None else F.lit(k)
     least = F.col("threshold").cast("double") if "threshold" in queries.columns else F.lit(threshold).cast("double")
@@ -85,11 +135,7 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int | None = None, t
     if first.num_rows <= SENT_QUERIES and shares is None:
         if not first.num_rows:
             return points.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), F.col("item_id").cast("bigint"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-        q = np.array(first.column("query_vector").to_pylist(), np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        limits = list(zip(first.column("k").to_pylist(), first.column("threshold").to_pylist(), strict=True))
-        search = _best_of_batches(first.column("query_id").to_numpy().astype(np.int64), q, limits)
-        found = points.select(F.col("item_id").cast("bigint").alias("item_id"), "vector").mapInArrow(search, "query_id bigint, item_id bigint, score double")
+        found = points.select(F.col("item_id").cast("bigint").alias("item_id"), "vector").mapInArrow(_best_of_batches(first), _FOUND)
     else:
         found = _by_blocks(queries, points, shares)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
@@ -100,16 +146,23 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int | None = None, t
 
 
 def _by_blocks(queries: DataFrame, points: DataFrame, shares: int | None) -> DataFrame:
-    """Every block of queries meets every share of the points once; a share's best k a query."""
-    n = shares or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
-    blocks = q.select("block").distinct()
-    left = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Every block of queries meets every share of the points once; a share's best k a query.
+
+    The points are dealt out once for each block. There are no more shares than give all cores work, so what the tasks
+    send back keeps its proportion to the queries; a task holds its block's queries and their best, and reads its points as they come.
+    """
+    spark = points.sparkSession
+    n, hits = queries.agg(F.count("*"), F.coalesce(F.sum(F.col("k").cast("bigint")), F.lit(0))).first()
+    blocks = max(1, -(-n // QUERY_BLOCK), -(-hits // BLOCK_HITS))
+    shares = shares or max(1, -(-TASKS * spark.sparkContext.defaultParallelism // blocks))
+    task = lambda block, share: (block * shares + share).cast("int").alias("task")
+    of = lambda key, most: F.pmod(F.xxhash64(key), F.lit(most))
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    kind = "array<double>" if "double" in points.schema["vector"].dataType.simpleString() + queries.schema["query_vector"].dataType.simpleString() else "array<float>"
+    asked = queries.withColumn("share", every(shares)).select(task(of("query_id", blocks), F.col("share")), F.lit(0).alias("side"), F.col("query_id").cast("bigint").alias("id"), F.col("query_vector").cast(kind).alias("vector"), "k", "threshold")
     # every point meets every block of queries: the only product in here, and its second side is counted in blocks of queries
-    right = points.withColumn("share", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks.count() - 1)))))
-    ids = blocks.withColumn("number", F.row_number().over(W.orderBy("block")) - 1)
-    left = left.join(F.broadcast(ids), "block").drop("block").withColumnRenamed("number", "block")
-    return left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(_block_scores(), "query_id bigint, item_id bigint, score double")
+    met = points.withColumn("block", every(blocks)).select(task(F.col("block"), of("item_id", shares)), F.lit(1).alias("side"), F.col("item_id").cast("bigint").alias("id"), F.col("vector").cast(kind).alias("vector"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("double").alias("threshold"))
+    return asked.unionByName(met).repartitionById(blocks * shares, F.col("task")).sortWithinPartitions("task", "side").mapInArrow(_best_of_blocks, _FOUND)
 
 
 def lexical_search(chunks: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
@@ -159,8 +212,11 @@ def diversify(hits: DataFrame, k: int | Column) -> DataFrame:
 
 
 def rerank(hits: DataFrame, logits: DataFrame) -> DataFrame:
-    """RET10: scores become the logistic of supplied logits; hits without one keep their score."""
-    rows = hits.join(logits, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce(T.sigmoid(F.col("logit")), "score")).drop("logit")
+    """RET10: scores become the logistic of supplied logits; hits without one keep their score.
+
+    ``logits``: chunk_id, logit and, where they differ by query, query_id; without it a chunk's logit holds for every query.
+    """
+    rows = hits.join(logits, ["query_id", "chunk_id"] if "query_id" in logits.columns else ["chunk_id"], "left").withColumn("score", F.coalesce(T.sigmoid(F.col("logit")), "score")).drop("logit")
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
 
 

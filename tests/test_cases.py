@@ -28,6 +28,33 @@ def test_vector_search_against_numpy(spark):
         assert [got[q, k + 1] for k in range(5)] == list(np.lexsort((np.arange(200), -scores))[:5])
 
 
+def test_vector_search_in_blocks(spark, monkeypatch):
+    """More queries than are sent: the same hits, and what the tasks send back doesn't grow with the session's partitions."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((600, 4)), 1)  # many equal scores
+    x[7] = 0
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id bigint, vector array<double>").repartition(5)
+    queries = points.where("item_id % 3 = 0").select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vector"), (F.col("item_id") % 7 * 5).cast("int").alias("k"), F.when(F.col("item_id") % 2 == 0, 0.6).alias("threshold"))
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = set()
+    for q in range(0, 600, 3):
+        scores = np.round(u @ u[q], 6)
+        want |= {(q, int(i), n + 1) for n, i in enumerate(np.lexsort((np.arange(600), -scores))[: q % 7 * 5]) if q % 2 or scores[i] >= 0.6}
+    hits = lambda df: {(r["query_id"], r["item_id"], r["rank"]) for r in df.collect()}
+    assert hits(retrieval.vector_search(queries, points)) == want
+    monkeypatch.setattr(retrieval, "SENT_QUERIES", 20)
+    assert hits(retrieval.vector_search(queries, points)) == want
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 30)
+    assert hits(retrieval.vector_search(queries, points)) == want
+    assert hits(retrieval.vector_search(queries, points, shares=2)) == want
+    sent = []
+    for n in (4, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        sent.append(retrieval._by_blocks(queries, points, None).count())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert sent[0] == sent[1]
+
+
 def test_chronology_segments_and_clauses(spark):
     text = "2011 - Arthroscopy for pain of the left knee; 1998? - Fracture treated after reported pain."
     c = spark.createDataFrame([("r", "c", "A", text)], "run_id string, chunk_id string, author string, text string")
