@@ -54,8 +54,9 @@ def answer_set(asked: DataFrame, vectors: DataFrame, points: DataFrame, chunks:
     facet_no, query_vector for the rows of ``subqueries`` (one without a vector
     is not searched). ``points``: item_id, vector. ``chunks``: item_id, chunk_id,
     chunk_index, doc_id, document_type, author, date_extracted, text. ``logits``:
-    query_id, chunk_id, logit, used where the mode reranks. Hits per search,
-    thresholds, facets and switches come from the mode's policy as columns.
+    chunk_id, logit and, where they differ by question, query_id, used where the
+    mode reranks. Hits per search, thresholds, facets and switches come from the
+    mode's policy as columns.
 
     A search takes twice its hits and keeps the most relevant and different ones
     (``mmr=False``: the best scores). A mode without facets ends there; others

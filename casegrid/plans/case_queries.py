@@ -358,7 +358,8 @@ def _answer_set(spark, sf_dir, mmr):
         F.when(n % 4 == 0, "radiology_report").otherwise("specialist_letter").alias("document_type"), F.concat(F.lit("a"), (n % 31).cast("string")).alias("author"), F.lit(None).cast("date").alias("date_extracted"), F.concat("text", F.when(n % 89 == 0, " Conclusion: none").otherwise("")).alias("text"),
     )
     points = e.join(d.select(n.alias("vec_id")), "vec_id").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    logits = q.select("query_id").join(chunks.where("item_id % 2 = 0").select("chunk_id", F.expr("(item_id % 41) / 10 - 2").cast("double").alias("logit")).where("logit > 0"))
+    # a chunk's logit is the same for all questions, so none is made for pairs that no search finds
+    logits = chunks.where("item_id % 2 = 0").select("chunk_id", F.expr("(item_id % 41) / 10 - 2").cast("double").alias("logit")).where("logit > 0")
     found = answerset.answer_set(q, vectors, points, chunks, logits, mmr=mmr)
     return found.select("query_id", "mode", "rank", "chunk_id", F.round("score", 6).alias("score"), "primary_evidence", F.array_join(F.col("facets").cast("array<string>"), ",").alias("facets"))
 

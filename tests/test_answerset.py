@@ -1,11 +1,13 @@
 """RET13 with the choice of different hits, against plain loops over small tables."""
 
 import random
+import re
 
 import numpy as np
 
 from casegrid.functions import patterns as P
 from casegrid.operators import answerset, retrieval
+from casegrid.plans import case_queries
 
 MODES = ["free_qa", "timeline", "expert_analysis", "general_knowledge", None, "made up", "causation"]
 
@@ -87,3 +89,14 @@ def test_searches_of_a_mode(spark):
     by = lambda q: [(r["facet_no"], r["k"], r["subquery"]) for r in sorted(rows, key=lambda r: r["facet_no"]) if r["query_id"] == q]
     assert len(by(1)) == 9 and by(1)[0] == (0, 20, "why") and by(1)[1] == (1, 20, "why\nEvidence focus: " + P.FACETS["judge"][0])
     assert [x[:2] for x in by(2)] == [(0, 8), (1, 8), (2, 8)] and by(3) == [(0, 50, "when")] and by(4) == []
+
+
+def test_logits_are_not_made_for_every_pair(spark, sf_dir):
+    """Logits by chunk hold for every question; the query has no product of questions and chunks."""
+    hits = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.4), (1, "b", 0.3)], "query_id bigint, chunk_id string, score double")
+    by_chunk = spark.createDataFrame([("b", 0.0)], "chunk_id string, logit double")
+    both = lambda logits: {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in retrieval.rerank(hits, logits).collect()}
+    assert both(by_chunk) == {(1, "a", 0.5, 1), (2, "a", 0.4, 1), (1, "b", 0.5, 2)}
+    assert both(by_chunk.selectExpr("1L AS query_id", "*")) == both(by_chunk)
+    plan = case_queries.full_answer_set(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join (Cross|Inner)(, rightHint=.*|, leftHint=.*)?\n", plan)
