@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as Y
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -12,6 +15,8 @@ from casegrid.functions import patterns as P, textcols as T
 
 #: Stands in front of every match while offsets are found; never part of a text that is split.
 SIGN = "\u0001"
+#: Bytes of text that are cut at once.
+SLICE = 1 << 20
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -49,9 +54,18 @@ def section_starts(text: str) -> list[int]:
     return kept
 
 
+def _pieces(batches, column: str):
+    """Batches of thousands of texts in pieces of about SLICE bytes of ``column``, if a single text isn't longer."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        piece = (np.cumsum(size) - size) // SLICE
+        for a, b in pairwise([*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "text"):
             at, out = [], ([], [], [], [], [])
             for i, text in enumerate(batch.column("text").to_pylist()):
                 kept = section_starts(text)
@@ -117,7 +131,7 @@ def _split(size: int, overlap: int, kept: tuple[str, ...], schema: pa.Schema):
 
     def run(batches):
         doc, no, index = None, -1, 0
-        for batch in batches:
+        for batch in _pieces(batches, "section_text"):
             at, out = [], ([], [], [], [], [], [], [])
             for i, row in enumerate(batch.select(["doc_id", "section_no", "start", "section_kind", "section_text", "page_ranges"]).to_pylist()):
                 if row["doc_id"] != doc or row["section_no"] <= no:

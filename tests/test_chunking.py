@@ -1,5 +1,7 @@
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -101,3 +103,14 @@ def test_a_section_says_whether_it_is_its_whole_text(spark):
     assert [tuple(r) for r in got] == [("0", True), ("1", False), ("2", False), ("2", False)]
     one = chunking.chunk_documents(docs).where("doc_id = '0'").first()
     assert (one["document_type"], one["author"], str(one["date_extracted"]), one["date_raw"]) == ("specialist_letter", "Odo Fennick", "2011-05-03", "3 May 2011")
+
+
+def test_large_batches_are_cut_in_pieces():
+    """A batch of long texts comes in pieces of bounded size, whole and in order; so do null and empty texts."""
+    texts = ["x" * 400_000, None, "", "y" * 3_000_000, "z", *["w" * 1000] * 5000]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts})
+    pieces = list(chunking._pieces([batch, batch.slice(0, 0)], "text"))
+    assert [i for p in pieces for i in p.column("n").to_pylist()] == list(range(len(texts)))
+    assert len(pieces) > 5 and all(len(p) == 1 or sum(len(t or "") for t in p.column("text").to_pylist()[:-1]) <= chunking.SLICE for p in pieces)
+    schema = pa.schema([("n", pa.int64()), *((c, pa.int32()) for c in ("section_no", "start", "end")), ("section_text", pa.string()), ("whole", pa.bool_())])
+    assert len(list(chunking._cut("n", (), schema)([batch.filter(pc.is_valid(batch.column("text")))]))) > 5  # null texts never come here
