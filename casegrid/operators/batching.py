@@ -92,7 +92,7 @@ def _compose(most: int, most_rows: int | None, names: list[str]):
         case, chars, rows, begun = (), 0, 0, 0
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in (row for low in range(0, batch.num_rows, 256) for row in batch.slice(low, 256).to_pylist()):
                 head, exits = np.frombuffer(r["head"], np.int64), np.frombuffer(r["exits"], np.int64).reshape(3, -1)
                 if (r["run_id"],) != case:
                     case, chars, rows, begun, entry = (r["run_id"],), 0, 0, 0, 0
@@ -115,13 +115,15 @@ def _compose(most: int, most_rows: int | None, names: list[str]):
 
 def _assign(most: int, most_rows: int | None):
     def run(batches):
+        # a batch may hold thousands of segments: one is read at a time, and its ids stay Arrow's
         for batch in batches:
-            for r in batch.to_pylist():
-                sizes = np.frombuffer(r["sizes"], np.int64)
+            for i in range(batch.num_rows):
+                run_id, sizes, entry, begun = (batch.column(c)[i].as_py() for c in ("run_id", "sizes", "entry", "begun"))
+                sizes, ids = np.frombuffer(sizes, np.int64), batch.column("ids")[i].values
                 begins = np.zeros(len(sizes), np.int64)
-                begins[starts_from(sizes, r["entry"], most, most_rows)] = 1
-                number = r["begun"] - 1 + np.cumsum(begins)
-                yield pa.RecordBatch.from_arrays([pa.array([r["run_id"]] * len(sizes), pa.string()), pa.array(r["ids"], pa.string()), pa.array(number, pa.int32())], ["run_id", "chunk_id", "batch_no"])
+                begins[starts_from(sizes, entry, most, most_rows)] = 1
+                number = begun - 1 + np.cumsum(begins)
+                yield pa.RecordBatch.from_arrays([pa.array([run_id] * len(sizes), pa.string()), ids, pa.array(number, pa.int32())], ["run_id", "chunk_id", "batch_no"])
 
     return run
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -62,3 +63,22 @@ def test_no_chunks(spark):
     assert batching.greedy_batches(spark.createDataFrame([], "run_id string, original_filename string, chunk_index int, chunk_id string, text string"), ORDER).count() == 0
     with pytest.raises(ValueError):
         batching.greedy_batches(spark.createDataFrame([], "run_id string, original_filename string, chunk_index int, chunk_id string, text string"), ORDER, 0)
+
+
+def test_segments_are_assigned_one_at_a_time():
+    """A batch of many segments gives a batch of rows for each, made before the next one is read."""
+    n, sizes = 50, np.full(100, 7, np.int64)
+    batch = pa.RecordBatch.from_pydict({"run_id": [None] + ["r"] * (n - 1), "ids": [[f"{i}-{j}" for j in range(100)] for i in range(n)], "sizes": [sizes.tobytes()] * n, "entry": [0] * n, "begun": list(range(n))})
+
+    class Spied:
+        num_rows = n
+
+        def column(self, name):
+            return batch.column(name)
+
+        def to_pylist(self):
+            raise AssertionError("the whole batch became Python objects")
+
+    out = list(batching._assign(70, None)([Spied()]))
+    assert len(out) == n and out[0].column("run_id").to_pylist() == [None] * 100
+    assert out[3].column("chunk_id").to_pylist() == [f"3-{j}" for j in range(100)] and out[3].column("batch_no").to_pylist() == [3 + j // 10 for j in range(100)]
