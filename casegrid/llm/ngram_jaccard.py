@@ -1,12 +1,17 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
-Rows of the matrix are documents, columns are hashed word n-grams. The work
-goes in blocks of columns first: each block counts in how many documents its
-n-grams occur and sends every document those of its n-grams that another
+Rows of the matrix are documents, columns are hashed word n-grams. A document
+of n n-grams links to none if more than n - ceil(t*n) of them are in no other
+document. So the first blocks of columns only tell the documents how many of
+their n-grams no other one has, and those with too many drop out; what is in the
+other blocks could only drop more. Documents with equal n-gram sets are one row.
+
+The rest goes in blocks of columns again, with all n-grams: each block counts in
+how many documents they occur and sends every document those that another
 document has too. With all its n-grams ordered from rare to common, a document
 can only reach the threshold with another one if they share one of its first
 n - ceil(t*n) + 1 (a size-derived bound); documents whose own n-grams alone
-fill that prefix drop out. Documents with equal n-gram sets are one row.
+fill that prefix drop out as well.
 
 What links the rest is found in two products. First, each column's least row is
 multiplied with blocks of the rows that share the column; that unites most of
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from casegrid.components import components
@@ -35,6 +41,10 @@ from casegrid.workspace import discard, materialize
 BLOCK_CHARS = 8_000_000
 #: Bytes of text whose n-grams are held at once, if a single text isn't longer.
 SLICE = 4_000_000
+#: Blocks that tell documents of n-grams of their own: this many times the share of a document's n-grams that a link leaves open.
+SIEVE = 3
+#: Bits, as a power of 2, of the map of the documents that are left; two documents may share a bit, which only keeps one that could go.
+MAP_BITS = 27
 #: What is left of a column of at most FEW rows goes pair by pair; rows of longer ones in blocks of BLOCK_ROWS.
 FEW, BLOCK_ROWS = 16, 2048
 #: N-grams of the rows that one row is multiplied with in one task.
@@ -87,15 +97,21 @@ def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
 
-def _text_slices(batches):
-    """(row, id, lower-cased text) in lists of about SLICE bytes."""
+def _text_slices(batches, left=None):
+    """(row, id, key, lower-cased text) in lists of about SLICE bytes, of texts whose key is in the map ``left``; ``key`` is a hash of id and text."""
     held, size = [], 0
+    bits, seen = left.value if left else (0, b"")
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
             for row, i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                held.append((row, i, (text or b"").lower()))
-                size += len(held[-1][2])
+                text = (text or b"").lower()
+                key = xxhash.xxh3_64_intdigest(text, i & 0xFFFFFFFFFFFFFFFF)
+                at = key >> 64 - bits
+                if left and not seen[at >> 3] & 128 >> (at & 7):
+                    continue
+                held.append((row, i, key, text))
+                size += len(text)
                 if size >= SLICE or len(held) >= 4096:
                     yield held
                     held, size = [], 0
@@ -103,23 +119,118 @@ def _text_slices(batches):
         yield held
 
 
-def _columns(k: int, blocks: int, heads: int):
-    """Text rows -> packed rows by block of columns, and a head row for each document."""
+def _digests(owner: np.ndarray, every: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and 128-bit digest of each text's set."""
+    sizes = np.bincount(owner, minlength=texts)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    marks = np.zeros((texts, 2), np.uint64)
+    for c, salt in enumerate((_FOLD, _OTHER)):
+        if len(every):
+            marks[sizes > 0, c] = np.add.reduceat(mixed(every ^ salt), starts)
+    return sizes, marks
+
+
+def _by_block(owner: np.ndarray, every: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, n-grams and their blocks of columns, sorted by block and text."""
+    at = ((every >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.uint16 if blocks < 1 << 16 else np.int64)
+    order = np.argsort(at, kind="stable")
+    return owner[order], every[order], at[order]
+
+
+_HEAD = np.dtype([("id", "<i8"), ("n", "<u4"), ("mark", "<u8", 2), ("key", "<u8")])
+_TOLD = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("owners", pa.binary()), ("data", pa.binary())])
+_TOLD_DDL = "part int, slice bigint, owners binary, data binary"
+
+
+def _told_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOLD, strict=True)], schema=_TOLD)
+
+
+def near(places: np.ndarray) -> bytes:
+    """Rising places in a slice as differences, their lower bytes before their upper ones, which are nearly all zero."""
+    return np.diff(places.astype(np.uint16), prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def places(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view(np.uint16).reshape(-1), dtype=np.int64)
+
+
+def _first_columns(k: int, blocks: int, asked: int, heads: int):
+    """Text rows -> a slice's n-grams in the first ``asked`` of the blocks of columns, four bytes each, and its heads."""
 
     def run(batches):
         for part in _text_slices(batches):
-            keys, ids = np.array([r for r, *_ in part], np.int64), np.array([i for _, i, _ in part], np.int64)
             owner, every = shingle_sets([t for *_, t in part], k)
-            sizes = np.bincount(owner, minlength=len(keys))
-            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-            marks = np.zeros((len(keys), 2), np.uint64)
-            for c, salt in enumerate((_FOLD, _OTHER)):
-                if len(every):
-                    marks[sizes > 0, c] = np.add.reduceat(mixed(every ^ salt), starts)
+            head = np.zeros(len(part), _HEAD)
+            head["id"], head["key"] = [i for _, i, *_ in part], np.array([x for _, _, x, _ in part], np.uint64)
+            head["n"], head["mark"] = _digests(owner, every, len(part))
+            row = part[0][0]
+            out = [(int(asked + (row & 0x7FFFFFFF) % heads), row, None, blob(head))]
+            owner, every, at = _by_block(owner, every, blocks)
+            for a, b in zip(*split_points(at[: np.searchsorted(at, asked)]), strict=True):
+                out.append((int(at[a]), row, near(owner[a:b]), blob(every[a:b].astype(np.uint32))))
+            yield _told_rows(out)
+
+    return run
+
+
+def _alone(batches):
+    """A block's n-grams -> to each slice, the places of texts for each n-gram that no other text has. Equal hashes of different n-grams only hide some."""
+    for _, table in by_key(batches, "part"):
+        rows = table.to_pylist()
+        if heads := [tuple(r.values()) for r in rows if r["owners"] is None]:
+            yield _told_rows(heads)
+        rows = [r for r in rows if r["owners"] is not None]
+        if not rows:
+            continue
+        hashes = np.concatenate([np.frombuffer(r["data"], np.uint32) for r in rows])
+        order = np.argsort(hashes)
+        starts, ends = split_points(hashes[order])
+        alone = np.zeros(len(hashes), bool)
+        alone[order[starts[ends - starts == 1]]] = True
+        at, out = 0, []
+        for r in rows:
+            owners = places(r["owners"])
+            owners, at = owners[alone[at : at + len(owners)]], at + len(owners)
+            if len(owners):
+                out.append((r["part"], r["slice"], near(owners), None))
+        if out:
+            yield _told_rows(out)
+
+
+def _left(percent: int):
+    """A slice's heads and what it was told -> (id, n, mark, key, may): whether a text may still link."""
+
+    def run(batches):
+        for _, table in by_key(batches, "slice"):
+            rows = table.to_pylist()
+            head = np.frombuffer(next(r["data"] for r in rows if r["owners"] is None), _HEAD)
+            alone = np.zeros(len(head), np.int64)
+            for r in rows:
+                if r["owners"] is not None:
+                    alone += np.bincount(places(r["owners"]), minlength=len(head))
+            n = head["n"].astype(np.int64)
+            columns = [pa.array(head["id"]), pa.array(n), pa.array([bytes(m) if k else None for m, k in zip(head["mark"], n, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(head["key"].astype(np.int64)), pa.array(can_link(n, alone, percent))], ["id", "n", "mark", "key", "may"])
+
+    return run
+
+
+def can_link(n: np.ndarray, alone: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set of n, of which ``alone`` are known to be in no other set, may reach the threshold with a set that isn't equal."""
+    return (n > 0) & (alone <= n - least_overlap(n, percent)) & (percent * (n + 1) <= 100 * n)
+
+
+def _columns(k: int, blocks: int, heads: int, left):
+    """Text rows in the map ``left`` -> packed rows by block of columns, and a head row for each document."""
+
+    def run(batches):
+        for part in _text_slices(batches, left):
+            keys, ids = np.array([r for r, *_ in part], np.int64), np.array([i for _, i, *_ in part], np.int64)
+            owner, every = shingle_sets([t for *_, t in part], k)
+            sizes, marks = _digests(owner, every, len(keys))
             out = [(int(blocks + (keys[0] & 0x7FFFFFFF) % heads), 0, rising(keys), blob(sizes), blob(marks), rising(ids))]
-            at = ((every >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.uint16 if blocks < 1 << 16 else np.int64)
-            order = np.argsort(at, kind="stable")
-            every, owner, at = every[order], owner[order], at[order]
+            owner, every, at = _by_block(owner, every, blocks)
             for a, b in zip(*split_points(at), strict=True):
                 s, e = split_points(owner[a:b])
                 out.append((int(at[a]), 1, rising(keys[owner[a:b][s]]), blob((e - s).astype(np.uint32)), short(every[a:b]), None))
@@ -205,7 +316,7 @@ def _prefixes(percent: int):
                 first = last = np.zeros(len(own), np.int64)
             length = sizes - least_overlap(sizes, percent) + 1
             alone = sizes - (last - first)
-            can = (sizes > 0) & (alone < length) & (percent * (sizes + 1) <= 100 * sizes)
+            can = can_link(sizes, alone, percent)
             for low in range(0, len(own), 256):
                 part = range(low, min(low + 256, len(own)))
                 held, prefix = {}, {}
@@ -338,14 +449,44 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return sent.repartition(partitions_for(spark, 0, 1) * 2, "task").sortWithinPartitions("task", "side").mapInArrow(_verified(percent), "a bigint, b bigint").where("a <> b")
 
 
-def ngram_sets(docs: DataFrame, *, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n, mark, alone, prefix, parity, grams) of every document; ``mark`` is a 128-bit digest of the n-gram set, null if empty."""
-    spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    blocks = max(8, int(chars // BLOCK_CHARS))
-    partitions = partitions_for(spark, blocks, 2)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    columns = rows.mapInArrow(_columns(words, blocks, partitions), _DDL).repartition(partitions, "part").sortWithinPartitions("part")
+def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+
+
+def set_heads(docs: DataFrame, chars: int, *, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, mark, key, may) of every document: ``mark`` is a 128-bit digest of the n-gram set, null if empty; without ``may`` it links to none but equal sets."""
+    blocks = max(8, chars // BLOCK_CHARS)
+    asked = min(blocks, -(-blocks * SIEVE * (100 - percent) // 100))
+    partitions = partitions_for(docs.sparkSession, asked, 2)
+    sent = _text_rows(docs, id_col, text_col).mapInArrow(_first_columns(words, blocks, asked, partitions), _TOLD_DDL).repartition(partitions, "part").sortWithinPartitions("part")
+    told = sent.mapInArrow(_alone, _TOLD_DDL).repartition(partitions, "slice").sortWithinPartitions("slice")
+    return materialize(told.mapInArrow(_left(percent), "id bigint, n bigint, mark binary, key bigint, may boolean"), "heads")
+
+
+def _map_parts(batches):
+    """Places sorted by part -> each part's 65,536 bits."""
+    for part, table in by_key(batches, "part"):
+        bits = np.zeros(1 << 16, bool)
+        bits[table.column("at").to_numpy() & 0xFFFF] = True
+        yield pa.RecordBatch.from_pylist([{"part": int(part), "seen": blob(np.packbits(bits))}], schema=pa.schema([("part", pa.int32()), ("seen", pa.binary())]))
+
+
+def key_map(keys: DataFrame) -> tuple[int, bytes]:
+    """Power and bits of a map of the column ``key``: about 64 bits for each, 2**MAP_BITS in all at most (16 MB)."""
+    bits = min(MAP_BITS, max(16, (64 * keys.count()).bit_length()))
+    at = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("at")).withColumn("part", F.shiftright("at", 16).cast("int"))
+    parts = at.repartition(partitions_for(keys.sparkSession, 0, 1), "part").sortWithinPartitions("part").mapInArrow(_map_parts, "part int, seen binary")
+    seen = bytearray(1 << bits - 3)
+    for r in parts.collect():  # 2**(bits - 16) rows of 8 kB
+        seen[r["part"] << 13 : r["part"] + 1 << 13] = r["seen"]
+    return bits, bytes(seen)
+
+
+def ngram_sets(docs: DataFrame, left, chars: int, *, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n, mark, alone, prefix, parity, grams) of the documents in the map ``left``, which have about ``chars`` characters."""
+    blocks = max(8, chars // BLOCK_CHARS)
+    partitions = partitions_for(docs.sparkSession, blocks, 2)
+    columns = _text_rows(docs, id_col, text_col).mapInArrow(_columns(words, blocks, partitions, left), _DDL).repartition(partitions, "part").sortWithinPartitions("part")
     back = columns.mapInArrow(_shared(blocks), _DDL).repartition(partitions, "part").sortWithinPartitions("part")
     return materialize(back.mapInArrow(_prefixes(percent), "row bigint, id bigint, n bigint, mark binary, alone bigint, prefix array<bigint>, parity binary, grams binary"), "sets")
 
@@ -413,22 +554,32 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     come back with nulls. Columns other than the two named are not read. An
     empty table gives an empty result.
     """
-    sets = ngram_sets(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
-    # equal sets are one class, named by its least id; its least row stands for it
-    classes = materialize(sets.where("mark is not null").groupBy("mark").agg(F.min("id").alias("name"), F.min("row").alias("stands")).withColumnRenamed("mark", "c_mark"), "classes")
+    spark, how = docs.sparkSession, {"words": words, "percent": percent, "id_col": id_col, "text_col": text_col}
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    heads = set_heads(docs, chars, **how)
+    # equal sets are one class, named by its least id; of a class that may link, a document of that id goes on
+    least = F.min(F.struct("id", "key")).alias("least")
+    found = heads.where("mark is not null").groupBy("mark").agg(least, F.max("may").alias("may"), F.max("n").alias("n"))
+    classes = materialize(found.select(F.col("mark").alias("c_mark"), F.col("least.id").alias("name"), F.col("least.key").alias("key"), "may", "n"), "classes")
+    share = classes.where("may").agg(F.sum("n")).first()[0] or 0
+    total = heads.agg(F.sum("n")).first()[0] or 1
+    left = spark.sparkContext.broadcast(key_map(classes.where("may").select("key")))
+    sets = ngram_sets(docs, left, int(chars * share // total), **how)
+    # documents that share id and text, or a bit of the map, can still be of one class: the least row stands for it
+    stands = sets.where("mark is not null").groupBy(F.col("mark").alias("s_mark")).agg(F.min("row").alias("stands"))
+    standing = materialize(stands.join(classes, F.col("s_mark") == F.col("c_mark")).select("s_mark", "stands", "name"), "standing")
     can = sets.where("prefix is not null and size(prefix) > 0")
-    rows = can.join(classes, (F.col("mark") == F.col("c_mark")) & (F.col("row") == F.col("stands"))).select(F.col("row").alias("node"), "n", "alone", "prefix", "parity", "grams")
+    rows = can.join(standing, (F.col("mark") == F.col("s_mark")) & (F.col("row") == F.col("stands"))).select(F.col("row").alias("node"), "n", "alone", "prefix", "parity", "grams")
     rows = materialize(rows, "rows")
-    marks = materialize(sets.select("id", "n", "mark"), "marks")
     discard(sets)
     united = _united(rows, percent)
-    named = united.join(classes.select("name", "stands"), F.col("node") == F.col("stands"))
+    named = united.join(standing, F.col("node") == F.col("stands"))
     least = named.groupBy("component").agg(F.min("name").alias("least")).withColumnRenamed("component", "l_component")
-    linked = named.join(least, F.col("component") == F.col("l_component")).select(F.col("node").alias("l_node"), "least")
-    named = classes.join(linked, F.col("stands") == F.col("l_node"), "left").select("c_mark", F.coalesce("least", "name").alias("name"))
-    known = marks.join(named, F.col("mark") == F.col("c_mark"), "left")
+    linked = named.join(least, F.col("component") == F.col("l_component")).select(F.col("s_mark").alias("l_mark"), "least")
+    named = classes.join(linked, F.col("c_mark") == F.col("l_mark"), "left").select("c_mark", F.coalesce("least", "name").alias("name"))
+    known = heads.join(named, F.col("mark") == F.col("c_mark"), "left")
     out = materialize(known.select("id", F.col("n").alias("n_shingles"), F.coalesce("name", "id").alias("component_id")), "components")
-    discard(marks, classes, rows)
+    discard(heads, classes, standing, rows)
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), *[F.lit(None).cast("bigint").alias(c) for c in ("n_shingles", "component_id")])
     return out.union(nameless).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 

@@ -156,6 +156,39 @@ def test_jaccard_edges(spark, docs):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def shuffled(spark, after=-1):
+    """The last stage and the bytes that all stages after ``after`` shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    found = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(k) for k in range(stages.size()))]
+    return max([i for i, _ in found], default=-1), sum(n for i, n in found if i > after)
+
+
+def test_documents_with_many_ngrams_of_their_own_are_not_sent_whole(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(300)) for i in range(2000)}
+    texts |= {2000 + i: texts[i] for i in range(20)} | {2100 + i: texts[i].replace(" ", "\t", 5) + " end" for i in range(20, 40)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    last, _ = shuffled(spark)
+    got = rows(ngram_jaccard.jaccard_components(table, words=3, percent=90))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.jaccard_components(texts, 3, 90)
+    assert shuffled(spark, last)[1] < 0.7 * sum(map(len, texts.values()))
+
+
+@pytest.mark.parametrize("bits, sieve", [(16, 1), (3, 3), (27, 100)])
+def test_jaccard_with_full_maps_and_other_shares(docs, corpus, bits, sieve, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "MAP_BITS", bits)
+    monkeypatch.setattr(ngram_jaccard, "SIEVE", sieve)
+    got = rows(ngram_jaccard.jaccard_components(docs, words=2, percent=80))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.jaccard_components(corpus, 2, 80)
+
+
+def test_places_round_trip():
+    at = np.array([0, 0, 3, 3, 3, 300, 4095])
+    assert ngram_jaccard.places(ngram_jaccard.near(at)).tolist() == at.tolist() and len(ngram_jaccard.near(at[:0])) == 0
+
+
 # ---- 5
 
 
