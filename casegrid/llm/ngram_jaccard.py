@@ -549,10 +549,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     link when 100 * overlap >= percent * union of their sets of distinct
     ``words``-word shingles; shorter texts are one shingle. Null texts and texts
     without words have the empty set and link with nothing; very long texts are
-    taken whole. ``id_col`` holds integers; rows that repeat an id are documents
-    of their own, each with the smallest id of its component; rows without an id
-    come back with nulls. Columns other than the two named are not read. An
-    empty table gives an empty result.
+    taken whole. ``docs`` is read twice and must give the same ids and texts both
+    times, in any order. ``id_col`` holds integers; rows that repeat an id are
+    documents of their own, each with the smallest id of its component; rows
+    without an id come back with nulls. Columns other than the two named are not
+    read. An empty table gives an empty result.
     """
     spark, how = docs.sparkSession, {"words": words, "percent": percent, "id_col": id_col, "text_col": text_col}
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
