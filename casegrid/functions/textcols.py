@@ -18,14 +18,17 @@ EXACT, LINES, LOOSE_LINES = "(?U)", "(?U)(?md)", "(?U)(?imd)"
 WIDE_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def loose(pattern: str) -> str:
-    """Without regard to case, any white space for `\\s`; far faster than switching the whole pattern to Unicode classes."""
-    return "(?i)" + pattern.replace(r"\s", WIDE_SPACE)
+def loose(pattern: str, first: str = "") -> str:
+    """Without regard to case, any white space for `\\s`; far faster than switching the whole pattern to Unicode classes.
+    ``first``: the letters that every match begins with; most places of a text fail there at once."""
+    wide = pattern.replace(r"\s", WIDE_SPACE)
+    return f"(?i)(?=[{first}])(?:{wide})" if first else f"(?i){wide}"
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
-    """The first match's group, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The first match's group, or null. The match is named once: within a branch, nullif would look for it twice. (A filter
+    also keeps the step out of whole-stage code, where several patterns make one method that is too long for the JVM to compile.)"""
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda m: m != ""), F.lit(0))
 
 
 def holds(text: Column, words) -> Column:
@@ -69,8 +72,17 @@ def first_date_raw(text: Column) -> Column:
 
 def first_date_iso(text: Column) -> Column:
     """FN2: the leftmost date, day first, two-digit years by pivot; null if impossible."""
-    part = lambda k: F.get(F.regexp_extract_all(first_date_raw(text), F.lit("[0-9]+|[A-Za-z]+"), F.lit(0)), F.lit(k))
-    a, b, year = part(0), part(1), part(2)
+    return iso_of_parts(date_parts(first_date_raw(text)))
+
+
+def date_parts(raw: Column) -> Column:
+    """The numbers and the month of a date as written."""
+    return F.regexp_extract_all(raw, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0))
+
+
+def iso_of_parts(parts: Column) -> Column:
+    """FN2 from the parts of a date."""
+    a, b, year = (F.get(parts, F.lit(k)) for k in range(3))
     # 3/12/2020, 3 December 2020 or December 3, 2020
     return F.when(a.rlike("[A-Za-z]"), iso_date(year, month_number(a), b)).when(b.rlike("[A-Za-z]"), iso_date(year, month_number(b), a)).otherwise(iso_date(full_year(year), b, a))
 
@@ -78,8 +90,8 @@ def first_date_iso(text: Column) -> Column:
 def author(text: Column) -> Column:
     """FN3: signature block, else sender line, else a titled name that is no addressee."""
     low = F.lower(text)
-    signed = F.when(holds(low, P.AUTHOR_SIGNATURE_WORDS), found(text, loose(P.AUTHOR_SIGNATURE), 1))
-    sender = F.when(holds(low, P.AUTHOR_SENDER_WORDS), found(text, loose(P.AUTHOR_SENDER), 1))
+    signed = F.when(holds(low, P.AUTHOR_SIGNATURE_WORDS), found(text, loose(P.AUTHOR_SIGNATURE, P.AUTHOR_SIGNATURE_FIRST), 1))
+    sender = F.when(holds(low, P.AUTHOR_SENDER_WORDS), found(text, loose(P.AUTHOR_SENDER, P.AUTHOR_SENDER_FIRST), 1))
     return F.trim(F.coalesce(signed, sender, F.when(holds(text, P.AUTHOR_TITLES), found(text, EXACT + P.AUTHOR_TITLE, 1))))
 
 
@@ -99,17 +111,19 @@ def radiology_date(text: Column) -> Column:
 def document_type(text: Column) -> Column:
     """FN6: radiology by title and part, else the type with most matches, ties by order."""
     low = F.lower(text)
-    counts = [F.struct(F.when(holds(low, P.DOCUMENT_TYPE_WORDS[name]), F.regexp_count(text, F.lit(loose(p)))).otherwise(0).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, p) in enumerate(P.DOCUMENT_TYPES.items())]
-    best = F.array_max(F.array(*counts))
+    worded = lambda name: holds(low, P.DOCUMENT_TYPE_WORDS[name]) & (holds(low, P.DOCUMENT_TYPE_ALSO[name]) if name in P.DOCUMENT_TYPE_ALSO else F.lit(True))
+    counts = [F.struct(F.when(worded(name), F.regexp_count(text, F.lit(loose(p, P.DOCUMENT_TYPE_FIRST[name])))).otherwise(0).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, p) in enumerate(P.DOCUMENT_TYPES.items())]
+    # without a match "unknown" comes first; the best one is named once, or all patterns would be counted again
+    best = F.array_max(F.array(*counts, F.struct(F.lit(0).alias("n"), F.lit(1).alias("order"), F.lit("unknown").alias("name"))))
     radiology = holds(low, P.RADIOLOGY_PART_WORDS) & text.rlike(loose(P.RADIOLOGY_TITLE)) & text.rlike(loose(P.RADIOLOGY_PART))
-    return F.when(radiology, F.lit("radiology_report")).when(best["n"] > 0, best["name"]).otherwise(F.lit("unknown"))
+    return F.when(radiology, F.lit("radiology_report")).otherwise(best["name"])
 
 
 def section_type(text: Column) -> Column:
     """FN7: the first pattern that matches, else general."""
     out, low = F.lit("general"), F.lower(text)
     for name, p in reversed(P.SECTION_TYPES.items()):
-        out = F.when(holds(low, P.SECTION_TYPE_WORDS[name]) & text.rlike(loose(p)), F.lit(name)).otherwise(out)
+        out = F.when(holds(low, P.SECTION_TYPE_WORDS[name]) & text.rlike(loose(p, P.SECTION_TYPE_FIRST[name])), F.lit(name)).otherwise(out)
     return out
 
 

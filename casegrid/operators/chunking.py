@@ -36,13 +36,14 @@ _SIGNED = re.compile(P.SIGNED_LINE)
 
 def section_starts(text: str) -> list[int]:
     """GEN1: where sections begin. Boundaries closer than the least size to the last kept one are dropped, but a report
-    title replaces a nearby generic one. A pattern is looked for only in a text that has one of its words."""
-    low = text.casefold()
+    title replaces a nearby generic one. A pattern is looked for only in a text that has one of its words, and a start that
+    is no title only from the least size on: before it, it is too close to the first. (Case folding moves no word forward.)"""
+    low, least = text.casefold(), P.LEAST_SECTION
     titles = {m.start() for m in _TITLE.finditer(text)} if any(w in low for w in P.REPORT_TITLE_WORDS) else set()
     bounds = {0, *titles}
     for words, pattern in _STARTS:
-        if any(w in low for w in words):
-            bounds.update(m.start() for m in pattern.finditer(text))
+        if any(low.find(w, least) >= 0 for w in words):
+            bounds.update(m.start() for m in pattern.finditer(text, least))
     if any(w in low for w in P.SIGNED_LINE_WORDS):
         bounds.update(m.end() for m in _SIGNED.finditer(text))
     kept: list[int] = []
@@ -66,7 +67,7 @@ def _pieces(batches, column: str):
 def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
     def run(batches):
         for batch in _pieces(batches, "text"):
-            at, out = [], ([], [], [], [], [])
+            at, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 kept = section_starts(text)
                 for no, (a, b) in enumerate(zip(kept, [*kept[1:], len(text)], strict=True)):
@@ -74,10 +75,11 @@ def _cut(key: str, carried: tuple[str, ...], schema: pa.Schema):
                     start, body = b - len(body), body.rstrip()
                     if body:
                         at.append(i)
-                        for column, value in zip(out, (no, start, start + len(body), body, len(body) == len(text)), strict=True):
-                            column.append(value)
+                        out.append((no, start, start + len(body), body, len(body) == len(text)))
             held = batch.select([key, *carried]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*held.columns, *map(pa.array, out)], schema, strict=True)], schema=schema)
+            made = list(zip(*out, strict=True)) or [()] * 5
+            columns = [*held.columns, *[pa.array(c, f.type) for c, f in zip(made, list(schema)[len(carried) + 1 :], strict=True)]]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -132,19 +134,20 @@ def _split(size: int, overlap: int, kept: tuple[str, ...], schema: pa.Schema):
     def run(batches):
         doc, no, index = None, -1, 0
         for batch in _pieces(batches, "section_text"):
-            at, out = [], ([], [], [], [], [], [], [])
-            for i, row in enumerate(batch.select(["doc_id", "section_no", "start", "section_kind", "section_text", "page_ranges"]).to_pylist()):
-                if row["doc_id"] != doc or row["section_no"] <= no:
+            at, out = [], []
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "section_no", "start", "section_kind", "section_text", "page_ranges")], strict=True)
+            for i, (own, section, first, kind, text, ranges) in enumerate(rows):
+                if own != doc or section <= no:
                     index = 0
-                doc, no, first, text = row["doc_id"], row["section_no"], row["start"], row["section_text"]
-                pages = [r for r in row["page_ranges"] or () if r and r["start"] is not None and r["end"] is not None and r["start"] < first + len(text) and r["end"] > first]
-                for a, b in chunk_spans(text, max(size, P.RADIOLOGY_SIZE) if row["section_kind"] == "radiology_report" else size, overlap):
+                doc, no = own, section
+                pages = [r for r in ranges or () if r and r["start"] is not None and r["end"] is not None and r["start"] < first + len(text) and r["end"] > first]
+                for a, b in chunk_spans(text, max(size, P.RADIOLOGY_SIZE) if kind == "radiology_report" else size, overlap):
                     at.append(i)
-                    for column, value in zip(out, (index, first + a, first + b, _page(first + a, pages), _page(first + b - 1, pages), text[a:b], b - a == len(text)), strict=True):
-                        column.append(value)
+                    out.append((index, first + a, first + b, _page(first + a, pages) if pages else None, _page(first + b - 1, pages) if pages else None, text[a:b], b - a == len(text)))
                     index += 1
             held = batch.select(list(kept)).take(pa.array(at, pa.int64()))
-            columns = [*held.columns, *[pa.array(c, f.type) for c, f in zip(out, list(schema)[len(kept) :], strict=True)]]
+            made = list(zip(*out, strict=True)) or [()] * (len(schema) - len(kept))
+            columns = [*held.columns, *[pa.array(c, f.type) for c, f in zip(made, list(schema)[len(kept) :], strict=True)]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -155,24 +158,31 @@ def page_of(position: Column, ranges: Column) -> Column:
     return F.get(F.transform(F.filter(ranges, lambda r: (r["start"] <= position) & (position < r["end"])), lambda r: r["page"]), F.lit(0))
 
 
-def chunk_documents(docs: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
+def deal(docs: DataFrame) -> DataFrame:
+    """Rows of a document in one task, in as many tasks as the session's shuffle partitions."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def chunk_documents(docs: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP, *, dealt: bool = False) -> DataFrame:
     """GEN3: chunks with provenance and annotations; a chunk's own finding wins over its section's, then its document's.
 
     ``docs``: doc_id, run_id, original_filename, text, page_ranges, provenance_type; each row is a document of its own.
+    ``dealt``: the documents have just been dealt out by id.
     """
     if size <= 0:
         raise ValueError("chunk size must be greater than zero")
     # one exchange evens out files of few row groups and very long texts; every later step is narrow. The work is in the
     # texts' patterns, not in their bytes, so the session's partitions are kept as they are instead of being joined by size
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "run_id", "original_filename", "text", "page_ranges", "provenance_type").repartition(partitions, "doc_id")
+    docs = docs.select("doc_id", "run_id", "original_filename", "text", "page_ranges", "provenance_type")
+    docs = docs if dealt else deal(docs)
     docs = docs.withColumns({"doc_kind": T.document_type(F.col("text")), "doc_patient": T.patient_name(F.col("text"))})
     s = F.col("section_text")
     section = sections(docs, "doc_id", ("run_id", "original_filename", "page_ranges", "provenance_type", "doc_kind", "doc_patient"))
     # what was found in a text is not looked for again in its only section, nor a section's in its only chunk
     again = lambda same, known, found: F.when(F.col(same), F.col(known)).otherwise(found)
     section = section.withColumns({"own_kind": again("whole", "doc_kind", T.document_type(s)), "s_author": T.author(s), "s_raw": T.first_date_raw(s), "s_patient": again("whole", "doc_patient", T.patient_name(s))})
-    section = section.withColumns({"section_kind": F.when(F.col("own_kind") != "unknown", F.col("own_kind")).otherwise(F.col("doc_kind")), "s_iso": T.first_date_iso(F.col("s_raw")), "patient_name": F.coalesce("s_patient", "doc_patient")})
+    section = section.withColumns({"section_kind": F.when(F.col("own_kind") != "unknown", F.col("own_kind")).otherwise(F.col("doc_kind")), "s_parts": T.date_parts(F.col("s_raw")), "patient_name": F.coalesce("s_patient", "doc_patient")})
+    section = section.withColumn("s_iso", T.iso_of_parts(F.col("s_parts")))
     kept = ("doc_id", "run_id", "original_filename", "provenance_type", "section_kind", "s_author", "s_raw", "s_iso", "patient_name")
     section = section.select(*kept, "section_no", "start", "section_text", "page_ranges")
     found = Y.StructType([*[section.schema[c] for c in kept], *[Y.StructField(c, Y.IntegerType()) for c in ("chunk_index", "source_char_start", "source_char_end", "page_start", "page_end")], Y.StructField("text", Y.StringType()), Y.StructField("whole", Y.BooleanType())])

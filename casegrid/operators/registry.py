@@ -54,9 +54,10 @@ def delete_all(tables: dict[str, DataFrame], root: str) -> int:
 
 
 def point_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """MUT8/SET1/SET2: every point id of either side with what happens to it."""
-    both = old.select("point_id", F.lit(True).alias("was")).distinct().join(new.select("point_id", F.lit(True).alias("comes")).distinct(), "point_id", "full")
-    return both.select("point_id", F.when(F.col("was").isNull(), "new").when(F.col("comes").isNull(), "stale").otherwise("overwritten").alias("change"))
+    """MUT8/SET1/SET2: every point id of either side with what happens to it; a missing id is like none of the other side."""
+    side = lambda t, was: t.select("point_id", F.lit(was).alias("was"), F.when(F.col("point_id").isNull(), F.lit(was)).alias("apart"))
+    both = side(old, True).unionByName(side(new, False)).groupBy("point_id", "apart").agg(F.max("was").alias("was"), F.min("was").alias("gone"))
+    return both.select("point_id", F.when(~F.col("was"), "new").when(F.col("gone"), "stale").otherwise("overwritten").alias("change"))
 
 
 def guard_dimension(points: DataFrame, size: int, column: str = "vector") -> DataFrame:

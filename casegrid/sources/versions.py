@@ -17,12 +17,14 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 WHOLE_EVERY = 10
 #: The bucket column inside data folders, and the bucket of a table that has none.
 _BUCKET, _ALL = "_bucket", "-"
+#: While keys are replaced: a part of a bucket, and where a row comes from.
+_PART, _SIDE, _OLD, _NEW, _LISTED = "_part", "_side", 0, 1, 2
 
 
 @dataclass
@@ -191,16 +193,17 @@ def bucket_of(key: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
-def write_whole(df: DataFrame, root: str, key: str | None = None, buckets: int = 0) -> Table:
-    """New data files with all rows of ``df``."""
+def write_whole(df: DataFrame, root: str, key: str | None = None, buckets: int = 0, *, dealt: bool = False) -> Table:
+    """New data files with all rows of ``df``; ``dealt``: it has the bucket column and lies by it."""
     spark, folder = df.sparkSession, f"data/{uuid.uuid4().hex}"
     if not key:
         df.write.parquet(f"{root}/{folder}")
         return Table(df.schema.json(), files={_ALL: [folder]})
     # rebalanced: a bucket with much more than its share is split over tasks, small ones share a task
-    df.withColumn(_BUCKET, bucket_of(key, buckets)).hint("rebalance", F.col(_BUCKET)).write.partitionBy(_BUCKET).parquet(f"{root}/{folder}")
+    placed = df if dealt else df.withColumn(_BUCKET, bucket_of(key, buckets)).hint("rebalance", F.col(_BUCKET))
+    placed.write.partitionBy(_BUCKET).parquet(f"{root}/{folder}")
     made = [n for n in _names(spark, f"{root}/{folder}") if n.startswith(f"{_BUCKET}=")]
-    return Table(df.schema.json(), key, buckets, {n.split("=")[1]: [f"{folder}/{n}"] for n in made})
+    return Table(df.drop(_BUCKET).schema.json(), key, buckets, {n.split("=")[1]: [f"{folder}/{n}"] for n in made})
 
 
 def read(spark: SparkSession, root: str, name: str, *, at: Snapshot | int | None = None, buckets: Iterable[str] | None = None) -> DataFrame:
@@ -227,19 +230,35 @@ def read_keys(spark: SparkSession, root: str, name: str, keys: DataFrame, *, at:
 
 
 def replace_keys(spark: SparkSession, root: str, held: Snapshot, name: str, keys: DataFrame, new: DataFrame, *, key: str, buckets: int) -> Change:
-    """All rows of the given keys go, then ``new`` comes (whose keys are among them): only their buckets are read and written."""
+    """All rows of the given keys go, then ``new`` comes (whose keys are among them): only their buckets are read and written.
+
+    Old and new rows are dealt out once, by the bucket that they are written to, and meet by key there.
+    """
     table = held.tables.get(name, Table(new.schema.json(), key, buckets))
     if table.key != key:
         raise ValueError(f"{name} has the key {table.key}")
-    listed = keys.select(key).distinct()
-    touched = buckets_of(table, listed)
-    rows = new
+    touched = buckets_of(table, keys)
     if name in held.tables:
-        rows = read(spark, root, name, at=held, buckets=touched).join(listed, key, "left_anti").unionByName(new, allowMissingColumns=True)
-    made = write_whole(rows, root, key, table.buckets)
+        made = write_whole(_replaced(read(spark, root, name, at=held, buckets=touched), keys, new, key, table.buckets), root, key, table.buckets, dealt=True)
+    else:
+        made = write_whole(new, root, key, table.buckets)
     return Change(buckets={name: Table(made.schema, key, table.buckets, {b: made.files.get(b, []) for b in touched})}, reads={(name, b) for b in touched})
 
 
+def _replaced(old: DataFrame, keys: DataFrame, new: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Old rows whose key isn't listed, and the new rows, with their bucket; a bucket is cut in parts if there are fewer buckets than shuffle partitions."""
+    side = lambda t, s: t.withColumn(_SIDE, F.lit(s))
+    rows = side(old, _OLD).unionByName(side(new, _NEW), allowMissingColumns=True)
+    if keys is not new:
+        rows = rows.unionByName(side(keys.select(key), _LISTED), allowMissingColumns=True)
+    parts = -(-int(old.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    rows = rows.withColumns({_BUCKET: bucket_of(key, buckets), _PART: F.pmod(F.shiftright(F.xxhash64(F.col(key)), 32), F.lit(parts))})
+    last = F.max(_SIDE).over(W.partitionBy(_BUCKET, _PART, key))
+    kept = rows.repartition(_BUCKET, _PART).withColumn("_last", last)
+    # a row without a key is like no other
+    return kept.where((F.col(_SIDE) == _NEW) | ((F.col(_SIDE) == _OLD) & ((F.col("_last") == _OLD) | F.col(key).isNull()))).drop(_SIDE, _PART, "_last")
+
+
 def append(df: DataFrame, root: str, name: str) -> Change:
     return Change(appended={name: write_whole(df, root)})
 

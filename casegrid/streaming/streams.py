@@ -35,10 +35,13 @@ def ingest_batch(batch: DataFrame, batch_no: int, root: str, run_dir: str, *, st
         return latest.number
     run = T.run_id(F.lit(run_dir))
     named = batch.where(F.col("original_filename").isNotNull() & io.upload_problem(F.col("original_filename"), F.lit(b"x")).isNull() & F.col("text").isNotNull())
-    first = named.groupBy("original_filename").agg(F.min_by("text", "path").alias("text"))
-    docs = first.select(run.alias("run_id"), T.doc_id(run, F.col("original_filename")).alias("doc_id"), "original_filename", "text", F.array().cast("array<struct<start:int,end:int,page:int>>").alias("page_ranges"), F.lit("external_markdown").alias("provenance_type"))
-    new = materialize(chunking.chunk_documents(docs), "chunks")
-    made = new.groupBy("doc_id", "run_id", "original_filename").agg(F.count("*").alias("chunks")).withColumn("status", F.lit("indexed"))
+    # texts are dealt out once: a name's files meet in the task that chunks the document
+    files = chunking.deal(named.select(T.doc_id(run, F.col("original_filename")).alias("doc_id"), "original_filename", "path", "text"))
+    first = files.groupBy("doc_id", "original_filename").agg(F.min_by("text", "path").alias("text"))
+    docs = first.select(run.alias("run_id"), "doc_id", "original_filename", "text", F.array().cast("array<struct<start:int,end:int,page:int>>").alias("page_ranges"), F.lit("external_markdown").alias("provenance_type"))
+    new = materialize(chunking.chunk_documents(docs, dealt=True), "chunks")
+    # read by every step below, so it is counted once
+    made = materialize(new.groupBy("doc_id", "run_id", "original_filename").agg(F.count("*").alias("chunks")).withColumn("status", F.lit("indexed")), "documents")
 
     def change(held: versions.Snapshot) -> versions.Change:
         old_chunks = versions.read_keys(spark, root, "chunks", made, at=held) if "chunks" in held.tables else new.limit(0)
@@ -53,14 +56,14 @@ def ingest_batch(batch: DataFrame, batch_no: int, root: str, run_dir: str, *, st
         points = lambda t: t.select(T.point_id(F.col("chunk_id")).alias("point_id"))
         diff = registry.point_diff(points(old_chunks), points(new)).withColumn("batch", F.lit(batch_no).cast("bigint"))
         return (
-            versions.replace_keys(spark, root, held, "chunks", made, new, key="doc_id", buckets=buckets)
+            versions.replace_keys(spark, root, held, "chunks", new, new, key="doc_id", buckets=buckets)
             | versions.replace_keys(spark, root, held, "documents", made, made, key="doc_id", buckets=buckets)
             | versions.replace_keys(spark, root, held, "runs", runs, runs, key="run_id", buckets=1)
             | versions.append(diff, root, "point_changes")
         )
 
     number = versions.commit(spark, root, change, mark=(stream, batch_no))
-    discard(new)
+    discard(new, made)
     return number
 
 

@@ -1,11 +1,13 @@
 """Golden values of the scalar functions."""
 
 import html
+import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from casegrid.functions import textcols as T
+from casegrid.functions import patterns as P, textcols as T
 
 GOLDENS = [
     (T.first_date_iso, "An X-ray was taken on 7/11/2016.", "2016-11-07"), (T.first_date_iso, "printed 03.09.2017 at the desk", "2017-09-03"), (T.first_date_iso, "the scan of 5 March 2015 was clear", "2015-03-05"), (T.first_date_iso, "Back at work since October 9, 2021", "2021-10-09"),
@@ -57,3 +59,38 @@ def test_entities_compile_no_pattern_for_each_text(spark):
     assert [(r["t"], r["u"]) for r in rows.collect()] == [(t, t if t is None else html.unescape(t)) for t in texts]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == plan.count(", &, -1)") > 0
+
+
+def test_a_text_is_searched_once_for_each_pattern(spark):
+    """In every plan a pattern stands once: a second mention in a branch would be a second search."""
+    rows = spark.createDataFrame([("Kind regards\n\nDr Odo Fennick",), ("IME",), (None,)], "t string")
+    for function, sign, want in ((T.document_type, "Please", ["specialist_letter", "medicolegal_report", "unknown"]), (T.author, "faithfully\\|Signed", ["Odo Fennick", None, None])):
+        got = rows.select(function(F.col("t")).alias("v"))
+        assert [r["v"] for r in got.collect()] == want
+        assert len(re.findall(sign, got._jdf.queryExecution().optimizedPlan().toString())) == 1, function
+
+
+FIRST = [*[(p, P.DOCUMENT_TYPE_FIRST[n]) for n, p in P.DOCUMENT_TYPES.items()], *[(p, P.SECTION_TYPE_FIRST[n]) for n, p in P.SECTION_TYPES.items()], (P.AUTHOR_SIGNATURE, P.AUTHOR_SIGNATURE_FIRST), (P.AUTHOR_SENDER, P.AUTHOR_SENDER_FIRST)]
+
+
+@pytest.mark.parametrize("pattern,first", FIRST)
+def test_first_letters_lose_no_match(pattern, first):
+    plain, quick = re.compile(T.loose(pattern), re.A), re.compile(T.loose(pattern, first), re.A)
+
+    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.from_regex(plain) | st.text(max_size=5), max_size=4).map(" ".join))
+    def same(text):
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in quick.finditer(text)]
+
+    same()
+
+
+@pytest.mark.parametrize("name", P.DOCUMENT_TYPE_ALSO)
+def test_whatever_a_type_matches_holds_one_of_its_further_words(name):
+    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(T.loose(P.DOCUMENT_TYPES[name]), re.A)))
+    def holds(text):
+        if all(ord(c) < 128 for c in text):
+            assert any(w in text.casefold() for w in P.DOCUMENT_TYPE_ALSO[name])
+
+    holds()

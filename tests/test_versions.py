@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from casegrid.operators import registry
 from casegrid.sources import versions
 from casegrid.streaming import streams
 
@@ -155,3 +156,39 @@ def test_ingest_counts_a_batch_once_and_keeps_totals(spark, tmp_path):
     assert {r["run_dir"]: r["total_chunks"] for r in versions.read(spark, root, "runs").collect()} == {"/ws/x": 2, "/ws/y": 1}
     changes = {(r["batch"], r["change"]): r["n"] for r in versions.read(spark, root, "point_changes").groupBy("batch", "change").agg(F.count("*").alias("n")).collect()}
     assert changes == {(0, "new"): chunks, (1, "overwritten"): 1, (1, "stale"): chunks - 2, (2, "new"): 1}
+
+
+def test_replaced_rows_are_dealt_out_once(spark, tmp_path):
+    """Old and new rows meet in the shuffle by bucket that the write needs; rows without a key are like no others, listed keys without new rows go."""
+    table = lambda *rows: spark.createDataFrame([*rows], "doc_id string, n int")
+    old = table(*[(f"d{i}", i) for i in range(50)], (None, -1), ("d1", 100))
+    keys, new = table(("d1", 0), ("d2", 0), ("d3", 0), (None, 0)), table(("d1", 7), ("d1", 8), ("d3", 9), (None, -2))
+    rows = versions._replaced(old, keys, new, "doc_id", 3)
+    want = sorted([*[(f"d{i}", i) for i in range(50) if i not in (1, 2, 3)], ("d1", 7), ("d1", 8), ("d3", 9), ("", -1), ("", -2)])
+    assert sorted((r["doc_id"] or "", r["n"]) for r in rows.collect()) == want
+    rows._jdf.queryExecution().executedPlan()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    root = str(tmp_path)
+    for keys, new in ((old, old), (keys, new)):
+        versions.commit(spark, root, lambda at, keys=keys, new=new: versions.replace_keys(spark, root, at, "t", keys, new, key="doc_id", buckets=3))
+    got = versions.read(spark, root, "t")
+    assert sorted((r["doc_id"] or "", r["n"]) for r in got.collect()) == want and got.columns == ["doc_id", "n"]
+
+
+def test_point_changes_need_one_shuffle(spark):
+    old, new = (spark.createDataFrame([(p,) for p in ids], "point_id string") for ids in (["a", "b", "b", None], ["b", "c", "c", None]))
+    diff = registry.point_diff(old, new)
+    assert sorted((r["point_id"] or "", r["change"]) for r in diff.collect()) == [("", "new"), ("", "stale"), ("a", "stale"), ("b", "overwritten"), ("c", "new")]
+    assert diff._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_ingest_deals_texts_out_once(spark, tmp_path, monkeypatch):
+    """Files of one name meet in the task that chunks the document, whatever the path."""
+    plans, kept = [], streams.materialize
+    monkeypatch.setattr(streams, "materialize", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or kept(df, tag))
+    batch = spark.createDataFrame([(f"{i % 40}.md", f"/{i:03}/x", f"text {i}") for i in range(120)], "original_filename string, path string, text string")
+    streams.ingest_batch(batch, 0, str(tmp_path), "/ws/x", buckets=4)
+    got = versions.read(spark, str(tmp_path), "chunks").select("original_filename", "text").collect()
+    assert sorted(map(tuple, got)) == sorted((f"{i}.md", f"text {i}") for i in range(40))
+    assert dict(plans)["chunks"].count("Exchange hashpartitioning") == 1
