@@ -128,14 +128,15 @@ def _page(position: int, ranges: list[dict]) -> int | None:
     return next((r["page"] for r in ranges if r["start"] <= position < r["end"]), None)
 
 
-def _split(size: int, overlap: int, kept: tuple[str, ...], schema: pa.Schema):
+def _split(size: int, overlap: int, kept: tuple[str, ...], paged: bool, schema: pa.Schema):
     """Chunks of sections that come in order, numbered within their document."""
 
     def run(batches):
         doc, no, index = None, -1, 0
         for batch in _pieces(batches, "section_text"):
             at, out = [], []
-            rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "section_no", "start", "section_kind", "section_text", "page_ranges")], strict=True)
+            held = [batch.column(c).to_pylist() for c in ("doc_id", "section_no", "start", "section_kind", "section_text")]
+            rows = zip(*held, batch.column("page_ranges").to_pylist() if paged else [None] * batch.num_rows, strict=True)
             for i, (own, section, first, kind, text, ranges) in enumerate(rows):
                 if own != doc or section <= no:
                     index = 0
@@ -167,26 +168,28 @@ def chunk_documents(docs: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.
     """GEN3: chunks with provenance and annotations; a chunk's own finding wins over its section's, then its document's.
 
     ``docs``: doc_id, run_id, original_filename, text, page_ranges, provenance_type; each row is a document of its own.
+    Documents without pages need no page_ranges, which would be carried through every step.
     ``dealt``: the documents have just been dealt out by id.
     """
     if size <= 0:
         raise ValueError("chunk size must be greater than zero")
     # one exchange evens out files of few row groups and very long texts; every later step is narrow. The work is in the
     # texts' patterns, not in their bytes, so the session's partitions are kept as they are instead of being joined by size
-    docs = docs.select("doc_id", "run_id", "original_filename", "text", "page_ranges", "provenance_type")
+    ranges = ("page_ranges",) if "page_ranges" in docs.columns else ()
+    docs = docs.select("doc_id", "run_id", "original_filename", "text", *ranges, "provenance_type")
     docs = docs if dealt else deal(docs)
     docs = docs.withColumns({"doc_kind": T.document_type(F.col("text")), "doc_patient": T.patient_name(F.col("text"))})
     s = F.col("section_text")
-    section = sections(docs, "doc_id", ("run_id", "original_filename", "page_ranges", "provenance_type", "doc_kind", "doc_patient"))
+    section = sections(docs, "doc_id", ("run_id", "original_filename", *ranges, "provenance_type", "doc_kind", "doc_patient"))
     # what was found in a text is not looked for again in its only section, nor a section's in its only chunk
     again = lambda same, known, found: F.when(F.col(same), F.col(known)).otherwise(found)
     section = section.withColumns({"own_kind": again("whole", "doc_kind", T.document_type(s)), "s_author": T.author(s), "s_raw": T.first_date_raw(s), "s_patient": again("whole", "doc_patient", T.patient_name(s))})
     section = section.withColumns({"section_kind": F.when(F.col("own_kind") != "unknown", F.col("own_kind")).otherwise(F.col("doc_kind")), "s_parts": T.date_parts(F.col("s_raw")), "patient_name": F.coalesce("s_patient", "doc_patient")})
     section = section.withColumn("s_iso", T.iso_of_parts(F.col("s_parts")))
     kept = ("doc_id", "run_id", "original_filename", "provenance_type", "section_kind", "s_author", "s_raw", "s_iso", "patient_name")
-    section = section.select(*kept, "section_no", "start", "section_text", "page_ranges")
+    section = section.select(*kept, "section_no", "start", "section_text", *ranges)
     found = Y.StructType([*[section.schema[c] for c in kept], *[Y.StructField(c, Y.IntegerType()) for c in ("chunk_index", "source_char_start", "source_char_end", "page_start", "page_end")], Y.StructField("text", Y.StringType()), Y.StructField("whole", Y.BooleanType())])
-    rows = section.mapInArrow(_split(size, overlap, kept, to_arrow_schema(found)), found)
+    rows = section.mapInArrow(_split(size, overlap, kept, bool(ranges), to_arrow_schema(found)), found)
     t, radiology = F.col("text"), F.col("section_kind") == "radiology_report"
     rows = rows.withColumns({"radiology_date": F.when(radiology, T.radiology_date(t)), "own_raw": again("whole", "s_raw", T.first_date_raw(t))})
     return rows.select(

@@ -38,7 +38,7 @@ def ingest_batch(batch: DataFrame, batch_no: int, root: str, run_dir: str, *, st
     # texts are dealt out once: a name's files meet in the task that chunks the document
     files = chunking.deal(named.select(T.doc_id(run, F.col("original_filename")).alias("doc_id"), "original_filename", "path", "text"))
     first = files.groupBy("doc_id", "original_filename").agg(F.min_by("text", "path").alias("text"))
-    docs = first.select(run.alias("run_id"), "doc_id", "original_filename", "text", F.array().cast("array<struct<start:int,end:int,page:int>>").alias("page_ranges"), F.lit("external_markdown").alias("provenance_type"))
+    docs = first.select(run.alias("run_id"), "doc_id", "original_filename", "text", F.lit("external_markdown").alias("provenance_type"))
     new = materialize(chunking.chunk_documents(docs, dealt=True), "chunks")
     # read by every step below, so it is counted once
     made = materialize(new.groupBy("doc_id", "run_id", "original_filename").agg(F.count("*").alias("chunks")).withColumn("status", F.lit("indexed")), "documents")

@@ -114,3 +114,9 @@ def test_large_batches_are_cut_in_pieces():
     assert len(pieces) > 5 and all(len(p) == 1 or sum(len(t or "") for t in p.column("text").to_pylist()[:-1]) <= chunking.SLICE for p in pieces)
     schema = pa.schema([("n", pa.int64()), *((c, pa.int32()) for c in ("section_no", "start", "end")), ("section_text", pa.string()), ("whole", pa.bool_())])
     assert len(list(chunking._cut("n", (), schema)([batch.filter(pc.is_valid(batch.column("text")))]))) > 5  # null texts never come here
+
+
+def test_documents_without_pages_need_no_page_ranges(spark):
+    docs = spark.createDataFrame([("0", "r", "0.md", "Dear Dr A, seen on 3 May 2011.\n\nKind regards\n\nDr Odo Fennick", [], "p"), ("1", "r", "1.md", "first " * 60 + "\nDear Dr B\n" + "second. " * 300, [], "p")], "doc_id string, run_id string, original_filename string, text string, page_ranges array<struct<start:int,end:int,page:int>>, provenance_type string")
+    with_, without = chunking.chunk_documents(docs), chunking.chunk_documents(docs.drop("page_ranges"))
+    assert with_.schema == without.schema and sorted(with_.collect()) == sorted(without.collect()) and without.count() > 4
